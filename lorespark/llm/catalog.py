@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from lorespark.llm import exact_dedup, mixing, sharding
+from lorespark.llm import bpe, exact_dedup, licenses, mixing, sharding, url_filter
 from lorespark.llm.common import read
 
 
+#: Vocabulary file of the encoding query.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(read(spark, sf_dir, "pages"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -18,8 +30,14 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digests(bpe.bpe(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
 def queries():
-    return {f.__name__: f for f in (op3_mix_sources, op8_exact_dedup, op9_sharding)}
+    return {f.__name__: f for f in (op1_url_filter, op3_mix_sources, op5_license_scan, op8_exact_dedup, op9_sharding, op10_bpe)}
 
 
 def oracle_sql():
