@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.llm import bpe, exact_dedup, licenses, mixing, sharding, url_filter
+from lorespark.llm import bpe, exact_dedup, licenses, mixing, ngram_join, repeats, sharding, url_filter
 from lorespark.llm.common import read
 
 
@@ -22,6 +22,14 @@ def op5_license_scan(spark, sf_dir):
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
+
+
+def op7_repeats(spark, sf_dir):
+    return repeats.digests(repeats.dedup_repeats(read(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -37,7 +45,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filter, op3_mix_sources, op5_license_scan, op8_exact_dedup, op9_sharding, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op3_mix_sources, op5_license_scan, op6_ngram_join, op7_repeats, op8_exact_dedup, op9_sharding, op10_bpe)}
 
 
 def oracle_sql():
