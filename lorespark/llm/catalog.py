@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.llm import bpe, exact_dedup, licenses, mixing, ngram_join, repeats, sharding, url_filter
+from lorespark.llm import bpe, exact_dedup, licenses, mixing, ngram_join, repeats, sharding, toxicity, url_filter
 from lorespark.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filter, op3_mix_sources, op5_license_scan, op6_ngram_join, op7_repeats, op8_exact_dedup, op9_sharding, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_mix_sources, op5_license_scan, op6_ngram_join, op7_repeats, op8_exact_dedup, op9_sharding, op10_bpe)}
 
 
 def oracle_sql():
