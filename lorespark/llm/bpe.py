@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,9 @@ from lorespark.llm.common import session_of, ship_code, text_of
 MEMO = 400_000
 #: Rows that a worker holds in expanded form at once.
 ROWS = 128
-_CHUNK = re.compile(r"[^ \t-\r]+")
 #: Printable ASCII and accented letters that are composed already, of which each lower-cases to one letter.
 _LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_LATIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\s]+")
+_LATIN_PIECE = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
 
 
 def _byte_symbols() -> list[str]:
@@ -34,10 +32,13 @@ def _byte_symbols() -> list[str]:
 
 
 _SYMBOLS = _byte_symbols()
+_BYTES = {c: b for b, c in enumerate(_SYMBOLS)}
+#: From a byte, as a Latin-1 character, to its symbol; the space stays as the separator of words.
+_TO_SYMBOL = {b: ord(c) for b, c in enumerate(_SYMBOLS) if b != 32 and b != ord(c)}
 
 
-def _pairs(word: str) -> map:
-    return map("".join, zip(word, word[1:]))
+def _codes(symbols: str) -> np.ndarray:
+    return np.frombuffer(symbols.encode("utf-16-le"), np.uint16)
 
 
 def _fragment_coder(vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
@@ -48,24 +49,10 @@ def _fragment_coder(vocab: dict[str, int], merges: list[tuple[str, str]], end: s
     return coder
 
 
-def _encode_each(coder, fragments: list[str]) -> dict[str, tuple[int, ...]]:
-    """Each fragment's ids. The fragments go in as words of one text, so none can merge with its neighbour."""
-    found = dict.fromkeys(fragments, ())
-    if fragments:
-        encoded = coder.encode(" ".join(fragments), add_special_tokens=False)
-        ids, words = encoded.ids, np.array(encoded.word_ids)
-        ends = np.searchsorted(words, np.arange(len(fragments)), "right").tolist()
-        start = 0
-        for f, stop in zip(fragments, ends):
-            found[f] = tuple(ids[start:stop])
-            start = stop
-    return found
-
-
 class ForcedBoundaryBPE:
     """Encodes as the tokenizers library does with this file, for BPE models with a word-end suffix.
 
-    reach[a, b] tells whether bytes a, b stand side by side inside any token. Every symbol that merging can form is a
+    reach[a, b] tells whether the symbols a, b of bytes stand side by side inside any token. Every symbol that merging can form is a
     token, so where reach is false no merge crosses and the two sides can be encoded apart.
     """
 
@@ -79,50 +66,87 @@ class ForcedBoundaryBPE:
         vocab: dict[str, int] = model["vocab"]
         end: str = model.get("end_of_word_suffix") or ""
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.reach = {pair for t in vocab for pair in _pairs(t.removesuffix(end) if end and t != end else t)}
+        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        self.names = {i: t for t, i in vocab.items()} | {i: t.decode() for t, i in self.special.items()}
+        self.split_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
+        self.reach = np.zeros((512, 512), bool)
+        for t in vocab:
+            body = _codes(t.removesuffix(end) if end and t != end else t)
+            self.reach[body[:-1], body[1:]] = True
+        self.reach[:, ord(" ")] = self.reach[ord(" "), :] = True
         # fragments that end a word, and fragments that do not
         self.coders = [_fragment_coder(vocab, merges, end), _fragment_coder(vocab, merges, "")]
         # the newer and the older half: what is used moves to the newer, and the older goes when that is full
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def cuts(self, word: str) -> list[str]:
-        """The fragments of a word (in byte symbols) between forced boundaries."""
-        forced = [i for i, pair in enumerate(_pairs(word), 1) if pair not in self.reach]
-        if not forced:
-            return [word]
-        return [word[i:j] for i, j in zip([0, *forced], [*forced, len(word)])]
-
-    def words(self, chunk: str) -> list[str]:
-        """The words of a stretch without ASCII white space, in byte symbols: nothing in normalising or splitting reaches across white space."""
-        if chunk.isascii() and chunk.isprintable():
-            return _ASCII_PIECE.findall(chunk.lower())
-        if _LATIN.fullmatch(chunk):
-            return [p if p.isascii() else "".join(map(_SYMBOLS.__getitem__, p.encode())) for p in _LATIN_PIECE.findall(chunk.lower())]
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes chunks that are not in the memo, fragment by fragment and each distinct fragment once."""
-        plans, wanted = {}, (set(), set())
+        self.memo: dict[bytes, tuple[bytes, str]] = {}
+        self.older: dict[bytes, tuple[bytes, str]] = {}
+
+    def cuts(self, words: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The fragments of words (in byte symbols, a space between words), whether each ends its word, and its word's number."""
+        codes = _codes(words)
+        forced = np.flatnonzero(~self.reach[codes[:-1], codes[1:]]) + 1
+        cut = "\n".join([words[i:j] for i, j in zip([0, *forced.tolist()], [*forced.tolist(), len(words)])]) if len(forced) else words
+        marks = _codes(cut)
+        ends = marks[(marks == 32) | (marks == 10)] == 32
+        last = np.append(ends, True)
+        return cut.replace("\n", " ").split(" "), last, np.cumsum(np.append(0, ends))
+
+    def pieces(self, chunks: list[str]) -> list[str]:
+        """The words of stretches without ASCII white space, with a line feed after each stretch but the last.
+
+        Nothing in normalising or splitting reaches across white space.
+        """
+        if all(map(_LATIN.fullmatch, chunks)):
+            return _LATIN_PIECE.findall("\n".join(chunks).lower())
+        normalise, split = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
+        out: list[str] = []
         for c in chunks:
-            plan = []
-            for word in self.words(c):
-                *inner, last = self.cuts(word)
-                plan += [(f, 1) for f in inner]
-                plan.append((last, 0))
-            plans[c] = plan
-            for f, kind in plan:
-                wanted[kind].add(f)
-        known = [_encode_each(coder, list(fragments)) for coder, fragments in zip(self.coders, wanted)]
-        for c, plan in plans.items():
-            self.memo[c] = known[0][plan[0][0]] if len(plan) == 1 else tuple(chain.from_iterable(known[kind][f] for f, kind in plan))
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        parts = [self._parts(t) for t in texts]
-        split = [[(p, None) if special else (p, _CHUNK.findall(p)) for special, p in each] for each in parts]
+            # the library gives byte symbols; bytes are wanted here
+            out += [bytes(map(_BYTES.__getitem__, p)).decode() for p, _ in split(normalise(c))]
+            out.append("\n")
+        return out[:-1]
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encodes chunks that are not in the memo: their fragments go apart through the merges, then are put together."""
+        texts = list(map(bytes.decode, chunks))
+        plain = [c for c in texts if _LATIN.fullmatch(c)]
+        other = [c for c in texts if not _LATIN.fullmatch(c)] if len(plain) < len(texts) else []
+        for some in (plain, other):
+            if some:
+                self._learn(some, self.pieces(some))
+
+    def _learn(self, chunks: list[str], pieces: list[str]) -> None:
+        breaks = np.fromiter((p == "\n" for p in pieces), bool, len(pieces))
+        owner = np.cumsum(breaks)[~breaks]
+        words = " ".join([p for p in pieces if p != "\n"]).encode().decode("latin-1").translate(_TO_SYMBOL)
+        if len(owner):
+            fragments, last, word = self.cuts(words)
+            ids, place = [], []
+            for coder, those in zip(self.coders, (last, ~last)):
+                at = np.flatnonzero(those)
+                if len(at):
+                    encoded = coder.encode(" ".join(fragments if len(at) == len(fragments) else [fragments[i] for i in at.tolist()]), add_special_tokens=False)
+                    ids.append(np.array(encoded.ids, np.int32))
+                    place.append(at[np.array(encoded.word_ids, np.int64)])
+            if len(ids) > 1:
+                order = np.argsort(np.concatenate(place), kind="stable")
+                flat, of = np.concatenate(ids)[order], np.concatenate(place)[order]
+            else:
+                flat, of = ids[0], place[0]
+            ends = np.searchsorted(owner[word[of]], np.arange(len(chunks)), "right").tolist()
+        else:
+            flat, ends = np.empty(0, np.int32), [0] * len(chunks)
+        names, packed, start = list(map(self.names.__getitem__, flat.tolist())), flat.tobytes(), 0
+        for c, stop in zip(chunks, ends):
+            self.memo[c.encode()] = packed[4 * start : 4 * stop], " ".join(names[start:stop])
+            start = stop
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        """Ids as 32-bit numbers in a row, and what they decode to: the file names no decoder, so tokens joined by spaces."""
+        return array("i", ids).tobytes(), " ".join(map(self.names.__getitem__, ids))
+
+    def encode_all(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
+        """Packed ids and decoded text of each UTF-8 text."""
+        split = [[(p, None) if special else (p, p.split()) for special, p in self._parts(t)] for t in texts]
         needed = {c for each in split for _, chunks in each if chunks for c in chunks}
         if len(self.memo) > MEMO // 2:
             self.memo, self.older = {}, self.memo
@@ -130,20 +154,22 @@ class ForcedBoundaryBPE:
         seen = needed.intersection(self.older)
         self.memo.update((c, self.older[c]) for c in seen)
         self.learn(needed - seen)
-        get = self.memo.__getitem__
-        return [[i for p, chunks in each for i in ([self.special[p]] if chunks is None else chain.from_iterable(map(get, chunks)))] for each in split]
+        get, out = self.memo.__getitem__, []
+        for each in split:
+            found = [x for p, chunks in each for x in ([self._packed([self.special[p]])] if chunks is None else map(get, chunks))]
+            out.append((b"".join([i for i, _ in found]), " ".join([d for _, d in found if d])))
+        return out
 
-    def _parts(self, text: str) -> list[tuple[int, str]]:
+    def _parts(self, text: bytes) -> list[tuple[int, bytes]]:
         """The text between special tokens, and those tokens: (0, text) and (1, token) by turns."""
-        if "<" in text and self.split_special and self.split_special.search(text):
+        if b"<" in text and self.split_special and self.split_special.search(text):
             return [(k % 2, p) for k, p in enumerate(self.split_special.split(text))]
         return [(0, text)]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return array("i", self.encode_all([text.encode()])[0][0]).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """The file names no decoder: the tokens joined by single spaces."""
         return " ".join(map(self.names.__getitem__, ids))
 
 
@@ -169,13 +195,13 @@ def bpe(docs: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 each = coder.encode_all(part.column(1).to_pylist())
-                offsets = np.cumsum([0, *map(len, each)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(each), np.int32, int(offsets[-1]))
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([coder.decode(x) for x in each], pa.string())], ["doc_id", "ids", "decoded"])
+                offsets = np.cumsum([0, *(len(i) // 4 for i, _ in each)], dtype=np.int32)
+                flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join([i for i, _ in each]))])
+                ids = pa.ListArray.from_arrays(pa.array(offsets), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([d for _, d in each], pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(encode, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(encode, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
