@@ -39,11 +39,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def _slots(part: Column, mark: str) -> Column:
     """The hashed n-grams of one part, with its ends and its kind marked."""
     s = F.concat(F.lit("^"), part, F.lit("$"))
-    each = []
-    for n in GRAMS:
+
+    def of_length(n: int) -> Column:
         starts = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>"))
-        each.append(F.transform(starts, lambda i, n=n: F.pmod(F.xxhash64(F.lit(mark), F.substring(s, i, F.lit(n))), F.lit(DIMENSIONS)).cast("int")))
-    return F.concat(*each)
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(s, i, F.lit(n))), F.lit(DIMENSIONS)).cast("int"))
+
+    return F.concat(*map(of_length, GRAMS))
 
 
 def slots(host: Column, path: Column) -> Column:
