@@ -1,13 +1,473 @@
-"""Registered queries of the retrieval engine and their SQL."""
+"""Registered queries of the retrieval engine over the driver's tables, each with its SQL where SQL can express it."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from lorespark.functions import text as T
+from lorespark.operators import bundle, evaluation, graph, ingest, logs, retrieval, staleness
+from lorespark.plans import tables as D
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+TOP = 10
 
-def oracle_sql():
-    return {}
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+@query(f"SELECT lang, count(*) AS documents, CAST(sum({D.sql_tokens('text')}) AS BIGINT) AS tokens FROM documents GROUP BY lang")
+def token_stats(s, d):
+    return D.table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum(T.token_count(F.col("text"))).alias("tokens"))
+
+
+@query(f"SELECT term, count(*) AS n FROM (SELECT unnest({D.sql_terms('text')}) AS term FROM documents) GROUP BY term ORDER BY n DESC, term LIMIT 100")
+def terms_topn(s, d):
+    return D.table(s, d, "documents").select(F.explode(T.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(100)
+
+
+@query(f"WITH {D.CHUNKS} SELECT lang AS scope, count(DISTINCT d.doc_id) AS documents, count(c.chunk_id) AS chunks, CAST(coalesce(sum(c.tokens), 0) AS BIGINT) AS tokens FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY lang")
+def scope_stats(s, d):
+    return ingest.scope_stats(D.chunks(s, d), D.table(s, d, "documents").select("doc_id", F.col("lang").alias("scope")))
+
+
+_VECTOR = f"""WITH {D.QUERY_VECTORS}, scored AS (
+  SELECT query_id, vec_id AS chunk_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS score
+  FROM embeddings e, qv {{where}}
+) SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10"""
+
+
+@query(_VECTOR.format(where=""))
+def vector_topk(s, d):
+    return retrieval.vector_topk(D.vectors(s, d), D.query_vectors(s, d).drop("scopes"), TOP)
+
+
+@query(_VECTOR.format(where="WHERE e.label IN (qv.label, qv.label + 1)"))
+def vector_topk_scoped(s, d):
+    return retrieval.vector_topk(D.vectors(s, d), D.query_vectors(s, d), TOP, scoped=True)
+
+
+def _bm25_sql(chunks: str, limit: int, scoped: bool) -> str:
+    scope = "JOIN chunks c USING (chunk_id) JOIN queries q USING (query_id) WHERE list_contains(q.scopes, c.scope)" if scoped else ""
+    return f"""{D.QUERIES}, {chunks}, words AS (
+  SELECT chunk_id, unnest({D.sql_words('content')}) AS term FROM chunks
+), dl AS (SELECT chunk_id, count(*) AS dl FROM words GROUP BY chunk_id
+), st AS (SELECT (SELECT count(*) FROM chunks) AS n, (SELECT count(*) FROM words) / (SELECT count(*) FROM chunks) AS avgdl
+), tf AS (SELECT chunk_id, term, count(*) AS f FROM words GROUP BY ALL
+), asked AS (SELECT query_id, term, count(*) AS times, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT query_id, unnest({D.sql_terms('query')}) AS term FROM queries) GROUP BY query_id, term
+), rarity AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf, avgdl FROM tf, st WHERE term IN (SELECT term FROM asked) GROUP BY term, n, avgdl
+), s AS (
+  SELECT query_id, chunk_id, sum(times * (CASE WHEN idf <= 0 THEN 0.000001 ELSE idf END) * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)))) AS raw, count(*) = max(n_terms) AS all_terms
+  FROM asked JOIN rarity USING (term) JOIN tf USING (term) JOIN dl USING (chunk_id) GROUP BY query_id, chunk_id
+), scored AS (SELECT query_id, chunk_id, round(raw, 6) AS score, all_terms FROM s {scope}
+), bm25 AS (
+  SELECT query_id, chunk_id, score, all_terms, CAST(rank AS INT) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY all_terms DESC, score DESC, chunk_id) AS rank FROM scored) WHERE rank <= {limit}
+)"""
+
+
+_WHOLE = f"chunks AS (SELECT doc_id AS chunk_id, doc_id, lang AS scope, 0 AS position, text AS content, {D.sql_tokens('text')} AS tokens FROM documents)"
+
+
+@query(f"WITH {_bm25_sql(D.CHUNKS, 10, False)} SELECT * FROM bm25")
+def bm25_topk(s, d):
+    return retrieval.bm25(D.chunks(s, d), D.queries(s, d), TOP)
+
+
+@query(f"WITH {_bm25_sql(_WHOLE, 30, True)} SELECT * FROM bm25")
+def bm25_and_first(s, d):
+    return retrieval.bm25(D.whole(s, d), D.queries(s, d), 3 * TOP, scoped=True)
+
+
+@query()
+def bm25_stemmed(s, d):
+    return retrieval.bm25(D.whole(s, d), D.queries(s, d), TOP, stem=True)
+
+
+def _hybrid(s, d):
+    lexical = retrieval.bm25(D.whole(s, d), D.queries(s, d), retrieval.FUSION_DEPTH)
+    return retrieval.hybrid(lexical, retrieval.vector_topk(D.vectors(s, d), D.query_vectors(s, d).drop("scopes"), retrieval.FUSION_DEPTH))
+
+
+_VEC50 = """vs AS (
+  SELECT query_id, vec_id AS chunk_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS score FROM embeddings, qv
+), vec AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) WHERE rank <= 50)"""
+_FUSED = f"""{_bm25_sql(_WHOLE, 50, False)}, {D.QUERY_VECTORS}, {_VEC50}, parts AS (
+  SELECT query_id, chunk_id, (CASE WHEN all_terms THEN 1.0 ELSE 0.25 END)::DOUBLE / (60 + rank) AS s FROM bm25
+  UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM vec
+), fused AS (SELECT query_id, chunk_id, round(sum(s), 9) AS score FROM parts GROUP BY ALL
+), hybrid AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM fused)"""
+
+
+@query(f"WITH {_FUSED} SELECT * FROM hybrid")
+def rrf_hybrid(s, d):
+    return _hybrid(s, d)
+
+
+@query(f"""WITH {_FUSED}, sections AS (
+  SELECT DISTINCT q.query_id, source AS doc, doc_id AS chunk_id FROM queries q JOIN documents ON source = 'src' || q.query_id % 20
+), listed AS (
+  SELECT query_id, chunk_id, doc, row_number() OVER (PARTITION BY query_id, doc ORDER BY rank IS NULL, rank, chunk_id) AS i FROM sections LEFT JOIN hybrid USING (query_id, chunk_id)
+), placed AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY doc, i) AS rank FROM listed WHERE i <= 3
+), again AS (
+  SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS s FROM hybrid UNION ALL SELECT query_id, chunk_id, 1.5::DOUBLE / (60 + rank) FROM placed WHERE rank <= 6
+), summed AS (SELECT query_id, chunk_id, round(sum(s), 9) AS score FROM again GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM summed""")
+def governed_rerank(s, d):
+    docs = D.table(s, d, "documents")
+    chunks = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_id"), F.lit(0).alias("position"))
+    asked = D.queries(s, d).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("doc"))
+    return retrieval.governed(_hybrid(s, d), asked, chunks)
+
+
+@query(f"""WITH {D.QUERY_VECTORS}, {_VEC50}, l AS (SELECT query_id, list(vs.score ORDER BY rank) AS x FROM vec JOIN vs USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY query_id)
+SELECT query_id, x[1] AS top, round(x[1] - x[len(x) // 2 + 1], 6) AS margin FROM l""")
+def confidence_margin(s, d):
+    return retrieval.margin(retrieval.vector_topk(D.vectors(s, d), D.query_vectors(s, d).drop("scopes"), retrieval.FUSION_DEPTH))
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, {D.sql_tokens('text')} AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations
+), f AS (
+  SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS used, 0 AS omitted, CAST([] AS BIGINT[]) AS ids FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL
+  SELECT f.conv_id, t.i, CASE WHEN len(ids) < 4 AND used + tokens <= 300 THEN used + tokens ELSE used END, CASE WHEN len(ids) < 4 AND used + tokens > 300 THEN omitted + 1 ELSE omitted END,
+         CASE WHEN len(ids) < 4 AND used + tokens <= 300 THEN list_append(ids, turn) ELSE ids END
+  FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1
+) SELECT conv_id, array_to_string(ids, ',') AS picked, used AS tokens, omitted FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1""")
+def budget_fill(s, d):
+    turns = D.table(s, d, "conversations").select("conv_id", "turn", T.token_count(F.col("text")).alias("tokens"))
+    filled = retrieval.budget_fill(turns, "conv_id", "turn", "tokens", "turn", 300, 4)
+    return filled.withColumn("picked", F.array_join(F.col("picked").cast("array<string>"), ","))
+
+
+def _bundles(s, d):
+    """Turns of conversations as ranked sections of a bundle."""
+    t = D.table(s, d, "conversations")
+    return t.select(
+        F.col("conv_id").cast("string").alias("bundle_id"), F.col("turn").cast("int").alias("rank"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("text").alias("content"),
+        T.token_count(F.col("text")).alias("tokens"), F.concat(F.lit("domain/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("doc_path"), F.col("role").alias("heading"),
+        F.when(F.col("role") == "user", "domain").when(F.col("turn") % 3 == 0, "conventions").otherwise("projects/x").alias("scope"), F.expr("timestamp'2024-01-02 03:04:05'").alias("updated_at"),
+        (F.col("turn") % 3).cast("int").alias("changes"), F.expr("timestamp'2024-02-03 00:00:00'").alias("changed_at"),
+    )
+
+
+@query()
+def bundle_pack(s, d):
+    packed = bundle.pack(_bundles(s, d), 400)
+    return packed.select("bundle_id", F.array_join(F.transform("selected", lambda x: x["chunk_id"]), ",").alias("selected"), "truncated", "tokens")
+
+
+@query()
+def bundle_compile(s, d):
+    tasks = D.table(s, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("bundle_id"), F.col("text").alias("task"), F.array(F.lit("conventions"), F.lit("domain")).alias("scopes"))
+    return bundle.compile_bundle(_bundles(s, d), tasks, "0123456789abcdef", 1000)
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS bundle_id, conv_id * 1000 + turn AS chunk_id,
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'user' THEN 0 WHEN turn % 3 = 0 THEN 1 ELSE 2 END, turn, conv_id * 1000 + turn) AS INT) AS place FROM conversations""")
+def bundle_order(s, d):
+    return bundle.order(_bundles(s, d)).select("bundle_id", "chunk_id", "place")
+
+
+@query(f"""WITH t AS (SELECT item_id, list_sort(list_distinct({D.sql_terms('text')})) AS terms FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))), 6) AS jaccard
+FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))) >= 0.3""")
+def near_duplicates(s, d):
+    sets = D.table(s, d, "benchmark").select("item_id", T.term_set(F.col("text")).alias("terms"))
+    each = sets.select("item_id", F.explode("terms").alias("term"), F.size("terms").alias("n"))
+    met = each.alias("x").join(each.alias("y"), F.expr("x.term = y.term and x.item_id < y.item_id"))
+    counted = met.groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count("*").alias("c"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"))
+    j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
+    return counted.where(j >= 0.3).select("a", "b", F.round(j, 6).alias("jaccard"))
+
+
+@query("""SELECT item_id, sha256('v2' || chr(0) || text || chr(0) || 'conventions,domain' || chr(0) || '2000' || chr(0) || 'f00d' || chr(0) || 'hash-64' || chr(0) || 'a/b.go,c.go') AS cache_key FROM benchmark""")
+def cache_key(s, d):
+    scopes = T.normalized_list(F.array(F.lit(" domain"), F.lit("conventions "), F.lit("domain"), F.lit("")))
+    paths = T.normalized_paths(F.array(F.lit("./c.go"), F.lit("a\\b.go"), F.lit("c.go")))
+    return D.table(s, d, "benchmark").select("item_id", T.cache_key(F.col("text"), scopes, F.lit(2000), F.lit("f00d"), F.lit("hash-64"), paths).alias("cache_key"))
+
+
+def _snapshot(s, d):
+    return D.table(s, d, "documents").select(F.concat(F.lit("domain/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.sha2("text", 256).alias("content_hash"), "doc_id")
+
+
+@query("SELECT substr(sha256(string_agg('domain/' || doc_id || '.md' || chr(0) || sha256(text) || chr(10), '' ORDER BY 'domain/' || doc_id || '.md')), 1, 16) AS fingerprint FROM documents")
+def index_fingerprint(s, d):
+    return ingest.fingerprint(_snapshot(s, d))
+
+
+@query("""WITH now AS (SELECT 'domain/' || doc_id || '.md' AS path, sha256(text) AS h, doc_id FROM documents WHERE doc_id % 11 <> 0),
+old AS (SELECT 'domain/' || doc_id || '.md' AS path, CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 0)
+SELECT path, CASE WHEN old.h IS NULL THEN 'new' WHEN now.h IS NULL THEN 'deleted' WHEN old.h = now.h THEN 'same' ELSE 'changed' END AS status FROM now FULL JOIN old USING (path)""")
+def incremental_diff(s, d):
+    now = _snapshot(s, d)
+    old = now.where("doc_id % 10 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "stale").otherwise(F.col("content_hash")))
+    return ingest.reconcile(now.where("doc_id % 11 <> 0"), old)
+
+
+@query("""SELECT doc_id AS chunk_id, sha256(source || chr(10) || text) AS text_hash FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id NOT IN (SELECT vec_id FROM embeddings)""")
+def pending_vectors(s, d):
+    docs = D.table(s, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_path"), F.lit(0).alias("position"), F.col("source").alias("heading"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"))
+    have = D.vectors(s, d).select("chunk_id").join(chunks.select("chunk_id", "content_hash"), "chunk_id")
+    have = have.withColumn("content_hash", F.when(F.col("chunk_id") % 3 == 0, "stale").otherwise(F.col("content_hash"))).withColumn("model", F.when(F.col("chunk_id") % 5 == 0, "other").otherwise("hash-64"))
+    return ingest.pending_vectors(chunks, have, "hash-64").select("chunk_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("""SELECT doc_id, sha256(string_agg(content, chr(10) || chr(10) ORDER BY position)) AS text_hash FROM (
+  SELECT doc_id, unnest(str_split(text, chr(10))) AS content, unnest(range(len(str_split(text, chr(10))))) AS position FROM documents) WHERE trim(content, ' ') <> '' GROUP BY doc_id""")
+def reassemble(s, d):
+    return ingest.reassemble(D.chunks(s, d).withColumnRenamed("doc_id", "doc_path")).select(F.col("doc_path").alias("doc_id"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query()
+def html_to_markdown(s, d):
+    from lorespark.sources.markup import html_to_markdown as convert
+
+    return convert(D.table(s, d, "pages"))
+
+
+@query()
+def chunk_documents(s, d):
+    return ingest.chunk_documents(D.markdown(s, d))
+
+
+@query(f"""SELECT 'domain/' || doc_id || '.md' AS from_path, CAST(i AS INT) AS position, t AS target, k AS kind FROM documents, (VALUES (0, 'wikilink'), (1, 'markdown')) v(i, k),
+  LATERAL (SELECT CASE WHEN k = 'wikilink' THEN source ELSE '../' || lang || '/a.md' END AS t)""")
+def extract_links(s, d):
+    return ingest.extract_links(D.linked_bodies(s, d))
+
+
+@query(f"WITH {D.LINKS} SELECT from_path, target, kind, to_path FROM links")
+def resolve_links(s, d):
+    return graph.resolve_links(D.part_links(s, d), D.part_paths(s, d))
+
+
+@query(f"""WITH {D.LINKS}, i AS (SELECT to_path AS path, count(*) AS n FROM edges GROUP BY 1), o AS (SELECT from_path AS path, count(*) AS n FROM edges GROUP BY 1)
+SELECT path, coalesce(i.n, 0) AS links_in, coalesce(o.n, 0) AS links_out, coalesce(i.n, 0) = 0 AS orphan, coalesce(o.n, 0) > 12 AS over_linked FROM paths LEFT JOIN i USING (path) LEFT JOIN o USING (path)""")
+def link_graph(s, d):
+    return graph.link_graph(D.part_paths(s, d), graph.resolve_links(D.part_links(s, d), D.part_paths(s, d)))
+
+
+@query(f"WITH {D.LINKS} SELECT path FROM paths WHERE path NOT IN (SELECT to_path FROM edges)")
+def orphans(s, d):
+    return graph.orphans(D.part_paths(s, d), graph.resolve_links(D.part_links(s, d), D.part_paths(s, d)))
+
+
+@query(f"WITH {D.LINKS} SELECT DISTINCT from_path, target FROM links WHERE to_path = ''")
+def broken_links(s, d):
+    return graph.broken_links(graph.resolve_links(D.part_links(s, d), D.part_paths(s, d)))
+
+
+@query()
+def link_suggestions(s, d):
+    docs = D.table(s, d, "documents")
+    docs = docs.select(F.concat(F.lit("domain/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat_ws(" ", F.slice(F.split(F.split("text", "\n")[0], " "), 1, 2)).alias("title"), F.col("text").alias("body"))
+    none = docs.select(F.col("path").alias("from_path"), F.col("path").alias("to_path")).where(F.lit(False))
+    return graph.suggest_links(docs, none, none, 100)
+
+
+_MATCHED = f"""{D.SOURCES}, hit AS (
+  SELECT DISTINCT s.path, c.hash, c.ts, c.code_path FROM (SELECT path, updated_at, unnest(patterns) AS p FROM sources) s JOIN commits c ON c.ts > s.updated_at AND regexp_matches(c.code_path, s.p)
+)"""
+
+
+@query(f"""WITH {_MATCHED}, per AS (SELECT path, hash, ts, min(code_path) AS code_path FROM hit GROUP BY ALL)
+SELECT path, count(*) AS commits, max(ts) AS last_change, arg_min(code_path, (-epoch_us(ts), hash)) AS last_path FROM per GROUP BY path""")
+def drift(s, d):
+    return staleness.drift(D.sources(s, d), D.commits(s, d))
+
+
+@query(f"""WITH {D.SOURCES}, dirs AS (
+  SELECT DISTINCT dir FROM (SELECT unnest([split_part(code_path, '/', 1), CASE WHEN code_path LIKE '%/%/%' THEN split_part(code_path, '/', 1) || '/' || split_part(code_path, '/', 2) END]) AS dir FROM commits) WHERE dir IS NOT NULL
+), hit AS (SELECT DISTINCT dir FROM dirs, (SELECT unnest(patterns) AS p FROM sources) WHERE regexp_matches(dir, p) OR regexp_matches(dir || '/file', p))
+SELECT (SELECT count(*) FROM hit) AS covered, (SELECT count(*) FROM dirs) AS total, coalesce((SELECT string_agg(dir, ',' ORDER BY dir) FROM dirs WHERE dir NOT IN (SELECT dir FROM hit)), '') AS uncovered""")
+def coverage(s, d):
+    paths = D.commits(s, d).select(F.explode("paths").alias("code_path")).distinct()
+    return staleness.coverage(staleness.directories(paths, 2), D.sources(s, d))
+
+
+@query(f"""WITH {D.SOURCES} SELECT DISTINCT o_orderkey AS query_id, s.path FROM orders JOIN commits c ON c.hash = o_orderkey JOIN (SELECT path, unnest(patterns) AS p FROM sources) s ON regexp_matches(c.code_path, s.p)""")
+def governing(s, d):
+    return staleness.governing(D.sources(s, d), D.commits(s, d).select(F.col("hash").alias("query_id"), F.explode("paths").alias("code_path")))
+
+
+@query(f"WITH {D.SOURCES} SELECT path, updated_at FROM sources WHERE updated_at IS NOT NULL ORDER BY updated_at, path LIMIT 10")
+def stalest(s, d):
+    return staleness.stalest(D.sources(s, d), 10).select("path", "updated_at")
+
+
+@query("SELECT code_path AS path, max(o_orderdate) AS last_modified FROM (SELECT o_orderdate, unnest(['svc' || o_custkey % 25 || '/' || replace(o_orderpriority, ' ', '-') || '/main.go', 'doc/' || o_orderstatus || '.txt']) AS code_path FROM orders) GROUP BY 1")
+def last_modified(s, d):
+    from lorespark.sources.markdown import last_modified as latest
+
+    return latest(D.commits(s, d))
+
+
+_GAP_COLUMNS = "count(*) AS times, max(ts) AS last_at, max(name) AS name, max(results) AS results, max(top_score) AS top_score, max(margin) AS margin"
+
+
+@query(f"""WITH {D.LOG}, r AS (SELECT bundle_id, max(CAST(useful AS INT)) AS useful FROM usage GROUP BY 1)
+SELECT query, scopes, {_GAP_COLUMNS}, CASE WHEN max(results) = 0 THEN 'no_results' ELSE 'not_useful' END AS reason FROM log LEFT JOIN r USING (bundle_id)
+WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' AND (results = 0 OR r.useful = 0) GROUP BY query, scopes ORDER BY times DESC, last_at DESC, query, scopes LIMIT 20""")
+def gaps_no_useful(s, d):
+    return logs.gaps_no_useful(D.log(s, d), D.usage(s, d), F.expr("timestamp'2024-01-24 00:00:00'"), 20)
+
+
+@query(f"""WITH {D.LOG} SELECT query, scopes, {_GAP_COLUMNS} FROM log WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' AND results > 0 AND top_score > 0
+GROUP BY query, scopes ORDER BY margin, last_at DESC, query, scopes LIMIT 20""")
+def gaps_low_confidence(s, d):
+    return logs.gaps_low_confidence(D.log(s, d), F.expr("timestamp'2024-01-24 00:00:00'"), 20)
+
+
+@query("SELECT count(*) AS entries, min(ts) AS oldest FROM events")
+def log_stats(s, d):
+    return logs.log_stats(D.log(s, d))
+
+
+_HISTOGRAM = ", ".join(f"count_if(seconds <= {b}) AS le_{i}" for i, b in enumerate(logs.BOUNDS))
+
+
+@query(f"""WITH {D.REQUESTS} SELECT surface, name, count(*) AS requests, count_if(error) AS errors, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(chunks) AS BIGINT) AS chunks,
+CAST(sum(omitted) AS BIGINT) AS omitted, round(sum(seconds), 6) AS seconds, {_HISTOGRAM}, count(*) AS le_12 FROM requests GROUP BY surface, name""")
+def latency_histogram(s, d):
+    return logs.series(D.requests(s, d))
+
+
+_LAST = "SELECT *, row_number() OVER (PARTITION BY surface, name ORDER BY ts DESC, event_id DESC) AS place FROM requests"
+
+
+@query(f"""WITH {D.REQUESTS}, l AS (SELECT surface, name, list(seconds ORDER BY seconds) AS x FROM ({_LAST}) WHERE place <= 512 GROUP BY ALL)
+SELECT surface, name, round(x[CAST(floor(0.5 * (len(x) - 1) + 0.5) AS INT) + 1] * 1000, 6) AS p50_ms, round(x[CAST(floor(0.95 * (len(x) - 1) + 0.5) AS INT) + 1] * 1000, 6) AS p95_ms FROM l""")
+def latency_percentiles(s, d):
+    return logs.percentiles(D.requests(s, d), "event_id")
+
+
+@query(f"WITH {D.REQUESTS} SELECT surface, name, event_id, CAST(place AS INT) AS place FROM ({_LAST}) WHERE place <= 100")
+def recent_last_n(s, d):
+    return logs.last_n(D.requests(s, d), ["surface", "name"], "at", logs.RECENT, "event_id").select("surface", "name", "event_id", "place")
+
+
+@query("""WITH c AS (SELECT DISTINCT event_id, ts, event_type, 'domain/' || user_id % 40 || '.md' AS path FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00')
+SELECT path, count(*) AS times, max(ts) AS last_at, max_by(event_type, (ts, event_type)) AS via FROM c GROUP BY path ORDER BY last_at DESC, path LIMIT 2000""")
+def recently_served(s, d):
+    e = D.table(s, d, "events")
+    calls = e.select(F.col("event_id").alias("call_id"), F.col("ts").alias("at"), F.col("event_type").alias("name"), F.concat(F.lit("domain/"), (F.col("user_id") % 40).cast("string"), F.lit(".md")).alias("path"))
+    return logs.served(calls, F.expr(f"timestamp'{D.NOW}'"))
+
+
+@query(f"WITH {D.REQUESTS}, s AS (SELECT surface, name, count(*) AS n FROM requests GROUP BY ALL) SELECT 'lorespark_requests_total{{surface=\"' || surface || '\",name=\"' || name || '\"}} ' || n AS line FROM s")
+def prometheus_text(s, d):
+    return logs.prometheus(logs.series(D.requests(s, d))).where(F.col("line").startswith("lorespark_requests_total"))
+
+
+@query("SELECT count_if(o_orderstatus = 'O') AS open, count_if(o_orderstatus = 'F') AS merged, count_if(o_orderstatus NOT IN ('O', 'F')) AS closed FROM orders")
+def proposal_counts(s, d):
+    status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "merged").otherwise("closed")
+    return logs.proposal_counts(D.table(s, d, "orders").select(status.alias("status")))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'O' THEN 'merged' WHEN o_orderkey % 5 = 0 THEN (CASE WHEN o_custkey % 2 = 0 THEN 'closed' ELSE 'open' END)
+WHEN o_custkey % 3 = 0 THEN 'merged' WHEN o_custkey % 2 <> 0 OR o_custkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 'open' ELSE 'closed' END AS status FROM orders""")
+def proposal_status(s, d):
+    o, k, c = D.table(s, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    status = logs.next_status(F.when(F.col("o_orderstatus") == "O", "open").otherwise("merged"), F.when(k % 5 == 0, "closed"), c % 2 == 0, c % 3 == 0, c % 7 != 0, k % 11 == 0)
+    return o.select(k.alias("id"), status.alias("status"))
+
+
+@query("""WITH c AS (SELECT user_id AS client, ts, CASE event_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN NULL ELSE 200 END AS code, user_id % 9 <> 0 AS reachable FROM events
+), a AS (SELECT client, count(code) AS requests, count_if(code = 500) AS failures, max(ts) FILTER (code IN (200, 404)) AS last_ok, max(ts) FILTER (code = 500) AS last_error, bool_and(reachable) AS up FROM c GROUP BY client)
+SELECT client, requests, failures, last_ok, last_error, CASE WHEN NOT up THEN 'down' WHEN coalesce(last_error > last_ok, last_error IS NOT NULL) THEN 'degraded' WHEN requests = 0 THEN 'idle' ELSE 'ok' END AS status FROM a""")
+def health(s, d):
+    m = F.col("event_id") % 6
+    code = F.when(m == 0, 404).when(m == 1, 500).when(m == 2, F.lit(None)).otherwise(200)
+    return logs.health(D.table(s, d, "events").select(F.col("user_id").alias("client"), F.col("ts").alias("at"), code.alias("code"), (F.col("user_id") % 9 != 0).alias("reachable")))
+
+
+def _ranks(s, d):
+    """Judged documents of a query's language class among its hits: expected are documents of good quality with small ids."""
+    labels = D.table(s, d, "labels").where("quality = 1")
+    expected = labels.select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("expected_id"), F.col("doc_id").cast("string").alias("path"), F.lit(None).cast("string").alias("heading"))
+    hits = _hybrid(s, d).select("query_id", "rank", F.col("chunk_id").cast("string").alias("path"), F.lit("x").alias("heading"))
+    return evaluation.found(hits, expected)
+
+
+_RANKS = f"""{_FUSED}, e AS (SELECT doc_id % 10 AS query_id, doc_id FROM labels WHERE quality = 1
+), r AS (SELECT e.query_id, e.doc_id, h.rank FROM e LEFT JOIN hybrid h ON h.query_id = e.query_id AND h.chunk_id = e.doc_id
+), m AS (
+  SELECT query_id, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) AS r5, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS r10, coalesce(1.0 / min(rank), 0.0) AS mrr,
+         sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0.0 END) / list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg10
+  FROM r GROUP BY query_id
+)"""
+
+
+@query(f"WITH {_RANKS} SELECT query_id, round(r5, 6) AS r5, round(r10, 6) AS r10, round(mrr, 6) AS mrr, round(ndcg10, 6) AS ndcg10 FROM m")
+def eval_metrics(s, d):
+    return evaluation.per_query(_ranks(s, d)).select("query_id", *[F.round(c, 6).alias(c) for c in ("r5", "r10", "mrr", "ndcg10")])
+
+
+@query(f"""WITH {_RANKS}, t AS (SELECT m.*, CASE WHEN query_id % 3 = 0 THEN 'keyword' ELSE 'paraphrase' END AS type FROM m)
+SELECT coalesce(type, 'all') AS type, count(*) AS queries, round(avg(r5), 6) AS r5, round(avg(r10), 6) AS r10, round(avg(mrr), 6) AS mrr, round(avg(ndcg10), 6) AS ndcg10 FROM t GROUP BY ROLLUP (type)""")
+def eval_by_type(s, d):
+    per = evaluation.per_query(_ranks(s, d))
+    return evaluation.evaluate(per, per.select("query_id", F.when(F.col("query_id") % 3 == 0, "keyword").otherwise("paraphrase").alias("type")))
+
+
+@query(f"""WITH s AS (SELECT lang AS mode, {D.sql_tokens('text')} AS tokens, doc_id % 4 <> 0 AS covered FROM documents), l AS (SELECT mode, list(tokens ORDER BY tokens) AS x FROM s GROUP BY mode)
+SELECT mode, round(avg(tokens), 6) AS mean, any_value(x[len(x) // 2 + 1]) AS median, max(tokens) AS max, round(avg(CAST(covered AS INT)), 6) AS coverage FROM s JOIN l USING (mode) GROUP BY mode""")
+def token_bench(s, d):
+    docs = D.table(s, d, "documents")
+    return evaluation.token_bench(docs.select(F.col("lang").alias("mode"), T.token_count(F.col("text")).alias("tokens"), (F.col("doc_id") % 4 != 0).alias("covered")))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+def window_tumbling(s, d):
+    from lorespark.streaming import logs as streams
+
+    e = D.table(s, d, "events")
+    return streams.tumbling(e, "ts", "event_type", "value", "1 day").drop("end")
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) - to_days(k) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events, (SELECT unnest(range(7)) AS k) GROUP BY ALL""")
+def window_sliding(s, d):
+    from lorespark.streaming import logs as streams
+
+    return streams.sliding(D.table(s, d, "events"), "ts", "event_type", "value", "7 days", "1 day").drop("end")
+
+
+@query("""WITH e AS (SELECT user_id, ts, coalesce(CAST(ts >= lag(ts) OVER w + INTERVAL 6 HOUR AS INT), 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n FROM g GROUP BY user_id, k""")
+def window_session(s, d):
+    from lorespark.streaming import logs as streams
+
+    return streams.sessions(D.table(s, d, "events"), "ts", "user_id", "6 hours")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval over documents and vectors, then the budget fill."""
+    return retrieval.search_context(D.whole(spark, sf_dir), D.queries(spark, sf_dir), D.vectors(spark, sf_dir), D.query_vectors(spark, sf_dir).drop("scopes"))
+
+
+@query()
+def search_context(s, d):
+    return flagship(s, d)
