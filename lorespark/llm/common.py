@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -40,24 +41,30 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there, lost executors cost no rework.
 
-    The table goes when the driver's process ends.
+    Shuffle files of finished plans are let go, as they would fill the disks of a long chain of steps. The table goes with
+    discard() or when the driver's process ends.
     """
     spark = session_of(df)
     path = f"{shared_folder(spark)}/lorespark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _remove_at_exit(spark, path)
+    atexit.register(_remove, spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended already
-            pass
+def discard(table: DataFrame) -> None:
+    """Deletes a table of materialize() that no later step reads."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        _remove(session_of(table), path)
 
-    atexit.register(remove)
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended already
+        pass
 
 
 _shipped: set[str] = set()

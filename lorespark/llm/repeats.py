@@ -6,8 +6,8 @@ bucket. Within a bucket, equal contexts (all bytes that a stretch around the anc
 the distinct ones are sorted, their common prefixes give an interval tree by a stack scan, and in each interval the
 sorted left contexts tell how far its members extend to the left and where they differ.
 
-A bucket with more than BUCKET distinct contexts is not gathered: its stretches are counted one by one by 128-bit hash,
-which gives the same answer with bounded tasks.
+A bucket with more distinct contexts than a task should hold is not gathered: its stretches are counted one by one by a 64-bit hash
+and their place, which gives the same answer with bounded tasks.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.anchors import GRAM, anchors
-from lorespark.llm.common import materialize, partitions, session_of, ship_code, text_of
+from lorespark.llm.common import discard, materialize, partitions, session_of, ship_code, text_of
 
 LENGTH = 200
-#: Distinct contexts that one task holds of a bucket.
-BUCKET = 1024
+#: Distinct contexts of a bucket that are gathered: MEAN times a partition's share of all, within these bounds. The upper
+#: one bounds a task's memory (about 10 MB), the lower one keeps small buckets together.
+MEAN, LEAST_BUCKET, MOST_BUCKET = 3, 1024, 16384
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -160,11 +161,13 @@ class _Texts:
         each = index.select("doc_id", "dig", F.inline(F.arrays_zip("at", "gram", "around")))
         several = materialize(each.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
         self.shared = materialize(each.join(several, "gram"))
+        discard(index)
         first = F.min(F.struct("doc_id", "dig", "at")).alias("first")
         contexts = self.shared.groupBy("gram", "around").agg(F.count("*").alias("n"), first)
         self.contexts = materialize(contexts)
         sizes = self.contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
-        self.wanted = self.contexts.join(materialize(sizes), "gram").select("gram", "m", "n", "first.*")
+        self.wanted = materialize(self.contexts.join(materialize(sizes), "gram").select("gram", "m", "n", "first.*"))
+        self.bucket = min(MOST_BUCKET, max(LEAST_BUCKET, MEAN * self.wanted.count() // partitions(session_of(docs))))
 
     def whole(self) -> DataFrame:
         """The contexts that occur more than once: every stretch in them is repeated."""
@@ -196,7 +199,7 @@ class _Texts:
         return joined.mapInArrow(run, f"gram long, m long, n long, doc_id {self.kind}, dig int, at int, left binary, right binary")
 
     def _sorted(self, fetched: DataFrame) -> DataFrame:
-        small = fetched.where(F.col("m") <= BUCKET)
+        small = fetched.where(F.col("m") <= self.bucket)
         return small.repartition(partitions(session_of(small)), "gram").sortWithinPartitions("gram")
 
     def by_tree(self, fetched: DataFrame) -> DataFrame:
@@ -238,14 +241,13 @@ class _Texts:
                         ats.append(r["at"])
                         offsets.append(o)
                         # a stretch may hold several anchors: it counts once for each gram and place of the anchor
-                        marks.append(xxhash.xxh3_128_digest(both[edge - o : edge - o + length], (r["gram"] + o) & 0xFFFFFFFFFFFFFFFF))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field("doc_id").type), pa.array(digs, pa.int32()), pa.array(ats, pa.int32()), pa.array(offsets, pa.int32()), pa.array(marks, pa.binary())], ["doc_id", "dig", "at", "o", "mark"])
+                        marks.append(xxhash.xxh3_64_intdigest(both[edge - o : edge - o + length], r["gram"] & 0xFFFFFFFFFFFFFFFF))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field("doc_id").type), pa.array(digs, pa.int32()), pa.array(ats, pa.int32()), pa.array(offsets, pa.int16()), pa.array(np.array(marks, np.uint64).view(np.int64))], ["doc_id", "dig", "at", "o", "mark"])
 
-        each = fetched.where(F.col("m") > BUCKET).mapInArrow(run, f"doc_id {self.kind}, dig int, at int, o int, mark binary")
-        each = materialize(each)
-        again = materialize(each.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark"))
+        each = fetched.where(F.col("m") > self.bucket).mapInArrow(run, f"doc_id {self.kind}, dig int, at int, o short, mark long")
+        again = materialize(each.groupBy("mark", "o").agg(F.count("*").alias("c")).where("c > 1").select("mark", "o"))
         # all stretches at an anchor hold its gram, so their union has no gap
-        found = each.join(again, "mark").groupBy("doc_id", "dig", "at").agg(F.max("o").alias("far"), F.min("o").alias("near"))
+        found = each.join(again, ["mark", "o"]).groupBy("doc_id", "dig", "at").agg(F.max("o").alias("far"), F.min("o").alias("near"))
         return found.select("doc_id", "dig", (F.col("at") - F.col("far")).alias("start"), (F.col("at") + length - F.col("near")).alias("stop"))
 
 
@@ -260,7 +262,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The maximal repeat groups of the distinct contexts: bucket, repeat, length, doc_id, dig, start, one row per occurrence.
 
-    length counts the bytes up to where members differ, at most what a context holds. Buckets over BUCKET are left to
+    length counts the bytes up to where members differ, at most what a context holds. Buckets that no task should hold are left to
     repeated_spans.
     """
     found = _Texts(docs, length)
