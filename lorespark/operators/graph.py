@@ -70,11 +70,11 @@ def links_of(links: DataFrame, path: str) -> DataFrame:
 def suggest_links(docs: DataFrame, links: DataFrame, ignored: DataFrame, limit: int) -> DataFrame:
     """from_path, to_path, name, mentions: documents that name another without a link either way.
 
-    docs: path, title, body. Names meet texts on their first word (an equi join), then whole-word occurrences are counted;
+    docs: path, title, body. Names meet texts on their longest word (an equi join), then whole-word occurrences are counted;
     heading lines do not count. The best name of a pair is the most frequent, then the first.
     """
     names = docs.select(F.col("path").alias("to_path"), F.posexplode(T.mention_names(F.col("path"), F.col("title"))).alias("which", "name"))
-    names = names.withColumn("word", F.regexp_extract("name", T.WORDS, 0))
+    names = names.withColumn("word", F.array_max(F.transform(T.words(F.col("name")), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"])
     text = F.lower(F.regexp_replace("body", r"(?m)^[ \t]*#[^\n]*$", ""))
     texts = docs.select(F.col("path").alias("from_path"), text.alias("text"))
     words = texts.select("from_path", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")).join(names, "word").where("from_path <> to_path").drop("word")

@@ -47,7 +47,7 @@ def drift(docs: DataFrame, commits: DataFrame) -> DataFrame:
     known = docs.where(F.col("updated_at").isNotNull()).select("path", "updated_at")
     each = touched.join(hit, "code_path").join(known, "path").where(F.col("when") > F.col("updated_at"))
     per_commit = each.groupBy("path", "hash", "when").agg(F.min("code_path").alias("code_path"))
-    newest = F.min_by("code_path", F.struct((-F.unix_micros("when")).alias("t"), "hash"))
+    newest = F.min_by("code_path", F.struct((-F.unix_micros(F.col("when").cast("timestamp"))).alias("t"), "hash"))
     return per_commit.groupBy("path").agg(F.count("*").alias("commits"), F.max("when").alias("last_change"), newest.alias("last_path"))
 
 

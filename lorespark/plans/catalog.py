@@ -281,7 +281,7 @@ def broken_links(s, d):
 @query()
 def link_suggestions(s, d):
     docs = D.table(s, d, "documents")
-    docs = docs.select(F.concat(F.lit("domain/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat_ws(" ", F.slice(F.split(F.split("text", "\n")[0], " "), 1, 2)).alias("title"), F.col("text").alias("body"))
+    docs = docs.select(F.concat(F.lit("domain/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat_ws(" ", F.slice(F.split(F.split("text", "\n")[0], " "), 1, 3)).alias("title"), F.col("text").alias("body"))
     none = docs.select(F.col("path").alias("from_path"), F.col("path").alias("to_path")).where(F.lit(False))
     return graph.suggest_links(docs, none, none, 100)
 
@@ -330,13 +330,13 @@ _GAP_COLUMNS = "count(*) AS times, max(ts) AS last_at, max(name) AS name, max(re
 SELECT query, scopes, {_GAP_COLUMNS}, CASE WHEN max(results) = 0 THEN 'no_results' ELSE 'not_useful' END AS reason FROM log LEFT JOIN r USING (bundle_id)
 WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' AND (results = 0 OR r.useful = 0) GROUP BY query, scopes ORDER BY times DESC, last_at DESC, query, scopes LIMIT 20""")
 def gaps_no_useful(s, d):
-    return logs.gaps_no_useful(D.log(s, d), D.usage(s, d), F.expr("timestamp'2024-01-24 00:00:00'"), 20)
+    return logs.gaps_no_useful(D.log(s, d), D.usage(s, d), F.expr("timestamp_ntz'2024-01-24 00:00:00'"), 20)
 
 
 @query(f"""WITH {D.LOG} SELECT query, scopes, {_GAP_COLUMNS} FROM log WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' AND results > 0 AND top_score > 0
 GROUP BY query, scopes ORDER BY margin, last_at DESC, query, scopes LIMIT 20""")
 def gaps_low_confidence(s, d):
-    return logs.gaps_low_confidence(D.log(s, d), F.expr("timestamp'2024-01-24 00:00:00'"), 20)
+    return logs.gaps_low_confidence(D.log(s, d), F.expr("timestamp_ntz'2024-01-24 00:00:00'"), 20)
 
 
 @query("SELECT count(*) AS entries, min(ts) AS oldest FROM events")
@@ -372,7 +372,7 @@ SELECT path, count(*) AS times, max(ts) AS last_at, max_by(event_type, (ts, even
 def recently_served(s, d):
     e = D.table(s, d, "events")
     calls = e.select(F.col("event_id").alias("call_id"), F.col("ts").alias("at"), F.col("event_type").alias("name"), F.concat(F.lit("domain/"), (F.col("user_id") % 40).cast("string"), F.lit(".md")).alias("path"))
-    return logs.served(calls, F.expr(f"timestamp'{D.NOW}'"))
+    return logs.served(calls, F.expr(f"timestamp_ntz'{D.NOW}'"))
 
 
 @query(f"WITH {D.REQUESTS}, s AS (SELECT surface, name, count(*) AS n FROM requests GROUP BY ALL) SELECT 'lorespark_requests_total{{surface=\"' || surface || '\",name=\"' || name || '\"}} ' || n AS line FROM s")

@@ -72,7 +72,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.regexp_extract("source", r"(\d+)", 1).cast("int")
     refs = F.when(n % 4 == 0, F.array(F.concat(F.lit("svc"), n.cast("string"), F.lit("/**")))).when(n % 4 == 1, F.array(F.concat(F.lit("./svc"), n.cast("string"), F.lit("/*/main.go")), F.lit("**/3-MEDIUM/*")))
     refs = refs.when(n % 4 == 2, F.array(F.concat(F.lit("svc"), n.cast("string"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
-    at = F.when(n % 5 != 0, F.expr(f"timestamp'1995-01-01 00:00:00' + make_interval(0, 0, 0, {60} * cast(regexp_extract(source, '([0-9]+)', 1) as int))"))
+    at = F.when(n % 5 != 0, F.expr(f"timestamp_ntz'1995-01-01 00:00:00' + make_interval(0, 0, 0, {60} * cast(regexp_extract(source, '([0-9]+)', 1) as int))"))
     return names.select(F.concat(F.lit("domain/"), F.col("source"), F.lit(".md")).alias("path"), refs.alias("refs"), at.alias("updated_at"))
 
 
