@@ -112,3 +112,17 @@ def render_hits(hits: DataFrame) -> DataFrame:
     lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("l"), F.sum("tokens").alias("t"))
     head = F.concat(F.size("l").cast("string"), F.lit(" section(s), ~"), F.col("t").cast("string"), F.lit(" tokens\n\n"))
     return lists.select("query_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["text"]), "\n\n")).alias("text"))
+
+
+def issue_bundle(issues: DataFrame, ranked: DataFrame, tasks: DataFrame, fingerprint: str, max_tokens: int) -> DataFrame:
+    """bundle_id, text, tokens: the issue's text first, cut by lines to half the budget, then the rules that fit in the rest.
+
+    issues: bundle_id, issue; the others as in compile_bundle. The whole stays within the budget of a plain bundle.
+    """
+    budget = max(1, int(max_tokens * T.BUDGET_SHARE))
+    head = T.fit_lines(F.col("issue"), F.lit(budget // 2))
+    first = issues.select("bundle_id", head["text"].alias("head"))
+    rules = compile_bundle(ranked, tasks, fingerprint, max(1, int((budget - budget // 2 - 2) / T.BUDGET_SHARE)))
+    both = first.join(rules.select("bundle_id", F.col("text").alias("rules")), "bundle_id", "left")
+    text = F.concat_ws("\n\n", "head", "rules")
+    return both.select("bundle_id", text.alias("text"), T.token_count(text).alias("tokens"))

@@ -217,3 +217,24 @@ def test_streams_equal_batches(spark, tmp_path):
     last.awaitTermination(120)
     newest = {r.v for r in spark.table("latest").where("k = 'k0'").collect()}
     assert {57.0, 54.0, 51.0, 48.0, 45.0} <= newest
+
+
+def test_listing_and_embedding(spark):
+    from lorespark.functions.embedding import embed, hash_embed
+
+    hits = spark.createDataFrame([(1, 1, "a b c", "a"), (1, 2, "d e f g h", "d"), (1, 3, "x", "x")], "query_id int, rank int, line string, short string")
+    assert tuple(retrieval.list_lines(hits, 5, False).first()) == (1, "a b c", 1, 2)
+    assert tuple(retrieval.list_lines(hits, 5, True).first()) == (1, "a b c\nd\nx", 3, 0)
+    rows = spark.createDataFrame([(1, "Refund order"), (2, ""), (3, None)], "id long, t string")
+    got = {r.id: r.embedding for r in embed(rows, "id", "t").collect()}
+    assert got[1] == pytest.approx(hash_embed(["refund order"])[0].tolist()) and not any(got[2]) and not any(got[3])
+
+
+def test_issue_bundle_fits(spark):
+    df, _ = _ranked(spark, random.Random(9), 20)
+    tasks = spark.createDataFrame([("b", "a task", ["domain"])], "bundle_id string, task string, scopes array<string>")
+    issue = spark.createDataFrame([("b", "\n".join(f"line {i} of the issue" for i in range(200)))], "bundle_id string, issue string")
+    from lorespark.api import issue_bundle
+
+    got = issue_bundle(issue, df, tasks, "f" * 16, 400).first()
+    assert got.tokens <= 380 and got.text.startswith("line 0") and "## domain/d.md" in got.text
