@@ -344,10 +344,10 @@ def log_stats(s, d):
     return logs.log_stats(D.log(s, d))
 
 
-_HISTOGRAM = ", ".join(f"count_if(seconds <= {b}) AS le_{i}" for i, b in enumerate(logs.BOUNDS))
+_HISTOGRAM = ", ".join(f"CAST(count_if(seconds <= {b}) AS BIGINT) AS le_{i}" for i, b in enumerate(logs.BOUNDS))
 
 
-@query(f"""WITH {D.REQUESTS} SELECT surface, name, count(*) AS requests, count_if(error) AS errors, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(chunks) AS BIGINT) AS chunks,
+@query(f"""WITH {D.REQUESTS} SELECT surface, name, count(*) AS requests, CAST(count_if(error) AS BIGINT) AS errors, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(chunks) AS BIGINT) AS chunks,
 CAST(sum(omitted) AS BIGINT) AS omitted, round(sum(seconds), 6) AS seconds, {_HISTOGRAM}, count(*) AS le_12 FROM requests GROUP BY surface, name""")
 def latency_histogram(s, d):
     return logs.series(D.requests(s, d))
@@ -380,7 +380,7 @@ def prometheus_text(s, d):
     return logs.prometheus(logs.series(D.requests(s, d))).where(F.col("line").startswith("lorespark_requests_total"))
 
 
-@query("SELECT count_if(o_orderstatus = 'O') AS open, count_if(o_orderstatus = 'F') AS merged, count_if(o_orderstatus NOT IN ('O', 'F')) AS closed FROM orders")
+@query("SELECT CAST(count_if(o_orderstatus = 'O') AS BIGINT) AS open, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS merged, CAST(count_if(o_orderstatus NOT IN ('O', 'F')) AS BIGINT) AS closed FROM orders")
 def proposal_counts(s, d):
     status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "merged").otherwise("closed")
     return logs.proposal_counts(D.table(s, d, "orders").select(status.alias("status")))
@@ -395,7 +395,7 @@ def proposal_status(s, d):
 
 
 @query("""WITH c AS (SELECT user_id AS client, ts, CASE event_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN NULL ELSE 200 END AS code, user_id % 9 <> 0 AS reachable FROM events
-), a AS (SELECT client, count(code) AS requests, count_if(code = 500) AS failures, max(ts) FILTER (code IN (200, 404)) AS last_ok, max(ts) FILTER (code = 500) AS last_error, bool_and(reachable) AS up FROM c GROUP BY client)
+), a AS (SELECT client, count(code) AS requests, CAST(count_if(code = 500) AS BIGINT) AS failures, max(ts) FILTER (code IN (200, 404)) AS last_ok, max(ts) FILTER (code = 500) AS last_error, bool_and(reachable) AS up FROM c GROUP BY client)
 SELECT client, requests, failures, last_ok, last_error, CASE WHEN NOT up THEN 'down' WHEN coalesce(last_error > last_ok, last_error IS NOT NULL) THEN 'degraded' WHEN requests = 0 THEN 'idle' ELSE 'ok' END AS status FROM a""")
 def health(s, d):
     m = F.col("event_id") % 6
