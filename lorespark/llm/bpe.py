@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import session_of, ship_code, text_of
 
 #: Entries of each worker's memo of encoded chunks; it only saves time.
-MEMO = 400_000
+MEMO = 300_000
 #: Rows that a worker holds in expanded form at once.
 ROWS = 128
 #: Printable ASCII and accented letters that are composed already, of which each lower-cases to one letter.

@@ -68,10 +68,15 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 512
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that Python workers can import it anywhere."""
+    """Prepares for Python workers: bounds Arrow batches, and sends this package to the executors once per application."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
