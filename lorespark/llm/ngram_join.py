@@ -21,22 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import materialize, session_of, ship_code, text_of
+from lorespark.llm.common import discard, materialize, partitions, session_of, ship_code, text_of
 from lorespark.llm.graph import components
 
 WORDS = 5
 #: The threshold in hundredths.
 PERCENT = 75
-MAX_MATCH = 4
+MAX_MATCH = 16
 #: Minimum-hash keys by which representatives meet before the prefix join.
 KEYS = 6
 #: Counters of the sketch: 1 MB, whatever the input's size.
 COUNTERS = 1 << 18
 SLICE = 1 << 14
+#: A component of more representatives is pre-aggregated before its lists move.
+LARGE = 32
 #: Cost of verifying a candidate, in list entries read.
 VERIFY = 50.0
 #: Entries of a worker's memo of word hashes; it only saves time.
-MEMO = 400_000
+MEMO = 200_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -153,7 +155,7 @@ def _sketch(slices: DataFrame) -> np.ndarray:
 def prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int = PERCENT) -> tuple[int, np.ndarray]:
     """The document's number of required matches L and its prefix: the cheapest by estimated lists and candidates.
 
-    A token's list is estimated by the sketch's count less the mean count. With lists of total length S, at most S / L
+    A token's list is estimated by the sketch's count less what other tokens leave in its counter. With lists of total length S, at most S / L
     documents are in L of them.
     """
     n = len(tokens)
@@ -171,7 +173,7 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int =
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
     shared = session_of(docs).sparkContext.broadcast(sketch.astype(np.float32))
-    noise = float(sketch.mean())
+    noise = float(np.median(sketch) + 3 * np.sqrt(np.median(sketch)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import ngram_join as J
@@ -211,7 +213,9 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")).cast("long"))
-    return materialize(both.where(100 * F.col("common") >= percent * (F.size("ta") + F.size("tb") - F.col("common"))).select("a", "b"))
+    links = materialize(both.where(100 * F.col("common") >= percent * (F.size("ta") + F.size("tb") - F.col("common"))).select("a", "b"))
+    discard(sets)
+    return links
 
 
 def _size_fits(n: str, m: str, percent: int):
@@ -229,24 +233,43 @@ def _meeting_pairs(reps: DataFrame, percent: int) -> DataFrame:
 def _candidates(placed: DataFrame, percent: int) -> DataFrame:
     """Pairs of representatives in different components that share enough prefix tokens.
 
-    placed: rep, comp, n, need, prefix. The lists hold one row per token and component, pre-aggregated before they move.
+    placed: rep, comp, alone (its component's only one), big, n, need, prefix. The lists hold one row per token, component and size; large components are
+    pre-aggregated before they move, so a token's list is no longer for a group of copies.
+
+    Two sets with c tokens in common in their prefixes share at most c and the longer rest, so c must also reach the
+    overlap that the threshold asks of their sizes less that rest. Before that, where both lists meet at a token, the two
+    sets share at most the tokens before it that are in other components' lists too, and what follows it.
     """
-    entries = placed.select("comp", "n", "need", F.explode("prefix").alias("token"))
-    lists = entries.groupBy("token", "comp").agg(F.min("need").alias("need"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    first = lists.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
-    # one component's token is in no list that can match
-    shared = materialize(lists.join(first, "token"))
+    parts = partitions(session_of(placed))
+    entries = placed.select("comp", "n", "alone", "big", "need", (F.col("n") - F.size("prefix")).alias("rest"), F.posexplode("prefix").alias("pos", "token"))
+    # one row for a component's documents of one size, so that bounds by size are exact
+    key = ["token", "comp", "n"]
+    merge = [F.min("need").alias("need"), F.max("rest").alias("rest"), F.min("pos").alias("pos"), F.min("alone").alias("alone")]
+    large = entries.where("big").groupBy(*key).agg(*merge)
+    lists = entries.where("not big").drop("big").unionByName(large).repartition(parts, "token").groupBy(*key).agg(*merge)
+    several = lists.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
+    # a token of one component alone can match nothing
+    shared = materialize(lists.join(several, "token"))
+    item = F.struct("pos", "token", "n", "need", "rest")
+    ranked = shared.where("alone").groupBy("comp").agg(F.array_sort(F.collect_list(item)).alias("l"))
+    # what is in no other list can be in no overlap: a document that can be linked has as many shared tokens as it needs
+    ranked = ranked.where(F.size("l") >= F.col("l")[0]["need"]).select("comp", F.posexplode("l").alias("before", "t")).select("comp", F.col("before").cast("long").alias("before"), "t.*")
+    others = shared.where("not alone").select("comp", F.col("n").alias("before"), "pos", "token", "n", "need", "rest")
+    shared = materialize(ranked.unionByName(others))
     x, y = shared.alias("x"), shared.alias("y")
-    can = F.expr(f"x.comp < y.comp and 100 * y.hi >= {percent} * x.lo and 100 * x.hi >= {percent} * y.lo")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & can)
-    met = met.groupBy(F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).agg(F.count("*").alias("common"), F.min(F.least("x.need", "y.need")).alias("need"))
-    close = materialize(met.where("common >= need").select("ca", "cb"))
-    if close.isEmpty():
-        return close.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    overlap = f"ceil({percent} * ({{}} + {{}}) / {100 + percent}d)"
+    can = f"x.comp < y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    can += f" and least(x.before, y.before) + least(x.n - x.pos, y.n - y.pos) >= {overlap.format('x.n', 'y.n')}"
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(can))
+    met = met.groupBy(F.col("x.comp").alias("ca"), F.col("x.n").alias("na"), F.col("y.comp").alias("cb"), F.col("y.n").alias("nb"))
+    met = met.agg(F.count("*").alias("common"), F.min(F.least("x.need", "y.need")).alias("need"), F.max("x.rest").alias("ra"), F.max("y.rest").alias("rb"))
+    overlap += " - greatest({}, {})"
+    close = materialize(met.where("common >= need").where(f"common >= {overlap.format('na', 'nb', 'ra', 'rb')}").select("ca", "na", "cb", "nb"))
     left = placed.select(F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("need").alias("needa"), F.col("prefix").alias("pa"))
     right = placed.select(F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("need").alias("needb"), F.col("prefix").alias("pb"))
-    both = close.join(left, "ca").join(right, "cb").where(_size_fits("na", "nb", percent))
-    return both.where(F.size(F.array_intersect("pa", "pb")) >= F.least("needa", "needb")).select("a", "b")
+    both = close.join(left, ["ca", "na"]).join(right, ["cb", "nb"]).withColumn("common", F.size(F.array_intersect("pa", "pb")))
+    rest = overlap.format("na", "nb", "na - size(pa)", "nb - size(pb)")
+    return both.where(F.col("common") >= F.least("needa", "needb")).where(f"common >= {rest}").select("a", "b")
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -269,9 +292,11 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
     met = verified(docs, _meeting_pairs(reps, percent), words, percent)
     early = components(met)
-    placed = reps.select("rep", "n").join(early, F.col("rep") == F.col("id"), "left").select("rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    large = materialize(early.groupBy("comp").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select(F.col("comp").alias("large")))
+    early = early.join(large, F.col("comp") == F.col("large"), "left").select("id", "comp", F.col("large").isNotNull().alias("big"))
+    placed = reps.select("rep", "n").join(early, F.col("rep") == F.col("id"), "left").select("rep", "n", F.coalesce("comp", "rep").alias("comp"), F.col("id").isNull().alias("alone"), F.coalesce("big", F.lit(False)).alias("big"))
     prefixes = _prefixes(docs, sketch, words, percent).dropDuplicates(["doc_id"])
-    placed = materialize(placed.join(prefixes, F.col("rep") == F.col("doc_id")).select("rep", "comp", "n", "need", "prefix"))
+    placed = materialize(placed.join(prefixes, F.col("rep") == F.col("doc_id")).select("rep", "comp", "alone", "big", "n", "need", "prefix"))
     late = verified(docs, _candidates(placed, percent), words, percent)
     found = materialize(components(met.union(late)).select("id", "comp"))
 
