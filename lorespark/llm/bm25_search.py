@@ -25,7 +25,7 @@ K1, B = 1.2, 0.75
 TOP = 10
 #: Documents of a shard (bounds a task's memory), of a block, and queries that visit a shard together.
 SHARD, BLOCK, QUERIES = 8192, 64, 8192
-#: Blocks scored between two looks at the threshold.
+#: Blocks scored before the first look at the threshold; twice as many before each later one.
 STEP = 4
 
 
@@ -76,8 +76,10 @@ class Shard:
         by_block = np.argsort(block, kind="stable")
         edges = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
         best_docs, best, scored, least = np.empty(0, np.int64), np.empty(0), 0, 0.0
-        for i in range(0, len(visit), STEP):
-            some = visit[i : i + STEP]
+        at_block, step = 0, STEP
+        while at_block < len(visit):
+            some = visit[at_block : at_block + step]
+            at_block, step = at_block + step, 2 * step
             # bounds are sums in another order than scores: a hair of slack keeps rounding from dropping a tie
             some = some[(bounds[some] > 0) & (bounds[some] * (1 + 1e-9) >= least)]
             if not len(some):
