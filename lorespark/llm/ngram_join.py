@@ -247,13 +247,14 @@ def _candidates(placed: DataFrame, percent: int) -> DataFrame:
     merge = [F.min("need").alias("need"), F.max("rest").alias("rest"), F.min("pos").alias("pos"), F.min("alone").alias("alone")]
     large = entries.where("big").groupBy(*key).agg(*merge)
     lists = entries.where("not big").drop("big").unionByName(large).repartition(parts, "token").groupBy(*key).agg(*merge)
-    several = lists.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
+    several = lists.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("need").alias("least")).where("c1 <> c2").select("token", "least")
     # a token of one component alone can match nothing
     shared = materialize(lists.join(several, "token"))
-    item = F.struct("pos", "token", "n", "need", "rest")
+    item = F.struct("pos", "token", "n", "need", "rest", "least")
     ranked = shared.where("alone").groupBy("comp").agg(F.array_sort(F.collect_list(item)).alias("l"))
-    # what is in no other list can be in no overlap: a document that can be linked has as many shared tokens as it needs
-    ranked = ranked.where(F.size("l") >= F.col("l")[0]["need"]).select("comp", F.posexplode("l").alias("before", "t")).select("comp", F.col("before").cast("long").alias("before"), "t.*")
+    # a link needs the lesser need v of both, and shares v tokens where the least need of all lists is at most v: the partner may need fewer than the document itself
+    enough = F.expr("exists(transform(array_sort(l.least), (v, i) -> v <= i + 1), x -> x)")
+    ranked = ranked.where(enough).select("comp", F.posexplode("l").alias("before", "t")).select("comp", F.col("before").cast("long").alias("before"), "t.pos", "t.token", "t.n", "t.need", "t.rest")
     others = shared.where("not alone").select("comp", F.col("n").alias("before"), "pos", "token", "n", "need", "rest")
     shared = materialize(ranked.unionByName(others))
     x, y = shared.alias("x"), shared.alias("y")

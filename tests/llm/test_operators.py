@@ -185,6 +185,19 @@ def test_ngram_join_of_chains_and_groups(spark):
     assert {g.doc_id: g.component_id for g in ngram_join.ngram_join(docs).collect()} == comp
 
 
+def test_ngram_join_of_a_hot_text_and_a_longer_one(spark):
+    """A text with many copies needs many matches, a longer one near the threshold needs one: the lesser need holds."""
+    hot = [f"h{i}" for i in range(99)]
+    longer = hot + [f"own{i}" for i in range(31)]
+    far = hot[:60] + [f"far{i}" for i in range(50)]
+    texts = [" ".join(longer), " ".join(far)] + [" ".join(hot)] * 1000
+    sets = {i: brute_shingles(t) for i, t in enumerate(texts[:3])}
+    comp = brute_components(sets)
+    assert comp == {0: 0, 1: 1, 2: 0} and len(sets[0]) == 126 and len(sets[2]) == 95
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {g.doc_id: g.component_id for g in ngram_join.ngram_join(docs).collect()} == {i: comp[min(i, 2)] for i in range(len(texts))}
+
+
 def test_prefix_filter_is_safe():
     """Linked sets share at least min(L) prefix tokens, whatever each chooses."""
     rng = np.random.default_rng(1)
