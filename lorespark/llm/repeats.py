@@ -26,6 +26,11 @@ LENGTH = 200
 #: Distinct contexts of a bucket that are gathered: MEAN times a partition's share of all, within these bounds. The upper
 #: one bounds a task's memory (about 10 MB), the lower one keeps small buckets together.
 MEAN, LEAST_BUCKET, MOST_BUCKET = 3, 1024, 16384
+#: What comes before or after a repeat where the text or the context ends: unlike any other.
+STOP = 256
+GROUPS = {"gram": "long", "around": "long", "repeat": "long", "l": "int", "r": "int"}
+STRETCHES = {"gram": "long", "around": "long", "mark": "long", "o": "int", "n": "long", "before": "int", "after": "int"}
+PAIRS = {**GROUPS, "n": "long", "before": "int", "after": "int"}
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -83,6 +88,18 @@ def _matrix(texts: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width)
 
 
+def _intervals(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(least value, first, last) of each interval of the array with these common prefixes of neighbours, by a stack scan; no interval crosses -1."""
+    stack: list[tuple[int, int]] = []
+    for i, value in enumerate([*values.tolist(), -1], 1):
+        first = i - 1
+        while stack and stack[-1][0] > value:
+            common, first = stack.pop()
+            yield common, first, i - 1
+        if value >= 0 and (not stack or stack[-1][0] < value):
+            stack.append((value, first))
+
+
 class Bucket:
     """The enhanced suffix array of one bucket's distinct contexts and its tree of common-prefix intervals."""
 
@@ -98,15 +115,8 @@ class Bucket:
         self.lcp = _lcp(self.right[a], self.right[b], np.minimum(self.right_size[a], self.right_size[b]))
 
     def intervals(self) -> Iterator[tuple[int, int, int]]:
-        """(common prefix, first, last) of each interval of the array, by a stack scan."""
-        stack: list[tuple[int, int]] = []
-        for i, value in enumerate([*self.lcp.tolist(), -1], 1):
-            first = i - 1
-            while stack and stack[-1][0] > value:
-                common, first = stack.pop()
-                yield common, first, i - 1
-            if value >= 0 and (not stack or stack[-1][0] < value):
-                stack.append((value, first))
+        """(common prefix, first, last) of each interval of the array."""
+        return _intervals(self.lcp)
 
     def extensions(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
         """Per interval: common prefix, members, how far each extends left with another member, how far all do.
@@ -131,10 +141,23 @@ class Bucket:
         return to_left, to_right
 
     def maximal(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(bytes left of the anchor, bytes from it on, all members) of each maximal repeat of at least the length."""
-        for common, members, _, every in self.extensions():
-            if every + common >= self.length:
-                yield every, common, members
+        """(bytes left of the anchor, bytes from it on, all members) of each maximal repeat of at least the length.
+
+        In an interval of the right sides, the left sides have intervals of their own; one whose members all go on alike to the
+        right belongs to a longer common prefix.
+        """
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
+        for common, first, last in self.intervals():
+            members = self.order[first : last + 1]
+            members = members[np.argsort(self.rank[members])]
+            a, b = members[:-1], members[1:]
+            near = _lcp(self.left[a], self.left[b], np.minimum(self.left_size[a], self.left_size[b]))
+            for every, i, j in _intervals(np.where(near + common >= self.length, near, -1)):
+                some = members[i : j + 1]
+                at = place[some]
+                if self.lcp[at.min() : at.max()].min() == common:
+                    yield every, common, some
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -176,10 +199,11 @@ class _Texts:
         found = self.shared.join(several, ["gram", "around"])
         return found.select("doc_id", "dig", F.greatest(F.col("at") - reach, F.lit(0)).alias("start"), (F.col("at") + self.length).alias("stop"))
 
-    def fetched(self) -> DataFrame:
-        """One occurrence of each distinct context of buckets with several, with its bytes."""
-        length = self.length
-        asked = self.wanted.groupBy(F.col("doc_id").alias("_id"), F.col("dig").alias("_dig")).agg(F.collect_list(F.struct("gram", "m", "n", "at")).alias("asked"))
+    def fetched(self, wanted: DataFrame | None = None, *more: str) -> DataFrame:
+        """One occurrence of each wanted context, with its bytes: of each distinct one of buckets with several, where none are given."""
+        length, keys = self.length, ["gram", "m", "n", *more]
+        wanted = self.wanted if wanted is None else wanted
+        asked = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("dig").alias("_dig")).agg(F.collect_list(F.struct(*keys, "at")).alias("asked"))
         texts = _rows(self.docs)
         joined = texts.join(asked, texts["doc_id"].eqNullSafe(asked["_id"]) & (texts["dig"] == asked["_dig"])).select("doc_id", "dig", "text", "asked")
 
@@ -187,16 +211,16 @@ class _Texts:
             from lorespark.llm import repeats as R
 
             for part in R._parts(batches, 32):
-                out = {k: [] for k in ("gram", "m", "n", "doc_id", "dig", "at", "left", "right")}
+                out = {k: [] for k in (*keys, "doc_id", "dig", "at", "left", "right")}
                 for row in part.to_pylist():
                     for a in row["asked"]:
                         left, right = R.context(row["text"], a["at"], length)
-                        for k, v in (("gram", a["gram"]), ("m", a["m"]), ("n", a["n"]), ("doc_id", row["doc_id"]), ("dig", row["dig"]), ("at", a["at"]), ("left", left), ("right", right)):
+                        for k, v in (*((k, a[k]) for k in keys), ("doc_id", row["doc_id"]), ("dig", row["dig"]), ("at", a["at"]), ("left", left), ("right", right)):
                             out[k].append(v)
-                kinds = {"m": pa.int64(), "n": pa.int64(), "gram": pa.int64(), "dig": pa.int32(), "at": pa.int32(), "left": pa.binary(), "right": pa.binary(), "doc_id": part.schema.field("doc_id").type}
+                kinds = {**dict.fromkeys(keys, pa.int64()), "dig": pa.int32(), "at": pa.int32(), "left": pa.binary(), "right": pa.binary(), "doc_id": part.schema.field("doc_id").type}
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
 
-        return joined.mapInArrow(run, f"gram long, m long, n long, doc_id {self.kind}, dig int, at int, left binary, right binary")
+        return joined.mapInArrow(run, f"{', '.join(f'{k} long' for k in keys)}, doc_id {self.kind}, dig int, at int, left binary, right binary")
 
     def _sorted(self, fetched: DataFrame) -> DataFrame:
         small = fetched.where(F.col("m") <= self.bucket)
@@ -250,6 +274,111 @@ class _Texts:
         found = each.join(again, ["mark", "o"]).groupBy("doc_id", "dig", "at").agg(F.max("o").alias("far"), F.min("o").alias("near"))
         return found.select("doc_id", "dig", (F.col("at") - F.col("far")).alias("start"), (F.col("at") + length - F.col("near")).alias("stop"))
 
+    def groups_by_tree(self, fetched: DataFrame) -> DataFrame:
+        """Of small buckets: gram, around, repeat, l, r, a row for each context that holds the repeat l bytes left of the anchor and r from it on."""
+        length = self.length
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from lorespark.llm import repeats as R
+
+            out: list[tuple] = []
+            for gram, rows in R._buckets(batches):
+                # rows that repeat a doc_id are fetched each; a context that occurs again stands twice, as all of it is repeated
+                once = list({r["around"]: r for r in rows}.values())
+                held = [*once, *(r for r in once if r["n"] > 1)]
+                for left, right, members in R.Bucket([(r["left"], r["right"]) for r in held], length).maximal():
+                    some = held[members[0]]
+                    if (repeat := R.repeat_id(some["left"], some["right"], left, right, length)) is not None:
+                        out += [(gram, around, repeat, left, right) for around in {held[i]["around"] for i in members.tolist()}]
+                    if len(out) > 10_000:
+                        yield R._table(out, GROUPS)
+                        out = []
+            if out:
+                yield R._table(out, GROUPS)
+
+        return self._sorted(fetched).mapInArrow(run, _sql(GROUPS))
+
+    def groups_by_stretch(self, fetched: DataFrame) -> DataFrame:
+        """groups_by_tree() of large buckets, of which nothing is gathered.
+
+        A repeat of l and r bytes ends to the right where its stretch with r bytes from the anchor on goes on unlike, and to
+        the left where that with l bytes before the anchor does. Such ends are found stretch by stretch; each pair of a
+        context's ends is then a repeat when the contexts that share it go on unlike on both sides.
+        """
+        length = self.length
+        large = fetched.where(F.col("m") > self.bucket)
+
+        def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
+
+            from lorespark.llm import repeats as R
+
+            for part in R._parts(batches, 64):
+                out = []
+                for r in part.to_pylist():
+                    for o in range(max(0, length - len(r["right"])), len(r["left"]) + 1):
+                        before, after, w = R.around_of(r["left"], r["right"], o, length - o)
+                        mark = R._signed(xxhash.xxh3_64_intdigest(w, r["gram"] & 0xFFFFFFFFFFFFFFFF))
+                        out.append((r["gram"], r["around"], mark, o, r["n"], before, after))
+                yield R._table(out, STRETCHES)
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from lorespark.llm import repeats as R
+
+            for part in R._parts(batches, 64):
+                out = []
+                for row in part.to_pylist():
+                    for left in row["lefts"]:
+                        for right in row["rights"]:
+                            if left + right >= length and (repeat := R.repeat_id(row["left"], row["right"], left, right, length)) is not None:
+                                before, after, _ = R.around_of(row["left"], row["right"], left, right)
+                                out.append((row["gram"], row["around"], repeat, left, right, row["n"], before, after))
+                    if len(out) > 10_000:
+                        yield R._table(out, PAIRS)
+                        out = []
+                yield R._table(out, PAIRS)
+
+        unlike = lambda side: (F.min(side) != F.max(side)) | (F.max(side) == STOP)
+        each = large.mapInArrow(stretches, _sql(STRETCHES))
+        ends = each.groupBy("gram", "mark", "o").agg(F.sum("n").alias("c"), unlike("before").alias("to_left"), unlike("after").alias("to_right"))
+        ends = materialize(ends.where("c > 1 and (to_left or to_right)").drop("c"))
+        ends = each.join(ends, ["gram", "mark", "o"]).groupBy("gram", "around")
+        ends = ends.agg(F.collect_set(F.when(F.col("to_left"), F.col("o"))).alias("lefts"), F.collect_set(F.when(F.col("to_right"), length - F.col("o"))).alias("rights"))
+        asked = large.dropDuplicates(["gram", "around"]).select("gram", "around", "n", "left", "right").join(ends, ["gram", "around"])
+        found = materialize(asked.mapInArrow(pairs, _sql(PAIRS)))
+        key = ["gram", "repeat", "l", "r"]
+        groups = found.groupBy(*key).agg(F.sum("n").alias("c"), unlike("before").alias("to_left"), unlike("after").alias("to_right"))
+        return found.join(materialize(groups.where("c > 1 and to_left and to_right").select(*key)), key).select(*GROUPS)
+
+
+def _sql(columns: dict[str, str]) -> str:
+    return ", ".join(f"{k} {v}" for k, v in columns.items())
+
+
+def _table(rows: list[tuple], columns: dict[str, str]) -> pa.RecordBatch:
+    schema = pa.schema([(k, pa.int64() if v == "long" else pa.int32()) for k, v in columns.items()])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(columns), schema.types)], schema=schema)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def around_of(left: bytes, right: bytes, to_left: int, to_right: int) -> tuple[int, int, bytes]:
+    """The byte before and the byte after the stretch of so many bytes on each side of the anchor (STOP: none), and the stretch."""
+    before = left[-to_left - 1] if to_left < len(left) else STOP
+    after = right[to_right] if to_right < len(right) else STOP
+    return before, after, left[len(left) - to_left :] + right[:to_right]
+
+
+def repeat_id(left: bytes, right: bytes, to_left: int, to_right: int, length: int) -> int | None:
+    """A hash of the repeat and its anchor's place. None where no stretch inside it chooses the anchor: other bytes do then, not around all of its
+    occurrences, and the repeat is found with all of them at the anchors of its own."""
+    import xxhash
+
+    found = left[len(left) - to_left :] + right[:to_right]
+    return _signed(xxhash.xxh3_64_intdigest(found, to_left)) if to_left in anchors(found, length)[0] else None
+
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, dig, spans: for rows with repeated stretches, the (start, stop) byte spans around their anchors, which may overlap."""
@@ -260,24 +389,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The maximal repeat groups of the distinct contexts: bucket, repeat, length, doc_id, dig, start, one row per occurrence.
+    """The maximal repeat groups: bucket, repeat, length, doc_id, dig, start, one row per occurrence, with all occurrences.
 
-    length counts the bytes up to where members differ, at most what a context holds. Buckets that no task should hold are left to
-    repeated_spans.
+    A group is a string of at least length bytes around an anchor of its own (bucket: the gram's hash) that occurs more than
+    once and goes on unlike on both sides, or reaches the end of a text or of what a context holds: a longer repeat gives a
+    group for each of its anchors. repeat tells a bucket's groups apart. Rows that repeat a doc_id are occurrences each.
     """
     found = _Texts(docs, length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lorespark.llm import repeats as R
-
-        for gram, rows in R._buckets(batches):
-            out = []
-            for k, (left, right, members) in enumerate(R.Bucket([(r["left"], r["right"]) for r in rows], length).maximal()):
-                out += [{"bucket": gram, "repeat": k, "length": left + right, "doc_id": rows[i]["doc_id"], "dig": rows[i]["dig"], "start": rows[i]["at"] - left} for i in members.tolist()]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int64()), ("repeat", pa.int32()), ("length", pa.int32()), ("doc_id", pa.int64()), ("dig", pa.int32()), ("start", pa.int32())]))
-
-    return found._sorted(found.fetched()).mapInArrow(run, "bucket long, repeat int, length int, doc_id long, dig int, start int")
+    sizes = materialize(found.contexts.groupBy("gram").agg(F.count("*").alias("m")))
+    wanted = materialize(found.contexts.join(sizes, "gram").select("gram", "around", "m", "n", "first.*"))
+    fetched = materialize(found.fetched(wanted, "around"))
+    groups = materialize(found.groups_by_tree(fetched).unionByName(found.groups_by_stretch(fetched)))
+    places = found.shared.join(groups, ["gram", "around"])
+    return places.select(F.col("gram").alias("bucket"), "repeat", (F.col("l") + F.col("r")).alias("length"), "doc_id", "dig", (F.col("at") - F.col("l")).alias("start"))
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:

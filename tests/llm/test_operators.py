@@ -241,6 +241,41 @@ def test_maximal_repeats_hold_all_occurrences():
     assert found == {(30, 180, (0, 1, 2)), (31, 181, (0, 1))}
 
 
+@pytest.mark.parametrize("bucket", [2, 1024])
+def test_maximal_repeats_of_copies_and_hot_passages(spark, empty, monkeypatch, bucket):
+    """Each group is a string with all its places; each maximal repeat gives a group for each anchor of its own."""
+    import random
+
+    monkeypatch.setattr(repeats, "LEAST_BUCKET", bucket)
+    monkeypatch.setattr(repeats, "MOST_BUCKET", bucket)
+    length, reach = 40, 40 - anchors.GRAM
+    r = random.Random(8)
+    word = lambda n, of="abcdefgh": "".join(r.choice(of) for _ in range(n))
+    hot, copied, wide = word(42), word(90), word(60)
+    texts = [word(r.randint(0, 12), "xy") + hot + word(r.randint(0, 12), "xy") for _ in range(14)] + [copied] * 3
+    texts += [word(20) + wide + word(9) + wide[:50], "y" + wide, "q" + copied[10:70] + "q", "z" * 60, word(39), None, ""]
+    rows = [*enumerate(texts), (3, texts[3])]
+    places = defaultdict(list)
+    for d, t in rows:
+        for i in range(len(t or "")):
+            for j in range(i + length, len(t) + 1):
+                places[t[i:j]].append((d, i, t[i - 1] if i else None, t[j] if j < len(t) else None))
+    unlike = lambda ends: len(set(ends)) > 1 or None in ends
+    expected = set()
+    for w, at in places.items():
+        if len(at) > 1 and unlike([x[2] for x in at]) and unlike([x[3] for x in at]):
+            expected |= {w[max(0, a - reach) : a + length] for a in anchors.anchors(w.encode(), length)[0].tolist()}
+    groups = defaultdict(list)
+    text_of = dict(enumerate(texts))
+    for g in repeats.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length).collect():
+        groups[g.bucket, g.repeat, text_of[g.doc_id][g.start : g.start + g.length]].append((g.doc_id, g.start))
+    assert len({k[:2] for k in groups}) == len(groups)
+    for (_, _, w), at in groups.items():
+        assert sorted(at) == sorted(x[:2] for x in places[w])
+    assert {w for *_, w in groups} == expected and len(expected) > 10
+    assert repeats.maximal_repeats(empty).collect() == []
+
+
 def test_anchors_depend_on_content():
     rng = np.random.default_rng(2)
     shared = rng.integers(97, 123, 400, dtype=np.uint8).tobytes()
