@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,22 +72,38 @@ class Scanner:
         return found
 
     def spans(self, line: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, errors) of each notice found in line, in characters, without those inside a found span of the same notice."""
+        """(start, end, label, errors) of each notice found in line, in characters, without those that overlap a better span of the same notice."""
         windows: dict[int, set[tuple[int, int]]] = {}
         for end, (length, places) in self.seeds.iter(line):
             for k, at in places:
                 _, notice, errors = self.notices[k]
                 start = end - length + 1 - at - 2 * errors
                 windows.setdefault(k, set()).add((max(0, start - 1), start + len(notice) + 4 * errors + 1))
-        found = []
-        for k, ranges in sorted(windows.items()):
-            last = -1
-            for start, stop in _joined(ranges):
-                for m in self.verify[k].finditer(line, start, min(stop, len(line)), concurrent=False):
-                    if m.start() > last:
-                        found.append((m.start(), m.end(), self.notices[k][0], sum(m.fuzzy_counts)))
-                        last = m.end() - 1
-        return sorted(found)
+        return sorted((a, b, self.notices[k][0], n) for k, ranges in windows.items() for n, a, b in self._best_first(k, line, ranges))
+
+    def _best_first(self, k: int, line: str, ranges: set[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """(errors, start, end) of the notice's best match in any range, then of the best in what found ones leave of the ranges, and so on."""
+        _, notice, errors = self.notices[k]
+        waiting: list[tuple[int, int, int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+
+        def search(start: int, stop: int) -> None:
+            # a range ends before a space, as its end counts as one
+            if stop - start >= len(notice) - errors and (m := self.verify[k].search(line, start, stop, concurrent=False)):
+                heappush(waiting, (sum(m.fuzzy_counts), m.start(), m.end(), start, stop))
+
+        for start, stop in ranges:
+            at = line.find(" ", stop)
+            search(start, at if at >= 0 else len(line) - 1)
+        while waiting:
+            n, a, b, start, stop = heappop(waiting)
+            i = bisect_left(taken, (b, 0)) - 1
+            if i < 0 or taken[i][1] <= a:
+                insort(taken, (a, b))
+                yield n, a, b
+            else:
+                search(start, taken[i][0] - 1)
+                search(taken[i][1], stop)
 
     def scan(self, text: str) -> dict:
         words = self.words(text)
@@ -101,21 +119,6 @@ class Scanner:
         }
 
 
-def _joined(ranges: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Overlapping ranges as one."""
-    at, to = None, None
-    for start, stop in sorted(ranges):
-        if at is None:
-            at, to = start, stop
-        elif start <= to:
-            to = max(to, stop)
-        else:
-            yield at, to
-            at, to = start, stop
-    if at is not None:
-        yield at, to
-
-
 @lru_cache(maxsize=4)
 def scanner(notices=NOTICES) -> Scanner:
     return Scanner(notices)
@@ -135,7 +138,7 @@ def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     n_base counts the exact places of the base phrases as consecutive words. spans are the notices found with bounded
-    errors (characters put in, left out or changed; word positions; one notice's spans don't overlap). score is 1 with a
+    errors (characters put in, left out or changed; word positions; of one notice's spans that overlap the best stays). score is 1 with a
     base phrase, else 1 less the errors of the best span in proportion, else 0. A null or empty text has no words, null
     positions, empty labels and a score of 0. Texts are read whole; repeated rows give equal rows; an empty table gives no
     rows. Other columns are ignored.

@@ -132,6 +132,19 @@ def test_fuzzy_notices():
         assert "".join(p for _, p in licenses.pieces(notice, 3)) == notice
 
 
+def test_inexact_notices_beside_better_ones():
+    def spans(text):
+        return [(s["first_word"], s["last_word"], s["label"], s["errors"]) for s in licenses.Scanner().scan(text)["spans"]]
+
+    assert spans("mit licence mit license") == [(0, 1, "mit", 1), (2, 3, "mit", 0)]
+    assert spans("mit licence foo mit license bar mit licens") == [(0, 1, "mit", 1), (3, 4, "mit", 0), (6, 7, "mit", 1)]
+    many = ["mit licence", "mit licens"] * 40 + ["mit license"] + ["mit lisense"] * 40
+    assert spans(" ".join(many)) == [(2 * i, 2 * i + 1, "mit", int(x != "mit license")) for i, x in enumerate(many)]
+    free = "permission is herby granted free of charge to any person obtaning a copy"
+    assert [s[2:] for s in spans(f"{free} {free.replace('herby', 'hereby')} {free}")] == [("mit", 2), ("mit", 1), ("mit", 2)]
+    assert spans("mit licensees") == []
+
+
 def brute_shingles(text, k=5):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", words)
