@@ -6,8 +6,10 @@ and the k best of all shards are the k best of all.
 In a shard, documents are numbered and cut into blocks. For each term the index keeps its postings in document order and,
 per block, the largest score that the term gives there. A query adds its terms' block maxima (an upper bound for every
 document of the block), visits blocks from the highest bound down, scores all their documents exactly, and stops when the
-k-th best score so far is above the next bound: the block-max form of WAND with whole blocks as pivots. A block at the
-bound itself is still visited, so ties keep the smallest ids.
+k-th best score so far is above the next bound. A block at the bound itself is still visited, so ties keep the smallest ids.
+
+This is pruning by block maxima in the order of the bounds, not block-max WAND: no term cursors, pivots or skips. The
+results are the same, the exact k best.
 """
 
 from __future__ import annotations
