@@ -369,6 +369,17 @@ def test_toxicity_learns(spark):
     assert right / len(got) > 0.97
 
 
+def test_thresholds_go_both_ways():
+    """Languages whose best cut is below and above the common threshold, and one with too few positives."""
+    clean, toxic = np.linspace(0.01, 0.1, 60), np.linspace(0.16, 0.28, 30)
+    score = np.concatenate([clean, toxic, clean + 0.4, toxic + 0.5, clean, toxic[:5]])
+    label = np.concatenate([np.repeat([0.0, 1.0], [60, 30]), np.repeat([0.0, 1.0], [60, 30]), np.repeat([0.0, 1.0], [60, 5])])
+    got = toxicity._calibrated(score, label, np.repeat(["low", "high", "few"], [90, 90, 65]))
+    assert set(got) == {"low", "high"} and 0.1 < got["low"] < 0.16 and 0.5 < got["high"] < 0.66
+    model = toxicity.Classifier(toxicity.Network(2, np.random.default_rng(0)), np.zeros(toxicity.SPACE, np.int32), got)
+    assert model.thresholds["low"] < toxicity.THRESHOLD
+
+
 def test_convolution_gradient():
     rng = np.random.default_rng(0)
     net = toxicity.Network(30, rng)
