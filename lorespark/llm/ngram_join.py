@@ -1,15 +1,20 @@
 """N-gram Jaccard self join with adaptive multi-match prefixes.
 
-Tokens are 5-word shingles, ordered from rare to frequent by a count sketch of fixed size over all documents. A document
-of n tokens with threshold t must share n - ceil(t n) + 1 .. tokens: two linked documents share at least L tokens in
-their prefixes of n - ceil(t n) + L tokens. Each document chooses its own L from 1 to MAX_MATCH by the estimated cost of
-its lists and candidates; a pair is a candidate when it shares min(L_a, L_b) prefix tokens, because the shorter
-requirement holds inside both prefixes.
-
-Large groups of copies never become pairs. Equal sets are one representative. Before the prefix join, representatives
-that share a minimum-hash key are compared with the smallest id of their key only, and those links are verified; the
-prefix join then runs between the components found so far, so one component leaves one row in a token's list. Only links
-inside a component are left out, and they change neither a component nor its smallest id.
+Tokens are 5-word shingles, ordered from rare to frequent. A document of n tokens with threshold t must share n - ceil(t n) + 1
+.. tokens: two linked documents share at least L tokens in their prefixes of n - ceil(t n) + L tokens. Each document chooses
+its own L from 1 to MAX_MATCH by the real lengths of its tokens' lists; a pair is a candidate when it shares min(L_a, L_b)
+prefix tokens, because the shorter requirement holds inside both prefixes.
+
+The order of tokens: those whose hash lies in the lowest SHARE of the space come first, by the number of components that hold
+them, then all others by hash. Counting a share of the tokens is enough, because a prefix needs little more than a quarter
+of a document's. Counts are made in buckets of hashes, each bounded whatever a token's list is; only tokens that several
+components hold go back to their documents. Most documents have so many tokens of their own that their prefix holds nothing
+else: they meet nobody.
+
+Large groups of copies never become pairs. Equal sets are one representative. Before the prefix join, each representative
+that shares minimum-hash keys is compared with the document it shares most of them with (of the smallest ids of its keys), and those
+links are verified; the prefix join then runs between the components found so far, so one component leaves one row in a
+token's list. Only links inside a component are left out, and they change neither a component nor its smallest id.
 """
 
 from __future__ import annotations
@@ -30,11 +35,16 @@ PERCENT = 75
 MAX_MATCH = 16
 #: Minimum-hash keys by which representatives meet before the prefix join.
 KEYS = 6
-#: Counters of the sketch: 1 MB, whatever the input's size.
-COUNTERS = 1 << 18
-SLICE = 1 << 14
-#: A component of more representatives is pre-aggregated before its lists move.
-LARGE = 32
+#: Part of the token space that is counted and comes first in the order.
+SHARE = 0.4
+#: Token entries that a bucket holds on average; more buckets than partitions spread them.
+BUCKET = 1 << 20
+#: Entries held before tokens with CAP entries are let go; from CAP on, counts are alike.
+HELD, CAP = 1 << 22, 1 << 16
+#: Token entries of one packed flush.
+FLUSH = 1 << 18
+#: Documents that meet one copy of a hub's set in verification.
+MEMBERS = 1024
 #: Cost of verifying a candidate, in list entries read.
 VERIFY = 50.0
 #: Entries of a worker's memo of word hashes; it only saves time.
@@ -104,118 +114,256 @@ def _bytes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().cast("binary").alias("text"))
 
 
-def _signatures(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: doc_id, n, set (128 bits of the set), keys; kind 1: n (number of a slice) and counts of each task's sketch."""
+def _cut(share: float) -> np.uint64:
+    return np.uint64(min(int(share * (1 << 64)), (1 << 64) - 1))
+
+
+def _base(n, percent: int):
+    """How many tokens a prefix has besides L."""
+    return n - -(-percent * n // 100)
+
+
+def _signatures(docs: DataFrame, words: int, share: float) -> DataFrame:
+    """doc_id, n, low (tokens in the counted share), set (128 bits of the set), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         from lorespark.llm import ngram_join as J
 
-        counts, waiting, held = np.zeros(COUNTERS, np.int64), [], 0
-        names = ["kind", "doc_id", "n", "set", "keys", "counts"]
         for part in J._parts(batches):
             sets = [J.shingles(t, words) for t in part.column(1).to_pylist()]
-            for s in sets:
-                waiting.append(s)
-                held += len(s)
-            if held > 1 << 20:
-                counts += np.bincount((np.concatenate(waiting) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                waiting, held = [], 0
-            k = part.num_rows
             keys = pa.array([J._min_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
             whole = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), whole, keys, pa.nulls(k, pa.binary())], names)
-        if waiting:
-            counts += np.bincount((np.concatenate(waiting) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        if counts.any():
-            slices = [c.astype(np.uint32).tobytes() for c in counts.reshape(-1, SLICE)]
-            k = len(slices)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(slices, pa.binary())], names)
+            low = pa.array([int(np.searchsorted(s, J._cut(share))) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), low, whole, keys], ["doc_id", "n", "low", "set", "keys"])
 
-    return _bytes(docs).mapInArrow(run, "kind int, doc_id long, n long, set binary, keys array<long>, counts binary")
+    return _bytes(docs).mapInArrow(run, "doc_id long, n long, low long, set binary, keys array<long>")
 
 
-def _sketch(slices: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches: summed in two rounds of bounded groups, then COUNTERS numbers on the driver."""
+def emitted(n: int, low: int, percent: int) -> int:
+    """How many of a document's tokens, in the order of their hashes, are counted: the counted share, or the longest prefix if that is more."""
+    return max(low, min(n, _base(n, percent) + MAX_MATCH))
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.uint32).astype(np.uint64) for b in table.column("counts").to_pylist())
-        return pa.table({"n": table.column("n")[:1].cast(pa.int64()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
-    spread = slices.withColumn("part", F.pmod(F.monotonically_increasing_id() / (1 << 33), F.lit(64)).cast("int"))
-    first = spread.groupBy("n", "part").applyInArrow(add, "n long, counts binary")
-    rows = first.groupBy("n").applyInArrow(add, "n long, counts binary").collect()
-    out = np.zeros(COUNTERS, np.float64)
-    for r in rows:
-        out[r.n * SLICE : (r.n + 1) * SLICE] = np.frombuffer(r.counts, np.uint32)
-    return out
+def _entries(docs: DataFrame, placed: DataFrame, buckets: int, words: int, percent: int, share: float) -> DataFrame:
+    """The counted tokens of all representatives, packed by bucket: bucket, tokens, reps, comps (64-bit numbers in a row each)."""
+    texts = _bytes(docs).join(placed.select(F.col("rep").alias("doc_id"), "set", "comp"), "doc_id").select("doc_id", "text", "set", "comp")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int = PERCENT) -> tuple[int, np.ndarray]:
-    """The document's number of required matches L and its prefix: the cheapest by estimated lists and candidates.
+        from lorespark.llm import ngram_join as J
 
-    A token's list is estimated by the sketch's count less what other tokens leave in its counter. With lists of total length S, at most S / L
-    documents are in L of them.
-    """
-    n = len(tokens)
-    lists = np.maximum(counts[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)] - noise, 0.0)
-    order = np.lexsort((tokens, np.floor(np.log2(lists + 1.0))))
-    base = n - -(-percent * n // 100)
-    sums = np.cumsum(lists[order])
-    best, cost = 1, None
-    for match in range(1, min(MAX_MATCH, n - base) + 1):
-        total = sums[base + match - 1] + base + match
-        if cost is None or total + VERIFY * total / match < cost:
-            best, cost = match, total + VERIFY * total / match
-    return best, tokens[order[: base + best]]
-
-
-def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    shared = session_of(docs).sparkContext.broadcast(sketch.astype(np.float32))
-    noise = float(np.median(sketch) + 3 * np.sqrt(np.median(sketch)))
+        waiting: list[tuple[np.ndarray, int, int]] = []
+        held = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lorespark.llm import ngram_join as J
+        def flush() -> pa.RecordBatch:
+            tokens = np.concatenate([t for t, _, _ in waiting])
+            sizes = [len(t) for t, _, _ in waiting]
+            each = [tokens, *(np.repeat(np.array([w[i] for w in waiting], np.int64), sizes) for i in (1, 2))]
+            of = (tokens % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(of, kind="stable")
+            here, first = np.unique(of[order], return_index=True)
+            edges = [*first.tolist(), len(of)]
+            packed = [[x[i:j].tobytes() for i, j in zip(edges, edges[1:])] for x in (a[order] for a in each)]
+            return pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["bucket", "tokens", "reps", "comps"])
 
-        counts = shared.value
         for part in J._parts(batches):
-            ids, match, lists = [], [], []
-            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if len(tokens := J.shingles(t, words)):
-                    best, chosen = J.prefix(tokens, counts, noise, percent)
-                    ids.append(i)
-                    match.append(best)
-                    lists.append(chosen)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(match, pa.int32()), J._as_lists(lists)], ["doc_id", "need", "prefix"])
-
-    return _bytes(docs).mapInArrow(run, "doc_id long, need int, prefix array<long>")
+            for i, text, whole, comp in zip(*(c.to_pylist() for c in part.columns)):
+                s = J.shingles(text, words)
+                if xxhash.xxh3_128_digest(s.tobytes()) != whole:
+                    continue  # another text under this doc_id
+                low = int(np.searchsorted(s, J._cut(share)))
+                s = s[: J.emitted(len(s), low, percent)]
+                waiting.append((s, i, comp))
+                held += len(s)
+                if held > J.FLUSH:
+                    yield flush()
+                    waiting, held = [], 0
+        if waiting:
+            yield flush()
+
+    return texts.mapInArrow(run, "bucket int, tokens binary, reps binary, comps binary")
+
+
+class Counter:
+    """Counts one bucket's tokens. Entries are held until the bucket ends, but for tokens with CAP entries or more: theirs go on at once."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.size = 0
+        self.long = np.empty(0, np.uint64)
+
+    def add(self, tokens: bytes, reps: bytes, comps: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rows = np.stack([np.frombuffer(x, np.int64) for x in (tokens, reps, comps)])
+        if len(self.long):
+            there = np.isin(rows[0].view(np.uint64), self.long)
+            if there.any():
+                yield self._capped(rows[:, there])
+                rows = rows[:, ~there]
+        self.held.append(rows)
+        self.size += rows.shape[1]
+        if self.size > HELD:
+            rows = np.concatenate(self.held, 1)
+            found, of, counts = np.unique(rows[0].view(np.uint64), return_inverse=True, return_counts=True)
+            there = (counts >= CAP)[of]
+            self.long = np.concatenate([self.long, found[counts >= CAP]])
+            if there.any():
+                yield self._capped(rows[:, there])
+            self.held = [rows[:, ~there]]
+            # what stays may be much; the next look comes when as much again has arrived
+            self.size = 0
+
+    @staticmethod
+    def _capped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return rows[1], rows[0], np.full(rows.shape[1], CAP, np.int32)
+
+    def end(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """reps, tokens, components that hold the token (CAP from CAP entries on), of the tokens that several components hold."""
+        rows = np.concatenate(self.held, 1) if self.held else np.empty((3, 0), np.int64)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        first = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1])) if rows.shape[1] else np.empty(0, np.int64)
+        if not len(first):
+            return rows[1], rows[0], np.empty(0, np.int32)
+        sizes = np.diff(np.append(first, rows.shape[1]))
+        several = np.minimum.reduceat(rows[2], first) != np.maximum.reduceat(rows[2], first)
+        rows = rows[:, np.repeat(several, sizes)]
+        rows = rows[:, np.lexsort((rows[2], rows[0]))]
+        new = np.append(True, rows[0, 1:] != rows[0, :-1])[: rows.shape[1]]
+        other = new | np.append(True, rows[2, 1:] != rows[2, :-1])[: rows.shape[1]]
+        of = np.cumsum(new) - 1
+        comps = np.bincount(of, other).astype(np.int32)
+        comps = np.where(sizes[several] >= CAP, CAP, comps).astype(np.int32)
+        return rows[1], rows[0], comps[of] if len(of) else np.empty(0, np.int32)
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """rep, token, c: a row for each counted token of a representative that other components hold too."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lorespark.llm import ngram_join as J
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """The token sets of the given documents."""
+        names = ["rep", "token", "c"]
+        counter, last = J.Counter(), None
+        for batch in batches:
+            for bucket, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != last and last is not None:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, counter.end())], names)
+                    counter = J.Counter()
+                last = bucket
+                for found in counter.add(*packed):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, found)], names)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, counter.end())], names)
+
+    dealt = entries.repartition(partitions(session_of(entries)), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "rep long, token long, c int")
+
+
+def choose(n: int, low: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, share: float = SHARE) -> tuple[int, np.ndarray, np.ndarray]:
+    """Required matches L, the prefix's tokens that other components hold, and their least positions in the document's order; no tokens: no link is possible.
+
+    tokens: those of the document's counted tokens that other components hold, counts: how many components do. What is
+    left of the counted share is the document's own and comes first. Any L from 1 to MAX_MATCH may be asked of a pair, so a document
+    with fewer than L shared tokens in its prefix for any one L is linked with no other component. With lists of total length S,
+    at most S / L documents are in L of them: L is the one with the least cost of reading lists and verifying.
+    """
+    nothing = 1, tokens[:0], np.empty(0, np.int64)
+    sampled = tokens < _cut(share)
+    base, most = _base(n, percent), min(MAX_MATCH, n - _base(n, percent))
+    alone = max(0, low - int(sampled.sum()))
+    if alone > base or len(tokens) < most:
+        return nothing
+    order = np.lexsort((tokens, np.where(sampled, counts, CAP + 1)))
+    sums = np.cumsum(counts[order])
+    match = np.arange(1, most + 1)
+    inside = np.minimum(base + match - alone, len(tokens))
+    if (inside < match).any():
+        return nothing
+    total = sums[inside - 1]
+    best = int(np.argmin(total + VERIFY * total / match))
+    size = inside[best]
+    return best + 1, tokens[order[:size]], alone + np.arange(size)
+
+
+def _prefixes(shared: DataFrame, placed: DataFrame, percent: int, share: float) -> DataFrame:
+    """rep, comp, n, need, token, pos: the prefix's tokens that other components hold, and their least positions in the document's order."""
+    lists = shared.groupBy("rep").agg(F.collect_list("token").alias("tokens"), F.collect_list("c").alias("counts"))
+    lists = lists.join(placed.select("rep", "comp", "n", "low"), "rep").select("rep", "comp", "n", "low", "tokens", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import ngram_join as J
 
         for part in J._parts(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), J._as_lists([J.shingles(t, words) for t in part.column(1).to_pylist()])], ["doc_id", "tokens"])
-
-    return _bytes(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens array<long>")
+            need, tokens, places = [], [], []
+            for n, low, t, c in zip(part.column("n").to_pylist(), part.column("low").to_pylist(), part.column("tokens"), part.column("counts")):
+                t, first = np.unique(t.values.to_numpy().view(np.uint64), return_index=True)
+                found = J.choose(n, low, t, c.values.to_numpy()[first], percent, share)
+                for into, x in zip((need, tokens, places), found):
+                    into.append(x)
+            kept = pa.array([len(t) > 0 for t in tokens], pa.bool_())
+            offsets = pa.array(np.cumsum([0, *map(len, places)], dtype=np.int32))
+            pos = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places).astype(np.int64)))
+            names = ["rep", "comp", "n"]
+            out = [*(part.column(k) for k in names), pa.array(need, pa.int64()), J._as_lists(tokens), pos]
+            yield pa.RecordBatch.from_arrays(out, [*names, "need", "token", "pos"]).filter(kept)
+
+    return lists.mapInArrow(run, "rep long, comp long, n long, need long, token array<long>, pos array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by exact intersection."""
+    """The pairs (a, b) whose sets reach the threshold, by exact intersection.
+
+    Sets go to where their partner b is: one copy of it for every MEMBERS of its partners, so a document with very many
+    has them dealt over tasks, and a task holds one set of b besides the stream.
+    """
     pairs = materialize(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(_sets(docs, ids, words))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")).cast("long"))
-    links = materialize(both.where(100 * F.col("common") >= percent * (F.size("ta") + F.size("tb") - F.col("common"))).select("a", "b"))
-    discard(sets)
-    return links
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
+    members = pairs.join(sizes, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
+    hubs = sizes.select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    asked = _bytes(docs).join(members.union(hubs), "doc_id").select("hub", "salt", "role", "doc_id", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lorespark.llm import ngram_join as J
+
+        last, found = None, None
+        for part in J._parts(batches):
+            out = []
+            for text in part.column(4).to_pylist():
+                if text != last:
+                    last, found = text, J.shingles(text, words)
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], J._as_lists(out)], ["hub", "salt", "role", "doc_id", "tokens"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lorespark.llm import ngram_join as J
+
+        here, theirs = None, []
+        for part in J._parts(batches):
+            a, b = [], []
+            tokens = part.column(4)
+            flat, edges = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+            for hub, salt, role, doc, i, j in zip(*(c.to_pylist() for c in part.columns[:4]), edges[:-1].tolist(), edges[1:].tolist()):
+                if (hub, salt) != here:
+                    here, theirs = (hub, salt), []
+                own = flat[i:j]
+                if role == 0:
+                    theirs.append(own)
+                elif any(J.similar(own, t, percent) for t in theirs):
+                    a.append(doc)
+                    b.append(hub)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = asked.mapInArrow(sets, "hub long, salt long, role int, doc_id long, tokens array<long>")
+    dealt = dealt.repartition(partitions(session_of(docs)), "hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    return materialize(dealt.mapInArrow(meet, "a long, b long").distinct())
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def _size_fits(n: str, m: str, percent: int):
@@ -223,40 +371,32 @@ def _size_fits(n: str, m: str, percent: int):
 
 
 def _meeting_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """Each representative with the smallest id of each of its keys, where sizes allow a link."""
+    """Each representative (a) with one other (b): of the smallest ids of its keys, where sizes allow a link, that of most keys."""
     keyed = materialize(reps.select("rep", "n", F.explode("keys").alias("key")))
     first = materialize(keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first"))
     met = keyed.join(first, "key").where(F.col("rep") != F.col("first.rep")).where(_size_fits("n", "first.n", percent))
-    return met.select(F.col("rep").alias("a"), F.col("first.rep").alias("b")).distinct()
+    met = met.groupBy(F.col("rep").alias("a"), F.col("first.rep").alias("b")).agg(F.count("*").alias("keys"))
+    return met.groupBy("a").agg(F.max(F.struct("keys", -F.col("b"))).alias("most")).select("a", (-F.col("most.col2")).alias("b"))
 
 
-def _candidates(placed: DataFrame, percent: int) -> DataFrame:
+def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs of representatives in different components that share enough prefix tokens.
 
-    placed: rep, comp, alone (its component's only one), big, n, need, prefix. The lists hold one row per token, component and size; large components are
-    pre-aggregated before they move, so a token's list is no longer for a group of copies.
+    The lists hold one row per token, component and size, pre-aggregated before they move, so a token's list is no longer
+    for a group of copies. A frequent token's list is split over tasks by adaptive execution.
 
     Two sets with c tokens in common in their prefixes share at most c and the longer rest, so c must also reach the
     overlap that the threshold asks of their sizes less that rest. Before that, where both lists meet at a token, the two
-    sets share at most the tokens before it that are in other components' lists too, and what follows it.
+    sets share at most the tokens before it that other components hold too, and what follows it.
     """
-    parts = partitions(session_of(placed))
-    entries = placed.select("comp", "n", "alone", "big", "need", (F.col("n") - F.size("prefix")).alias("rest"), F.posexplode("prefix").alias("pos", "token"))
-    # one row for a component's documents of one size, so that bounds by size are exact
+    prefixes = prefixes.withColumn("rest", F.col("n") - _base_column("n", percent) - F.col("need"))
+    each = prefixes.select("comp", "n", "need", "rest", F.posexplode(F.arrays_zip("token", "pos")).alias("before", "t")).select("comp", "n", "need", "rest", "before", "t.token", "t.pos")
     key = ["token", "comp", "n"]
-    merge = [F.min("need").alias("need"), F.max("rest").alias("rest"), F.min("pos").alias("pos"), F.min("alone").alias("alone")]
-    large = entries.where("big").groupBy(*key).agg(*merge)
-    lists = entries.where("not big").drop("big").unionByName(large).repartition(parts, "token").groupBy(*key).agg(*merge)
-    several = lists.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("need").alias("least")).where("c1 <> c2").select("token", "least")
+    merge = [F.min("need").alias("need"), F.max("rest").alias("rest"), F.min("pos").alias("pos"), F.max("before").alias("before")]
+    lists = each.groupBy(*key).agg(*merge)
+    several = lists.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
     # a token of one component alone can match nothing
-    shared = materialize(lists.join(several, "token"))
-    item = F.struct("pos", "token", "n", "need", "rest", "least")
-    ranked = shared.where("alone").groupBy("comp").agg(F.array_sort(F.collect_list(item)).alias("l"))
-    # a link needs the lesser need v of both, and shares v tokens where the least need of all lists is at most v: the partner may need fewer than the document itself
-    enough = F.expr("exists(transform(array_sort(l.least), (v, i) -> v <= i + 1), x -> x)")
-    ranked = ranked.where(enough).select("comp", F.posexplode("l").alias("before", "t")).select("comp", F.col("before").cast("long").alias("before"), "t.pos", "t.token", "t.n", "t.need", "t.rest")
-    others = shared.where("not alone").select("comp", F.col("n").alias("before"), "pos", "token", "n", "need", "rest")
-    shared = materialize(ranked.unionByName(others))
+    shared = materialize(lists.join(several, "token", "left_semi"))
     x, y = shared.alias("x"), shared.alias("y")
     overlap = f"ceil({percent} * ({{}} + {{}}) / {100 + percent}d)"
     can = f"x.comp < y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
@@ -266,39 +406,48 @@ def _candidates(placed: DataFrame, percent: int) -> DataFrame:
     met = met.agg(F.count("*").alias("common"), F.min(F.least("x.need", "y.need")).alias("need"), F.max("x.rest").alias("ra"), F.max("y.rest").alias("rb"))
     overlap += " - greatest({}, {})"
     close = materialize(met.where("common >= need").where(f"common >= {overlap.format('na', 'nb', 'ra', 'rb')}").select("ca", "na", "cb", "nb"))
-    left = placed.select(F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("need").alias("needa"), F.col("prefix").alias("pa"))
-    right = placed.select(F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("need").alias("needb"), F.col("prefix").alias("pb"))
+    left = prefixes.select(F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("need").alias("needa"), F.col("rest").alias("ra"), F.col("token").alias("pa"))
+    right = prefixes.select(F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("need").alias("needb"), F.col("rest").alias("rb"), F.col("token").alias("pb"))
     both = close.join(left, ["ca", "na"]).join(right, ["cb", "nb"]).withColumn("common", F.size(F.array_intersect("pa", "pb")))
-    rest = overlap.format("na", "nb", "na - size(pa)", "nb - size(pb)")
-    return both.where(F.col("common") >= F.least("needa", "needb")).where(f"common >= {rest}").select("a", "b")
+    return both.where(F.col("common") >= F.least("needa", "needb")).where(f"common >= {overlap.format('na', 'nb', 'ra', 'rb')}").select("a", "b").distinct()
+
+
+def _base_column(n: str, percent: int):
+    return F.col(n) - F.ceil(F.lit(percent) * F.col(n) / 100)
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, share: float = SHARE) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, set_id.
 
     A document's set: the distinct shingles of so many words between ASCII white space, A-Z lower-cased; with fewer words
     the whole sequence is one; a null or empty text has none and is linked with nothing. Documents are linked when
     100 * intersection >= percent * union; component_id is the smallest doc_id that links reach, the own one included;
     set_id is the smallest doc_id with the same set. Shingles are compared by 64-bit hashes, equal sets by 128 bits.
-    Rows that repeat a doc_id are each reported; a row without doc_id is linked with nothing. An empty table gives no
-    rows. Other columns are ignored.
+    Rows that repeat a doc_id are each reported, and are one document where links are followed: what any of its texts is
+    linked with is reached from all of them. A row without doc_id is linked with nothing. Texts are read whole. An empty
+    table gives no rows. Other columns are ignored.
     """
     ship_code(session_of(docs))
-    signed = materialize(_signatures(docs, words))
-    rows = signed.where("kind = 0")
-    sketch = _sketch(signed.where("kind = 1").select("n", "counts"))
+    rows = materialize(_signatures(docs, words, share))
     filled = rows.where("n > 0 and doc_id is not null")
-    reps = filled.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    reps = filled.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys"))
     reps = materialize(reps)
+    # a doc_id with several texts links them
+    repeated = filled.groupBy("doc_id").agg(F.min("set").alias("s1"), F.max("set").alias("s2")).where("s1 <> s2").select("doc_id")
+    own = filled.join(repeated, "doc_id", "left_semi").select("doc_id", "set").join(reps, "set").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    own = materialize(own.where("a <> b").distinct())
 
-    met = verified(docs, _meeting_pairs(reps, percent), words, percent)
+    met = verified(docs, _meeting_pairs(reps, percent), words, percent).union(own)
     early = components(met)
-    large = materialize(early.groupBy("comp").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select(F.col("comp").alias("large")))
-    early = early.join(large, F.col("comp") == F.col("large"), "left").select("id", "comp", F.col("large").isNotNull().alias("big"))
-    placed = reps.select("rep", "n").join(early, F.col("rep") == F.col("id"), "left").select("rep", "n", F.coalesce("comp", "rep").alias("comp"), F.col("id").isNull().alias("alone"), F.coalesce("big", F.lit(False)).alias("big"))
-    prefixes = _prefixes(docs, sketch, words, percent).dropDuplicates(["doc_id"])
-    placed = materialize(placed.join(prefixes, F.col("rep") == F.col("doc_id")).select("rep", "comp", "alone", "big", "n", "need", "prefix"))
-    late = verified(docs, _candidates(placed, percent), words, percent)
+    placed = reps.join(early, F.col("rep") == F.col("id"), "left")
+    placed = materialize(placed.select("rep", "set", "n", "low", F.coalesce("comp", "rep").alias("comp")))
+    # one row: how many entries there will be
+    total = placed.agg(F.sum(F.greatest("low", F.least("n", _base_column("n", percent) + MAX_MATCH)))).first()[0] or 0
+    buckets = max(4 * partitions(session_of(docs)), -(-int(total) // BUCKET))
+    entries = materialize(_shared(_entries(docs, placed, buckets, words, percent, share)))
+    prefixes = materialize(_prefixes(entries, placed, percent, share))
+    discard(entries)
+    late = verified(docs, _candidates(prefixes, percent), words, percent)
     found = materialize(components(met.union(late)).select("id", "comp"))
 
     classes = reps.select("set", "rep").join(found, F.col("rep") == F.col("id"), "left").select("set", "rep", F.coalesce("comp", "rep").alias("comp"))

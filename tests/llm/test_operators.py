@@ -211,18 +211,98 @@ def test_ngram_join_of_a_hot_text_and_a_longer_one(spark):
     assert {g.doc_id: g.component_id for g in ngram_join.ngram_join(docs).collect()} == {i: comp[min(i, 2)] for i in range(len(texts))}
 
 
-def test_prefix_filter_is_safe():
-    """Linked sets share at least min(L) prefix tokens, whatever each chooses."""
-    rng = np.random.default_rng(1)
-    counts = rng.integers(0, 4000, ngram_join.COUNTERS).astype(np.float32)
-    for _ in range(300):
+def _random_sets(rng, n_sets=60):
+    """Sets of tokens, some linked, some with many tokens in common with others that are not."""
+    common = np.unique(rng.integers(0, 1 << 63, 120, dtype=np.uint64) * np.uint64(2))
+    out = []
+    while len(out) < n_sets:
         n = int(rng.integers(1, 200))
-        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.12], rng.integers(0, 1 << 62, max(1, n // 20), dtype=np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 75 * (len(a) + len(b) - both):
-            (la, pa), (lb, pb) = ngram_join.prefix(a, counts, 10.0), ngram_join.prefix(b, counts, 10.0)
-            assert len(np.intersect1d(pa, pb)) >= min(la, lb)
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        if rng.random() < 0.5:
+            own = np.unique(np.concatenate([own, rng.choice(common, int(rng.integers(1, 120)), replace=False)]))
+        out.append(own)
+        for _ in range(int(rng.integers(0, 3))):
+            out.append(np.unique(np.concatenate([own[rng.random(len(own)) > 0.12], rng.integers(0, 1 << 62, max(1, n // 20), dtype=np.uint64)])))
+    return [s for s in out if len(s)]
+
+
+def _counted(sets, share, counter, batch=5):
+    """What the steps before choose() find of sets that are each a component: {set: (tokens, counts)}."""
+    found = defaultdict(list)
+
+    def take(reps, tokens, counts):
+        for i, t, c in zip(reps.tolist(), tokens.view(np.uint64).tolist(), counts.tolist()):
+            found[i].append((t, c))
+
+    for at in range(0, len(sets), batch):
+        some = list(enumerate(sets))[at : at + batch]
+        each = [(i, s[: ngram_join.emitted(len(s), int(np.searchsorted(s, ngram_join._cut(share))), 75)]) for i, s in some]
+        owner = np.concatenate([np.full(len(s), i, np.int64) for i, s in each])
+        for part in counter.add(np.concatenate([s for _, s in each]).tobytes(), owner.tobytes(), owner.tobytes()):
+            take(*part)
+    take(*counter.end())
+    return {i: tuple(np.array(x, t) for x, t in zip(zip(*sorted(found[i])), (np.uint64, np.int64))) if i in found else (np.empty(0, np.uint64), np.empty(0, np.int64)) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("share,held,cap", [(0.4, 1 << 22, 1 << 16), (0.05, 1 << 22, 1 << 16), (1.0, 50, 6)])
+def test_prefix_filter_is_safe(monkeypatch, share, held, cap):
+    """Linked sets share at least min(L) prefix tokens, whatever each chooses and however tokens are counted."""
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    monkeypatch.setattr(ngram_join, "CAP", cap)
+    rng = np.random.default_rng(1)
+    linked = 0
+    for _ in range(6):
+        sets = _random_sets(rng)
+        counted = _counted(sets, share, ngram_join.Counter())
+        if cap > 1000:  # counts are the real lengths of the tokens' lists
+            holders = Counter(t for s in sets for t in s.tolist())
+            low = int(ngram_join._cut(share)) if share < 1 else 1 << 64
+            for tokens, counts in counted.values():
+                assert all(c == holders[t] for t, c in zip(tokens.tolist(), counts.tolist()) if t < low)
+        low = [int(np.searchsorted(s, ngram_join._cut(share))) for s in sets]
+        chosen = [ngram_join.choose(len(s), low[i], *counted[i], 75, share) for i, s in enumerate(sets)]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 75 * (len(a) + len(b) - both):
+                    linked += 1
+                    (la, pa, xa), (lb, pb, xb) = chosen[i], chosen[j]
+                    assert len(np.intersect1d(pa, pb)) >= min(la, lb)
+                    # the bound by position holds at the last place where the two prefixes meet
+                    for t in np.intersect1d(pa, pb):
+                        u, v = pa.tolist().index(t), pb.tolist().index(t)
+                        assert min(u, v) + min(len(a) - xa[u], len(b) - xb[v]) >= both
+    assert linked > 50
+
+
+def test_prefixes_adapt_to_the_lists():
+    """Rare tokens need one match, frequent ones many; a set of its own tokens meets nobody."""
+    tokens = np.arange(1, 41, dtype=np.uint64)
+    rare = ngram_join.choose(40, 40, tokens, np.full(40, 2))[0]
+    mixed = ngram_join.choose(40, 40, tokens, np.where(tokens <= 12, 30, 3000))[0]
+    frequent = ngram_join.choose(40, 40, tokens, np.full(40, 5000))[0]
+    assert mixed < frequent and mixed <= 2 and frequent == ngram_join.MAX_MATCH and rare == ngram_join.MAX_MATCH
+    assert len(ngram_join.choose(40, 40, tokens[:25], np.full(25, 2))[1]) == 0
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    """Rows under one doc_id are one document in links, whatever their texts."""
+    word = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(5, word("a")), (5, word("b")), (3, word("b") + " more"), (9, word("a")), (7, word("c")), (5, word("a")), (4, word("d"))]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((g.doc_id, g.component_id) for g in got) == Counter({(5, 3): 3, (3, 3): 1, (9, 3): 1, (7, 7): 1, (4, 4): 1})
+
+
+@pytest.mark.parametrize("members", [3, 1024])
+def test_verification_of_a_hub(spark, monkeypatch, members):
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)] + [" ".join(base[: 100 - 3 * i]) for i in range(1, 21)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [brute_shingles(t) for t in texts]
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 21)], "a long, b long")
+    expected = {(i, 0) for i in range(1, 21) if 100 * len(sets[i] & sets[0]) >= 75 * len(sets[i] | sets[0])}
+    assert {tuple(r) for r in ngram_join.verified(docs, pairs, 5, 75).collect()} == expected and 0 < len(expected) < 20
 
 
 def test_components(spark):
