@@ -2,18 +2,16 @@
 
 Tokens are 5-word shingles, ordered from rare to frequent. A document of n tokens with threshold t must share n - ceil(t n) + 1
 .. tokens: two linked documents share at least L tokens in their prefixes of n - ceil(t n) + L tokens. Each document chooses
-its own L from 1 to MAX_MATCH by the real lengths of its tokens' lists; a pair is a candidate when it shares min(L_a, L_b)
+its own L from 1 to MAX_MATCH by the real lengths of its tokens' lists (how many components of those left hold the token); a pair is a candidate when it shares min(L_a, L_b)
 prefix tokens, because the shorter requirement holds inside both prefixes.
 
-The order of tokens: those whose hash lies in the lowest SHARE of the space come first, by the number of components that hold
-them, then all others by hash. Counting a share of the tokens is enough, because a prefix needs little more than a quarter
-of a document's. Counts are made in buckets of hashes, each bounded whatever a token's list is; only tokens that several
-components hold go back to their documents. Most documents have so many tokens of their own that their prefix holds nothing
-else: they meet nobody.
+Most documents have so many tokens of their own that they can be linked with nobody. A first step counts, for each document,
+how many tokens of the lowest SHARE of the hash space other components hold too; when more tokens than a link allows are its own alone, it
+is done. The second step counts all tokens of the documents that are left, and they meet by their prefixes. Counts are made
+in buckets of hashes, each bounded whatever a token's list is.
 
-Large groups of copies never become pairs. Equal sets are one representative. Before the prefix join, each representative
-that shares minimum-hash keys is compared with the document it shares most of them with (of the smallest ids of its keys), and those
-links are verified; the prefix join then runs between the components found so far, so one component leaves one row in a
+Large groups of copies never become pairs. Equal sets are one representative. Before the prefix join, representatives are
+compared with the smallest ids of their minimum-hash keys where two keys or more agree, and those links are verified; the prefix join then runs between the components found so far, so one component leaves one row in a
 token's list. Only links inside a component are left out, and they change neither a component nor its smallest id.
 """
 
@@ -32,10 +30,10 @@ from lorespark.llm.graph import components
 WORDS = 5
 #: The threshold in hundredths.
 PERCENT = 75
-MAX_MATCH = 16
+MAX_MATCH = 64
 #: Minimum-hash keys by which representatives meet before the prefix join.
 KEYS = 6
-#: Part of the token space that is counted and comes first in the order.
+#: Part of the token space by which documents of their own tokens are told.
 SHARE = 0.4
 #: Token entries that a bucket holds on average; more buckets than partitions spread them.
 BUCKET = 1 << 20
@@ -43,6 +41,8 @@ BUCKET = 1 << 20
 HELD, CAP = 1 << 22, 1 << 16
 #: Token entries of one packed flush.
 FLUSH = 1 << 18
+#: Bits of the map of wanted documents: 4 MB, whatever the input's size.
+MAP = 1 << 25
 #: Documents that meet one copy of a hub's set in verification.
 MEMBERS = 1024
 #: Cost of verifying a candidate, in list entries read.
@@ -141,14 +141,25 @@ def _signatures(docs: DataFrame, words: int, share: float) -> DataFrame:
     return _bytes(docs).mapInArrow(run, "doc_id long, n long, low long, set binary, keys array<long>")
 
 
-def emitted(n: int, low: int, percent: int) -> int:
-    """How many of a document's tokens, in the order of their hashes, are counted: the counted share, or the longest prefix if that is more."""
-    return max(low, min(n, _base(n, percent) + MAX_MATCH))
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose doc_id is in ids, and perhaps of some more: texts that nobody asks for need not be shuffled.
+
+    A bit map of fixed size tells most of them; when ids are so many that it is full, all rows stay.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP)) + 1
+    marks = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marks"))
+    texts = _bytes(docs).withColumn("slot", slot).join(F.broadcast(marks), F.bitmap_bucket_number("slot") == F.col("part"))
+    at = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring("marks", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return texts.where(F.getbit(byte, (at % 8).cast("int")) == 1).select("doc_id", "text")
 
 
-def _entries(docs: DataFrame, placed: DataFrame, buckets: int, words: int, percent: int, share: float) -> DataFrame:
-    """The counted tokens of all representatives, packed by bucket: bucket, tokens, reps, comps (64-bit numbers in a row each)."""
-    texts = _bytes(docs).join(placed.select(F.col("rep").alias("doc_id"), "set", "comp"), "doc_id").select("doc_id", "text", "set", "comp")
+def _entries(texts: DataFrame, placed: DataFrame, words: int, share: float) -> DataFrame:
+    """The tokens in the share of all placed representatives, packed by bucket: bucket, tokens, reps, comps (64-bit numbers in a row each)."""
+    # one row: how many entries there will be
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * partitions(session_of(texts)), int(share * int(total)) // BUCKET)
+    texts = texts.join(placed.select(F.col("rep").alias("doc_id"), "set", "comp"), "doc_id").select("doc_id", "text", "set", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -174,8 +185,7 @@ def _entries(docs: DataFrame, placed: DataFrame, buckets: int, words: int, perce
                 s = J.shingles(text, words)
                 if xxhash.xxh3_128_digest(s.tobytes()) != whole:
                     continue  # another text under this doc_id
-                low = int(np.searchsorted(s, J._cut(share)))
-                s = s[: J.emitted(len(s), low, percent)]
+                s = s[: np.searchsorted(s, J._cut(share))] if share < 1 else s
                 waiting.append((s, i, comp))
                 held += len(s)
                 if held > J.FLUSH:
@@ -238,67 +248,65 @@ class Counter:
         return rows[1], rows[0], comps[of] if len(of) else np.empty(0, np.int32)
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """rep, token, c: a row for each counted token of a representative that other components hold too."""
+def _shared(entries: DataFrame, tokens: bool) -> DataFrame:
+    """rep, token, c: a row for each token of a representative that other components hold too; or rep and c, how many those are in a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import ngram_join as J
 
-        names = ["rep", "token", "c"]
+        def table(reps: np.ndarray, held: np.ndarray, comps: np.ndarray) -> pa.RecordBatch:
+            if tokens:
+                return pa.RecordBatch.from_arrays([*map(pa.array, (reps, held, comps))], ["rep", "token", "c"])
+            reps, counts = np.unique(reps, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(counts.astype(np.int32))], ["rep", "c"])
+
         counter, last = J.Counter(), None
         for batch in batches:
             for bucket, *packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != last and last is not None:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, counter.end())], names)
+                    yield table(*counter.end())
                     counter = J.Counter()
                 last = bucket
                 for found in counter.add(*packed):
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, found)], names)
-        yield pa.RecordBatch.from_arrays([*map(pa.array, counter.end())], names)
+                    yield table(*found)
+        yield table(*counter.end())
 
     dealt = entries.repartition(partitions(session_of(entries)), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "rep long, token long, c int")
+    return dealt.mapInArrow(run, "rep long, token long, c int" if tokens else "rep long, c int")
 
 
-def choose(n: int, low: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, share: float = SHARE) -> tuple[int, np.ndarray, np.ndarray]:
-    """Required matches L, the prefix's tokens that other components hold, and their least positions in the document's order; no tokens: no link is possible.
+def choose(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[int, np.ndarray, np.ndarray]:
+    """Required matches L, the prefix's tokens that other components hold, and their positions in the document's order; no tokens: no link is possible.
 
-    tokens: those of the document's counted tokens that other components hold, counts: how many components do. What is
-    left of the counted share is the document's own and comes first. Any L from 1 to MAX_MATCH may be asked of a pair, so a document
-    with fewer than L shared tokens in its prefix for any one L is linked with no other component. With lists of total length S,
-    at most S / L documents are in L of them: L is the one with the least cost of reading lists and verifying.
+    tokens: those of the document's n that other components hold, counts: how many components do. The others are its own and
+    come first. With lists of total length S, at most S / L documents are in L of them: L is the one with the least cost of
+    reading lists and verifying.
     """
-    nothing = 1, tokens[:0], np.empty(0, np.int64)
-    sampled = tokens < _cut(share)
-    base, most = _base(n, percent), min(MAX_MATCH, n - _base(n, percent))
-    alone = max(0, low - int(sampled.sum()))
-    if alone > base or len(tokens) < most:
-        return nothing
-    order = np.lexsort((tokens, np.where(sampled, counts, CAP + 1)))
+    base, alone = _base(n, percent), max(0, n - len(tokens))
+    if alone > base:
+        return 1, tokens[:0], np.empty(0, np.int64)
+    order = np.lexsort((tokens, counts))
     sums = np.cumsum(counts[order])
-    match = np.arange(1, most + 1)
-    inside = np.minimum(base + match - alone, len(tokens))
-    if (inside < match).any():
-        return nothing
-    total = sums[inside - 1]
+    match = np.arange(1, min(MAX_MATCH, n - base) + 1)
+    total = sums[base + match - alone - 1]
     best = int(np.argmin(total + VERIFY * total / match))
-    size = inside[best]
+    size = base + best + 1 - alone
     return best + 1, tokens[order[:size]], alone + np.arange(size)
 
 
-def _prefixes(shared: DataFrame, placed: DataFrame, percent: int, share: float) -> DataFrame:
-    """rep, comp, n, need, token, pos: the prefix's tokens that other components hold, and their least positions in the document's order."""
+def _prefixes(shared: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """rep, comp, n, need, token, pos: the prefix's tokens that other components hold, and their positions in the document's order."""
     lists = shared.groupBy("rep").agg(F.collect_list("token").alias("tokens"), F.collect_list("c").alias("counts"))
-    lists = lists.join(placed.select("rep", "comp", "n", "low"), "rep").select("rep", "comp", "n", "low", "tokens", "counts")
+    lists = lists.join(placed.select("rep", "comp", "n"), "rep").select("rep", "comp", "n", "tokens", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import ngram_join as J
 
         for part in J._parts(batches):
             need, tokens, places = [], [], []
-            for n, low, t, c in zip(part.column("n").to_pylist(), part.column("low").to_pylist(), part.column("tokens"), part.column("counts")):
+            for n, t, c in zip(part.column("n").to_pylist(), part.column("tokens"), part.column("counts")):
                 t, first = np.unique(t.values.to_numpy().view(np.uint64), return_index=True)
-                found = J.choose(n, low, t, c.values.to_numpy()[first], percent, share)
+                found = J.choose(n, t, c.values.to_numpy()[first], percent)
                 for into, x in zip((need, tokens, places), found):
                     into.append(x)
             kept = pa.array([len(t) > 0 for t in tokens], pa.bool_())
@@ -321,7 +329,8 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
     members = pairs.join(sizes, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
     hubs = sizes.select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    asked = _bytes(docs).join(members.union(hubs), "doc_id").select("hub", "salt", "role", "doc_id", "text")
+    asked = members.union(hubs)
+    asked = _of(docs, asked.select("doc_id")).join(asked, "doc_id").select("hub", "salt", "role", "doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import ngram_join as J
@@ -371,12 +380,11 @@ def _size_fits(n: str, m: str, percent: int):
 
 
 def _meeting_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """Each representative (a) with one other (b): of the smallest ids of its keys, where sizes allow a link, that of most keys."""
+    """Each representative (a) with the smallest ids (b) of its keys, where sizes allow a link and two keys or more are the same."""
     keyed = materialize(reps.select("rep", "n", F.explode("keys").alias("key")))
     first = materialize(keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first"))
     met = keyed.join(first, "key").where(F.col("rep") != F.col("first.rep")).where(_size_fits("n", "first.n", percent))
-    met = met.groupBy(F.col("rep").alias("a"), F.col("first.rep").alias("b")).agg(F.count("*").alias("keys"))
-    return met.groupBy("a").agg(F.max(F.struct("keys", -F.col("b"))).alias("most")).select("a", (-F.col("most.col2")).alias("b"))
+    return met.groupBy(F.col("rep").alias("a"), F.col("first.rep").alias("b")).agg(F.count("*").alias("same")).where("same > 1").select("a", "b")
 
 
 def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -441,12 +449,13 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shar
     early = components(met)
     placed = reps.join(early, F.col("rep") == F.col("id"), "left")
     placed = materialize(placed.select("rep", "set", "n", "low", F.coalesce("comp", "rep").alias("comp")))
-    # one row: how many entries there will be
-    total = placed.agg(F.sum(F.greatest("low", F.least("n", _base_column("n", percent) + MAX_MATCH)))).first()[0] or 0
-    buckets = max(4 * partitions(session_of(docs)), -(-int(total) // BUCKET))
-    entries = materialize(_shared(_entries(docs, placed, buckets, words, percent, share)))
-    prefixes = materialize(_prefixes(entries, placed, percent, share))
-    discard(entries)
+    # those that have more tokens of their own than a link allows are done
+    known = materialize(_shared(_entries(_bytes(docs), placed, words, share), tokens=False).groupBy("rep").agg(F.sum("c").alias("k")))
+    own = F.col("low") - F.coalesce("k", F.lit(0))
+    placed = materialize(placed.join(known, "rep", "left").where(own <= _base_column("n", percent)).select("rep", "set", "n", "comp"))
+    shared = materialize(_shared(_entries(_of(docs, placed.select(F.col("rep").alias("doc_id"))), placed, words, 1.0), tokens=True))
+    prefixes = materialize(_prefixes(shared, placed, percent))
+    discard(shared)
     late = verified(docs, _candidates(prefixes, percent), words, percent)
     found = materialize(components(met.union(late)).select("id", "comp"))
 

@@ -226,8 +226,8 @@ def _random_sets(rng, n_sets=60):
     return [s for s in out if len(s)]
 
 
-def _counted(sets, share, counter, batch=5):
-    """What the steps before choose() find of sets that are each a component: {set: (tokens, counts)}."""
+def _counted(sets, counter, batch=5):
+    """What counting finds of sets that are each a component: {set: (tokens, counts)}."""
     found = defaultdict(list)
 
     def take(reps, tokens, counts):
@@ -235,17 +235,16 @@ def _counted(sets, share, counter, batch=5):
             found[i].append((t, c))
 
     for at in range(0, len(sets), batch):
-        some = list(enumerate(sets))[at : at + batch]
-        each = [(i, s[: ngram_join.emitted(len(s), int(np.searchsorted(s, ngram_join._cut(share))), 75)]) for i, s in some]
-        owner = np.concatenate([np.full(len(s), i, np.int64) for i, s in each])
-        for part in counter.add(np.concatenate([s for _, s in each]).tobytes(), owner.tobytes(), owner.tobytes()):
+        some = sets[at : at + batch]
+        owner = np.concatenate([np.full(len(s), i, np.int64) for i, s in enumerate(some, at)])
+        for part in counter.add(np.concatenate(some).tobytes(), owner.tobytes(), owner.tobytes()):
             take(*part)
     take(*counter.end())
     return {i: tuple(np.array(x, t) for x, t in zip(zip(*sorted(found[i])), (np.uint64, np.int64))) if i in found else (np.empty(0, np.uint64), np.empty(0, np.int64)) for i in range(len(sets))}
 
 
-@pytest.mark.parametrize("share,held,cap", [(0.4, 1 << 22, 1 << 16), (0.05, 1 << 22, 1 << 16), (1.0, 50, 6)])
-def test_prefix_filter_is_safe(monkeypatch, share, held, cap):
+@pytest.mark.parametrize("held,cap", [(1 << 22, 1 << 16), (50, 6)])
+def test_prefix_filter_is_safe(monkeypatch, held, cap):
     """Linked sets share at least min(L) prefix tokens, whatever each chooses and however tokens are counted."""
     monkeypatch.setattr(ngram_join, "HELD", held)
     monkeypatch.setattr(ngram_join, "CAP", cap)
@@ -253,14 +252,11 @@ def test_prefix_filter_is_safe(monkeypatch, share, held, cap):
     linked = 0
     for _ in range(6):
         sets = _random_sets(rng)
-        counted = _counted(sets, share, ngram_join.Counter())
-        if cap > 1000:  # counts are the real lengths of the tokens' lists
-            holders = Counter(t for s in sets for t in s.tolist())
-            low = int(ngram_join._cut(share)) if share < 1 else 1 << 64
-            for tokens, counts in counted.values():
-                assert all(c == holders[t] for t, c in zip(tokens.tolist(), counts.tolist()) if t < low)
-        low = [int(np.searchsorted(s, ngram_join._cut(share))) for s in sets]
-        chosen = [ngram_join.choose(len(s), low[i], *counted[i], 75, share) for i, s in enumerate(sets)]
+        counted = _counted(sets, ngram_join.Counter())
+        holders = Counter(t for s in sets for t in s.tolist())
+        for tokens, counts in counted.values():  # counts are the real lengths of the tokens' lists
+            assert all(c == min(holders[t], cap) for t, c in zip(tokens.tolist(), counts.tolist()))
+        chosen = [ngram_join.choose(len(s), *counted[i]) for i, s in enumerate(sets)]
         for i, a in enumerate(sets):
             for j, b in enumerate(sets[:i]):
                 both = len(np.intersect1d(a, b))
@@ -268,7 +264,7 @@ def test_prefix_filter_is_safe(monkeypatch, share, held, cap):
                     linked += 1
                     (la, pa, xa), (lb, pb, xb) = chosen[i], chosen[j]
                     assert len(np.intersect1d(pa, pb)) >= min(la, lb)
-                    # the bound by position holds at the last place where the two prefixes meet
+                    # the bound by position holds wherever the two prefixes meet
                     for t in np.intersect1d(pa, pb):
                         u, v = pa.tolist().index(t), pb.tolist().index(t)
                         assert min(u, v) + min(len(a) - xa[u], len(b) - xb[v]) >= both
@@ -276,13 +272,19 @@ def test_prefix_filter_is_safe(monkeypatch, share, held, cap):
 
 
 def test_prefixes_adapt_to_the_lists():
-    """Rare tokens need one match, frequent ones many; a set of its own tokens meets nobody."""
+    """A step in the lists' lengths keeps prefixes short, even lists lengthen them; a set of its own tokens meets nobody."""
     tokens = np.arange(1, 41, dtype=np.uint64)
-    rare = ngram_join.choose(40, 40, tokens, np.full(40, 2))[0]
-    mixed = ngram_join.choose(40, 40, tokens, np.where(tokens <= 12, 30, 3000))[0]
-    frequent = ngram_join.choose(40, 40, tokens, np.full(40, 5000))[0]
-    assert mixed < frequent and mixed <= 2 and frequent == ngram_join.MAX_MATCH and rare == ngram_join.MAX_MATCH
-    assert len(ngram_join.choose(40, 40, tokens[:25], np.full(25, 2))[1]) == 0
+    mixed = ngram_join.choose(40, tokens, np.where(tokens <= 12, 30, 3000))
+    even = ngram_join.choose(40, tokens, np.full(40, 5000))
+    assert mixed[0] <= 2 < 10 < even[0] and len(mixed[1]) == 10 + mixed[0] and len(even[1]) == 10 + even[0]
+    assert len(ngram_join.choose(40, tokens[:29], np.full(29, 2))[1]) == 0
+
+
+def test_texts_that_are_asked_for(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(-300, 300)] + [(None, "none")], "doc_id long, text string")
+    asked = spark.createDataFrame([(i,) for i in range(-300, 300, 7)], "doc_id long")
+    got = {r.doc_id for r in ngram_join._of(docs, asked).collect()}
+    assert got >= set(range(-300, 300, 7)) and len(got) < 90
 
 
 def test_ngram_join_of_repeated_ids(spark):
