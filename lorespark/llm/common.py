@@ -68,15 +68,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def ship_code(spark: SparkSession) -> None:
     """Prepares for Python workers: bounds Arrow batches, and sends this package to the executors once per application."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    for name, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= bound:
+            spark.conf.set(name, bound)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -6,8 +6,8 @@ bucket. Within a bucket, equal contexts (all bytes that a stretch around the anc
 the distinct ones are sorted, their common prefixes give an interval tree by a stack scan, and in each interval the
 sorted left contexts tell how far its members extend to the left and where they differ.
 
-A bucket with more distinct contexts than a task should hold is not gathered: its stretches are counted one by one by a 64-bit hash
-and their place, which gives the same answer with bounded tasks.
+A bucket with more distinct contexts than a task should hold is not gathered: its stretches are counted one by one by the bucket, a
+64-bit hash and their place, which gives the same answer with bounded tasks.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ PAIRS = {**GROUPS, "n": "long", "before": "int", "after": "int"}
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, dig (tells apart texts under one doc_id) and the text's bytes."""
     text = text_of()
-    return docs.select("doc_id", F.hash(text).alias("dig"), text.cast("binary").alias("text"))
+    return docs.select("doc_id", F.xxhash64(text).alias("dig"), text.cast("binary").alias("text"))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
@@ -50,11 +50,6 @@ def _list(arrays: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(kind) if arrays else np.empty(0, kind)))
 
 
-def context(text: bytes, at: int, length: int) -> tuple[bytes, bytes]:
-    """What stretches around the anchor can hold to its left, and from it on."""
-    return text[max(0, at - (length - GRAM)) : at], text[at : at + length]
-
-
 def _index(docs: DataFrame, length: int) -> DataFrame:
     """Each row's anchors: place, hash of the gram, hash of the context."""
 
@@ -74,7 +69,7 @@ def _index(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), R._list(places, np.int32), R._list(grams, np.int64), R._list(around, np.int64)], ["doc_id", "dig", "at", "gram", "around"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _rows(docs).mapInArrow(run, f"doc_id {kind}, dig int, at array<int>, gram array<long>, around array<long>")
+    return _rows(docs).mapInArrow(run, f"doc_id {kind}, dig long, at array<int>, gram array<long>, around array<long>")
 
 
 def _lcp(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -160,18 +155,27 @@ class Bucket:
                     yield every, common, some
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Runs of equal gram from sorted batches."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list]]]:
+    """Runs of equal gram from sorted batches: the columns of each."""
     gram, held = None, []
+
+    def columns() -> dict[str, list]:
+        table = pa.Table.from_batches(held)
+        return {k: table.column(k).to_pylist() for k in table.column_names}
+
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["gram"] != gram:
-                if held:
-                    yield gram, held
-                gram, held = row["gram"], []
-            held.append(row)
+        grams = batch.column(batch.schema.get_field_index("gram")).to_numpy()
+        edges = [0, *(np.flatnonzero(grams[1:] != grams[:-1]) + 1).tolist(), len(grams)]
+        for i, j in zip(edges, edges[1:]):
+            if i == j:
+                continue
+            if held and grams[i] != gram:
+                yield gram, columns()
+                held = []
+            gram = int(grams[i])
+            held.append(batch.slice(i, j - i))
     if held:
-        yield gram, held
+        yield gram, columns()
 
 
 class _Texts:
@@ -207,20 +211,10 @@ class _Texts:
         texts = _rows(self.docs)
         joined = texts.join(asked, texts["doc_id"].eqNullSafe(asked["_id"]) & (texts["dig"] == asked["_dig"])).select("doc_id", "dig", "text", "asked")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from lorespark.llm import repeats as R
-
-            for part in R._parts(batches, 32):
-                out = {k: [] for k in (*keys, "doc_id", "dig", "at", "left", "right")}
-                for row in part.to_pylist():
-                    for a in row["asked"]:
-                        left, right = R.context(row["text"], a["at"], length)
-                        for k, v in (*((k, a[k]) for k in keys), ("doc_id", row["doc_id"]), ("dig", row["dig"]), ("at", a["at"]), ("left", left), ("right", right)):
-                            out[k].append(v)
-                kinds = {**dict.fromkeys(keys, pa.int64()), "dig": pa.int32(), "at": pa.int32(), "left": pa.binary(), "right": pa.binary(), "doc_id": part.schema.field("doc_id").type}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
-
-        return joined.mapInArrow(run, f"{', '.join(f'{k} long' for k in keys)}, doc_id {self.kind}, dig int, at int, left binary, right binary")
+        each = joined.select("doc_id", "dig", "text", F.explode("asked").alias("a")).select(*[f"a.{k}" for k in keys], "doc_id", "dig", "a.at", "text")
+        start = F.greatest(F.col("at") - (length - GRAM), F.lit(0))
+        left, right = F.substring("text", start + 1, F.col("at") - start), F.substring("text", F.col("at") + 1, F.lit(length))
+        return each.select(*keys, "doc_id", "dig", "at", left.alias("left"), right.alias("right"))
 
     def _sorted(self, fetched: DataFrame) -> DataFrame:
         small = fetched.where(F.col("m") <= self.bucket)
@@ -235,8 +229,9 @@ class _Texts:
             names, kinds = ["doc_id", "dig", "start", "stop"], None
             out: list[tuple] = []
             for _, rows in R._buckets(batches):
-                to_left, to_right = R.Bucket([(r["left"], r["right"]) for r in rows], length).covered()
-                out += [(r["doc_id"], r["dig"], r["at"] - a, r["at"] + b) for r, a, b in zip(rows, to_left.tolist(), to_right.tolist()) if b and r["n"] == 1]
+                to_left, to_right = R.Bucket(list(zip(rows["left"], rows["right"])), length).covered()
+                found = zip(rows["doc_id"], rows["dig"], rows["at"], rows["n"], to_left.tolist(), to_right.tolist())
+                out += [(i, dig, at - a, at + b) for i, dig, at, n, a, b in found if b and n == 1]
                 if len(out) > 10_000:
                     yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema)
                     out = []
@@ -244,8 +239,8 @@ class _Texts:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema)
 
         id_kind = pa.int64() if self.kind == "bigint" else pa.int32() if self.kind == "int" else pa.string()
-        schema = pa.schema([("doc_id", id_kind), ("dig", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
-        return self._sorted(fetched).mapInArrow(run, f"doc_id {self.kind}, dig int, start int, stop int")
+        schema = pa.schema([("doc_id", id_kind), ("dig", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+        return self._sorted(fetched).mapInArrow(run, f"doc_id {self.kind}, dig long, start int, stop int")
 
     def by_stretch(self, fetched: DataFrame) -> DataFrame:
         length = self.length
@@ -256,7 +251,7 @@ class _Texts:
             from lorespark.llm import repeats as R
 
             for part in R._parts(batches, 64):
-                ids, digs, ats, offsets, marks = [], [], [], [], []
+                ids, digs, ats, offsets, grams, marks = [], [], [], [], [], []
                 for r in part.to_pylist():
                     both, edge = r["left"] + r["right"], len(r["left"])
                     for o in range(max(0, length - len(r["right"])), edge + 1):
@@ -264,14 +259,15 @@ class _Texts:
                         digs.append(r["dig"])
                         ats.append(r["at"])
                         offsets.append(o)
+                        grams.append(r["gram"])
                         # a stretch may hold several anchors: it counts once for each gram and place of the anchor
                         marks.append(xxhash.xxh3_64_intdigest(both[edge - o : edge - o + length], r["gram"] & 0xFFFFFFFFFFFFFFFF))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field("doc_id").type), pa.array(digs, pa.int32()), pa.array(ats, pa.int32()), pa.array(offsets, pa.int16()), pa.array(np.array(marks, np.uint64).view(np.int64))], ["doc_id", "dig", "at", "o", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field("doc_id").type), pa.array(digs, pa.int64()), pa.array(ats, pa.int32()), pa.array(offsets, pa.int16()), pa.array(grams, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64))], ["doc_id", "dig", "at", "o", "gram", "mark"])
 
-        each = fetched.where(F.col("m") > self.bucket).mapInArrow(run, f"doc_id {self.kind}, dig int, at int, o short, mark long")
-        again = materialize(each.groupBy("mark", "o").agg(F.count("*").alias("c")).where("c > 1").select("mark", "o"))
+        each = fetched.where(F.col("m") > self.bucket).mapInArrow(run, f"doc_id {self.kind}, dig long, at int, o short, gram long, mark long")
+        again = materialize(each.groupBy("gram", "mark", "o").agg(F.count("*").alias("c")).where("c > 1").select("gram", "mark", "o"))
         # all stretches at an anchor hold its gram, so their union has no gap
-        found = each.join(again, ["mark", "o"]).groupBy("doc_id", "dig", "at").agg(F.max("o").alias("far"), F.min("o").alias("near"))
+        found = each.join(again, ["gram", "mark", "o"]).groupBy("doc_id", "dig", "at").agg(F.max("o").alias("far"), F.min("o").alias("near"))
         return found.select("doc_id", "dig", (F.col("at") - F.col("far")).alias("start"), (F.col("at") + length - F.col("near")).alias("stop"))
 
     def groups_by_tree(self, fetched: DataFrame) -> DataFrame:
@@ -284,12 +280,12 @@ class _Texts:
             out: list[tuple] = []
             for gram, rows in R._buckets(batches):
                 # rows that repeat a doc_id are fetched each; a context that occurs again stands twice, as all of it is repeated
-                once = list({r["around"]: r for r in rows}.values())
-                held = [*once, *(r for r in once if r["n"] > 1)]
-                for left, right, members in R.Bucket([(r["left"], r["right"]) for r in held], length).maximal():
+                once = list({x[0]: x for x in zip(rows["around"], rows["left"], rows["right"], rows["n"])}.values())
+                held = [*once, *(x for x in once if x[3] > 1)]
+                for left, right, members in R.Bucket([x[1:3] for x in held], length).maximal():
                     some = held[members[0]]
-                    if (repeat := R.repeat_id(some["left"], some["right"], left, right, length)) is not None:
-                        out += [(gram, around, repeat, left, right) for around in {held[i]["around"] for i in members.tolist()}]
+                    if (repeat := R.repeat_id(some[1], some[2], left, right, length)) is not None:
+                        out += [(gram, around, repeat, left, right) for around in {held[i][0] for i in members.tolist()}]
                     if len(out) > 10_000:
                         yield R._table(out, GROUPS)
                         out = []
