@@ -90,6 +90,26 @@ def ship_code(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Bits of a map of keys: 4 MB, whatever the input's size.
+MAP = 1 << 25
+
+
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame, of: str) -> tuple[DataFrame, DataFrame]:
+    """df's rows whose key may be in keys' column (all that are, and a few others), and those whose key is not in it.
+
+    A bit map of fixed size is broadcast, so rows that a later step need not look at aren't shuffled for it. When keys are so
+    many that the map is full, all rows are in the first part. Null is a key like others.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP)) + 1
+    marks = keys.select(slot(keys[of]).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marks"))
+    rows = df.select(F.struct("*").alias("row"), slot(df[key]).alias("slot"))
+    rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number("slot") == F.col("part"), "left")
+    at = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring("marks", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    inside = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return rows.where(inside).select("row.*"), rows.where(~inside).select("row.*")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import prefix_sums, ranged, text_of, word_count
+from lorespark.llm.common import WORD, prefix_sums, ranged, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its words.
@@ -70,14 +70,22 @@ def taken(target: str) -> Column:
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows as often as the mix takes them: whole copies, and one whole copy more where it takes a part.
+    """docs' rows as often as the mix takes them, with docs' own columns, whatever their names.
 
-    Documents without words and those beyond the budget go. Rows that share a doc_id share their words' average.
+    A source gives exactly its budget of words: where a document is taken in part, its last copy has its first words only,
+    with one space between them. Documents without words (null and empty texts too) and those beyond the budget go. Rows that
+    share a doc_id, source and size share their words evenly; what is left over of fewer words than such rows goes. An empty
+    table gives no rows.
     """
-    counts = mix(docs, **options).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken")).where("_taken > 0")
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["_mix_id"]))
-    times = F.expr("sequence(1, cast(ceil(_taken / _size) as int))")
-    return joined.withColumn("_copy", F.explode(times)).select(*docs.columns)
+    counts = mix(docs, **options).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"))
+    counts = counts.agg(F.expr("sum(taken) div count(*)").alias("taken")).where("taken > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), word_count(text_of()).alias("size"))
+    same = F.col("id").eqNullSafe(F.col("mix_id")) & F.col("of").eqNullSafe(F.col("mix_source")) & (F.col("size") == F.col("mix_size"))
+    each = rows.join(counts, same).select("row", "size", "taken", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")).alias("copy"))
+    part = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    # at most one document of each source
+    text = F.when(part < F.col("size"), F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), part), " ")).otherwise(F.col("row.text"))
+    return each.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 OP3_SQL = r"""

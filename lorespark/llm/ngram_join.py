@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import discard, materialize, partitions, session_of, ship_code, text_of
+from lorespark.llm.common import discard, materialize, partitions, session_of, ship_code, split_by_keys, text_of
 from lorespark.llm.graph import components
 
 WORDS = 5
@@ -41,8 +41,6 @@ BUCKET = 1 << 20
 HELD, CAP = 1 << 22, 1 << 16
 #: Token entries of one packed flush.
 FLUSH = 1 << 18
-#: Bits of the map of wanted documents: 4 MB, whatever the input's size.
-MAP = 1 << 25
 #: Documents that meet one copy of a hub's set in verification.
 MEMBERS = 1024
 #: Cost of verifying a candidate, in list entries read.
@@ -141,19 +139,6 @@ def _signatures(docs: DataFrame, words: int, share: float) -> DataFrame:
     return _bytes(docs).mapInArrow(run, "doc_id long, n long, low long, set binary, keys array<long>")
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the rows whose doc_id is in ids, and perhaps of some more: texts that nobody asks for need not be shuffled.
-
-    A bit map of fixed size tells most of them; when ids are so many that it is full, all rows stay.
-    """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP)) + 1
-    marks = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marks"))
-    texts = _bytes(docs).withColumn("slot", slot).join(F.broadcast(marks), F.bitmap_bucket_number("slot") == F.col("part"))
-    at = F.bitmap_bit_position("slot")
-    byte = F.conv(F.hex(F.substring("marks", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return texts.where(F.getbit(byte, (at % 8).cast("int")) == 1).select("doc_id", "text")
-
-
 def _entries(texts: DataFrame, placed: DataFrame, words: int, share: float) -> DataFrame:
     """The tokens in the share of all placed representatives, packed by bucket: bucket, tokens, reps, comps (64-bit numbers in a row each)."""
     # one row: how many entries there will be
@@ -330,7 +315,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     members = pairs.join(sizes, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
     hubs = sizes.select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     asked = members.union(hubs)
-    asked = _of(docs, asked.select("doc_id")).join(asked, "doc_id").select("hub", "salt", "role", "doc_id", "text")
+    asked = split_by_keys(_bytes(docs), "doc_id", asked, "doc_id")[0].join(asked, "doc_id").select("hub", "salt", "role", "doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import ngram_join as J
@@ -453,7 +438,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shar
     known = materialize(_shared(_entries(_bytes(docs), placed, words, share), tokens=False).groupBy("rep").agg(F.sum("c").alias("k")))
     own = F.col("low") - F.coalesce("k", F.lit(0))
     placed = materialize(placed.join(known, "rep", "left").where(own <= _base_column("n", percent)).select("rep", "set", "n", "comp"))
-    shared = materialize(_shared(_entries(_of(docs, placed.select(F.col("rep").alias("doc_id"))), placed, words, 1.0), tokens=True))
+    shared = materialize(_shared(_entries(split_by_keys(_bytes(docs), "doc_id", placed, "rep")[0], placed, words, 1.0), tokens=True))
     prefixes = materialize(_prefixes(shared, placed, percent))
     discard(shared)
     late = verified(docs, _candidates(prefixes, percent), words, percent)
@@ -467,6 +452,11 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shar
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; texts without words stay."""
-    kept = ngram_join(docs, **options).where("component_id <=> doc_id").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
+    """docs without those whose component has a smaller doc_id, with docs' own columns, whatever their names.
+
+    Null and empty texts and those without words stay, as do rows without doc_id and rows that repeat a kept doc_id. Ties
+    can't be: the smallest doc_id of a component stays. Texts are read whole; an empty table gives no rows.
+    """
+    gone = materialize(ngram_join(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    perhaps, kept = split_by_keys(docs, "doc_id", gone, "gone_id")
+    return kept.unionByName(perhaps.join(gone, perhaps["doc_id"] == gone["gone_id"], "left_anti"))

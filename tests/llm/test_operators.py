@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.llm import anchors, bm25_search, bpe, exact_dedup, graph, licenses, mixing, ngram_join, repeats, sharding, toxicity, url_filter
+from lorespark.llm import anchors, bm25_search, bpe, common, exact_dedup, graph, licenses, mixing, ngram_join, repeats, sharding, toxicity, url_filter
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -280,11 +280,39 @@ def test_prefixes_adapt_to_the_lists():
     assert len(ngram_join.choose(40, tokens[:29], np.full(29, 2))[1]) == 0
 
 
-def test_texts_that_are_asked_for(spark):
-    docs = spark.createDataFrame([(i, f"t{i}") for i in range(-300, 300)] + [(None, "none")], "doc_id long, text string")
-    asked = spark.createDataFrame([(i,) for i in range(-300, 300, 7)], "doc_id long")
-    got = {r.doc_id for r in ngram_join._of(docs, asked).collect()}
-    assert got >= set(range(-300, 300, 7)) and len(got) < 90
+def test_rows_split_by_keys(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", i, i) for i in range(-300, 300)] + [(None, "none", 0, 0)], "doc_id long, text string, row int, slot int")
+    asked = spark.createDataFrame([(i,) for i in range(-300, 300, 7)], "id long")
+    inside, outside = common.split_by_keys(docs, "doc_id", asked, "id")
+    got, rest = {r.doc_id for r in inside.collect()}, {r.doc_id for r in outside.collect()}
+    assert got >= set(range(-300, 300, 7)) and len(got) < 90 and got | rest == {*range(-300, 300), None} and not got & rest
+    assert inside.columns == outside.columns == docs.columns
+    inside, outside = common.split_by_keys(docs, "doc_id", asked.where("id is null").union(spark.createDataFrame([(None,)], "id long")), "id")
+    assert None in {r.doc_id for r in inside.collect()} and outside.count() > 500
+    assert common.split_by_keys(docs, "doc_id", asked.limit(0), "id")[0].collect() == []
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = ["row", "of", "id", "same", "kept", "sha", "size", "taken", "copy", "mix_id", "gone_id", "slot", "part", "marks", "_sha", "_taken", "_copy", "digest", "norm"]
+    r = lambda i, t, s: (i, t, s, *(f"{n}{i}" for n in names))
+    rows = [r(1, "a b c d e f g", "x"), r(2, "a b c d e f g", "x"), r(3, None, None), r(4, "one two", "y"), r(4, "other words here", "y"), r(None, "null id", "z"), r(5, "a b c d e f g h", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for stage in (exact_dedup.deduplicate, ngram_join.keep_one, mixing.apply_mix):
+        left = stage(docs)
+        assert left.columns == docs.columns
+        for g in left.collect():
+            assert all(g[n] == f"{n}{g.doc_id}" for n in names)
+    assert Counter(g.doc_id for g in exact_dedup.deduplicate(docs).collect()) == Counter({1: 1, 3: 1, 4: 2, None: 1, 5: 1})
+    assert Counter(g.doc_id for g in ngram_join.keep_one(docs).collect()) == Counter({1: 1, 3: 1, 4: 2, None: 1})
+
+
+def test_mixed_rows_have_exact_budgets(docs, rows):
+    counted = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()
+    left = Counter()
+    for g in mixing.apply_mix(docs).collect():
+        left[g.source] += len(re.findall(r"[^\x20\x09-\x0D]+", g.text))
+    # rows 9 stand three times and share their words evenly
+    assert all(0 <= g.n - left[g.source] < 3 for g in counted) and sum(left.values()) > 0
 
 
 def test_ngram_join_of_repeated_ids(spark):
