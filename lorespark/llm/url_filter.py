@@ -37,14 +37,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _slots(part: Column, mark: str) -> Column:
-    """The hashed n-grams of one part, with its ends and its kind marked."""
-    s = F.concat(F.lit("^"), part, F.lit("$"))
-
-    def of_length(n: int) -> Column:
-        starts = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(s, i, F.lit(n))), F.lit(DIMENSIONS)).cast("int"))
-
-    return F.concat(*map(of_length, GRAMS))
+    """The hashed n-grams of one part, with its ends and its kind marked: characters are split once, and grams grow by shifted arrays."""
+    letters = F.filter(F.split(F.concat(F.lit("^"), part, F.lit("$")), ""), lambda c: c != "")
+
+    def longer(grams: Column, n: int) -> Column:
+        """The grams of n characters from those of n - 1; null where the next character is missing."""
+        shifted = F.slice(letters, n, F.greatest(F.size(letters) - n + 1, F.lit(0)))
+        return F.zip_with(grams, shifted, lambda gram, c: F.concat(gram, c))
+
+    found, grams = [], letters
+    for n in range(2, max(GRAMS) + 1):
+        grams = longer(grams, n)
+        if n in GRAMS:
+            found.append(F.filter(grams, lambda gram: gram.isNotNull()))
+    return F.transform(F.concat(*found), lambda gram: F.pmod(F.xxhash64(F.lit(mark), gram), F.lit(DIMENSIONS)).cast("int"))
 
 
 def slots(host: Column, path: Column) -> Column:
