@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lorespark.llm import bm25_search, bpe, exact_dedup, licenses, mixing, ngram_join, repeats, sharding, toxicity, url_filter
 from lorespark.llm.common import read
 
@@ -29,7 +31,8 @@ def op4_bm25_topk(spark, sf_dir):
 
 
 def op5_license_scan(spark, sf_dir):
-    return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+    """The spans of the notices found stand in a JSON column."""
+    return licenses.scan_licenses(read(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def op6_ngram_join(spark, sf_dir):

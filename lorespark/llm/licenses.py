@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,13 +62,13 @@ class Scanner:
         """Words with A-Z lower-cased and other letters as they are."""
         return _WORD.findall(text if text.islower() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
-    def base_places(self, line: str) -> list[tuple[int, str]]:
+    def base_places(self, line: str, word_at: Callable[[int], int]) -> list[tuple[int, str]]:
         """(word position, label) of each exact phrase in line, which has a space before each word and at the end."""
         found = []
         for phrase, label in self.base.items():
             at = line.find(f" {phrase} ")
             while at >= 0:
-                found.append((line.count(" ", 0, at), label))
+                found.append((word_at(at), label))
                 at = line.find(f" {phrase} ", at + 1)
         return found
 
@@ -108,9 +109,17 @@ class Scanner:
     def scan(self, text: str) -> dict:
         words = self.words(text)
         line = " " + " ".join(words) + " "
-        base, spans = self.base_places(line), self.spans(line)
+        spaces: list[int] = []
+
+        def word_at(place: int) -> int:
+            """The number of spaces before a place; all spaces are listed when the first is asked for."""
+            if not spaces:
+                spaces.extend(accumulate((len(w) + 1 for w in words), initial=0))
+            return bisect_left(spaces, place)
+
+        base, spans = self.base_places(line, word_at), self.spans(line)
         starts = [p for p, _ in base]
-        at = [(line.count(" ", 0, s) - 1, line.count(" ", 0, e) - 1, label, errors) for s, e, label, errors in spans]
+        at = [(word_at(s) - 1, word_at(e) - 1, label, errors) for s, e, label, errors in spans]
         best = max((1 - errors / (e - s) for s, e, _, errors in spans), default=0.0)
         return {
             "n_words": len(words), "n_base": len(base), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
