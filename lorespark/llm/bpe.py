@@ -31,6 +31,32 @@ def _byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
+# The settings of a tokenizers file that this module encodes by.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+SUPPORTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+SUPPORTED_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+SUPPORTED_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+
+
+def check_supported(spec: dict) -> None:
+    """Raises for a file whose settings differ from those that this module encodes by: its results would be wrong."""
+    parts = [(SUPPORTED, spec, "file"), (SUPPORTED_MODEL, spec["model"], "model"), *((SUPPORTED_TOKEN, t, f"token {t['content']!r}") for t in spec["added_tokens"])]
+    for wanted, given, where in parts:
+        for k, v in wanted.items():
+            if (given.get(k) or None) != (v or None):
+                raise ValueError(f"{where}: {k} is {given.get(k)!r}; supported is {v!r}")
+
+
 _SYMBOLS = _byte_symbols()
 _BYTES = {c: b for b, c in enumerate(_SYMBOLS)}
 #: From a byte, as a Latin-1 character, to its symbol; the space stays as the separator of words.
@@ -62,6 +88,7 @@ class ForcedBoundaryBPE:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_supported(spec)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         end: str = model.get("end_of_word_suffix") or ""
@@ -181,7 +208,7 @@ def model(path: str) -> ForcedBoundaryBPE:
 def bpe(docs: DataFrame, path: str) -> DataFrame:
     """One row per row of docs: doc_id, ids (array of int), decoded (the ids decoded again, special tokens included).
 
-    path: a tokenizers JSON file with a BPE model and no decoder, present on every executor. A null or empty text gives
+    path: a tokenizers JSON file with the settings of SUPPORTED (another raises ValueError), present on every executor. A null or empty text gives
     an empty array and an empty string; repeated rows are encoded each; texts of any length are encoded whole. An empty
     table gives no rows. Other columns are ignored.
     """
