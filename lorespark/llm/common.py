@@ -30,8 +30,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured, as in tests on one machine."""
+    """The cluster's shared folder; a temporary one only where none is configured and all runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='lorespark-')}"
         spark.conf.set("spark.checkpoint.dir", base)

@@ -24,7 +24,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 
     Rows stand in the order of doc_id (null first), then text checksum and size. A row belongs to the shard in which the
     middle of its bytes falls when all bytes are cut at n_shards equal targets, so shards are contiguous and differ by
-    about one row's size. A null text has no bytes and counts with the row's own bytes, as an empty one does. Repeated
+    about one row's size. Texts count whole, however long. A null text has no bytes and counts with the row's own bytes, as an empty one does. Repeated
     rows each get a slot. A row larger than a target can leave a shard empty. An empty table gives no rows. Other columns
     are ignored.
     """

@@ -54,6 +54,20 @@ def test_sharding(docs, rows, empty):
     assert lists(sharding.shard(empty)) == []
 
 
+def test_shards_by_brute_force(docs, rows):
+    """A row is in the shard in which the middle of its bytes falls."""
+    key = lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 16)
+    ordered = sorted(map(key, rows))
+    total, at, expected, count = sum(k[3] for k in ordered), 0, Counter(), Counter()
+    for k in ordered:
+        shard = min(6, (2 * at + k[3]) * 7 // (2 * total))
+        expected[(k[1] if k[0] else None, k[3], k[2], shard, count[shard])] += 1
+        count[shard] += 1
+        at += k[3]
+    got = Counter((g.doc_id, g["size"], g.text_crc32, g.shard, g.slot) for g in sharding.shard(docs, 7).collect())
+    assert got == expected
+
+
 def water_fill(sizes, weights, most=3):
     """Reshares the excess by weight, round after round."""
     total, full = sum(sizes), set()
@@ -99,6 +113,38 @@ def test_urls(spark, empty):
     assert len(got) == 12 and url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_by_brute_force(spark):
+    """Longest rules, grams and scores against plain Python, on hosts and paths made of the rules' own parts and on a long URL."""
+    import itertools
+    import time
+
+    hosts = ["com", "Example.com", "a.example.com", "net", "x.net", "example.net", "b.example.net", "org", "o.org", "xcom", "", "é.org"]
+    paths = ["", "/", "/en/", "/en/7", "/en/71", "/de/", "/de/8", "/de/7/8", "/es/", "/es", "/en/7?q=/de/", "/ü/en/"]
+    urls = [f"https://{h}{p}" for h, p in itertools.product(hosts, paths)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([(f"https://{h}{p}", float(i % 2)) for i, (h, p) in enumerate(itertools.product(hosts, paths))], "url string, label double")
+    weights, intercept = url_filter.train(table, 512) if url_filter.DIMENSIONS == 512 else url_filter.train(table)
+    grams_of = lambda s: [s[i : i + n] for n in url_filter.GRAMS for i in range(len(s) - n + 1)]
+    each = {(m, g) for u in urls for m, part in zip("hp", _host_path(u)) for g in grams_of(f"^{part}$")}
+    slot = {(r.m, r.g): r.s for r in spark.createDataFrame(list(each), "m string, g string").selectExpr("m", "g", f"cast(pmod(xxhash64(m, g), {url_filter.DIMENSIONS}) as int) s").collect()}
+    for r in url_filter.filter_urls(pages, table=table).collect():
+        host, path = _host_path(urls[r.page_id])
+        assert (r.host, r.path) == (host, path)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        margin = intercept + sum(weights[i] for i in {slot[m, g] for m, part in zip("hp", (host, path)) for g in grams_of(f"^{part}$")})
+        assert abs(r.score - 1 / (1 + math.exp(-margin))) < 1e-9
+        assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "block" if r.score >= 0.5 else "allow"))
+    long = spark.createDataFrame([(1, "https://a.b/" + "é" * 400_000)], "page_id long, url string")
+    began = time.time()
+    assert url_filter.filter_urls(long, table=table).collect()[0].path == "/" + "é" * 400_000
+    assert time.time() - began < 60
+
+
+def _host_path(url):
+    host, path = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url).groups()
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
+
+
 def test_url_model_on_other_hosts(spark):
     bad = ["https://pills-cheap.example.org/fr/1", "https://www.casino-night.example.net/de/3", "https://spam-farm2.example.com/es/4", "https://adult-x9.example.com/de/1"]
     good = ["https://www.theatre.example.org/fr/1", "https://blog.ththe.example.com/de/3", "https://news.example.net/about", "https://m.garden.example.org/es/9"]
@@ -132,6 +178,43 @@ def test_fuzzy_notices():
         assert "".join(p for _, p in licenses.pieces(notice, 3)) == notice
 
 
+def test_notices_by_edit_distance():
+    """Every span is within its notice's errors; a notice with few enough errors and no others near it is found in place."""
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    r, scanner = random.Random(4), licenses.Scanner()
+    for _ in range(150):
+        label, notice, errors = r.choice(licenses.NOTICES)
+        damaged = list(notice)
+        for _ in range(r.randint(0, errors)):
+            at = r.randrange(len(damaged))
+            kind = r.randrange(3)
+            damaged[at : at + (kind != 1)] = [] if kind == 0 else [r.choice("qxz")]
+        before, after = ["filler"] * r.randint(0, 9), ["other"] * r.randint(0, 9)
+        words = [*before, *"".join(damaged).split(), *after]
+        spans = scanner.scan(" ".join(words))["spans"]
+        assert any(s["label"] == label for s in spans)
+        for s in spans:
+            found = " ".join(words[s["first_word"] : s["last_word"] + 1])
+            assert any(x == s["label"] and distance(found, n) == s["errors"] <= e for x, n, e in licenses.NOTICES)
+
+
+def test_many_phrases_take_linear_time():
+    import time
+
+    began = time.time()
+    got = licenses.Scanner().scan("mit license " * 100_000)
+    assert got["n_base"] == 100_000 and got["last_word"] == 199_998 and time.time() - began < 60
+
+
 def test_inexact_notices_beside_better_ones():
     def spans(text):
         return [(s["first_word"], s["last_word"], s["label"], s["errors"]) for s in licenses.Scanner().scan(text)["spans"]]
@@ -429,6 +512,23 @@ def test_bpe(docs, rows, empty):
     assert bpe.bpe(empty, path).collect() == []
 
 
+def test_bpe_files_with_other_settings_are_refused():
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_supported(spec)
+    for part, key, value in ((spec, "normalizer", None), (spec, "decoder", {"type": "ByteLevel"}), (spec["model"], "byte_fallback", True), (spec["added_tokens"][0], "lstrip", True)):
+        with pytest.raises(ValueError):
+            was, part[key] = part[key], value
+            try:
+                bpe.check_supported(spec)
+            finally:
+                part[key] = was
+
+
 def test_bpe_on_random_texts():
     import random
 

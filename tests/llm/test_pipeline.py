@@ -20,8 +20,10 @@ def test_stages(spark, docs, rows, folder):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, now, folder)
         assert after.columns == docs.columns
-        texts = Counter(r.text for r in after.collect())
-        assert set(texts) <= {r[1] for r in rows}
+        whole = {r[1] for r in rows}
+        # a mix may end in a document's first words
+        heads = {" ".join(t.split()) for t in whole if t} if name == "mixing" else set()
+        assert all(r.text in whole or any(h.startswith(r.text) for h in heads) for r in after.collect())
         now = after
     result = corpus_pipeline.STAGES[-1][1](spark, now, folder)
     assert Counter(r.doc_id for r in result.collect()) == Counter(r.doc_id for r in now.collect())
