@@ -1,15 +1,18 @@
-"""Exact top-k BM25 search: an inverted index per shard with block maxima, dynamic pruning by them, exact merge.
+"""Exact top-k BM25 search: an inverted index per shard, block-max WAND over its blocks, exact merge.
 
 Statistics (documents, mean length, document frequencies) are global, so a document's score does not depend on its shard
 and the k best of all shards are the k best of all.
 
-In a shard, documents are numbered and cut into blocks. For each term the index keeps its postings in document order and,
-per block, the largest score that the term gives there. A query adds its terms' block maxima (an upper bound for every
-document of the block), visits blocks from the highest bound down, scores all their documents exactly, and stops when the
-k-th best score so far is above the next bound. A block at the bound itself is still visited, so ties keep the smallest ids.
+Shards hold a bounded number of postings, whatever lengths documents have, and are built once, as a table, without a shuffle.
+In a shard, documents are ordered by their most frequent word (so languages stand together), numbered and cut into blocks that all terms
+share. For each term the index has its postings in document order and, per block, the largest score that the term gives there.
 
-This is pruning by block maxima in the order of the bounds, not block-max WAND: no term cursors, pivots or skips. The
-results are the same, the exact k best.
+A query walks through a shard's blocks in document order. Its threshold is the k-th best score so far, also of the shards that the
+same task has searched before. The pivot is the next block in which the maxima of all terms whose cursors reach it add
+up to the threshold: a block below it holds no document of the result, and the cursors of all terms skip it unread. As all terms
+share block borders, sums of maxima are found for a whole shard at once, and STEP pivots are scored at a time. The blocks with the
+largest sums come first, so the walk starts with a threshold. A block at the threshold itself is still read, so ties keep
+the smallest ids.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ from lorespark.llm.common import materialize, session_of, ship_code, text_of
 
 K1, B = 1.2, 0.75
 TOP = 10
-#: Documents of a shard (bounds a task's memory), of a block, and queries that visit a shard together.
-SHARD, BLOCK, QUERIES = 8192, 64, 8192
-#: Blocks scored before the first look at the threshold; twice as many before each later one.
-STEP = 4
+#: Postings of a shard and query terms that pass through the shards together: they bound a task's memory, and the broadcast.
+POSTINGS, TERMS = 1 << 20, 1 << 20
+#: Documents of a block, and pivots that are scored before the next look at the threshold.
+BLOCK, STEP = 64, 8
+#: Stands for a null doc_id: it comes first among ties.
+NO_ID = -(1 << 63)
 
 
 def term_ids(text: bytes) -> np.ndarray:
@@ -40,63 +45,64 @@ def term_ids(text: bytes) -> np.ndarray:
 
 
 class Shard:
-    """ids ascending; terms, counts: the bags of the documents one after the other; sizes: their numbers of distinct terms."""
+    """ids: of the documents in the shard's order; terms, docs, counts: its postings by term and document; lengths: words of each document."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, lengths: np.ndarray, mean: float):
-        self.ids = ids
+    def __init__(self, ids: np.ndarray, terms: np.ndarray, docs: np.ndarray, counts: np.ndarray, lengths: np.ndarray, mean: float):
+        self.ids, self.doc = ids, docs.astype(np.int64)
         counts = counts.astype(np.float64)
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        norm = K1 * (1 - B + B * lengths / mean)
-        order = np.lexsort((doc, terms))
-        self.doc, terms = doc[order], terms[order]
         # a posting's share of the score, without the term's rarity
-        self.impact = (counts[order] * (K1 + 1) / (counts[order] + norm[self.doc])) if len(order) else counts
+        self.impact = counts * (K1 + 1) / (counts + (K1 * (1 - B + B * lengths / mean))[self.doc])
         self.vocabulary, starts = np.unique(terms, return_index=True)
         self.starts = np.append(starts, len(terms))
-        cell = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.starts)) * (len(ids) // BLOCK + 1) + self.doc // BLOCK
+        self.blocks = -(-len(ids) // BLOCK)
+        cell = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.starts)) * (self.blocks + 1) + self.doc // BLOCK
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
         self.cell_block = self.doc[first] // BLOCK
         self.cell_best = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
         self.cell_starts = np.append(first, len(cell))
         self.term_cells = np.searchsorted(first, self.starts)
-        self.blocks = -(-len(ids) // BLOCK)
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, blocks scored) of the k best documents with a positive score; terms are distinct."""
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, scores, postings scored) of the k best documents with a positive score, those of earlier shards (best) among them; terms are distinct."""
+        ids, scores = best or (np.empty(0, np.int64), np.empty(0))
         at = np.searchsorted(self.vocabulary, terms)
         at[at == len(self.vocabulary)] = 0
         have = self.vocabulary[at] == terms if len(self.vocabulary) else np.zeros(len(terms), bool)
         at, idf = at[have], idf[have]
         if not len(at):
-            return np.empty(0, np.int64), np.empty(0), 0
+            return ids, scores, 0
         a, b = self.term_cells[at], self.term_cells[at + 1]
         cells = np.repeat(a - np.append(0, np.cumsum(b - a)[:-1]), b - a) + np.arange((b - a).sum())
         weight = np.repeat(idf, b - a)
         block = self.cell_block[cells]
-        bounds = np.bincount(block, weight * self.cell_best[cells], self.blocks)
-        visit = np.argsort(-bounds, kind="stable")
+        # bounds are sums in another order than scores: a hair more keeps rounding from dropping a tie
+        bounds = np.bincount(block, weight * self.cell_best[cells], self.blocks) * (1 + 1e-9)
         by_block = np.argsort(block, kind="stable")
         edges = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        best_docs, best, scored, least = np.empty(0, np.int64), np.empty(0), 0, 0.0
-        at_block, step = 0, STEP
-        while at_block < len(visit):
-            some = visit[at_block : at_block + step]
-            at_block, step = at_block + step, 2 * step
-            # bounds are sums in another order than scores: a hair of slack keeps rounding from dropping a tie
-            some = some[(bounds[some] > 0) & (bounds[some] * (1 + 1e-9) >= least)]
-            if not len(some):
-                break
-            scored += len(some)
-            chosen = np.sort(np.concatenate([by_block[edges[j] : edges[j + 1]] for j in some]))
-            lo, hi = self.cell_starts[cells[chosen]], self.cell_starts[cells[chosen] + 1]
-            posts = np.repeat(lo - np.append(0, np.cumsum(hi - lo)[:-1]), hi - lo) + np.arange((hi - lo).sum())
-            docs, place = np.unique(self.doc[posts], return_inverse=True)
-            score = np.bincount(place, np.repeat(weight[chosen], hi - lo) * self.impact[posts])
-            best_docs, best = np.append(best_docs, docs), np.append(best, np.round(score, 6))
-            keep = np.lexsort((self.ids[best_docs], -best))[:k]
-            best_docs, best = best_docs[keep], best[keep]
-            least = best[-1] - 1e-6 if len(best) == k else 0.0
-        return self.ids[best_docs], best, scored
+        scored, unread = 0, bounds > 0
+        some = np.argsort(-bounds, kind="stable")[:STEP]
+        cursor = 0
+        while True:
+            least = scores[-1] - 1e-6 if len(scores) == k else 0.0
+            some = some[unread[some] & (bounds[some] >= least)]
+            if len(some):
+                unread[some] = False
+                chosen = np.sort(np.concatenate([by_block[edges[j] : edges[j + 1]] for j in some.tolist()]))
+                lo, hi = self.cell_starts[cells[chosen]], self.cell_starts[cells[chosen] + 1]
+                posts = np.repeat(lo - np.append(0, np.cumsum(hi - lo)[:-1]), hi - lo) + np.arange((hi - lo).sum())
+                scored += len(posts)
+                docs, place = np.unique(self.doc[posts], return_inverse=True)
+                found = np.round(np.bincount(place, np.repeat(weight[chosen], hi - lo) * self.impact[posts]), 6)
+                docs, found = docs[found >= least], found[found >= least]
+                ids, scores = np.append(ids, self.ids[docs]), np.append(scores, found)
+                keep = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[keep], scores[keep]
+                least = scores[-1] - 1e-6 if len(scores) == k else 0.0
+            # the next pivots
+            ahead = np.flatnonzero(unread[cursor:] & (bounds[cursor:] >= least))[:STEP] + cursor
+            if not len(ahead):
+                return ids, scores, scored
+            some, cursor = ahead, int(ahead[-1]) + 1
 
 
 def _bags(docs: DataFrame) -> DataFrame:
@@ -118,60 +124,108 @@ def _bags(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, terms array<long>, counts array<int>, length long")
 
 
+def _index(bags: DataFrame) -> DataFrame:
+    """One row per shard: its documents' ids and lengths, and its postings by term and document, as numbers in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lorespark.llm import bm25_search as S
+
+        names = ["ids", "lengths", "terms", "docs", "counts"]
+        held: list[tuple] = []
+        size = 0
+
+        def shard() -> pa.RecordBatch:
+            ids, terms, counts, lengths = zip(*held)
+            # documents whose most frequent word is the same stand together
+            usual = np.array([t[np.argmax(c)] if len(t) else 0 for t, c in zip(terms, counts)], np.int64)
+            order = np.argsort(usual, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            docs = np.repeat(place, [len(t) for t in terms])
+            terms, counts = np.concatenate(terms), np.concatenate(counts).astype(np.int32)
+            by = np.lexsort((docs, terms))
+            rows = np.array(ids, np.int64)[order], np.array(lengths, np.int64)[order], terms[by], docs[by], counts[by]
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in rows], names)
+
+        for batch in batches:
+            ids, lengths = batch.column(0).fill_null(S.NO_ID).to_pylist(), batch.column(3).to_pylist()
+            terms, counts = batch.column(1), batch.column(2)
+            edges, flat, numbers = terms.offsets.to_numpy(), terms.values.to_numpy(), counts.values.to_numpy()
+            off = counts.offsets.to_numpy()
+            for i, n, a, b, c, d in zip(ids, lengths, edges[:-1].tolist(), edges[1:].tolist(), off[:-1].tolist(), off[1:].tolist()):
+                held.append((i, flat[a:b].copy(), numbers[c:d].copy(), n))
+                size += b - a
+                if size >= S.POSTINGS:
+                    yield shard()
+                    held, size = [], 0
+        if held:
+            yield shard()
+
+    return bags.select("doc_id", "terms", "counts", "length").mapInArrow(run, "ids binary, lengths binary, terms binary, docs binary, counts binary")
+
+
+def _found(index: DataFrame, asked: pa.Table, mean: float, k: int) -> DataFrame:
+    """query_id, doc_id, score: the k best of the shards that each task reads, for queries (query_id, term, idf) of bounded size."""
+    edges = asked.column("term").combine_chunks()
+    plain = edges.offsets.to_numpy(), edges.values.to_numpy(), asked.column("idf").combine_chunks().values.to_numpy(), asked.column("query_id").to_numpy()
+    shared = session_of(index).sparkContext.broadcast(plain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lorespark.llm import bm25_search as S
+
+        offsets, terms, idf, queries = shared.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, lengths, words, docs, counts = (np.frombuffer(batch.column(j)[i].as_py(), t) for j, t in enumerate((np.int64, np.int64, np.int64, np.int32, np.int32)))
+                shard = S.Shard(ids, words, docs, counts, lengths, mean)
+                for q in range(len(queries)):
+                    a, b = offsets[q], offsets[q + 1]
+                    best[q] = shard.search(terms[a:b], idf[a:b], k, best[q])[:2]
+        sizes = [len(ids) for ids, _ in best]
+        if sum(sizes):
+            columns = np.repeat(queries, sizes), np.concatenate([ids for ids, _ in best]), np.concatenate([s for _, s in best])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["query_id", "doc_id", "score"])
+
+    return index.mapInArrow(run, "query_id long, doc_id long, score double")
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, doc_id, score (6 decimals), rank (1 to k): the k best documents of each query, ties by doc_id.
 
-    docs: doc_id, text; queries: query_id, text. A query asks for its distinct words; every document is searched, the
-    query's own row too. BM25 with k1 = 1.2, b = 0.75 and idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Null and empty texts
-    match nothing and ask for nothing; such queries give no rows. Rows that repeat a doc_id are documents of their own; a
-    null doc_id comes first among ties. An empty table gives no rows. Other columns are ignored.
+    docs: doc_id, text; queries: query_id, text. A query asks for its distinct words, under a repeated query_id for those of all its
+    rows; every document is searched, the query's own row too. BM25 with k1 = 1.2, b = 0.75 and
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Null and empty texts match nothing and ask for nothing; such queries, and those without
+    query_id, give no rows. Texts are read whole, however long. Rows that repeat a doc_id are documents of their own; a null
+    doc_id comes first among ties. An empty table gives no rows. Other columns are ignored.
 
-    Queries go through the shards in blocks: each pair of a shard and a block of queries is one task's work.
+    Queries go through the index in blocks of about TERMS words: one block at a time is broadcast, and each task searches the
+    shards that it reads. Nothing of the index is shuffled.
     """
     spark = session_of(docs)
     ship_code(spark)
     bags = materialize(_bags(docs))
-    asked = materialize(_bags(queries.select(F.col("query_id").alias("doc_id"), "text")).where("length > 0").select(F.col("doc_id").alias("query_id"), "terms"))
     n, mean = bags.agg(F.count("*"), F.avg("length")).first()
+    nothing = spark.range(0).select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     if not n or not mean:
-        return spark.range(0).select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    rarity = bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term")
+        return nothing
+    asked = _bags(queries.where("query_id is not null").select(F.col("query_id").alias("doc_id"), "text"))
+    asked = materialize(asked.select(F.col("doc_id").alias("query_id"), F.explode("terms").alias("term")).distinct())
+    rarity = bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(asked.select("term").distinct(), "term")
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.select("query_id", F.explode("terms").alias("term")).join(rarity.select("term", idf.alias("idf")), "term")
-    weighed = weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
-    n_shards, n_blocks = max(1, -(-n // SHARD)), max(1, -(-asked.count() // QUERIES))
-    shards = bags.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
-    blocks = weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    left = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "doc_id", "terms", "counts", "length").groupBy("shard", "block")
-    right = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), "block", "query_id", F.col("terms.term").alias("term"), F.col("terms.idf").alias("idf")).groupBy("shard", "block")
-
-    def work(documents: pa.Table, questions: pa.Table) -> pa.Table:
-        from lorespark.llm import bm25_search as S
-
-        documents = documents.sort_by("doc_id") if documents.num_rows else documents
-        bags = documents.column("terms").combine_chunks()
-        lengths = documents.column("length").to_numpy().astype(np.float64)
-        numbers = documents.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-        order = np.argsort(numbers, kind="stable")
-        if len(order) and (order[1:] < order[:-1]).any():  # null ids first
-            documents = documents.take(pa.array(order))
-            bags, numbers, lengths = documents.column("terms").combine_chunks(), numbers[order], lengths[order]
-        sizes = np.diff(bags.offsets.to_numpy())
-        shard = S.Shard(numbers, sizes, bags.flatten().to_numpy(), documents.column("counts").combine_chunks().flatten().to_numpy(), lengths, mean)
-        ids, docs_, scores = [], [], []
-        asked = questions.column("term").combine_chunks() if questions.num_rows else None
-        if asked is not None:
-            edges, terms, idf = asked.offsets.to_numpy() - asked.offsets[0].as_py(), asked.flatten().to_numpy(), questions.column("idf").combine_chunks().flatten().to_numpy()
-            for q, lo, hi in zip(questions.column("query_id").to_pylist(), edges[:-1], edges[1:]):
-                found, score, _ = shard.search(terms[lo:hi], idf[lo:hi], k)
-                ids.append(np.full(len(found), q, np.int64))
-                docs_.append(found)
-                scores.append(score)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        return pa.table({"query_id": pa.array(join(ids, np.int64)), "doc_id": pa.array(join(docs_, np.int64)), "score": pa.array(join(scores, np.float64))})
-
-    found = left.cogroup(right).applyInArrow(work, "query_id long, doc_id long, score double")
+    weighed = asked.join(rarity.select("term", idf.alias("idf")), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
+    weighed = materialize(weighed.select("query_id", F.col("terms.term").alias("term"), F.col("terms.idf").alias("idf")))
+    words = weighed.agg(F.sum(F.size("term"))).first()[0]
+    if not words:
+        return nothing
+    index = materialize(_index(bags))
+    blocks = max(1, -(-words // TERMS))
+    found = None
+    for block in range(blocks):
+        part = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        if part.num_rows:
+            part = materialize(_found(index, part, mean, k))
+            found = part if found is None else found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    return best.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

@@ -615,8 +615,9 @@ def test_convolution_gradient():
 
 def test_bm25_search(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(bm25_search, "BLOCK", 4)
-    monkeypatch.setattr(bm25_search, "SHARD", 9)
-    monkeypatch.setattr(bm25_search, "QUERIES", 3)
+    monkeypatch.setattr(bm25_search, "STEP", 2)
+    monkeypatch.setattr(bm25_search, "POSTINGS", 200)
+    monkeypatch.setattr(bm25_search, "TERMS", 300)
     bags = [(r[0], Counter((r[1] or "").encode().lower().split())) for r in rows]
     n, mean = len(bags), sum(sum(b.values()) for _, b in bags) / len(bags)
     df = Counter(w for _, b in bags for w in b)
@@ -636,10 +637,32 @@ def test_bm25_search(docs, rows, empty, monkeypatch):
     assert bm25_search.search(empty, queries).collect() == [] and bm25_search.search(docs, queries.limit(0)).collect() == []
 
 
-def test_block_maxima_save_work():
+def test_block_max_wand_is_exact_and_saves_work(monkeypatch):
+    """On random shards in turn: the k best by brute force, ties by id, with fewer postings read; a running threshold saves more."""
+    monkeypatch.setattr(bm25_search, "BLOCK", 8)
+    monkeypatch.setattr(bm25_search, "STEP", 2)
     rng = np.random.default_rng(3)
-    sizes = np.full(2000, 20)
-    terms = np.sort(np.stack([rng.choice(5000, 20, replace=False) for _ in sizes]), 1).ravel()
-    shard = bm25_search.Shard(np.arange(2000), sizes, terms, np.ones(len(terms), np.int32), sizes.astype(float), 20.0)
-    ids, scores, visited = shard.search(terms[:20], np.full(20, 5.0), 1)
-    assert ids.tolist() == [0] and visited < shard.blocks
+    read, alone, all_postings = 0, 0, 0
+    for _ in range(5):
+        shards, bags = [], {}
+        for number in range(4):
+            n = 500
+            sets = [np.sort(rng.choice(np.arange(i % 4 * 3000, i % 4 * 3000 + 3000), 30, replace=False)) for i in range(n)]
+            ids = rng.permutation(n) + number * n
+            sets = [sets[i] for i in np.argsort([i % 4 for i in range(n)], kind="stable")]
+            bags |= {int(i): (set(t.tolist()), 1) for i, t in zip(ids, sets)}
+            terms, docs = np.concatenate(sets), np.repeat(np.arange(n), 30)
+            by = np.lexsort((docs, terms))
+            shards.append(bm25_search.Shard(ids, terms[by], docs[by], np.ones(len(by), np.int32), np.full(n, 30.0), 30.0))
+        query = np.sort(rng.choice(3000, 200, replace=False))
+        idf = np.round(rng.random(200), 1)
+        weight = dict(zip(query.tolist(), idf.tolist()))
+        expected = sorted(((-round(sum(weight.get(t, 0) for t in b), 6), i) for i, (b, _) in bags.items()))[:5]
+        best = None
+        for shard in shards:
+            *best, scored = shard.search(query, idf, 5, tuple(best) if best else None)
+            read += scored
+            alone += shard.search(query, idf, 5)[2]
+            all_postings += sum(len(b & set(query.tolist())) for i, (b, _) in bags.items() if i in shard.ids)
+        assert [(-s, i) for i, s in zip(best[0].tolist(), best[1].tolist())] == expected
+    assert read < alone < all_postings
