@@ -7,12 +7,13 @@ Shards hold a bounded number of postings, whatever lengths documents have, and a
 In a shard, documents are ordered by their most frequent word (so languages stand together), numbered and cut into blocks that all terms
 share. For each term the index has its postings in document order and, per block, the largest score that the term gives there.
 
-A query walks through a shard's blocks in document order. Its threshold is the k-th best score so far, also of the shards that the
-same task has searched before. The pivot is the next block in which the maxima of all terms whose cursors reach it add
-up to the threshold: a block below it holds no document of the result, and the cursors of all terms skip it unread. As all terms
-share block borders, sums of maxima are found for a whole shard at once, and STEP pivots are scored at a time. The blocks with the
-largest sums come first, so the walk starts with a threshold. A block at the threshold itself is still read, so ties keep
-the smallest ids.
+A query's threshold is the k-th best score so far, also of the shards that the same task has searched before; the blocks with the
+largest sums of maxima are scored first where there is none. Of a query's terms, in the order of their maxima in the shard, those whose maxima
+add up to less than the threshold can't carry a document: their cursors propose no pivot. The other terms' postings are read, and each document
+in them is a pivot, bounded by what they give it and by the block maxima of the terms that were left out. A pivot below the threshold is skipped; the
+others are scored in full, by jumps of the cursors to them, the most promising first, so the threshold rises. A document at
+the threshold itself is still scored, so ties keep the smallest ids. This is block-max WAND with the pivots of a whole shard found
+at once, which suits numpy; most queries here have hundreds of terms, of which few carry a document.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ K1, B = 1.2, 0.75
 TOP = 10
 #: Postings of a shard and query terms that pass through the shards together: they bound a task's memory, and the broadcast.
 POSTINGS, TERMS = 1 << 20, 1 << 20
-#: Documents of a block, and pivots that are scored before the next look at the threshold.
-BLOCK, STEP = 64, 8
+#: Documents of a block; blocks scored to have a threshold; pivots scored before the first look at it, twice as many before each later one.
+BLOCK, FIRST, STEP = 8, 32, 32
 #: Stands for a null doc_id: it comes first among ties.
 NO_ID = -(1 << 63)
 
@@ -61,9 +62,12 @@ class Shard:
         self.cell_best = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
         self.cell_starts = np.append(first, len(cell))
         self.term_cells = np.searchsorted(first, self.starts)
+        # the largest score that each term gives in the shard, and one ascending key for each posting
+        self.term_best = np.maximum.reduceat(self.impact, starts) if len(starts) else np.empty(0)
+        self.key = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.starts)) * len(ids) + self.doc
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, postings scored) of the k best documents with a positive score, those of earlier shards (best) among them; terms are distinct."""
+        """(ids, scores, postings read) of the k best documents with a positive score, those of earlier shards (best) among them; terms are distinct."""
         ids, scores = best or (np.empty(0, np.int64), np.empty(0))
         at = np.searchsorted(self.vocabulary, terms)
         at[at == len(self.vocabulary)] = 0
@@ -71,38 +75,72 @@ class Shard:
         at, idf = at[have], idf[have]
         if not len(at):
             return ids, scores, 0
+        most = idf * self.term_best[at]
+        order = np.argsort(most, kind="stable")
+        at, idf, most = at[order], idf[order], most[order]
+        read, done = 0, np.zeros(len(self.ids), bool)
+
+        def keep(docs: np.ndarray, found: np.ndarray) -> None:
+            nonlocal ids, scores
+            found = np.round(found, 6)
+            docs, found = docs[found > 0], found[found > 0]
+            ids, scores = np.append(ids, self.ids[docs]), np.append(scores, found)
+            first = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[first], scores[first]
+
+        def least() -> float:
+            return scores[-1] - 1e-6 if len(scores) == k else 0.0
+
+        if len(scores) < k:
+            bounds = self._bounds(at, idf)
+            some = np.argsort(-bounds, kind="stable")[:FIRST]
+            docs = np.concatenate([np.arange(j * BLOCK, min((j + 1) * BLOCK, len(self.ids))) for j in np.sort(some).tolist()])
+            found, n = self._full(at, idf, docs)
+            done[docs] = True
+            read += n
+            keep(docs, found)
+        # a hair less, as sums are taken in several orders
+        carried = int(np.searchsorted(np.cumsum(most) * (1 + 1e-9), least()))
+        few, main = (at[:carried], idf[:carried]), (at[carried:], idf[carried:])
+        lo, hi = self.starts[main[0]], self.starts[main[0] + 1]
+        posts = _ranges(lo, hi)
+        read += len(posts)
+        given = np.bincount(self.doc[posts], np.repeat(main[1], hi - lo) * self.impact[posts], len(self.ids))
+        bounds = self._bounds(*few)
+        bounds = (given + np.repeat(bounds, BLOCK)[: len(given)]) * (1 + 1e-9)
+        pivots = np.flatnonzero((given > 0) & ~done & (bounds >= least()))
+        pivots = pivots[np.argsort(-bounds[pivots], kind="stable")]
+        step = STEP
+        while len(pivots):
+            some, pivots, step = pivots[:step], pivots[step:], 2 * step
+            found, n = self._full(*few, some)
+            read += n
+            keep(some, given[some] + found)
+            pivots = pivots[bounds[pivots] >= least()]
+        return ids, scores, read
+
+    def _bounds(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """For each block, the sum of these terms' maxima."""
         a, b = self.term_cells[at], self.term_cells[at + 1]
-        cells = np.repeat(a - np.append(0, np.cumsum(b - a)[:-1]), b - a) + np.arange((b - a).sum())
-        weight = np.repeat(idf, b - a)
-        block = self.cell_block[cells]
-        # bounds are sums in another order than scores: a hair more keeps rounding from dropping a tie
-        bounds = np.bincount(block, weight * self.cell_best[cells], self.blocks) * (1 + 1e-9)
-        by_block = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        scored, unread = 0, bounds > 0
-        some = np.argsort(-bounds, kind="stable")[:STEP]
-        cursor = 0
-        while True:
-            least = scores[-1] - 1e-6 if len(scores) == k else 0.0
-            some = some[unread[some] & (bounds[some] >= least)]
-            if len(some):
-                unread[some] = False
-                chosen = np.sort(np.concatenate([by_block[edges[j] : edges[j + 1]] for j in some.tolist()]))
-                lo, hi = self.cell_starts[cells[chosen]], self.cell_starts[cells[chosen] + 1]
-                posts = np.repeat(lo - np.append(0, np.cumsum(hi - lo)[:-1]), hi - lo) + np.arange((hi - lo).sum())
-                scored += len(posts)
-                docs, place = np.unique(self.doc[posts], return_inverse=True)
-                found = np.round(np.bincount(place, np.repeat(weight[chosen], hi - lo) * self.impact[posts]), 6)
-                docs, found = docs[found >= least], found[found >= least]
-                ids, scores = np.append(ids, self.ids[docs]), np.append(scores, found)
-                keep = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[keep], scores[keep]
-                least = scores[-1] - 1e-6 if len(scores) == k else 0.0
-            # the next pivots
-            ahead = np.flatnonzero(unread[cursor:] & (bounds[cursor:] >= least))[:STEP] + cursor
-            if not len(ahead):
-                return ids, scores, scored
-            some, cursor = ahead, int(ahead[-1]) + 1
+        cells = _ranges(a, b)
+        return np.bincount(self.cell_block[cells], np.repeat(idf, b - a) * self.cell_best[cells], self.blocks)
+
+    def _full(self, at: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, int]:
+        """What these terms give these documents, and how many postings they have there: a jump of each cursor to each document."""
+        if not len(at) or not len(docs):
+            return np.zeros(len(docs)), 0
+        wanted = (at[:, None] * len(self.ids) + docs[None, :]).ravel()
+        place = np.searchsorted(self.key, wanted)
+        place[place == len(self.key)] = 0
+        hit = self.key[place] == wanted
+        parts = np.where(hit, self.impact[place], 0).reshape(len(at), len(docs))
+        return idf @ parts, int(hit.sum())
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers from lo to hi of each pair, one after the other."""
+    n = hi - lo
+    return np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
 
 
 def _bags(docs: DataFrame) -> DataFrame:
