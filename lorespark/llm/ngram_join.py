@@ -143,7 +143,7 @@ def _entries(texts: DataFrame, placed: DataFrame, words: int, share: float) -> D
     """The tokens in the share of all placed representatives, packed by bucket: bucket, tokens, reps, comps (64-bit numbers in a row each)."""
     # one row: how many entries there will be
     total = placed.agg(F.sum("n")).first()[0] or 0
-    buckets = max(4 * partitions(session_of(texts)), int(share * int(total)) // BUCKET)
+    buckets = max(2 * partitions(session_of(texts)), int(share * int(total)) // BUCKET)
     texts = texts.join(placed.select(F.col("rep").alias("doc_id"), "set", "comp"), "doc_id").select("doc_id", "text", "set", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
