@@ -212,18 +212,54 @@ def clean_excerpt(text: Column) -> Column:
 
 
 def fit_lines(text: Column, most: Column) -> Column:
-    """The longest run of leading lines within a token budget: struct(text, tokens). It stops at the first line that does not fit."""
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("over"), F.lit(0).alias("n"))
+    """The longest run of leading lines within a token budget: struct(text, tokens, n lines). It stops at the first line that does not fit.
+
+    A line end counts one token, but for one that goes on a run of line ends: so tokens are added line by line.
+    """
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("over"), F.lit(0).alias("n"), F.lit(False).alias("runs"))
 
     def step(state: Column, line: Column) -> Column:
-        longer = F.when(state["n"] == 0, line).otherwise(F.concat(state["text"], F.lit("\n"), line))
-        tokens = token_count(longer)
+        first = state["n"] == 0
+        longer = F.when(first, line).otherwise(F.concat(state["text"], F.lit("\n"), line))
+        tokens = state["tokens"] + F.when(first | state["runs"], 0).otherwise(1) + token_count(line)
         stop = state["over"] | (tokens > most)
-        return F.struct(F.when(stop, state["text"]).otherwise(longer).alias("text"), F.when(stop, state["tokens"]).otherwise(tokens).alias("tokens"), stop.alias("over"), F.when(stop, state["n"]).otherwise(state["n"] + 1).alias("n"))
+        return F.struct(
+            F.when(stop, state["text"]).otherwise(longer).alias("text"), F.when(stop, state["tokens"]).otherwise(tokens).alias("tokens"), stop.alias("over"),
+            F.when(stop, state["n"]).otherwise(state["n"] + 1).alias("n"), (~first & line.rlike(r"^\r*$")).alias("runs"),
+        )
 
     return F.aggregate(F.split(text, "\n"), start, step)
 
 
+def first_tokens(text: Column, most: Column) -> Column:
+    """The longest prefix within a token budget, by bisection over characters, without white space at its ends."""
+    start = F.struct(F.lit(0).alias("low"), F.char_length(text).alias("high"))
+
+    def step(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"] + 1) / 2).cast("int")
+        fits = token_count(F.substring(text, F.lit(1), middle)) <= most
+        done = state["low"] >= state["high"]
+        return F.struct(F.when(done | ~fits, state["low"]).otherwise(middle).alias("low"), F.when(done | fits, state["high"]).otherwise(middle - 1).alias("high"))
+
+    size = F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, step, lambda s: s["low"])
+    return F.regexp_replace(F.substring(text, F.lit(1), size), r"^\s+|\s+$", "")
+
+
+def truncate(text: Column, most: Column) -> Column:
+    """The text cut to a token budget: whole lines where one fits, else as many characters of the first line as do."""
+    lines = fit_lines(text, most)
+    by_lines = F.regexp_replace(lines["text"], r"\n+$", "")
+    return F.when(token_count(text) <= most, text).when(lines["n"] > 0, by_lines).otherwise(first_tokens(text, most))
+
+
+def fit(text: Column, most: Column) -> Column:
+    """struct(text, truncated, ok): whole if it fits, else cut and marked; not ok, and empty, where too little room is left for that."""
+    room = most - token_count(F.lit(CUT_MARK))
+    whole, ok = token_count(text) <= most, room >= LEAST_ROOM
+    cut = F.when(whole, text).when(ok, F.concat(truncate(text, room), F.lit(CUT_MARK))).otherwise(F.lit(""))
+    return F.struct(cut.alias("text"), (~whole).alias("truncated"), (whole | ok).alias("ok"))
+
+
 def first_tokens_py(text: str, most: int) -> str:
     """The longest prefix within a token budget, by bisection over characters; for texts of one overlong line."""
     low, high = 0, len(text)

@@ -91,9 +91,14 @@ def compile_bundle(ranked: DataFrame, tasks: DataFrame, fingerprint: str, max_to
     budget = max(1, int(max_tokens * T.BUDGET_SHARE))
     chosen = pack(ranked, budget).select("bundle_id", F.explode("selected").alias("s"), "truncated").select("bundle_id", F.col("s.chunk_id").alias("chunk_id"), "truncated")
     picked = ranked.withColumn("chunk_id", F.col("chunk_id").cast("string")).join(chosen, ["bundle_id", "chunk_id"])
-    cut = T.fit_lines(F.col("content"), F.lit(max(1, budget - T.LEAST_ROOM)))
-    picked = picked.withColumn("content", F.when(F.col("truncated"), F.concat(cut["text"], F.lit(T.CUT_MARK))).otherwise(F.col("content")))
     heads = tasks.select("bundle_id", "task", "scopes", F.lit(fingerprint).alias("fingerprint"))
+    # what stands around the one section that is cut: its header, the named parts of the bundle's head, the rest of that, the mark
+    section = T.section_header(F.col("doc_path"), F.col("heading"), F.col("updated_at"), F.col("changes"), F.col("changed_at"))
+    named = F.concat_ws(" ", "bundle_id", F.lit(fingerprint), F.array_join("scopes", ", "), T.one_line(F.col("task")))
+    around = T.token_count(section) + T.token_count(named) + T.token_count(F.lit(T.CUT_MARK)) + T.LEAST_ROOM
+    cut = F.concat(T.truncate(F.col("content"), F.greatest(F.lit(1).cast("long"), F.lit(budget) - around)), F.lit(T.CUT_MARK))
+    picked = picked.join(heads.select("bundle_id", "task", "scopes"), "bundle_id", "left").withColumn("content", F.when(F.col("truncated"), cut).otherwise(F.col("content"))).drop("task", "scopes")
+    picked = picked.withColumn("tokens", F.when(F.col("truncated"), T.token_count(F.col("content"))).otherwise(F.col("tokens")))
     return shrink(picked.drop("truncated"), heads, budget)
 
 
@@ -120,8 +125,7 @@ def issue_bundle(issues: DataFrame, ranked: DataFrame, tasks: DataFrame, fingerp
     issues: bundle_id, issue; the others as in compile_bundle. The whole stays within the budget of a plain bundle.
     """
     budget = max(1, int(max_tokens * T.BUDGET_SHARE))
-    head = T.fit_lines(F.col("issue"), F.lit(budget // 2))
-    first = issues.select("bundle_id", head["text"].alias("head"))
+    first = issues.select("bundle_id", T.truncate(F.col("issue"), F.lit(budget // 2)).alias("head"))
     rules = compile_bundle(ranked, tasks, fingerprint, max(1, int((budget - budget // 2 - 2) / T.BUDGET_SHARE)))
     both = first.join(rules.select("bundle_id", F.col("text").alias("rules")), "bundle_id", "left")
     text = F.concat_ws("\n\n", "head", "rules")

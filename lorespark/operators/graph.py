@@ -29,12 +29,13 @@ def resolve_links(links: DataFrame, paths: DataFrame) -> DataFrame:
     t = F.trim("target")
     slash = t.contains("/")
     ways = F.when(F.col("kind") == "markdown", F.array(relative)).when(slash, F.array(t, F.concat(t, F.lit(".md")), relative, F.concat(relative, F.lit(".md")))).otherwise(F.expr("cast(array() as array<string>)"))
-    asked = links.withColumn("_row", F.monotonically_increasing_id())
-    tries = asked.select("_row", F.posexplode(ways).alias("way", "path"))
-    exact = tries.join(paths.select("path"), "path").groupBy("_row").agg(F.min_by("path", "way").alias("exact"))
+    key = ["from_path", "target", "kind"]
+    asked = links.select(*key).distinct()
+    tries = asked.select(*key, F.posexplode(ways).alias("way", "path"))
+    exact = tries.join(paths.select("path"), "path").groupBy(*key).agg(F.min_by("path", "way").alias("exact"))
     base = lambda p: F.lower(F.regexp_replace(F.regexp_extract(p, r"([^/]*)$", 1), r"\.md$", ""))
     named = paths.groupBy(base(F.col("path")).alias("_base")).agg(F.min(F.struct(F.char_length("path").alias("n"), "path")).alias("p")).select("_base", F.col("p.path").alias("named"))
-    found = asked.withColumn("_base", F.when(F.col("kind") != "markdown", base(t))).join(exact, "_row", "left").join(named, "_base", "left")
+    found = links.withColumn("_base", F.when(F.col("kind") != "markdown", base(t))).join(exact, key, "left").join(named, "_base", "left")
     return found.select(*links.columns, F.coalesce("exact", "named", F.lit("")).alias("to_path"))
 
 

@@ -110,11 +110,12 @@ def _hybrid(s, d):
 _VEC50 = """vs AS (
   SELECT query_id, vec_id AS chunk_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS score FROM embeddings, qv
 ), vec AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) WHERE rank <= 50)"""
-_FUSED = f"""{_bm25_sql(_WHOLE, 50, False)}, {D.QUERY_VECTORS}, {_VEC50}, parts AS (
+_PARTS = """parts AS (
   SELECT query_id, chunk_id, (CASE WHEN all_terms THEN 1.0 ELSE 0.25 END)::DOUBLE / (60 + rank) AS s FROM bm25
   UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) FROM vec
 ), fused AS (SELECT query_id, chunk_id, round(sum(s), 9) AS score FROM parts GROUP BY ALL
 ), hybrid AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM fused)"""
+_FUSED = f"{_bm25_sql(_WHOLE, 50, False)}, {D.QUERY_VECTORS}, {_VEC50}, {_PARTS}"
 
 
 @query(f"WITH {_FUSED} SELECT * FROM hybrid")
@@ -122,6 +123,19 @@ def rrf_hybrid(s, d):
     return _hybrid(s, d)
 
 
+@query(f"""WITH {_bm25_sql(_WHOLE, 50, True)}, {D.QUERY_VECTORS}, vs AS (
+  SELECT qv.query_id, vec_id AS chunk_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS score
+  FROM embeddings e, qv JOIN queries q USING (query_id) WHERE list_contains(q.scopes, ['de', 'en', 'es', 'fr'][e.label % 4 + 1])
+), vec AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) WHERE rank <= 50), {_PARTS}
+SELECT * FROM hybrid""")
+def rrf_hybrid_scoped(s, d):
+    queries = D.queries(s, d)
+    vectors = D.vectors(s, d).withColumn("scope", F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("scope") % 4 + 1))
+    asked = D.query_vectors(s, d).drop("scopes").join(queries.select("query_id", "scopes"), "query_id")
+    lexical = retrieval.bm25(D.whole(s, d), queries, retrieval.FUSION_DEPTH, scoped=True)
+    return retrieval.hybrid(lexical, retrieval.vector_topk(vectors, asked, retrieval.FUSION_DEPTH, scoped=True))
+
+
 @query(f"""WITH {_FUSED}, sections AS (
   SELECT DISTINCT q.query_id, source AS doc, doc_id AS chunk_id FROM queries q JOIN documents ON source = 'src' || q.query_id % 20
 ), listed AS (
@@ -189,14 +203,14 @@ def bundle_order(s, d):
 
 @query(f"""WITH t AS (SELECT item_id, list_sort(list_distinct({D.sql_terms('text')})) AS terms FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))), 6) AS jaccard
-FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))) >= 0.3""")
+FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))) >= 0.1""")
 def near_duplicates(s, d):
     sets = D.table(s, d, "benchmark").select("item_id", T.term_set(F.col("text")).alias("terms"))
     each = sets.select("item_id", F.explode("terms").alias("term"), F.size("terms").alias("n"))
     met = each.alias("x").join(each.alias("y"), F.expr("x.term = y.term and x.item_id < y.item_id"))
     counted = met.groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count("*").alias("c"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"))
     j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return counted.where(j >= 0.3).select("a", "b", F.round(j, 6).alias("jaccard"))
+    return counted.where(j >= 0.1).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
 @query("""SELECT item_id, sha256('v2' || chr(0) || text || chr(0) || 'conventions,domain' || chr(0) || '2000' || chr(0) || 'f00d' || chr(0) || 'hash-64' || chr(0) || 'a/b.go,c.go') AS cache_key FROM benchmark""")
@@ -465,7 +479,8 @@ def window_session(s, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval over documents and vectors, then the budget fill."""
-    return retrieval.search_context(D.whole(spark, sf_dir), D.queries(spark, sf_dir), D.vectors(spark, sf_dir), D.query_vectors(spark, sf_dir).drop("scopes"))
+    found = retrieval.search_context(D.whole(spark, sf_dir), D.queries(spark, sf_dir), D.vectors(spark, sf_dir), D.query_vectors(spark, sf_dir), top_k=10)
+    return found.select("query_id", F.array_join(F.col("picked").cast("array<string>"), ",").alias("picked"), "tokens", "omitted", "top_score", "margin")
 
 
 @query()

@@ -238,3 +238,83 @@ def test_issue_bundle_fits(spark):
 
     got = issue_bundle(issue, df, tasks, "f" * 16, 400).first()
     assert got.tokens <= 380 and got.text.startswith("line 0") and "## domain/d.md" in got.text
+
+
+def _search_tables(spark):
+    import random
+
+    r = random.Random(2)
+    words = [f"term{i}" for i in range(30)]
+    scopes = ["domain", "conventions", "projects/x"]
+    chunks = [(i, f"d{i % 7}", scopes[i % 3], i, " ".join(r.choice(words) for _ in range(r.randint(5, 60)))) for i in range(60)]
+    chunks = [(*c, len(c[4].split()) * 3) for c in chunks]
+    vectors = [(i, [r.uniform(-1, 1) for _ in range(4)], scopes[i % 3]) for i in range(60)]
+    queries = [(q, " ".join(r.sample(words, 4)), [["domain"], [], ["domain", "conventions"], ["projects/x"]][q % 4]) for q in range(8)] + [(99, "  ", ["domain"])]
+    asked = [(q, [r.uniform(-1, 1) for _ in range(4)], ["projects/x"]) for q in [*range(8), 99]]
+    return (
+        spark.createDataFrame(chunks, "chunk_id long, doc_id string, scope string, position int, content string, tokens long"),
+        spark.createDataFrame(queries, "query_id long, query string, scopes array<string>"),
+        spark.createDataFrame(vectors, "chunk_id long, embedding array<double>, scope string"),
+        spark.createDataFrame(asked, "query_id long, qe array<double>, scopes array<string>"),
+        {c[0]: c for c in chunks}, {q[0]: q[2] for q in queries},
+    )
+
+
+@pytest.mark.parametrize("mode,most,top", [(None, 200, 5), ("bm25", 90, 3), ("vector", 300, 500), (None, 1, 0), (None, 0, 4)])
+def test_search_keeps_to_scopes_and_budget(spark, mode, most, top):
+    """No way of finding a section leaves the query's scopes, the budget is 95 %, the number of sections is bounded."""
+    chunks, queries, vectors, asked, by_id, scopes = _search_tables(spark)
+    governing = spark.createDataFrame([(q, f"d{d}") for q in range(8) for d in (1, 4)] + [(99, "d1")], "query_id long, doc string")
+    got = retrieval.search_context(chunks, queries, vectors, asked, top_k=top, max_tokens=most, scoped=True, mode=mode, governing=governing, max_top_k=6, default_scopes=["conventions"]).collect()
+    budget = max(1, int((most or 2000) * 0.95))
+    for g in got:
+        allowed = scopes[g.query_id] or ["conventions"]
+        assert all(by_id[i][2] in allowed for i in g.picked) and g.budget == budget
+        assert g.tokens == sum(by_id[i][5] for i in g.picked) <= budget and len(g.picked) <= min(top or 8, 6)
+        assert (g.mode, g.query_id != 99) == (mode or "hybrid", True)
+        assert (g.top_score == 0) == (mode == "bm25")
+    assert {g.query_id for g in got} == set(range(8))
+
+
+def test_search_wants_vectors_and_attaches_drift(spark):
+    chunks, queries, vectors, asked, by_id, _ = _search_tables(spark)
+    with pytest.raises(ValueError):
+        retrieval.search_context(chunks, queries, mode="hybrid")
+    filled = retrieval.search_context(chunks, queries, max_tokens=500)
+    drift = spark.createDataFrame([("d1", 4, "2024-01-01"), ("other", 9, "2024-01-02")], "path string, commits int, last_change_at string")
+    got = retrieval.answers(filled, chunks.withColumn("doc_path", F.col("doc_id")), drift).collect()
+    assert len(got) == sum(len(g.picked) for g in filled.collect()) > 0
+    assert all((g.changes, g.changed_at) == ((4, "2024-01-01") if g.doc_path == "d1" else (None, None)) for g in got)
+
+
+def test_texts_are_cut_to_a_budget(spark):
+    import random
+
+    from lorespark.functions import text as T
+
+    r = random.Random(6)
+    texts = ["", "\n\n\n", "one", "a\n\r\nb\n\n\nc", "x" * 400, ("word " * 300).strip(), "line one\n" + "y" * 900]
+    texts += ["".join(r.choice(["alpha ", "\n", "\r", "12345 ", "?!", "überlänge ", "\n\n"]) for _ in range(60)) for _ in range(40)]
+    rows = [(t, m) for t in texts for m in (1, 7, 50, 120)]
+    df = spark.createDataFrame(rows, "t string, m int")
+    cut, fit, lines = T.truncate(F.col("t"), F.col("m")), T.fit(F.col("t"), F.col("m")), T.fit_lines(F.col("t"), F.col("m"))
+    for g in df.select("t", "m", cut.alias("cut"), fit.alias("fit"), lines.alias("lines")).collect():
+        assert T.count_tokens(g.cut) <= g.m and g.lines.tokens == T.count_tokens(g.lines.text)
+        whole = T.count_tokens(g.t) <= g.m
+        assert (g.cut == g.t) if whole else g.t.strip().startswith(g.cut.strip())
+        leading = g.t.split("\n")
+        fitting = max((k for k in range(len(leading) + 1) if all(T.count_tokens("\n".join(leading[:i])) <= g.m for i in range(1, k + 1))), default=0)
+        assert g.lines.n == fitting
+        if not whole and fitting == 0:
+            assert g.cut == T.first_tokens_py(g.t, g.m).strip()
+        assert g.fit.ok == (whole or g.m - T.count_tokens(T.CUT_MARK) >= T.LEAST_ROOM) and T.count_tokens(g.fit.text) <= g.m
+
+
+def test_a_bundle_of_one_long_line_is_not_empty(spark):
+    from lorespark.operators import bundle
+
+    line = " ".join(f"word{i}" for i in range(3000))
+    ranked = spark.createDataFrame([("b", 1, "c", line, 9000, "domain/a.md", "A", "domain", None, 0, None)], "bundle_id string, rank int, chunk_id string, content string, tokens int, doc_path string, heading string, scope string, updated_at timestamp, changes int, changed_at timestamp")
+    tasks = spark.createDataFrame([("b", "task", ["domain"])], "bundle_id string, task string, scopes array<string>")
+    got = bundle.compile_bundle(ranked, tasks, "f", 1000).collect()[0]
+    assert got.kept == 1 and 600 < got.tokens <= 950 and "word5" in got.text and "~9000" not in got.text
