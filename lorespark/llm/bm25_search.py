@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import materialize, session_of, ship_code, text_of
+from lorespark.llm.common import materialize, only, session_of, ship_code, text_of
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -149,6 +149,7 @@ def _bags(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import bm25_search as S
 
+        S.only("ngram_join")
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

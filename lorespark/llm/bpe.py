@@ -216,7 +216,9 @@ def bpe(docs: DataFrame, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm.bpe import ROWS, model
+        from lorespark.llm.common import only
 
+        only("bpe")
         coder = model(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):

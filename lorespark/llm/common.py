@@ -112,6 +112,17 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame, of: str) -> tuple[Da
     return rows.where(inside).select("row.*"), rows.where(~inside).select("row.*")
 
 
+def only(own: str) -> None:
+    """Lets go the memos and models that other operators' code holds in this Python worker. For the start of a task: workers are used again."""
+    import sys
+
+    held = {"ngram_join": lambda m: m._hashes.clear(), "toxicity": lambda m: m._slots.clear(), "bpe": lambda m: m.model.cache_clear(), "licenses": lambda m: m.scanner.cache_clear()}
+    for name, clear in held.items():
+        module = sys.modules.get(f"lorespark.llm.{name}")
+        if module is not None and name != own:
+            clear(module)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -155,8 +155,10 @@ def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
     ship_code(session_of(docs))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lorespark.llm.common import only
         from lorespark.llm.licenses import _ARROW, ROWS, scanner
 
+        only("licenses")
         find = scanner(notices)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):

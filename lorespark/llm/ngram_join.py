@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import discard, materialize, partitions, session_of, ship_code, split_by_keys, text_of
+from lorespark.llm.common import discard, materialize, only, partitions, session_of, ship_code, split_by_keys, text_of
 from lorespark.llm.graph import components
 
 WORDS = 5
@@ -129,6 +129,7 @@ def _signatures(docs: DataFrame, words: int, share: float) -> DataFrame:
 
         from lorespark.llm import ngram_join as J
 
+        J.only("ngram_join")
         for part in J._parts(batches):
             sets = [J.shingles(t, words) for t in part.column(1).to_pylist()]
             keys = pa.array([J._min_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
@@ -151,6 +152,7 @@ def _entries(texts: DataFrame, placed: DataFrame, words: int, share: float) -> D
 
         from lorespark.llm import ngram_join as J
 
+        J.only("ngram_join")
         waiting: list[tuple[np.ndarray, int, int]] = []
         held = 0
 
@@ -320,6 +322,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import ngram_join as J
 
+        J.only("ngram_join")
         last, found = None, None
         for part in J._parts(batches):
             out = []

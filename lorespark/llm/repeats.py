@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.anchors import GRAM, anchors
-from lorespark.llm.common import discard, materialize, partitions, session_of, ship_code, text_of
+from lorespark.llm.common import discard, materialize, only, partitions, session_of, ship_code, text_of
 
 LENGTH = 200
 #: Distinct contexts of a bucket that are gathered: MEAN times a partition's share of all, within these bounds. The upper
@@ -58,6 +58,7 @@ def _index(docs: DataFrame, length: int) -> DataFrame:
 
         from lorespark.llm import repeats as R
 
+        R.only("repeats")
         reach = length - R.GRAM
         for part in R._parts(batches):
             places, grams, around = [], [], []
