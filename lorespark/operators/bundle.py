@@ -49,37 +49,56 @@ def order(sections: DataFrame) -> DataFrame:
     return sections.withColumn("place", F.row_number().over(Window.partitionBy("bundle_id").orderBy(scope_rank(F.col("scope")), "rank", "chunk_id")))
 
 
+def _section() -> Column:
+    """One section as it stands in a bundle: its header and body."""
+    header = T.section_header(F.col("doc_path"), F.col("heading"), F.col("updated_at"), F.col("changes"), F.col("changed_at"))
+    return F.concat(F.lit("\n"), header, F.lit("\n\n"), T.body(F.col("content")), F.lit("\n"))
+
+
+def _bundle(n: Column, tokens: Column, texts: Column) -> Column:
+    """A bundle's text from the columns of heads, the number of its sections, their tokens and their texts."""
+    head = F.concat(
+        F.lit("<!-- context bundle "), F.col("bundle_id"), F.lit(" · "), n.cast("string"), F.lit(" section(s), ~"), tokens.cast("string"),
+        F.lit(" tokens · scopes: "), F.array_join("scopes", ", "), F.lit(" · index "), F.col("fingerprint"), F.lit(" · task: "), T.one_line(F.col("task")), F.lit(" -->\n"),
+    )
+    return F.concat(head, F.when(n > 0, F.array_join(texts, "")).otherwise(F.lit("\n(no matching knowledge)\n")))
+
+
 def render(sections: DataFrame, heads: DataFrame) -> DataFrame:
     """bundle_id, text: a comment line, then each section's header and body. Equal input gives equal bytes.
 
     sections: bundle_id, place, doc_path, heading, content, tokens, updated_at, changes, changed_at; heads: bundle_id, task,
     scopes, fingerprint.
     """
-    one = F.concat(F.lit("\n"), T.section_header(F.col("doc_path"), F.col("heading"), F.col("updated_at"), F.col("changes"), F.col("changed_at")), F.lit("\n\n"), T.body(F.col("content")), F.lit("\n"))
-    parts = sections.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("place", one.alias("text")))).alias("p"), F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    parts = sections.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("place", _section().alias("text")))).alias("p"), F.count("*").alias("n"), F.sum("tokens").alias("t"))
     joined = heads.join(parts, "bundle_id", "left")
-    head = F.concat(
-        F.lit("<!-- context bundle "), F.col("bundle_id"), F.lit(" · "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" section(s), ~"), F.coalesce("t", F.lit(0)).cast("string"),
-        F.lit(" tokens · scopes: "), F.array_join("scopes", ", "), F.lit(" · index "), F.col("fingerprint"), F.lit(" · task: "), T.one_line(F.col("task")), F.lit(" -->\n"),
-    )
-    text = F.coalesce(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit("\n(no matching knowledge)\n"))
-    return joined.select("bundle_id", F.concat(head, text).alias("text"))
+    texts = F.coalesce(F.transform("p", lambda x: x["text"]), F.expr("cast(array() as array<string>)"))
+    return joined.select("bundle_id", _bundle(F.coalesce("n", F.lit(0)), F.coalesce("t", F.lit(0)), texts).alias("text"))
 
 
 def shrink(sections: DataFrame, heads: DataFrame, budget: int) -> DataFrame:
     """bundle_id, kept, text, tokens: the most leading ranks whose rendered text fits; if not even one does, the text of none.
 
-    All prefixes of a bundle (at most 40) are rendered and the largest that fits is taken, instead of a loop.
+    A bundle's sections (at most 40) are rendered once and move once; inside the row, prefixes are joined from the longest on
+    until one fits, mostly the first.
     """
-    sized = sections.groupBy("bundle_id").agg(F.max("rank").alias("most"), F.collect_set("rank").alias("ranks"))
-    tries = heads.join(sized, "bundle_id", "left").select(F.col("bundle_id").alias("whole"), "task", "scopes", "fingerprint", F.explode(F.array_append(F.coalesce("ranks", F.expr("cast(array() as array<int>)")), F.lit(0))).alias("keep"))
-    tries = tries.withColumn("bundle_id", F.concat_ws("|", "whole", "keep"))
-    parts = tries.select("bundle_id", F.col("whole"), "keep").join(sections.withColumnRenamed("bundle_id", "whole"), "whole").where("rank <= keep").drop("whole", "keep")
-    rendered = render(order(parts.drop("place")), tries).join(tries.select("bundle_id", "whole", "keep"), "bundle_id")
-    rendered = rendered.withColumn("text", F.regexp_replace("text", r"^(<!-- context bundle [^|]*)\|\d+", "$1")).withColumn("tokens", T.token_count(F.col("text")))
-    fits = rendered.where((F.col("tokens") <= budget) | (F.col("keep") == 0))
-    best = F.max_by(F.struct("keep", "text", "tokens"), "keep").alias("b")
-    return fits.groupBy(F.col("whole").alias("bundle_id")).agg(best).select("bundle_id", F.col("b.keep").alias("kept"), F.col("b.text").alias("text"), F.col("b.tokens").alias("tokens"))
+    item = F.struct(scope_rank(F.col("scope")).alias("s"), F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("id"), _section().alias("text"), F.col("tokens").cast("long").alias("t"))
+    parts = sections.groupBy("bundle_id").agg(F.array_sort(F.collect_list(item)).alias("p"))
+    none = F.expr("cast(array() as array<int>)")
+    joined = heads.join(parts, "bundle_id", "left")
+    joined = joined.withColumn("ranks", F.array_append(F.coalesce(F.sort_array(F.array_distinct(F.transform("p", lambda x: x["rank"])), asc=False), none), F.lit(0)))
+
+    def cut(keep: Column) -> Column:
+        kept = F.filter("p", lambda x: x["rank"] <= keep)
+        text = F.when(keep > 0, _bundle(F.size(kept), F.aggregate(kept, F.lit(0).cast("long"), lambda t, x: t + x["t"]), F.transform(kept, lambda x: x["text"])))
+        text = F.coalesce(text, _bundle(F.lit(0), F.lit(0), F.expr("cast(array() as array<string>)")))
+        # an array of one, so that the text is made once
+        return F.get(F.transform(F.array(text), lambda x: F.struct(keep.alias("keep"), x.alias("text"), T.token_count(x).cast("long").alias("tokens"))), F.lit(0))
+
+    start = F.struct(F.lit(None).cast("int").alias("keep"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("tokens"))
+    step = lambda s, keep: F.when((s["tokens"] <= budget) & (s["keep"] > 0), s).otherwise(cut(keep))
+    best = joined.select("bundle_id", F.aggregate("ranks", start, step).alias("b"))
+    return best.select("bundle_id", F.col("b.keep").alias("kept"), F.col("b.text").alias("text"), F.col("b.tokens").alias("tokens"))
 
 
 def compile_bundle(ranked: DataFrame, tasks: DataFrame, fingerprint: str, max_tokens: int) -> DataFrame:
@@ -103,8 +122,16 @@ def compile_bundle(ranked: DataFrame, tasks: DataFrame, fingerprint: str, max_to
 
 
 def put_bundles(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """The cache with new rows (cache_key, at, ...): the first row of a key stays."""
-    return cache.unionByName(new).groupBy("cache_key").agg(F.min_by(F.struct(*[c for c in cache.columns if c != "cache_key"]), "at").alias("r")).select("cache_key", "r.*")
+    """The cache with new rows (cache_key, bundle_id, at, ...): a row that is there stays, of new ones with one key the first by at and bundle_id."""
+    both = cache.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    row = F.struct(*[c for c in cache.columns if c != "cache_key"])
+    return both.groupBy("cache_key").agg(F.min_by(row, F.struct("_new", "at", "bundle_id")).alias("r")).select("cache_key", "r.*")
+
+
+def use_bundles(cache: DataFrame, asked: DataFrame) -> DataFrame:
+    """The cache with its hits counted up: by one for each row of asked (cache_key) that it has."""
+    times = asked.groupBy("cache_key").agg(F.count("*").alias("_times"))
+    return cache.join(times, "cache_key", "left").withColumn("hits", F.col("hits") + F.coalesce("_times", F.lit(0))).select(cache.columns)
 
 
 def prune_bundles(cache: DataFrame, fingerprint: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEPTH = 10
@@ -45,6 +48,28 @@ def failing(report: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def token_bench(sizes: DataFrame) -> DataFrame:
-    """mode: mean, median (element n div 2), max tokens and coverage of bundles (mode, tokens, covered)."""
-    out = sizes.groupBy("mode").agg(F.avg("tokens").alias("mean"), F.array_sort(F.collect_list("tokens")).alias("l"), F.max("tokens").alias("max"), F.avg(F.col("covered").cast("double")).alias("coverage"))
-    return out.select("mode", F.round("mean", 6).alias("mean"), F.get("l", F.floor(F.size("l") / 2).cast("int")).alias("median"), "max", F.round("coverage", 6).alias("coverage"))
+    """mode: mean, median (element n div 2), max tokens and coverage of bundles (mode, tokens, covered).
+
+    Equal sizes are counted before they move, so a mode holds one row for each distinct size; the median is read off the running count.
+    """
+    each = sizes.groupBy("mode", "tokens").agg(F.count("*").alias("n"), F.sum(F.col("covered").cast("long")).alias("c"))
+    inside = Window.partitionBy("mode")
+    each = each.withColumn("upto", F.sum("n").over(inside.orderBy("tokens"))).withColumn("all", F.sum("n").over(inside))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("tokens")))
+    return each.groupBy("mode").agg(
+        F.round(F.sum(F.col("tokens") * F.col("n")) / F.sum("n"), 6).alias("mean"), middle.alias("median"), F.max("tokens").alias("max"), F.round(F.sum("c") / F.sum("n"), 6).alias("coverage")
+    )
+
+
+def in_baseline(path: Column, entries: list[str]) -> Column:
+    """Whether a path is one of the entries or lies below one; blank entries count for nothing."""
+    named = [e.strip() for e in entries if e.strip()]
+    hits = [(path == e) | path.startswith(e.removesuffix("/") + "/") for e in named]
+    return reduce(or_, hits, F.lit(False))
+
+
+def static_baselines(chunks: DataFrame, entries: list[str]) -> DataFrame:
+    """scenario (all; curated: the paths of the entries): documents, sections and tokens that a fixed context would hold. chunks: doc_path, tokens."""
+    each = chunks.select("doc_path", "tokens", F.explode(F.array_compact(F.array(F.lit("all"), F.when(in_baseline(F.col("doc_path"), entries), "curated")))).alias("scenario"))
+    per = each.groupBy("scenario", "doc_path").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    return per.groupBy("scenario").agg(F.count("*").alias("documents"), F.sum("n").alias("sections"), F.sum("t").alias("tokens"))

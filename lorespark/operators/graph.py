@@ -68,6 +68,11 @@ def links_of(links: DataFrame, path: str) -> DataFrame:
     return out.union(e.where(F.col("to_path") == path).select(F.lit("back"), "from_path"))
 
 
+def ignore_links(ignored: DataFrame, new: DataFrame) -> DataFrame:
+    """The pairs (from_path, to_path) that are not to be suggested, with new ones; each once."""
+    return ignored.select("from_path", "to_path").union(new.select("from_path", "to_path")).distinct()
+
+
 def suggest_links(docs: DataFrame, links: DataFrame, ignored: DataFrame, limit: int) -> DataFrame:
     """from_path, to_path, name, mentions: documents that name another without a link either way.
 

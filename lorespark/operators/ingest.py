@@ -194,8 +194,12 @@ def prune_vectors(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return vectors.join(chunks, "chunk_id", "left_semi")
 
 
-def fingerprint(docs: DataFrame, levels: int = 256) -> DataFrame:
-    """One row: 16 hex digits over path NUL hash LF in path order."""
+def fingerprint(docs: DataFrame) -> DataFrame:
+    """One row: 16 hex digits over path NUL hash LF in path order.
+
+    The digest is one SHA-256 over all lines, as stored fingerprints are, so one task holds a line of about 120 bytes per document:
+    some ten million documents of a knowledge base, not a training corpus.
+    """
     line = F.concat("path", F.lit("\x00"), "content_hash", F.lit("\n"))
     return docs.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("l")))), lambda x: x["l"]), ""), 256), 1, 16).alias("fingerprint"))
 

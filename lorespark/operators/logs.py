@@ -77,12 +77,16 @@ def served(calls: DataFrame, now: Column, hours: int = SERVED_HOURS, most: int =
 
 
 def prometheus(stats: DataFrame) -> DataFrame:
-    """line: the text exposition of series()."""
+    """line: the text exposition of series(): requests by status, tokens, chunks, omitted, then the histogram with its sum and count."""
     label = F.concat(F.lit('{surface="'), F.col("surface"), F.lit('",name="'), F.col("name"), F.lit('"'))
-    lines = [F.concat(F.lit(f"lorespark_{n}_total"), label, F.lit("} "), F.col(c).cast("string")) for n, c in (("requests", "requests"), ("errors", "errors"), ("tokens", "tokens"))]
-    for i, b in enumerate([*map(str, BOUNDS), "+Inf"]):
-        lines.append(F.concat(F.lit("lorespark_seconds_bucket"), label, F.lit(f',le="{b}"}} '), F.col(f"le_{i}").cast("string")))
-    lines.append(F.concat(F.lit("lorespark_seconds_count"), label, F.lit("} "), F.col("requests").cast("string")))
+
+    def one(metric: str, value: Column, more: str = "") -> Column:
+        return F.concat(F.lit(f"lorespark_{metric}"), label, F.lit(f"{more}}} "), value.cast("string"))
+
+    lines = [one("requests_total", F.col("requests") - F.col("errors"), ',status="ok"'), one("requests_total", F.col("errors"), ',status="error"')]
+    lines += [one(f"{c}_total", F.col(c)) for c in ("tokens", "chunks", "omitted")]
+    lines += [one("seconds_bucket", F.col(f"le_{i}"), f',le="{b}"') for i, b in enumerate([*map(str, BOUNDS), "+Inf"])]
+    lines += [one("seconds_sum", F.col("seconds").cast("decimal(18,3)")), one("seconds_count", F.col("requests"))]
     return stats.select("surface", "name", F.posexplode(F.array(*lines)).alias("n", "line")).orderBy("surface", "name", "n").select("line")
 
 
@@ -134,5 +138,9 @@ def health(calls: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("reachable")
 
 
+def usage_count(usage: DataFrame) -> DataFrame:
+    return usage.agg(F.count("*").alias("events"))
+
+
 def bundle_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("bundles"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))

@@ -63,6 +63,11 @@ def drift_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("path")
 
 
+def drift_listing(report: DataFrame, limit: int) -> DataFrame:
+    """The rows of a drift report with most commits first, then the latest change, then by path."""
+    return report.orderBy(F.desc("commits"), F.desc("last_change"), "path").limit(limit)
+
+
 def directories(paths: DataFrame, depth: int) -> DataFrame:
     """dir: the distinct directories of files, without hidden ones, down to a depth."""
     parts = F.split("code_path", "/")

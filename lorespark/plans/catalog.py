@@ -203,14 +203,14 @@ def bundle_order(s, d):
 
 @query(f"""WITH t AS (SELECT item_id, list_sort(list_distinct({D.sql_terms('text')})) AS terms FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))), 6) AS jaccard
-FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))) >= 0.1""")
+FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))) >= 0.05""")
 def near_duplicates(s, d):
     sets = D.table(s, d, "benchmark").select("item_id", T.term_set(F.col("text")).alias("terms"))
     each = sets.select("item_id", F.explode("terms").alias("term"), F.size("terms").alias("n"))
     met = each.alias("x").join(each.alias("y"), F.expr("x.term = y.term and x.item_id < y.item_id"))
     counted = met.groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count("*").alias("c"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"))
     j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return counted.where(j >= 0.1).select("a", "b", F.round(j, 6).alias("jaccard"))
+    return counted.where(j >= 0.05).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
 @query("""SELECT item_id, sha256('v2' || chr(0) || text || chr(0) || 'conventions,domain' || chr(0) || '2000' || chr(0) || 'f00d' || chr(0) || 'hash-64' || chr(0) || 'a/b.go,c.go') AS cache_key FROM benchmark""")
@@ -389,9 +389,20 @@ def recently_served(s, d):
     return logs.served(calls, F.expr(f"timestamp_ntz'{D.NOW}'"))
 
 
-@query(f"WITH {D.REQUESTS}, s AS (SELECT surface, name, count(*) AS n FROM requests GROUP BY ALL) SELECT 'lorespark_requests_total{{surface=\"' || surface || '\",name=\"' || name || '\"}} ' || n AS line FROM s")
+_EXPOSED = ", ".join(
+    [f"'requests_total' || l || ',status=\"ok\"}} ' || (n - errors)", f"'requests_total' || l || ',status=\"error\"}} ' || errors"]
+    + [f"'{x}_total' || l || '}} ' || {x}" for x in ("tokens", "chunks", "omitted")]
+    + [f"'seconds_bucket' || l || ',le=\"{b}\"}} ' || le_{i}" for i, b in enumerate(logs.BOUNDS)]
+    + ["'seconds_bucket' || l || ',le=\"+Inf\"} ' || n", "'seconds_sum' || l || '} ' || CAST(CAST(seconds AS DECIMAL(18, 3)) AS VARCHAR)", "'seconds_count' || l || '} ' || n"]
+).replace("}}", "}")
+
+
+@query(f"""WITH {D.REQUESTS}, s AS (
+  SELECT '{{surface="' || surface || '",name="' || name || '"' AS l, count(*) AS n, CAST(count_if(error) AS BIGINT) AS errors, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(chunks) AS BIGINT) AS chunks,
+         CAST(sum(omitted) AS BIGINT) AS omitted, round(sum(seconds), 6) AS seconds, {_HISTOGRAM} FROM requests GROUP BY surface, name
+) SELECT 'lorespark_' || unnest([{_EXPOSED}]) AS line FROM s""")
 def prometheus_text(s, d):
-    return logs.prometheus(logs.series(D.requests(s, d))).where(F.col("line").startswith("lorespark_requests_total"))
+    return logs.prometheus(logs.series(D.requests(s, d)))
 
 
 @query("SELECT CAST(count_if(o_orderstatus = 'O') AS BIGINT) AS open, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS merged, CAST(count_if(o_orderstatus NOT IN ('O', 'F')) AS BIGINT) AS closed FROM orders")
@@ -477,6 +488,175 @@ def window_session(s, d):
     return streams.sessions(D.table(s, d, "events"), "ts", "user_id", "6 hours")
 
 
+@query(f"""WITH {D.LINKS} SELECT 'out' AS direction, to_path AS path FROM edges WHERE from_path = 'projects/p1/part-1.md' UNION ALL SELECT 'back', from_path FROM edges WHERE to_path = 'projects/p1/part-1.md'""")
+def links_of_document(s, d):
+    return graph.links_of(graph.resolve_links(D.part_links(s, d), D.part_paths(s, d)), "projects/p1/part-1.md")
+
+
+@query(f"""WITH {D.LINKS} SELECT DISTINCT from_path, to_path FROM links WHERE to_path <> ''""")
+def ignored_links(s, d):
+    found = graph.resolve_links(D.part_links(s, d), D.part_paths(s, d)).where("to_path <> ''")
+    return graph.ignore_links(found.where("kind = 'markdown'"), found)
+
+
+def _stored(s, d):
+    """Vectors as stored: some of another model, some of a text that has changed since; and the chunks now."""
+    docs = D.table(s, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "source", F.col("lang").alias("scope"), F.sha2("text", 256).alias("content_hash"))
+    have = D.vectors(s, d).drop("scope").join(chunks.select("chunk_id", "content_hash"), "chunk_id")
+    have = have.withColumn("content_hash", F.when(F.col("chunk_id") % 3 == 0, "stale").otherwise(F.col("content_hash"))).withColumn("model", F.when(F.col("chunk_id") % 5 == 0, "other").otherwise("hash-64"))
+    return have, chunks
+
+
+@query("SELECT vec_id AS chunk_id, lang AS scope FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 3 <> 0 AND vec_id % 5 <> 0")
+def current_vectors(s, d):
+    return retrieval.current_vectors(*_stored(s, d), "hash-64").select("chunk_id", "scope")
+
+
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 5 = 0 THEN 'other' ELSE 'hash-64' END AS model FROM embeddings JOIN documents ON doc_id = vec_id WHERE lang IN ('de', 'en')")
+def pruned_vectors(s, d):
+    vectors, chunks = _stored(s, d)
+    return ingest.prune_vectors(vectors, chunks.where("scope in ('de', 'en')")).select("chunk_id", "model")
+
+
+@query("""SELECT 'domain/' || doc_id || '.md' AS path, CASE WHEN lang = 'de' THEN sha256(upper(lang) || text) ELSE sha256(text) END AS content_hash FROM documents WHERE lang <> 'fr'
+UNION ALL SELECT DISTINCT 'domain/' || source || '.md', sha256(source) FROM documents""")
+def upserted_documents(s, d):
+    docs, path = D.table(s, d, "documents"), F.concat(F.lit("domain/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")
+    old = docs.where("lang <> 'fr'").select(path, F.sha2("text", 256).alias("content_hash"))
+    changed = docs.where("lang = 'de'").select(path, F.sha2(F.concat(F.upper("lang"), "text"), 256).alias("content_hash"))
+    added = docs.select("source").distinct().select(F.concat(F.lit("domain/"), F.col("source"), F.lit(".md")).alias("path"), F.sha2("source", 256).alias("content_hash"))
+    return ingest.upsert(old, changed.union(added), "path")
+
+
+@query("SELECT 'domain/' || doc_id || '.md' AS path, sha256(text) AS content_hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def deleted_documents(s, d):
+    gone = D.table(s, d, "labels").where("toxic = 1").select(F.concat(F.lit("domain/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return ingest.delete(_snapshot(s, d).drop("doc_id"), gone, "path")
+
+
+@query(f"""WITH {D.SOURCES}, p AS (SELECT 'svc' || n || '/1-URGENT/main.go' AS path, updated_at FROM sources UNION ALL SELECT path, updated_at FROM sources)
+SELECT path, coalesce((SELECT max(ts) FROM commits WHERE code_path = p.path), p.updated_at) AS updated_at FROM p""")
+def document_ages(s, d):
+    own = D.sources(s, d).select("path", F.col("updated_at").alias("modified_at"))
+    code = own.withColumn("path", F.concat(F.lit("svc"), F.regexp_extract("path", r"(\d+)", 1), F.lit("/1-URGENT/main.go")))
+    return ingest.ages(own.union(code), D.commits(s, d))
+
+
+@query(f"WITH {D.SOURCES} SELECT path FROM sources WHERE updated_at IS NULL")
+def age_unknown(s, d):
+    return staleness.age_unknown(D.sources(s, d))
+
+
+@query(f"WITH {D.SOURCES} SELECT min(updated_at) AS since FROM sources")
+def drift_since(s, d):
+    return staleness.since(D.sources(s, d))
+
+
+@query("SELECT o_orderkey AS hash, o_orderdate AS changed_at FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01 00:00:00' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def changes_since(s, d):
+    return staleness.changes_since(D.commits(s, d), F.expr("timestamp_ntz'1997-01-01 00:00:00'"), 50).select("hash", F.col("when").alias("changed_at"))
+
+
+def _reports(s, d):
+    """Order lines as drift reports of several repositories: repo, path, commits, last_change."""
+    i = D.table(s, d, "lineitem").withColumn("path", F.concat(F.lit("domain/"), F.col("l_partkey").cast("string"), F.lit(".md")))
+    return i.groupBy(F.concat("l_returnflag", "l_linestatus").alias("repo"), "path").agg(F.count("*").alias("commits"), F.max("l_shipdate").alias("last_change"))
+
+
+_REPORTS = """reports AS (SELECT l_returnflag || l_linestatus AS repo, 'domain/' || l_partkey || '.md' AS path, count(*) AS commits, max(l_shipdate) AS last_change FROM lineitem GROUP BY ALL
+), best AS (SELECT * FROM reports QUALIFY row_number() OVER (PARTITION BY path ORDER BY commits DESC, repo) = 1)"""
+
+
+@query(f"WITH {_REPORTS} SELECT repo, path, commits, last_change FROM best")
+def drift_of_repositories(s, d):
+    return staleness.drift_of_repositories(_reports(s, d))
+
+
+@query(f"WITH {_REPORTS} SELECT path, commits, last_change FROM best ORDER BY commits DESC, last_change DESC, path LIMIT 20")
+def drift_listing(s, d):
+    return staleness.drift_listing(staleness.drift_of_repositories(_reports(s, d)), 20).select("path", "commits", "last_change")
+
+
+@query(f"""WITH {_REPORTS}, a AS (SELECT * FROM reports WHERE repo = 'NO'), b AS (SELECT * FROM best)
+SELECT path FROM a FULL JOIN b USING (path) WHERE a.commits IS DISTINCT FROM b.commits OR a.last_change IS DISTINCT FROM b.last_change""")
+def drift_changed(s, d):
+    return staleness.drift_changed(_reports(s, d).where("repo = 'NO'"), staleness.drift_of_repositories(_reports(s, d)))
+
+
+@query(f"""WITH {_MATCHED}, per AS (SELECT path, count(DISTINCT hash) AS changes, max(ts) AS changed_at FROM hit GROUP BY path)
+SELECT 'domain/' || source || '.md' AS doc_path, doc_id AS chunk_id, coalesce(changes, 0) AS changes, changed_at FROM documents LEFT JOIN per ON per.path = 'domain/' || source || '.md'""")
+def drift_attached(s, d):
+    hits = D.table(s, d, "documents").select(F.concat(F.lit("domain/"), F.col("source"), F.lit(".md")).alias("doc_path"), F.col("doc_id").alias("chunk_id"))
+    found = retrieval.attach_drift(hits, staleness.drift(D.sources(s, d), D.commits(s, d)).withColumnRenamed("last_change", "last_change_at"))
+    return found.withColumn("changes", F.coalesce("changes", F.lit(0))).select("doc_path", "chunk_id", "changes", "changed_at")
+
+
+@query("SELECT count(*) AS events FROM events WHERE event_id % 3 = 0")
+def usage_count(s, d):
+    return logs.usage_count(D.usage(s, d))
+
+
+def _cache(s, d):
+    """Orders as compiled bundles, one key for each customer."""
+    o = D.table(s, d, "orders")
+    return o.select(F.col("o_custkey").alias("cache_key"), F.col("o_orderkey").alias("bundle_id"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("fingerprint"), (F.col("o_orderkey") % 3).alias("hits"), F.col("o_orderstatus").alias("state"))
+
+
+@query("""WITH c AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O', o_orderdate, o_orderkey) = 1)
+SELECT o_custkey AS cache_key, o_orderkey AS bundle_id, o_orderpriority AS fingerprint, o_orderkey % 3 + (SELECT count(*) FROM events WHERE user_id = o_custkey) AS hits FROM c""")
+def bundle_cache(s, d):
+    cache = bundle.put_bundles(_cache(s, d).where("state <> 'O'"), _cache(s, d).where("state = 'O'"))
+    return bundle.use_bundles(cache, D.table(s, d, "events").select(F.col("user_id").alias("cache_key"))).select("cache_key", "bundle_id", "fingerprint", "hits")
+
+
+@query("SELECT o_orderkey AS bundle_id FROM orders WHERE o_orderpriority = '3-MEDIUM'")
+def bundle_cache_pruned(s, d):
+    return bundle.prune_bundles(_cache(s, d), "3-MEDIUM").select("bundle_id")
+
+
+@query("SELECT count(*) AS bundles, CAST(sum(o_orderkey % 3) AS BIGINT) AS hits FROM orders")
+def bundle_stats(s, d):
+    return logs.bundle_stats(_cache(s, d))
+
+
+def _proposals(s, d):
+    status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "merged").otherwise("closed")
+    return D.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
+
+
+_STATUS = "CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'merged' ELSE 'closed' END AS status"
+
+
+@query(f"SELECT o_orderkey AS id, {_STATUS}, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
+def proposals_newest(s, d):
+    return logs.list_proposals(_proposals(s, d), 20)
+
+
+@query(f"SELECT o_orderkey AS id, {_STATUS}, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey")
+def proposals_open(s, d):
+    return logs.open_proposals(_proposals(s, d))
+
+
+@query(f"WITH {D.LOG} SELECT bundle_id, name, query FROM log WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'")
+def log_pruned(s, d):
+    return logs.prune_log(D.log(s, d), F.expr("timestamp_ntz'2024-01-10 00:00:00'")).select("bundle_id", "name", "query")
+
+
+@query(f"WITH {D.LOG} SELECT bundle_id, name, scopes FROM log UNION ALL SELECT bundle_id, 'again', 'domain,projects/x' FROM log")
+def log_appended(s, d):
+    new = D.log(s, d).withColumn("name", F.lit("again")).withColumn("scopes", F.lit("projects/x,domain"))
+    return logs.append_log(D.log(s, d), new).select("bundle_id", "name", "scopes")
+
+
+@query(f"""WITH {D.CHUNKS}, p AS (SELECT 'projects/' || scope || '/' || doc_id || '.md' AS path, scope, tokens FROM chunks)
+SELECT scenario, count(DISTINCT path) AS documents, count(*) AS sections, CAST(sum(tokens) AS BIGINT) AS tokens FROM (
+  SELECT 'all' AS scenario, * FROM p UNION ALL SELECT 'curated', * FROM p WHERE scope IN ('de', 'fr') OR path = 'projects/en/7.md') GROUP BY scenario""")
+def static_baselines(s, d):
+    path = F.concat(F.lit("projects/"), F.col("scope"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return evaluation.static_baselines(D.chunks(s, d).select(path.alias("doc_path"), "tokens"), ["projects/de", " projects/fr/ ", "", "projects/en/7.md"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval over documents and vectors, then the budget fill."""
     found = retrieval.search_context(D.whole(spark, sf_dir), D.queries(spark, sf_dir), D.vectors(spark, sf_dir), D.query_vectors(spark, sf_dir), top_k=10)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as T
 
 NOW = "2024-01-31 00:00:00"
+#: More than the lines that one document can have.
+LINES = 1 << 31
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +20,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents: chunk_id, doc_id, scope, position, content, tokens."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("scope"), F.posexplode(F.split("text", "\n")).alias("position", "content"))
     lines = lines.where(F.trim("content") != "")
-    return lines.select((F.col("doc_id") * 100000 + F.col("position")).alias("chunk_id"), "doc_id", "scope", "position", "content", T.token_count(F.col("content")).alias("tokens"))
+    return lines.select((F.col("doc_id") * LINES + F.col("position")).alias("chunk_id"), "doc_id", "scope", "position", "content", T.token_count(F.col("content")).alias("tokens"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +142,7 @@ def sql_tokens(text: str) -> str:
 CHUNKS = f"""lines AS (
   SELECT doc_id, lang, unnest(str_split(text, chr(10))) AS content, unnest(range(len(str_split(text, chr(10))))) AS position FROM documents
 ), chunks AS (
-  SELECT doc_id * 100000 + position AS chunk_id, doc_id, lang AS scope, position, content, {sql_tokens("content")} AS tokens FROM lines WHERE trim(content, ' ') <> ''
+  SELECT doc_id * {LINES} + position AS chunk_id, doc_id, lang AS scope, position, content, {sql_tokens("content")} AS tokens FROM lines WHERE trim(content, ' ') <> ''
 )"""
 QUERIES = "queries AS (SELECT item_id AS query_id, text AS query, CASE WHEN item_id % 2 = 0 THEN ['en', 'fr'] ELSE ['de', 'en'] END AS scopes FROM benchmark)"
 QUERY_VECTORS = "qv AS (SELECT vec_id // 50 AS query_id, embedding AS qe, label FROM embeddings WHERE vec_id % 50 = 0)"

@@ -318,3 +318,54 @@ def test_a_bundle_of_one_long_line_is_not_empty(spark):
     tasks = spark.createDataFrame([("b", "task", ["domain"])], "bundle_id string, task string, scopes array<string>")
     got = bundle.compile_bundle(ranked, tasks, "f", 1000).collect()[0]
     assert got.kept == 1 and 600 < got.tokens <= 950 and "word5" in got.text and "~9000" not in got.text
+
+
+def test_bundle_cache(spark):
+    kinds = "cache_key string, bundle_id string, at int, hits long, fingerprint string"
+    cache = spark.createDataFrame([("k", "a", 5, 1, "f"), ("m", "b", 1, 0, "g")], kinds)
+    new = spark.createDataFrame([("k", "c", 1, 0, "f"), ("n", "e", 2, 0, "f"), ("n", "d", 2, 0, "f")], kinds)
+    put = bundle.put_bundles(cache, new)
+    assert {r.cache_key: r.bundle_id for r in put.collect()} == {"k": "a", "m": "b", "n": "d"}
+    asked = spark.createDataFrame([("k",), ("k",), ("n",), ("none",)], "cache_key string")
+    assert {r.cache_key: r.hits for r in bundle.use_bundles(put, asked).collect()} == {"k": 3, "m": 0, "n": 1}
+    assert [r.cache_key for r in bundle.prune_bundles(cache, "f").collect()] == ["k"]
+
+
+def test_token_bench_against_a_loop(spark):
+    random.seed(3)
+    rows = [(m, random.randrange(9), random.random() < 0.5) for m in "ab" for _ in range(random.randrange(1, 40))]
+    for r in evaluation.token_bench(spark.createDataFrame(rows, "mode string, tokens long, covered boolean")).collect():
+        mine = [x for x in rows if x[0] == r.mode]
+        sizes = sorted(x[1] for x in mine)
+        assert (r["median"], r["max"]) == (sizes[len(sizes) // 2], sizes[-1])
+        assert r["mean"] == pytest.approx(sum(sizes) / len(sizes), abs=1e-6) and r["coverage"] == pytest.approx(sum(x[2] for x in mine) / len(mine), abs=1e-6)
+
+
+def test_static_baselines(spark):
+    chunks = spark.createDataFrame([("domain/a.md", 5), ("domain/a.md", 1), ("domainx/b.md", 7), ("c.md", 2)], "doc_path string, tokens long")
+    found = {r.scenario: (r.documents, r.sections, r.tokens) for r in evaluation.static_baselines(chunks, ["domain/", " ", "c.md"]).collect()}
+    assert found == {"all": (3, 4, 15), "curated": (2, 3, 8)}
+    assert [r.scenario for r in evaluation.static_baselines(chunks, []).collect()] == ["all"]
+
+
+def test_ignored_and_removed(spark):
+    pairs = "from_path string, to_path string"
+    once = graph.ignore_links(spark.createDataFrame([("a", "b")], pairs), spark.createDataFrame([("a", "b"), ("b", "a")], pairs))
+    assert sorted(map(tuple, once.collect())) == [("a", "b"), ("b", "a")]
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "path string, v int")
+    assert sorted(map(tuple, ingest.upsert(table, spark.createDataFrame([("b", 3), ("c", 4)], table.schema), "path").collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert [r.path for r in ingest.delete(table, spark.createDataFrame([("b",)], "path string"), "path").collect()] == ["a"]
+
+
+def test_drift_listing(spark):
+    rows = spark.createDataFrame([("b", 2, 5), ("a", 2, 5), ("c", 2, 9), ("d", 7, 1)], "path string, commits int, last_change int")
+    assert [r.path for r in staleness.drift_listing(rows, 3).collect()] == ["d", "c", "a"]
+
+
+def test_metrics_text(spark):
+    rows = [("http", "search", 0.003, 10, 2, 1, False), ("http", "search", 9.0, 5, 1, 0, True)]
+    calls = spark.createDataFrame(rows, "surface string, name string, seconds double, tokens long, chunks long, omitted long, error boolean")
+    lines = [r.line for r in logs.prometheus(logs.series(calls)).collect()]
+    name = '{surface="http",name="search"'
+    assert lines[:3] == [f'lorespark_requests_total{name},status="ok"}} 1', f'lorespark_requests_total{name},status="error"}} 1', f"lorespark_tokens_total{name}}} 15"]
+    assert f'lorespark_seconds_bucket{name},le="0.005"}} 1' in lines and lines[-2:] == [f"lorespark_seconds_sum{name}}} 9.003", f"lorespark_seconds_count{name}}} 2"]
