@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorespark.llm import bm25_search, bpe, exact_dedup, licenses, mixing, ngram_join, repeats, sharding, toxicity, url_filter
+from lorespark.llm import bm25_search, bpe, decontamination, exact_dedup, hard_negatives, licenses, mixing, ngram_join, repeats, resampling, sharding, toxicity, url_filter
 from lorespark.llm.common import read
 
 
@@ -57,9 +57,31 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(bpe.bpe(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_decontamination(spark, sf_dir):
+    return decontamination.digests(decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Rows whose vec_id is divisible by 7 get the label after their own; anchors are those whose vec_id is divisible by 100."""
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", label.alias("label"), F.col("embedding").alias("vector")), F.col("vec_id") % 100 == 0)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_mix_sources, op4_bm25_topk, op5_license_scan, op6_ngram_join, op7_repeats, op8_exact_dedup, op9_sharding, op10_bpe)}
+    every = (
+        op1_url_filter, op2_toxicity, op3_mix_sources, op4_bm25_topk, op5_license_scan, op6_ngram_join, op7_repeats, op8_exact_dedup, op9_sharding, op10_bpe,
+        op11_importance_resampling, op12_decontamination, op13_hard_negatives,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql():
-    return {"op3_mix_sources": mixing.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {
+        "op3_mix_sources": mixing.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op11_importance_resampling": resampling.OP11_SQL,
+        "op12_decontamination": decontamination.OP12_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL,
+    }

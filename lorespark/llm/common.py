@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,6 +57,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def append_all(spark: SparkSession, parts: Iterator[DataFrame], schema: str) -> DataFrame:
+    """Writes tables of one schema into one folder in the shared folder, one after the other, and reads them as one."""
+    path = f"{shared_folder(spark)}/lorespark-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table of materialize() that no later step reads."""
     for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
@@ -116,7 +128,7 @@ def only(own: str) -> None:
     """Lets go the memos and models that other operators' code holds in this Python worker. For the start of a task: workers are used again."""
     import sys
 
-    held = {"ngram_join": lambda m: m._hashes.clear(), "toxicity": lambda m: m._slots.clear(), "bpe": lambda m: m.model.cache_clear(), "licenses": lambda m: m.scanner.cache_clear()}
+    held = {"ngram_join": lambda m: m._hashes.clear(), "toxicity": lambda m: m._slots.clear(), "bpe": lambda m: m.model.cache_clear(), "licenses": lambda m: m.scanner.cache_clear(), "decontamination": lambda m: m._built.clear()}
     for name, clear in held.items():
         module = sys.modules.get(f"lorespark.llm.{name}")
         if module is not None and name != own:
@@ -127,6 +139,24 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: For bytes of UTF-8: A-Z become a-z, and other ASCII bytes than letters and digits become spaces.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_GAP = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
+#: Bytes of a text whose words are held at once, besides what is left of the last word.
+WORD_BLOCK = 1 << 22
+
+
+def word_blocks(text: bytes) -> Iterator[list[bytes]]:
+    """A text's words (letters, digits and all beyond ASCII; A-Z lower-cased) in order, in lists of bounded size."""
+    start = 0
+    while start < len(text):
+        gap = _GAP.search(text, start + WORD_BLOCK)
+        stop = gap.start() if gap else len(text)
+        if words := text[start:stop].translate(FOLD).split():
+            yield words
+        start = stop
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
