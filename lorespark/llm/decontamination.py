@@ -61,7 +61,7 @@ class Windows:
         for words in word_blocks(text):
             # windows that reach over from the block before
             letters = last + [self.numbers.get(w, 0) for w in words]
-            hits = list(self.automaton.iter(tuple(letters)))
+            hits = list(self.automaton.iter(tuple(letters))) if self.owners else []
             if hits:
                 ends, which = np.array(hits, np.int64).T
                 items.update(*(self.owners[k] for k in np.unique(which).tolist()))
@@ -99,20 +99,20 @@ def original_spans(text: str, runs: np.ndarray) -> list[dict[str, int]]:
     return [{"start": edges[a][0], "end": edges[b][1]} for a, b in runs.tolist()]
 
 
-def item_pieces(benchmark: DataFrame) -> DataFrame:
+def item_pieces(benchmark: DataFrame, size: int = PIECE) -> DataFrame:
     """item, words (in UTF-8) of each piece of each item that has words; equal ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import decontamination as D
 
-        step = D.PIECE - D.WINDOW + 1
+        step = size - D.WINDOW + 1
         for batch in batches:
             for name, text in zip(batch.column(0), batch.column(1)):
                 rest: list[bytes] = []
                 for words in D.word_blocks(text.as_py()):
                     rest += words
-                    while len(rest) > D.PIECE:
-                        yield piece(name, rest[: D.PIECE])
+                    while len(rest) > size:
+                        yield piece(name, rest[:size])
                         rest = rest[step:]
                 if rest:
                     yield piece(name, rest)
@@ -123,7 +123,7 @@ def item_pieces(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item"), text_of().cast("binary").alias("text")).mapInArrow(run, "item string, words array<binary>").distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most: int = WORDS, piece: int = PIECE) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, items (ids found, as sorted texts), spans (start, end in the original text's code points).
 
     docs: doc_id, text; benchmark: item_id, text. A word of a text is hit when it stands in an occurrence of WINDOW
@@ -132,18 +132,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows that repeat an item_id are one item. Repeated rows of docs give equal rows. Texts are scanned whole, block by block.
     Empty tables give no rows, or no hits. Other columns are ignored.
 
-    A benchmark of up to WORDS words is one automaton and one pass without a shuffle; each further WORDS words take another pass,
+    A benchmark of up to `most` words is one automaton and one pass without a shuffle; each further `most` words take another pass,
     so what is broadcast is bounded.
     """
     spark = session_of(docs)
     ship_code(spark)
-    pieces = materialize(item_pieces(benchmark))
+    pieces = materialize(item_pieces(benchmark, piece))
     words = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
-    passes = max(1, -(-words // WORDS))
+    passes = max(1, -(-words // most))
     nothing = (F.lit(None).cast(kind).alias(name) for name, kind in _STATE)
     state = docs.select("doc_id", text_of().cast("binary").alias("text"), *nothing)
     for k in range(passes):
-        # about WORDS words of the benchmark at a time
+        # about `most` words of the benchmark at a time
         part = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(passes)) == k).toArrow()
         items = list(zip(part.column("item").to_pylist(), part.column("words").to_pylist()))
         state = _pass(state, spark.sparkContext.broadcast(items), k + 1 == passes)

@@ -1,6 +1,6 @@
 """Hard-negative mining: k-means inverted lists with stored radii, visited in the order of their Cauchy-Schwarz bounds.
 
-A list holds rows of one cluster, at most LIST of them, and the largest distance of its rows from the centroid. With an anchor q,
+A list holds a bounded number of rows of one cluster and the largest distance of its rows from the centroid. With an anchor q,
 a centroid c and a radius r, each row's score lies between q.c - |q| r and q.c + |q| r. Lists whose range misses the wanted
 window are skipped; the others are visited from the highest bound down, until the bound falls strictly below the k-th score
 found, so ties are complete. Each task does this for the lists that it reads and a block of anchors, and the best of all tasks are the best
@@ -10,6 +10,7 @@ of all. A block starts from the k-th scores in the sample that the centroids wer
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,23 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score is at least LOW and at most HIGH hundredths of its positive's.
 LOW, HIGH = 30, 90
-#: Rows that the centroids are fitted on (about so many; every row is indexed), centroids, and rounds of fitting.
-SAMPLE, CLUSTERS, ROUNDS = 8192, 256, 10
-#: Rows of a list, bytes of vectors of the lists that are ordered together, anchors of a block, scores held at once.
-LIST, HELD, ANCHORS, CELLS = 1024, 32 << 20, 2048, 1 << 20
+#: Rounds of fitting the centroids.
+ROUNDS = 10
+
+
+class Limits(NamedTuple):
+    """Bounds of what is held at once; none changes a result."""
+
+    #: Rows that the centroids are fitted on (about so many; every row is indexed), and centroids.
+    sample: int = 8192
+    clusters: int = 256
+    #: Rows of a list, bytes of vectors of the lists that are ordered together, anchors of a block, scores held at once.
+    rows: int = 1024
+    held: int = 32 << 20
+    anchors: int = 2048
+    cells: int = 1 << 20
+
+
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Stands for a null id: it comes last among ties.
 NO_ID = MOST
@@ -129,7 +143,7 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def visit(lists: list[tuple], centers: np.ndarray, best: Best) -> int:
+def visit(lists: list[tuple], centers: np.ndarray, best: Best, cells: int = Limits().cells) -> int:
     """Offers to best what the lists (centroid, radius, ids, labels, vectors) have for it; the number of question and list pairs visited."""
     asked = best.asked
     width = max(centers.shape[1], asked.vectors.shape[1])
@@ -137,7 +151,8 @@ def visit(lists: list[tuple], centers: np.ndarray, best: Best) -> int:
     middle, reach = q @ c.T, np.linalg.norm(q, axis=1)[:, None] * np.array([x[1] for x in lists])[None, :]
     # sums of doubles are off by a hair
     slack = 1e-9 * (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :] + reach) + 1
-    up, down = (middle + reach + slack)[asked.anchor], (middle - reach - slack)[asked.anchor]
+    # scores are held at the ends of 64 bits, and so are their bounds
+    up, down = (np.clip(x, LEAST, MOST)[asked.anchor] for x in (middle + reach + slack, middle - reach - slack))
     high, low = asked.high.astype(np.float64)[:, None], asked.low.astype(np.float64)[:, None]
     bound = np.minimum(up, high + 1e-9 * np.abs(high))
     bound[(down > high + 1e-9 * np.abs(high)) | (up < low - 1e-9 * np.abs(low))] = -np.inf
@@ -156,7 +171,7 @@ def visit(lists: list[tuple], centers: np.ndarray, best: Best) -> int:
         which, first = np.unique(at[by], return_index=True)
         for x, some in zip(which.tolist(), np.split(live[by], first[1:])):
             _, _, ids, labels, vectors = lists[x]
-            step = max(1, CELLS // max(1, len(ids)))
+            step = max(1, cells // max(1, len(ids)))
             for k in range(0, len(some), step):
                 part = some[k : k + step]
                 anchors, back = np.unique(asked.anchor[part], return_inverse=True)
@@ -171,8 +186,8 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("label").isNotNull() & F.col("vector").isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), units.alias("units"), F.monotonically_increasing_id().alias("row"))
 
 
-def inverted_lists(rows: DataFrame, centers: np.ndarray) -> DataFrame:
-    """cluster, radius, ids, labels, vectors: lists of at most LIST rows of one cluster.
+def inverted_lists(rows: DataFrame, centers: np.ndarray, limits: Limits = Limits()) -> DataFrame:
+    """cluster, radius, ids, labels, vectors: lists of at most limits.rows rows of one cluster.
 
     Rows are range-sorted by cluster and a hash of the row, so a cluster of any size is spread over tasks.
     """
@@ -204,7 +219,7 @@ def inverted_lists(rows: DataFrame, centers: np.ndarray) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (held[0][3] != row[3] or len(held) == H.LIST):
+                if held and (held[0][3] != row[3] or len(held) == limits.rows):
                     yield one()
                 cluster = row[3]
                 held.append(row)
@@ -216,7 +231,7 @@ def inverted_lists(rows: DataFrame, centers: np.ndarray) -> DataFrame:
     return placed.select("vec_id", "label", "units", "cluster").mapInArrow(pack, "cluster long, radius double, ids binary, labels binary, vectors binary")
 
 
-def search(lists: DataFrame, centers: np.ndarray, asked: Asked) -> DataFrame:
+def search(lists: DataFrame, centers: np.ndarray, asked: Asked, limits: Limits = Limits()) -> DataFrame:
     """question, score, id, rank: the asked.k best rows of each question, ties by id; nothing of the lists is shuffled."""
     shared = session_of(lists).sparkContext.broadcast((centers, asked))
 
@@ -230,11 +245,11 @@ def search(lists: DataFrame, centers: np.ndarray, asked: Asked) -> DataFrame:
                 ids, labels, vectors = (np.frombuffer(x, np.int64) for x in blobs)
                 held.append((cluster, radius, ids, labels, vectors.reshape(len(ids), -1)))
                 size += len(blobs[2])
-                if size >= H.HELD:
-                    H.visit(held, centers, best)
+                if size >= limits.held:
+                    H.visit(held, centers, best, limits.cells)
                     held, size = [], 0
         if held:
-            H.visit(held, centers, best)
+            H.visit(held, centers, best, limits.cells)
         question = np.repeat(np.arange(len(asked)), best.count)
         place = H._within(best.count)
         yield pa.RecordBatch.from_arrays([*map(pa.array, (question, best.scores[question, place], best.ids[question, place]))], ["question", "score", "id"])
@@ -250,7 +265,7 @@ def _table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, t.column("label").to_numpy(), matrix(t.column("units").to_pylist())
 
 
-def mine(vectors: DataFrame, anchor: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:
+def mine(vectors: DataFrame, anchor: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, limits: Limits = Limits()) -> DataFrame:
     """anchor_id, positive_id, rank (from 1), negative_id, positive_score, negative_score.
 
     vectors: vec_id, label, vector; anchor: a condition on these. An anchor's positives are its `positives` best other rows of its label, and a
@@ -264,35 +279,35 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = POSITIVES, negativ
     tables and anchors without positives or negatives give no rows. Other columns are ignored.
 
     Centroids are fitted on a bounded sample, every row is indexed, and results are exact whatever the centroids. Anchors go
-    through the lists in blocks of about ANCHORS, of which one at a time is broadcast.
+    through the lists in blocks of bounded size, of which one at a time is broadcast.
     """
     spark = session_of(vectors)
     ship_code(spark)
     rows = materialize(prepared(vectors))
     n = rows.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    sample = _table(rows.sample(fraction=share, seed=11).limit(2 * SAMPLE) if share < 1 else rows)
-    centers = fit(sample[2], CLUSTERS)
-    lists = materialize(inverted_lists(rows, centers))
+    share = min(1.0, limits.sample / max(n, 1))
+    sample = _table(rows.sample(fraction=share, seed=11).limit(2 * limits.sample) if share < 1 else rows)
+    centers = fit(sample[2], limits.clusters)
+    lists = materialize(inverted_lists(rows, centers, limits))
     anchors = materialize(rows.where(anchor).select("vec_id", "label", "units").distinct())
-    blocks = max(1, -(-anchors.count() // ANCHORS))
+    blocks = max(1, -(-anchors.count() // limits.anchors))
     shape = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
     def found() -> Iterator[DataFrame]:
         for block in range(blocks):
             part = _table(anchors.where(F.pmod(F.xxhash64("vec_id", "label", "units"), F.lit(blocks)) == block))
             if len(part[0]):
-                yield _mine_block(lists, centers, sample, part, positives, negatives, low, high)
+                yield _mine_block(lists, centers, sample, part, positives, negatives, low, high, limits)
 
     return append_all(spark, found(), shape)
 
 
-def _asked(sample: tuple, anchors: tuple, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same: bool) -> Asked:
+def _asked(sample: tuple, anchors: tuple, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, same: bool, cells: int) -> Asked:
     """Questions that start from the k-th scores in the sample, whose rows are rows of the table too."""
     ids, labels, vectors = anchors
     asked = Asked(vectors, ids, labels, anchor, low, high, np.full(len(anchor), LEAST), k, same)
     best = Best(asked)
-    every, step = np.arange(len(anchor)), max(1, CELLS // max(1, len(sample[0])))
+    every, step = np.arange(len(anchor)), max(1, cells // max(1, len(sample[0])))
     for at in range(0, len(anchor), step):
         part = every[at : at + step]
         if len(sample[0]):
@@ -301,18 +316,18 @@ def _asked(sample: tuple, anchors: tuple, anchor: np.ndarray, low: np.ndarray, h
     return asked
 
 
-def _mine_block(lists: DataFrame, centers: np.ndarray, sample: tuple, anchors: tuple, positives: int, negatives: int, low: int, high: int) -> DataFrame:
+def _mine_block(lists: DataFrame, centers: np.ndarray, sample: tuple, anchors: tuple, positives: int, negatives: int, low: int, high: int, limits: Limits) -> DataFrame:
     spark, n = session_of(lists), len(anchors[0])
-    asked = _asked(sample, anchors, np.arange(n), np.full(n, LEAST), np.full(n, MOST), positives, True)
+    asked = _asked(sample, anchors, np.arange(n), np.full(n, LEAST), np.full(n, MOST), positives, True, limits.cells)
     # at most `positives` rows for each anchor of the block
-    near = sorted((r.question, r.rank, r.id, r.score) for r in search(lists, centers, asked).collect())
+    near = sorted((r.question, r.rank, r.id, r.score) for r in search(lists, centers, asked, limits).collect())
     window = [(-(-low * s // 100), high * s // 100) for *_, s in near]
     some = [i for i, (a, b) in enumerate(window) if a <= b]
-    asked = _asked(sample, anchors, np.array([near[i][0] for i in some], np.int64), *(np.array([min(max(window[i][e], LEAST), MOST) for i in some], np.int64) for e in (0, 1)), negatives, False)
+    asked = _asked(sample, anchors, np.array([near[i][0] for i in some], np.int64), *(np.array([min(max(window[i][e], LEAST), MOST) for i in some], np.int64) for e in (0, 1)), negatives, False, limits.cells)
     pairs = [(q, *(None if i == NO_ID else i for i in (int(anchors[0][near[k][0]]), near[k][2])), near[k][3]) for q, k in enumerate(some)]
     pairs = spark.createDataFrame(pairs, "question long, anchor_id long, positive_id long, positive_score long")
     negative = F.when(F.col("id") != NO_ID, F.col("id")).alias("negative_id")
-    return search(lists, centers, asked).join(F.broadcast(pairs), "question").select("anchor_id", "positive_id", "rank", negative, "positive_score", F.col("score").alias("negative_score"))
+    return search(lists, centers, asked, limits).join(F.broadcast(pairs), "question").select("anchor_id", "positive_id", "rank", negative, "positive_score", F.col("score").alias("negative_score"))
 
 
 OP13_SQL = """

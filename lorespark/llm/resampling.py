@@ -62,10 +62,10 @@ def gains(docs: DataFrame, target: DataFrame) -> DataFrame:
     every = session_of(docs).range(BUCKETS).select(F.col("id").alias("bucket"))
     s, t = (bucket_counts(x).select("bucket", F.col("n").alias(name)) for x, name in ((docs, "s"), (target, "t")))
     both = materialize(every.join(s, "bucket", "left").join(t, "bucket", "left").na.fill(0))
-    total = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    whole = lambda c, more: (F.col(c) + more).cast("double")
-    ratio = (whole("t", 1) * whole("all_s", BUCKETS)) / (whole("s", 1) * whole("all_t", BUCKETS))
-    return both.join(F.broadcast(total)).select("bucket", F.floor(SCALE * F.log(ratio)).alias("gain"))
+    all_s, all_t = both.agg(F.sum("s"), F.sum("t")).first()
+    one_more = lambda c: (F.col(c) + 1).cast("double")
+    ratio = (one_more("t") * F.lit(float(all_s + BUCKETS))) / (one_more("s") * F.lit(float(all_t + BUCKETS)))
+    return both.select("bucket", F.floor(SCALE * F.log(ratio)).alias("gain"))
 
 
 def weigh(docs: DataFrame, gain: np.ndarray) -> DataFrame:

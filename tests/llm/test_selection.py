@@ -1,0 +1,237 @@
+"""Importance resampling, decontamination and hard negatives against brute force, on awkward rows and with small limits."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lorespark.llm import common, decontamination, hard_negatives, resampling
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_word_blocks(monkeypatch):
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice("aB9 -_é\n\x00Ü語") for _ in range(r.randint(0, 60)))
+        monkeypatch.setattr(common, "WORD_BLOCK", r.randint(1, 20))
+        assert [w.decode() for block in common.word_blocks(text.encode()) for w in block] == words(text)
+
+
+# ---- importance resampling ----
+def grams(text):
+    w = words(text)
+    return [zlib.crc32(" ".join(w[i : i + n]).encode()) % 10_000 for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+
+def resampled(rows, target, percent=5, least=20):
+    s, t = Counter(b for _, x in rows for b in grams(x)), Counter(b for x in target for b in grams(x))
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log(float(t[b] + 1) * float(all_s + 10_000) / (float(s[b] + 1) * float(all_t + 10_000)))) for b in s}
+    out = []
+    for i, x in rows:
+        g, h = grams(x), int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in g)
+        out.append([i, len(g), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words(x))])
+    able = sorted((x for x in out if x[5] >= least), key=lambda x: (-x[3], x[0] is not None, x[0] or 0))
+    for k, x in enumerate(able[: percent * len(able) // 100]):
+        x[4] = k + 1
+    return Counter(map(tuple, out))
+
+
+TARGET = ["alpha1 beta2 the of GAMMA", None, "", "naïve größe mit license " * 9]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 22])
+def test_features(rows, monkeypatch, block):
+    monkeypatch.setattr(common, "WORD_BLOCK", block)
+    for r in rows:
+        found = list(resampling.feature_buckets((r[1] or "").encode()))
+        assert sum(n for n, _ in found) == len(words(r[1])) and Counter(b for _, at in found for b in at.tolist()) == Counter(grams(r[1]))
+
+
+@pytest.mark.parametrize("percent,least", [(5, 20), (60, 1), (100, 0), (0, 20)])
+def test_resample(spark, docs, rows, percent, least):
+    target = spark.createDataFrame([(t,) for t in TARGET], "text string")
+    got = resampling.resample(docs, target, percent, least)
+    assert Counter(map(tuple, got.collect())) == resampled([(r[0], r[1]) for r in rows], TARGET, percent, least)
+
+
+def test_resample_ties(spark):
+    """One score holds a third of all rows: ranks go by doc_id within it, over several tasks."""
+    rows = [(7, "same words " * 20)] * 400 + [(i, f"w{i} v{i % 9} " * 11) for i in range(800)]
+    r = random.Random(1)
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = resampling.resample(docs, spark.createDataFrame([("same words",)], "text string"), 50)
+    assert Counter(map(tuple, got.collect())) == resampled(rows, ["same words"], 50)
+
+
+def test_resample_empty(spark, docs, empty):
+    none = spark.createDataFrame([], "text string")
+    assert resampling.resample(empty, none).collect() == [] and resampling.resample(empty, spark.createDataFrame([("a",)], "text string")).collect() == []
+    assert resampling.resample(docs, none).count() == docs.count()
+
+
+# ---- decontamination ----
+def decontaminated(rows, items):
+    windows = {}
+    for name, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(name)
+    out = Counter()
+    for i, text in rows:
+        w, hit, names = words(text), set(), set()
+        for n in {len(x) for x in windows}:
+            for a in range(len(w) - n + 1):
+                if tuple(w[a : a + n]) in windows:
+                    hit |= set(range(a, a + n))
+                    names |= {str(x) for x in windows[tuple(w[a : a + n])] if x is not None}
+        places = [m.span() for m in re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or "")]
+        spans = [(places[a][0], places[next(b for b in range(a, len(w) + 1) if b not in hit) - 1][1]) for a in sorted(hit) if a - 1 not in hit]
+        out[(i, len(w), len(hit), tuple(sorted(names)), tuple(spans))] += 1
+    return out
+
+
+def leaks():
+    r = random.Random(8)
+    vocabulary = ["the", "cat", "été", "Über", "ran", "2x", "fox", "語"]
+    phrase = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(phrase(r.choice([1, 2, 3, 9, 10, 11, 30])) + [f"q{k % 5}"])) for k in range(25)]
+    items += [(3, items[4][1]), (77, items[4][1]), (None, "lone words here"), (78, None), (79, " ?! "), (80, "THE, cat!")]
+    texts = [None, "", "...", "The cat", "x the CAT-the cat y", "lone   words\nHERE lone words"]
+    for _ in range(60):
+        w = phrase(r.randint(0, 60))
+        for _ in range(r.randint(0, 3)):
+            own = words(r.choice(items)[1])
+            cut = r.randint(0, len(own))
+            at = r.randint(0, len(w))
+            w[at:at] = own[: max(cut, 10)]
+        texts.append(r.choice([" ", ", ", "\n- "]).join(x.title() if r.random() < 0.2 else x for x in w))
+    return items, [(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, items[6][1])]
+
+
+@pytest.mark.parametrize("most,piece", [(1 << 17, 12), (60, 1 << 13)])
+def test_decontaminate(spark, most, piece):
+    """Items in pieces, and a benchmark that takes several passes, give the same rows."""
+    items, rows = leaks()
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, items string")
+    found = decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), most, piece)
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple((s.start, s.end) for s in r.spans)) for r in found.collect())
+    assert got == decontaminated(rows, items)
+    for r in decontamination.digests(found).collect():
+        assert r.contaminated == (r.n_hit > 0) and re.fullmatch("[0-9a-f]{64}", r.items_sha256)
+
+
+@pytest.mark.parametrize("block", [1, 5, 40])
+def test_scan_blocks(monkeypatch, block):
+    """Windows that reach over blocks of a text are found."""
+    items, rows = leaks()
+    windows = decontamination.Windows([(None if i is None else str(i), [w.encode() for w in words(t)]) for i, t in items if words(t)])
+    whole = [windows.scan((t or "").encode()) for _, t in rows]
+    monkeypatch.setattr(common, "WORD_BLOCK", block)
+    for (_, t), (n, runs, names) in zip(rows, whole):
+        got = windows.scan((t or "").encode())
+        assert got[0] == n and got[1].tolist() == runs.tolist() and got[2] == names
+
+
+def test_decontaminate_empty(spark, docs, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.decontaminate(empty, none).collect() == []
+    assert all(r.n_hit == 0 and r["items"] == [] and r.spans == [] for r in decontamination.decontaminate(docs, none).collect())
+
+
+# ---- hard negatives ----
+def mined(rows, every, positives=5, negatives=10, low=30, high=90):
+    kept = []
+    for i, label, v in rows:
+        if label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, label, tuple(math.floor(256.0 * x) for x in v)))
+    hold = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    last = lambda i: (i is None, i or 0)
+    out = Counter()
+    for i, label, v in {x for x in kept if x[0] is not None and x[0] % every == 0}:
+        score = [(-hold(sum(a * b for a, b in zip(v, w))), last(j), j, m) for j, m, w in kept]
+        score.sort(key=lambda s: s[:2])
+        for s, _, j, m in [x for x in score if x[3] == label and x[2] != i][:positives]:
+            fits = [x for x in score if x[3] != label and 30 * -s <= 100 * -x[0] <= 90 * -s][:negatives]
+            for rank, x in enumerate(fits, 1):
+                out[(i, j, rank, x[2], -s, -x[0])] += 1
+    return out
+
+
+def vectors(n, dims, seed, labels=3):
+    r = np.random.default_rng(seed)
+    centers = r.normal(size=(6, dims))
+    x = centers[r.integers(0, 6, n)] + 0.4 * r.normal(size=(n, dims))
+    return [(int(i), int(m), [float(a) for a in v]) for i, m, v in zip(r.permutation(n), r.integers(0, labels, n), x / np.linalg.norm(x, axis=1)[:, None])]
+
+
+SHAPE = "vec_id long, label int, vector array<float>"
+
+
+def check(spark, table, every=10, parts=3, shape=SHAPE, **limits):
+    table = spark.createDataFrame(table, shape).repartition(parts)
+    got = hard_negatives.mine(table.withColumn("score", F.lit(1)), F.col("vec_id") % every == 0, limits=hard_negatives.Limits(**limits))
+    exact = [(r.vec_id, r.label, r.vector) for r in table.collect()]  # as 32-bit numbers
+    expected = mined(exact, every)
+    assert Counter(map(tuple, got.collect())) == expected
+    return expected
+
+
+@pytest.mark.parametrize("limits", [{}, {"rows": 7, "held": 4000, "anchors": 25, "cells": 50, "sample": 20, "clusters": 5}])
+def test_mine(spark, limits):
+    rows = vectors(400, 8, 1)
+    # ties, repeated rows, anchors' own ids again, shorter and empty vectors, null ids, rows that take no part
+    rows += [(i + 1000, m, v) for i, m, v in rows[:40]] + rows[:15] + [x for x in rows if x[0] % 10 == 0][:4]
+    rows += [(2000, 1, [0.5, 0.25]), (2001, 1, []), (2002, 2, [1.0] * 11), (None, 1, rows[3][2]), (None, 0, rows[3][2]), (2010, None, rows[3][2])]
+    rows += [(2020, 1, None), (2030, 1, [0.1, None]), (2040, 1, [math.nan] * 8), (2050, 1, [math.inf] + [0.1] * 7), (-10, 1, rows[5][2])]
+    assert len(check(spark, rows, **limits)) > 500
+
+
+def test_mine_hot_vector(spark):
+    """A third of all rows share one vector: their cluster is many lists."""
+    rows = vectors(300, 6, 2)
+    check(spark, rows + [(1000 + i, i % 2, rows[0][2]) for i in range(150)], every=25, rows=16)
+
+
+def test_mine_wide_numbers(spark):
+    """Products beyond 53 bits are exact, and those beyond 64 bits are held at the end."""
+    r = random.Random(4)
+    rows = [(i, i % 3, [r.uniform(-1, 1) * 2.0 ** r.choice([0, 20, 25]) for _ in range(4)]) for i in range(80)]
+    check(spark, rows, shape="vec_id long, label int, vector array<double>")
+    check(spark, rows + [(100, 0, [2.0**40] * 4), (101, 1, [2.0**41] * 4), (102, 0, [2.0**41] * 4)], shape="vec_id long, label int, vector array<double>")
+
+
+def test_mine_prunes():
+    """Lists far below the k-th score are not visited, and the result is that of all lists."""
+    r = np.random.default_rng(5)
+    centers = 200 * np.eye(8)
+    lists = [(c, 9.0, np.arange(50) + 50 * c, np.full(50, 1), (centers[c] + r.integers(-3, 4, (50, 8))).astype(np.int64)) for c in range(8)]
+    q = (centers[[0, 3, 5]] + 1).astype(np.int64)
+    asked = hard_negatives.Asked(q, np.array([-1, -2, -3]), np.array([1, 1, 1]), np.arange(3), np.full(3, hard_negatives.LEAST), np.full(3, hard_negatives.MOST), np.full(3, hard_negatives.LEAST), 5, True)
+    best = hard_negatives.Best(asked)
+    assert hard_negatives.visit(lists, centers, best) == 3
+    every = np.concatenate([x[4] for x in lists])
+    for k in range(3):
+        s = every @ q[k]
+        order = np.lexsort((np.arange(400), -s))[:5]
+        assert best.ids[k].tolist() == order.tolist() and best.scores[k].tolist() == s[order].tolist()
+
+
+def test_mine_empty(spark):
+    none = spark.createDataFrame([], SHAPE)
+    assert hard_negatives.mine(none, F.col("vec_id") % 10 == 0).collect() == []
+    alone = spark.createDataFrame([(0, 1, [1.0, 2.0]), (1, 2, [1.0, 2.0])], SHAPE)
+    assert hard_negatives.mine(alone, F.col("vec_id") % 10 == 0).collect() == []
