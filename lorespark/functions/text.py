@@ -76,7 +76,7 @@ def body(content: Column) -> Column:
 
 def one_line(text: Column, most: int = 120) -> Column:
     flat = F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("--"), F.lit("—"))
-    return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
+    return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
 
 
 def preview(content: Column, most: int) -> Column:
@@ -136,7 +136,7 @@ def chunk_id(path: Column, heading: Column, part: Column) -> Column:
 
 
 def cache_key(task: Column, scopes: Column, most: Column, fingerprint: Column, model: Column, paths: Column) -> Column:
-    return sha(F.lit("v2"), task, F.array_join(scopes, ","), most.cast("string"), fingerprint, model, F.array_join(paths, ","))
+    return sha(F.lit("v2"), task, F.array_join(scopes, ","), most.cast("string"), fingerprint, model, F.array_join(paths, "\x01"))
 
 
 def budget(most: Column) -> Column:

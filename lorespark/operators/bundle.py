@@ -9,37 +9,57 @@ from lorespark.functions import text as T
 
 # Sections alike from here on are one; candidates per bundle.
 ALIKE, CANDIDATES = 0.85, 40
+# Tokens that a bundle's head and each section's header count besides their own.
+HEAD_EXTRA, SECTION_EXTRA = 4, 2
 
 
 def scope_rank(scope: Column) -> Column:
     return F.when(scope == "domain", 0).when(scope == "conventions", 1).otherwise(2)
 
 
-def pack(ranked: DataFrame, budget: int, header_cost: int = 0) -> DataFrame:
-    """Per bundle_id: selected (rank, chunk_id in rank order) and truncated.
+def _header() -> Column:
+    return T.section_header(F.col("doc_path"), F.col("heading"), F.col("updated_at"), F.col("changes"), F.col("changed_at"))
 
-    ranked: bundle_id, rank, chunk_id, content, tokens. A section goes if it has the id, content or 85 % of the terms of a
-    selected one, or does not fit; if none fits, the first is cut. One fold over at most 40 candidates of a bundle, so a
-    bundle's state is bounded.
+
+def heads(tasks: DataFrame, fingerprint: str, max_tokens: int | None = None) -> DataFrame:
+    """bundle_id, task, scopes, fingerprint, budget, head_cost of tasks (bundle_id, task, scopes and, without max_tokens, max_tokens).
+
+    The budget is 95 % of max_tokens; head_cost is what a bundle of no sections takes, and 4.
+    """
+    most = F.col("max_tokens") if max_tokens is None else F.lit(max_tokens)
+    named = tasks.select("bundle_id", "task", "scopes", F.lit(fingerprint).alias("fingerprint"), T.budget(most).alias("budget"))
+    return named.withColumn("head_cost", T.token_count(_bundle(F.lit(0), F.lit(0), F.expr("cast(array() as array<string>)"))) + HEAD_EXTRA)
+
+
+def pack(ranked: DataFrame, heads: DataFrame) -> DataFrame:
+    """Per bundle_id: selected (rank, chunk_id in rank order), truncated, tokens (with the head's and the sections' overhead), room (for a cut section).
+
+    ranked: bundle_id, rank, chunk_id, content, tokens, doc_path, heading, updated_at, changes, changed_at; heads: bundle_id, budget, head_cost.
+    The head's cost stands at the start; a section costs its tokens, those of its header line, and 2. A section goes if it has the
+    id, content or 85 % of the terms of a selected one, or does not fit; if none fits, the first is cut. One fold over at most 40
+    candidates of a bundle, so a bundle's state is bounded.
     """
     top = ranked.where(F.col("rank") <= CANDIDATES)
-    item = F.struct("rank", F.col("chunk_id").cast("string").alias("id"), F.sha2("content", 256).alias("hash"), (F.col("tokens") + header_cost).cast("long").alias("t"), T.term_set(F.col("content")).alias("terms"))
-    lists = top.groupBy("bundle_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    overhead = (T.token_count(_header()) + SECTION_EXTRA).alias("o")
+    trimmed = F.regexp_replace("content", r"^\s+|\s+$", "")
+    item = F.struct("rank", F.col("chunk_id").cast("string").alias("id"), F.sha2(trimmed, 256).alias("hash"), F.col("tokens").cast("long").alias("t"), overhead, T.term_set(F.col("content")).alias("terms"))
+    lists = top.groupBy("bundle_id").agg(F.array_sort(F.collect_list(item)).alias("items")).join(heads.select("bundle_id", "budget", "head_cost"), "bundle_id")
     kept = "cast(array() as array<struct<rank:int,id:string,hash:string,terms:array<string>>>)"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr(kept).alias("kept"))
+    start = F.struct(F.col("head_cost").cast("long").alias("used"), F.expr(kept).alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
         twin = F.exists(s["kept"], lambda k: (k["id"] == x["id"]) | (k["hash"] == x["hash"]) | (T.jaccard(k["terms"], x["terms"]) >= ALIKE))
-        take = ~twin & (s["used"] + x["t"] <= budget)
+        cost = s["used"] + x["t"] + x["o"]
+        take = (cost <= F.col("budget")) & ~twin
         one = F.struct(x["rank"].cast("int").alias("rank"), x["id"].alias("id"), x["hash"].alias("hash"), x["terms"].alias("terms"))
-        return F.struct(F.when(take, s["used"] + x["t"]).otherwise(s["used"]).alias("used"), F.when(take, F.array_append(s["kept"], one)).otherwise(s["kept"]).alias("kept"))
+        return F.struct(F.when(take, cost).otherwise(s["used"]).alias("used"), F.when(take, F.array_append(s["kept"], one)).otherwise(s["kept"]).alias("kept"))
 
-    done = lists.select("bundle_id", F.get("items", F.lit(0)).alias("first"), F.aggregate("items", start, step).alias("s"))
-    none = F.size("s.kept") == 0
+    done = lists.select("bundle_id", "budget", "head_cost", F.get("items", F.lit(0)).alias("first"), F.aggregate("items", start, step).alias("s"))
+    room = F.col("budget") - F.col("head_cost") - F.col("first.o") - T.token_count(F.lit(T.CUT_MARK))
+    cut = (F.size("s.kept") == 0) & (room >= T.LEAST_ROOM)
     picked = F.transform("s.kept", lambda k: F.struct(k["rank"].alias("rank"), k["id"].alias("chunk_id")))
     first = F.array(F.struct(F.col("first.rank").cast("int").alias("rank"), F.col("first.id").alias("chunk_id")))
-    room = budget - header_cost >= T.LEAST_ROOM
-    return done.select("bundle_id", F.when(none & F.lit(room), first).otherwise(picked).alias("selected"), (none & F.lit(room)).alias("truncated"), F.col("s.used").alias("tokens"))
+    return done.select("bundle_id", F.when(cut, first).otherwise(picked).alias("selected"), cut.alias("truncated"), F.col("s.used").alias("tokens"), room.alias("room"))
 
 
 def order(sections: DataFrame) -> DataFrame:
@@ -51,8 +71,7 @@ def order(sections: DataFrame) -> DataFrame:
 
 def _section() -> Column:
     """One section as it stands in a bundle: its header and body."""
-    header = T.section_header(F.col("doc_path"), F.col("heading"), F.col("updated_at"), F.col("changes"), F.col("changed_at"))
-    return F.concat(F.lit("\n"), header, F.lit("\n\n"), T.body(F.col("content")), F.lit("\n"))
+    return F.concat(F.lit("\n"), _header(), F.lit("\n\n"), T.body(F.col("content")), F.lit("\n"))
 
 
 def _bundle(n: Column, tokens: Column, texts: Column) -> Column:
@@ -76,11 +95,11 @@ def render(sections: DataFrame, heads: DataFrame) -> DataFrame:
     return joined.select("bundle_id", _bundle(F.coalesce("n", F.lit(0)), F.coalesce("t", F.lit(0)), texts).alias("text"))
 
 
-def shrink(sections: DataFrame, heads: DataFrame, budget: int) -> DataFrame:
+def shrink(sections: DataFrame, heads: DataFrame) -> DataFrame:
     """bundle_id, kept, text, tokens: the most leading ranks whose rendered text fits; if not even one does, the text of none.
 
     A bundle's sections (at most 40) are rendered once and move once; inside the row, prefixes are joined from the longest on
-    until one fits, mostly the first.
+    until one fits, mostly the first. heads: as for render(), and budget.
     """
     item = F.struct(scope_rank(F.col("scope")).alias("s"), F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("id"), _section().alias("text"), F.col("tokens").cast("long").alias("t"))
     parts = sections.groupBy("bundle_id").agg(F.array_sort(F.collect_list(item)).alias("p"))
@@ -96,29 +115,26 @@ def shrink(sections: DataFrame, heads: DataFrame, budget: int) -> DataFrame:
         return F.get(F.transform(F.array(text), lambda x: F.struct(keep.alias("keep"), x.alias("text"), T.token_count(x).cast("long").alias("tokens"))), F.lit(0))
 
     start = F.struct(F.lit(None).cast("int").alias("keep"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("tokens"))
-    step = lambda s, keep: F.when((s["tokens"] <= budget) & (s["keep"] > 0), s).otherwise(cut(keep))
+    step = lambda s, keep: F.when((s["tokens"] <= F.col("budget")) & (s["keep"] > 0), s).otherwise(cut(keep))
     best = joined.select("bundle_id", F.aggregate("ranks", start, step).alias("b"))
     return best.select("bundle_id", F.col("b.keep").alias("kept"), F.col("b.text").alias("text"), F.col("b.tokens").alias("tokens"))
 
 
-def compile_bundle(ranked: DataFrame, tasks: DataFrame, fingerprint: str, max_tokens: int) -> DataFrame:
-    """bundle_id, kept, text, tokens for each task: pack, order, render, shrink to 95 % of max_tokens.
+def compile_bundle(ranked: DataFrame, tasks: DataFrame, fingerprint: str, max_tokens: int | None = None) -> DataFrame:
+    """bundle_id, kept, text, tokens, truncated for each task: pack, order, render, shrink to 95 % of max_tokens.
 
     ranked: bundle_id, rank, chunk_id, content, tokens, doc_path, heading, scope, updated_at, changes, changed_at; tasks:
-    bundle_id, task, scopes.
+    bundle_id, task, scopes and, without the argument, max_tokens. A task without sections gets a bundle that says so.
     """
-    budget = max(1, int(max_tokens * T.BUDGET_SHARE))
-    chosen = pack(ranked, budget).select("bundle_id", F.explode("selected").alias("s"), "truncated").select("bundle_id", F.col("s.chunk_id").alias("chunk_id"), "truncated")
+    top = heads(tasks, fingerprint, max_tokens)
+    packed = pack(ranked, top)
+    chosen = packed.select("bundle_id", F.explode("selected").alias("s"), "truncated", "room").select("bundle_id", F.col("s.chunk_id").alias("chunk_id"), "truncated", "room")
     picked = ranked.withColumn("chunk_id", F.col("chunk_id").cast("string")).join(chosen, ["bundle_id", "chunk_id"])
-    heads = tasks.select("bundle_id", "task", "scopes", F.lit(fingerprint).alias("fingerprint"))
-    # what stands around the one section that is cut: its header, the named parts of the bundle's head, the rest of that, the mark
-    section = T.section_header(F.col("doc_path"), F.col("heading"), F.col("updated_at"), F.col("changes"), F.col("changed_at"))
-    named = F.concat_ws(" ", "bundle_id", F.lit(fingerprint), F.array_join("scopes", ", "), T.one_line(F.col("task")))
-    around = T.token_count(section) + T.token_count(named) + T.token_count(F.lit(T.CUT_MARK)) + T.LEAST_ROOM
-    cut = F.concat(T.truncate(F.col("content"), F.greatest(F.lit(1).cast("long"), F.lit(budget) - around)), F.lit(T.CUT_MARK))
-    picked = picked.join(heads.select("bundle_id", "task", "scopes"), "bundle_id", "left").withColumn("content", F.when(F.col("truncated"), cut).otherwise(F.col("content"))).drop("task", "scopes")
+    cut = F.concat(T.truncate(F.col("content"), F.col("room")), F.lit(T.CUT_MARK))
+    picked = picked.withColumn("content", F.when(F.col("truncated"), cut).otherwise(F.col("content")))
     picked = picked.withColumn("tokens", F.when(F.col("truncated"), T.token_count(F.col("content"))).otherwise(F.col("tokens")))
-    return shrink(picked.drop("truncated"), heads, budget)
+    texts = shrink(picked.drop("truncated", "room"), top)
+    return texts.join(packed.select("bundle_id", "truncated"), "bundle_id", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def put_bundles(cache: DataFrame, new: DataFrame) -> DataFrame:

@@ -183,16 +183,45 @@ def _bundles(s, d):
     )
 
 
-@query()
+def _tasks(s, d):
+    """The first turn of each conversation as its task."""
+    return D.table(s, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("bundle_id"), F.col("text").alias("task"), F.array(F.lit("conventions"), F.lit("domain")).alias("scopes"))
+
+
+_FLAT = r"replace(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), '--', '—')"
+_PACK = rf"""WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CAST(conv_id * 1000 + turn AS VARCHAR) AS id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS content, list_distinct({D.sql_terms('text')}) AS terms,
+         {D.sql_tokens('text')} AS tokens, {D.sql_tokens("header")} + 2 AS overhead
+  FROM (SELECT *, '## domain/' || conv_id || '.md — ' || role || ' (updated 2024-01-02' || CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN '; code changed since: 1 commit, last 2024-02-03' ELSE '; code changed since: 2 commits, last 2024-02-03' END || ')' AS header FROM conversations) WHERE turn <= 40
+), h AS (
+  SELECT conv_id, {D.sql_tokens("head")} + 4 AS cost
+  FROM (SELECT conv_id, '<!-- context bundle ' || conv_id || ' · 0 section(s), ~0 tokens · scopes: conventions, domain · index 0123456789abcdef · task: ' || CASE WHEN length({_FLAT}) > 120 THEN substr({_FLAT}, 1, 119) || '…' ELSE {_FLAT} END
+        || ' -->' || chr(10) || chr(10) || '(no matching knowledge)' || chr(10) AS head FROM conversations WHERE turn = 0)
+), f AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, cost AS used, CAST([] AS STRUCT(id VARCHAR, content VARCHAR, terms VARCHAR[])[]) AS kept FROM h
+  UNION ALL
+  SELECT conv_id, i, CASE WHEN take THEN used + tokens + overhead ELSE used END, CASE WHEN take THEN list_append(kept, {{'id': id, 'content': content, 'terms': terms}}) ELSE kept END
+  FROM (SELECT f.conv_id, t.i, used, kept, id, content, terms, tokens, overhead,
+               used + tokens + overhead <= 399 AND len(list_filter(kept, lambda k: k.content = content OR CASE WHEN len(k.terms) + len(terms) = 0 THEN true
+                 ELSE len(list_intersect(k.terms, terms)) / (len(k.terms) + len(terms) - len(list_intersect(k.terms, terms))) >= 0.85 END)) = 0 AS take
+        FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)
+), done AS (
+  SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+)
+SELECT CAST(done.conv_id AS VARCHAR) AS bundle_id, used AS tokens, len(kept) = 0 AND 399 - cost - t.overhead - {D.sql_tokens("chr(10) || '[… truncated]'")} >= 40 AS truncated,
+       CASE WHEN len(kept) = 0 AND 399 - cost - t.overhead - {D.sql_tokens("chr(10) || '[… truncated]'")} >= 40 THEN t.id ELSE array_to_string(list_transform(kept, lambda k: k.id), ',') END AS selected
+FROM done JOIN h ON h.conv_id = done.conv_id JOIN t ON t.conv_id = done.conv_id AND t.i = 1"""
+
+
+@query(_PACK)
 def bundle_pack(s, d):
-    packed = bundle.pack(_bundles(s, d), 400)
+    packed = bundle.pack(_bundles(s, d), bundle.heads(_tasks(s, d), "0123456789abcdef", 420))
     return packed.select("bundle_id", F.array_join(F.transform("selected", lambda x: x["chunk_id"]), ",").alias("selected"), "truncated", "tokens")
 
 
 @query()
 def bundle_compile(s, d):
-    tasks = D.table(s, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("bundle_id"), F.col("text").alias("task"), F.array(F.lit("conventions"), F.lit("domain")).alias("scopes"))
-    return bundle.compile_bundle(_bundles(s, d), tasks, "0123456789abcdef", 1000)
+    return bundle.compile_bundle(_bundles(s, d), _tasks(s, d), "0123456789abcdef", 1000)
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) AS bundle_id, conv_id * 1000 + turn AS chunk_id,
@@ -213,7 +242,7 @@ def near_duplicates(s, d):
     return counted.where(j >= 0.05).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
-@query("""SELECT item_id, sha256('v2' || chr(0) || text || chr(0) || 'conventions,domain' || chr(0) || '2000' || chr(0) || 'f00d' || chr(0) || 'hash-64' || chr(0) || 'a/b.go,c.go') AS cache_key FROM benchmark""")
+@query("""SELECT item_id, sha256('v2' || chr(0) || text || chr(0) || 'conventions,domain' || chr(0) || '2000' || chr(0) || 'f00d' || chr(0) || 'hash-64' || chr(0) || 'a/b.go' || chr(1) || 'c.go') AS cache_key FROM benchmark""")
 def cache_key(s, d):
     scopes = T.normalized_list(F.array(F.lit(" domain"), F.lit("conventions "), F.lit("domain"), F.lit("")))
     paths = T.normalized_paths(F.array(F.lit("./c.go"), F.lit("a\\b.go"), F.lit("c.go")))

@@ -50,7 +50,7 @@ def test_small_functions(spark):
     assert one(spark, T.jaccard(F.col("a"), F.col("b")), a=["x", "y"], b=["y", "z"]) == pytest.approx(1 / 3)
     assert one(spark, T.jaccard(F.col("a"), F.col("b")), a=[], b=[]) == 1.0
     assert one(spark, T.body(F.col("t")), t="## Head\n\ntext\nmore\n") == "text\nmore"
-    assert one(spark, T.one_line(F.col("t"), 10), t="a  b -- c\nlonger text") == "a b — c lo…"
+    assert one(spark, T.one_line(F.col("t"), 10), t="a  b -- c\nlonger text") == "a b — c l…"
     assert one(spark, T.preview(F.col("t"), 5), t="# h\n\nbody text") == "body …"
     assert [one(spark, T.scope_of(F.col("p")), p=p) for p in ("domain/a.md", "projects/x/a.md", "projects/a.md", "other/a.md", "domain")] == ["domain", "projects/x", None, None, None]
     assert one(spark, T.normalized_list(F.col("s")), s=[" b", "a", "", "b "]) == ["a", "b"]

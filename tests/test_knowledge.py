@@ -131,19 +131,45 @@ def _ranked(spark, r, n):
     return spark.createDataFrame(rows, "bundle_id string, rank int, chunk_id long, content string, tokens long, doc_path string, heading string, scope string, updated_at timestamp, changes int, changed_at timestamp"), rows
 
 
+def _packed(rows, budget, head, header):
+    """The rule of the engine: the head's cost once, each section with its header's tokens and 2; (kept rows, truncated, used)."""
+    kept, used = [], head
+    for row in rows:
+        terms = set(row[3].split())
+        if any(row[3] == k[3] or len(terms & set(k[3].split())) / len(terms | set(k[3].split())) >= 0.85 for k in kept) or used + row[4] + header > budget:
+            continue
+        kept.append(row)
+        used += row[4] + header
+    room = budget - head - header - T.count_tokens(T.CUT_MARK)
+    return (kept, False, used) if kept or room < T.LEAST_ROOM else (rows[:1], True, used)
+
+
 def test_pack_against_a_loop(spark):
     r = random.Random(42)
-    for budget in (5, 60, 200):
+    seen = set()
+    for most in (20, 70, 120, 260):
         df, rows = _ranked(spark, r, 25)
-        kept, used = [], 0
-        for row in rows:
-            terms = set(row[3].split())
-            if any(row[3] == k[3] or len(terms & set(k[3].split())) / len(terms | set(k[3].split())) >= 0.85 for k in kept) or used + row[4] > budget:
-                continue
-            kept.append(row)
-            used += row[4]
-        got = bundle.pack(df, budget).first()
-        assert [s.chunk_id for s in got.selected] == [str(k[2]) for k in kept] and got.tokens == used
+        task = spark.createDataFrame([("b", "a  task\nwith -- lines " + "x" * r.choice([0, 200]), ["domain"])], "bundle_id string, task string, scopes array<string>")
+        top = bundle.heads(task, "f" * 16, most)
+        head = top.first()
+        flat = " ".join(head.task.split()).replace("--", "—")
+        flat = flat if len(flat) <= 120 else flat[:119] + "…"
+        empty = f"<!-- context bundle b · 0 section(s), ~0 tokens · scopes: domain · index {'f' * 16} · task: {flat} -->\n\n(no matching knowledge)\n"
+        assert (head.budget, head.head_cost) == (max(1, int(most * 0.95)), T.count_tokens(empty) + 4)
+        kept, truncated, used = _packed(rows, head.budget, head.head_cost, T.count_tokens("## domain/d.md — H (updated 2024-01-10)") + 2)
+        got = bundle.pack(df, top).first()
+        assert ([s.chunk_id for s in got.selected], got.truncated, got.tokens) == ([str(k[2]) for k in kept], truncated, used)
+        seen.add((truncated, len(kept) > 1))
+    assert seen >= {(False, True)}
+
+
+def test_what_fits_later_is_taken(spark):
+    """Sections of 500, 430 and 100 tokens in a budget of 950: the first and the third."""
+    rows = [("b", i, f"c{i}", " ".join(f"{w}{k}" for k in range(n // 2)), n, "domain/d.md", "H", "domain", None, 0, None) for i, (w, n) in enumerate([("a", 500), ("b", 430), ("c", 100)], 1)]
+    df = spark.createDataFrame(rows, "bundle_id string, rank int, chunk_id string, content string, tokens long, doc_path string, heading string, scope string, updated_at timestamp, changes int, changed_at timestamp")
+    tasks = spark.createDataFrame([("b", "task", ["domain"])], "bundle_id string, task string, scopes array<string>")
+    got = bundle.compile_bundle(df, tasks, "f" * 16, 1000).first()
+    assert "a0" in got.text and "c0" in got.text and "b0" not in got.text and got.tokens <= 950
 
 
 def test_compiled_bundles_fit_and_repeat(spark):
@@ -271,9 +297,30 @@ def test_search_keeps_to_scopes_and_budget(spark, mode, most, top):
         allowed = scopes[g.query_id] or ["conventions"]
         assert all(by_id[i][2] in allowed for i in g.picked) and g.budget == budget
         assert g.tokens == sum(by_id[i][5] for i in g.picked) <= budget and len(g.picked) <= min(top or 8, 6)
-        assert (g.mode, g.query_id != 99) == (mode or "hybrid", True)
-        assert (g.top_score == 0) == (mode == "bm25")
-    assert {g.query_id for g in got} == set(range(8))
+        assert g.mode == (mode or "hybrid")
+        if g.query_id == 99:  # a blank query
+            assert (g.picked, g.tokens, g.omitted, g.top_score) == ([], 0, 0, 0)
+        else:
+            assert (g.top_score == 0) == (mode == "bm25")
+    assert sorted(g.query_id for g in got) == [*range(8), 99]
+
+
+def test_search_embeds_queries_and_degrades(spark):
+    """embed makes the query vectors; a query that it fails on is searched by words alone, and gets nothing in mode vector."""
+    chunks, queries, vectors, asked, by_id, _ = _search_tables(spark)
+    failed = asked.withColumn("qe", F.when(F.col("query_id") % 3 != 0, F.col("qe"))).where("query_id <> 5")
+    embed = lambda q: q.join(failed.select("query_id", "qe"), "query_id")
+    given = {g.query_id: g for g in retrieval.search_context(chunks, queries, vectors, asked, max_tokens=300).collect()}
+    words = {g.query_id: g for g in retrieval.search_context(chunks, queries, max_tokens=300).collect()}
+    got = {g.query_id: g for g in retrieval.search_context(chunks, queries, vectors, max_tokens=300, embed=embed).collect()}
+    assert len(got) == 9
+    for q, g in got.items():
+        if q % 3 == 0 or q == 5:  # the lists of hybrid search are longer than those of mode bm25
+            assert g.picked[: len(words[q].picked)] == words[q].picked and g.top_score == 0 and g.mode == "hybrid"
+        else:
+            assert g == given[q]
+    alone = {g.query_id: g for g in retrieval.search_context(chunks, queries, vectors, max_tokens=300, embed=embed, mode="vector").collect()}
+    assert all((a.picked == []) == (q % 3 == 0 or q == 5) for q, a in alone.items())
 
 
 def test_search_wants_vectors_and_attaches_drift(spark):
