@@ -89,13 +89,12 @@ class Scanner:
         taken: list[tuple[int, int]] = []
 
         def search(start: int, stop: int) -> None:
-            # a range ends before a space, as its end counts as one
+            # a range ends before a space, as its end counts as one; a match that reaches further would take more errors
             if stop - start >= len(notice) - errors and (m := self.verify[k].search(line, start, stop, concurrent=False)):
                 heappush(waiting, (sum(m.fuzzy_counts), m.start(), m.end(), start, stop))
 
         for start, stop in ranges:
-            at = line.find(" ", stop)
-            search(start, at if at >= 0 else len(line) - 1)
+            search(start, line.rfind(" ", start, stop + 1))
         while waiting:
             n, a, b, start, stop = heappop(waiting)
             i = bisect_left(taken, (b, 0)) - 1

@@ -1,4 +1,4 @@
-"""Importance resampling, decontamination and hard negatives against brute force, on awkward rows and with small limits."""
+"""Importance resampling, decontamination and hard negatives against brute force, on awkward rows and with small limits; long words in license scans."""
 
 import hashlib
 import math
@@ -235,3 +235,19 @@ def test_mine_empty(spark):
     assert hard_negatives.mine(none, F.col("vec_id") % 10 == 0).collect() == []
     alone = spark.createDataFrame([(0, 1, [1.0, 2.0]), (1, 2, [1.0, 2.0])], SHAPE)
     assert hard_negatives.mine(alone, F.col("vec_id") % 10 == 0).collect() == []
+
+
+# ---- license scans of texts without spaces ----
+@pytest.mark.parametrize("unit", ["license", "许可license文本"])
+def test_long_words_take_linear_time(unit):
+    import time
+
+    from lorespark.llm.licenses import scanner
+
+    took = []
+    for size in (20_000, 200_000):
+        began = time.process_time()
+        found = scanner().scan(unit * (size // len(unit)) + " mit licens")
+        took.append(time.process_time() - began)
+        assert [(s["label"], s["errors"]) for s in found["spans"]] == [("mit", 1)]
+    assert took[1] < 40 * took[0] + 0.5
