@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -194,9 +195,9 @@ def plain_value(value) -> str:
 def issue_text(raw: str) -> str:
     """An issue: key and summary, fields, description, comments, so that a cut at the end loses least."""
     issue = json.loads(raw)
-    fields = issue.get("fields", {})
+    fields = issue.get("fields") or {}
     rendered = issue.get("renderedFields") or {}
-    head = [f"{issue.get('key', '')}: {fields.get('summary', '')}"]
+    head = [f"{issue.get('key') or ''}: {fields.get('summary') or ''}"]
     head += [f"{n.capitalize()}: {plain_value(fields[n])}" for n in ("status", "issuetype", "priority", "assignee", "labels") if plain_value(fields.get(n))]
     body = to_markdown(rendered["description"]) if rendered.get("description") else plain_value(fields.get("description"))
     comments = [f"{plain_value(c.get('author'))}: {plain_value(c.get('body'))}" for c in (fields.get("comment") or {}).get("comments", [])]
@@ -213,6 +214,11 @@ def issues(rows: DataFrame) -> DataFrame:
     return rows.select("raw").mapInPandas(run, "key string, text string")
 
 
+def excerpt(text: str | None) -> str | None:
+    """A search hit's excerpt without the marks of what was found, entities as characters, on one line."""
+    return None if text is None else " ".join(unescape(re.sub("@@@(hl|endhl)@@@", "", text)).split())
+
+
 def page_hits(pages: DataFrame) -> DataFrame:
     """page_id, title, excerpt of stored pages, standing in for a live search."""
     from lorespark.functions.text import clean_excerpt
