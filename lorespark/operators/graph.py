@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.functions import text as T
+from lorespark.operators.mentions import document_names, mentions, plain_text
 
 # Fixed value: a document with more links out is over-linked.
 OVER_LINKED = 12
@@ -34,7 +34,7 @@ def resolve_links(links: DataFrame, paths: DataFrame) -> DataFrame:
     tries = asked.select(*key, F.posexplode(ways).alias("way", "path"))
     exact = tries.join(paths.select("path"), "path").groupBy(*key).agg(F.min_by("path", "way").alias("exact"))
     base = lambda p: F.lower(F.regexp_replace(F.regexp_extract(p, r"([^/]*)$", 1), r"\.md$", ""))
-    named = paths.groupBy(base(F.col("path")).alias("_base")).agg(F.min(F.struct(F.char_length("path").alias("n"), "path")).alias("p")).select("_base", F.col("p.path").alias("named"))
+    named = paths.groupBy(base(F.col("path")).alias("_base")).agg(F.min(F.struct(F.octet_length("path").alias("n"), "path")).alias("p")).select("_base", F.col("p.path").alias("named"))
     found = links.withColumn("_base", F.when(F.col("kind") != "markdown", base(t))).join(exact, key, "left").join(named, "_base", "left")
     return found.select(*links.columns, F.coalesce("exact", "named", F.lit("")).alias("to_path"))
 
@@ -73,20 +73,20 @@ def ignore_links(ignored: DataFrame, new: DataFrame) -> DataFrame:
     return ignored.select("from_path", "to_path").union(new.select("from_path", "to_path")).distinct()
 
 
+def clear_ignored(ignored: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """The pairs that stay ignored: none, or with paths (path) those that start at none of these."""
+    return ignored.where("false") if paths is None else ignored.join(paths.select(F.col("path").alias("from_path")), "from_path", "left_anti").select("from_path", "to_path")
+
+
 def suggest_links(docs: DataFrame, links: DataFrame, ignored: DataFrame, limit: int) -> DataFrame:
     """from_path, to_path, name, mentions: documents that name another without a link either way.
 
-    docs: path, title, body. Names meet texts on their longest word (an equi join), then whole-word occurrences are counted;
-    heading lines do not count. The best name of a pair is the most frequent, then the first.
+    docs: path, title, body. All names are looked for in one scan of each text (see mentions()); heading lines do not count. Only
+    counts are joined with the documents that have a name. The best name of a pair is the most frequent, then the first.
     """
-    names = docs.select(F.col("path").alias("to_path"), F.posexplode(T.mention_names(F.col("path"), F.col("title"))).alias("which", "name"))
-    names = names.withColumn("word", F.array_max(F.transform(T.words(F.col("name")), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"])
-    text = F.lower(F.regexp_replace("body", r"(?m)^[ \t]*#[^\n]*$", ""))
-    texts = docs.select(F.col("path").alias("from_path"), text.alias("text"))
-    words = texts.select("from_path", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")).join(names, "word").where("from_path <> to_path").drop("word")
-    quoted = F.regexp_replace("name", r"([.+()\[\]{}^$|\\*?])", r"\\$1")
-    pattern = F.concat(F.lit("(?<![0-9A-Za-z_])"), quoted, F.lit("(?![0-9A-Za-z_])"))
-    counted = words.join(texts, "from_path").withColumn("mentions", F.regexp_count("text", pattern)).where("mentions > 0")
+    names = document_names(docs)
+    texts = docs.select("path", plain_text(F.col("body")).alias("text"))
+    counted = mentions(texts, names).withColumnRenamed("path", "from_path").join(names, "name").where("from_path <> to_path")
     best = counted.groupBy("from_path", "to_path").agg(F.min(F.struct((-F.col("mentions")).alias("m"), "which", "name")).alias("b"))
     e = edges(links)
     known = e.union(e.select("to_path", "from_path")).union(ignored.select("from_path", "to_path")).distinct()

@@ -101,6 +101,15 @@ def proposal_counts(proposals: DataFrame) -> DataFrame:
     return checked.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("open", "merged", "closed")])
 
 
+def put_proposals(proposals: DataFrame, new: DataFrame) -> DataFrame:
+    """The proposals with new ones; a new one without a status is open. An id that is there already, or comes twice, is an error."""
+    filled = new.withColumn("status", F.coalesce(F.nullif("status", F.lit("")), F.lit("open"))).select(proposals.columns)
+    both = proposals.withColumn("_new", F.lit(0)).unionByName(filled.withColumn("_new", F.lit(1)))
+    twice = F.count("*").over(Window.partitionBy("id")) > 1
+    wrong = F.raise_error(F.concat(F.lit("proposal exists: "), F.col("id").cast("string"))).cast("string")
+    return both.withColumn("status", F.when(twice & (F.max("_new").over(Window.partitionBy("id")) == 1), wrong).otherwise(F.col("status"))).drop("_new")
+
+
 def list_proposals(proposals: DataFrame, limit: int) -> DataFrame:
     return proposals.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 

@@ -321,7 +321,26 @@ def broken_links(s, d):
     return graph.broken_links(graph.resolve_links(D.part_links(s, d), D.part_paths(s, d)))
 
 
-@query()
+@query(rf"""WITH docs AS (
+  SELECT 'domain/' || source || '-' || doc_id || '.md' AS path, source || '-' || doc_id AS base, array_to_string(str_split(str_split(text, chr(10))[1], ' ')[1:3], ' ') AS title,
+         lower(regexp_replace(text, '(?m)^\s*#[^\n]*$', '', 'g')) AS body FROM documents
+), listed AS (
+  SELECT path, [lower(trim(title)), lower(trim(regexp_extract(title, '^([^:(]+)[:(]', 1))), lower(trim(replace(base, '-', ' ')))] AS l FROM docs
+), names AS (
+  SELECT path, unnest(l) AS name, unnest(range(3)) AS which FROM listed
+), kept AS (
+  SELECT path, name, min(which) AS which FROM names WHERE strlen(name) >= 5 AND name NOT IN ('readme', 'index', 'overview', 'notes', 'glossary', 'introduction') GROUP BY ALL
+), asked AS (
+  SELECT DISTINCT name, regexp_extract(name, '[0-9a-z_]+') AS word FROM kept
+), words AS (
+  SELECT path, unnest(list_distinct(regexp_extract_all(body, '[0-9a-z_]+'))) AS word FROM docs
+), near AS (
+  SELECT path, name FROM words JOIN asked USING (word) UNION ALL SELECT path, name FROM docs JOIN asked ON word = '' AND contains(body, name)
+), met AS (
+  SELECT path AS from_path, name, len(regexp_extract_all(body, '\b' || regexp_escape(name) || '\b')) AS mentions FROM near JOIN docs USING (path) WHERE contains(body, name)
+)
+SELECT from_path, path AS to_path, name, mentions FROM met JOIN kept USING (name) WHERE mentions > 0 AND from_path <> path
+QUALIFY row_number() OVER (PARTITION BY from_path, path ORDER BY mentions DESC, which, name) = 1 ORDER BY mentions DESC, from_path, to_path LIMIT 100""")
 def link_suggestions(s, d):
     docs = D.table(s, d, "documents")
     docs = docs.select(F.concat(F.lit("domain/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat_ws(" ", F.slice(F.split(F.split("text", "\n")[0], " "), 1, 3)).alias("title"), F.col("text").alias("body"))
