@@ -29,7 +29,7 @@ from lorespark.llm.common import materialize, only, session_of, ship_code, text_
 
 K1, B = 1.2, 0.75
 TOP = 10
-#: Postings of a shard and query terms that pass through the shards together: they bound a task's memory, and the broadcast.
+#: Postings and documents of a shard, and query terms that pass through the shards together: they bound a task's memory, and the broadcast.
 POSTINGS, TERMS = 1 << 20, 1 << 20
 #: Documents of a block; blocks scored to have a threshold; pivots scored before the first look at it, twice as many before each later one.
 BLOCK, FIRST, STEP = 8, 32, 32
@@ -193,7 +193,7 @@ def _index(bags: DataFrame) -> DataFrame:
             off = counts.offsets.to_numpy()
             for i, n, a, b, c, d in zip(ids, lengths, edges[:-1].tolist(), edges[1:].tolist(), off[:-1].tolist(), off[1:].tolist()):
                 held.append((i, flat[a:b].copy(), numbers[c:d].copy(), n))
-                size += b - a
+                size += b - a + 1  # a document without words takes room too
                 if size >= S.POSTINGS:
                     yield shard()
                     held, size = [], 0

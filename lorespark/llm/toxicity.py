@@ -20,9 +20,11 @@ SAMPLE = 2000
 #: A word has an embedding if it stands in so many texts of the sample; others count as padding.
 MIN_TEXTS = 3
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.02, 7
+#: Networks whose mean scores; each leaves out one part of the sample, on which it is calibrated.
+FOLDS = 3
 #: A score from here on is predicted as toxic, where a language has no threshold of its own.
 THRESHOLD = 0.3
-#: A language gets its own threshold with so many positives among the rows kept for calibration; the others share one, found on their
+#: A language gets its own threshold with so many positives among the sample; the others share one, found on their
 #: rows together, or on all languages' rows where those have too few.
 MIN_POSITIVE = 20
 #: The key of the shared threshold: no language's name.
@@ -166,10 +168,10 @@ def _calibrated(score: np.ndarray, label: np.ndarray, lang: np.ndarray) -> dict[
 
 
 class Classifier:
-    """What scoring needs: the network, and the row of each slot (0: none). Its size does not depend on the input's."""
+    """What scoring needs: the networks, and the row of each slot (0: none). Its size does not depend on the input's."""
 
-    def __init__(self, net: Network, rows: np.ndarray, thresholds: dict[str | None, float]):
-        self.net, self.rows, self.thresholds = net, rows, thresholds
+    def __init__(self, nets: list[Network], rows: np.ndarray, thresholds: dict[str | None, float]):
+        self.nets, self.rows, self.thresholds = nets, rows, thresholds
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Scores; so many texts go through the network together that some MB of windows are held, however long texts are."""
@@ -179,7 +181,8 @@ class Classifier:
             while stop < len(texts) and (stop == at or size + len(texts[stop]) < AT_ONCE):
                 size += len(texts[stop])
                 stop += 1
-            found.append(self.net.forward([self.rows[slots(t)] for t in texts[at:stop]]))
+            some = [self.rows[slots(t)] for t in texts[at:stop]]
+            found.append(np.mean([net.forward(some) for net in self.nets], 0))
             at = stop
         return np.concatenate(found).astype(np.float64)
 
@@ -214,9 +217,11 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int) -> list:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Classifier:
-    """Fits on four fifths of the sample, finds the thresholds on the rest, then fits on all of it.
+    """A network for each fold of the sample, fitted on the other folds; the thresholds are found on all rows, each scored by the network that did not see it.
 
-    The last fit is not the one that was calibrated: with a sample this small a fifth of it counts for more (README)."""
+    Their mean is the score, so what is calibrated is what scores. Where the folds have no toxic rows to spare, one network is fitted on all
+    rows and nothing is calibrated.
+    """
     rows = sample(docs, labels, bound)
     each = [np.array(s, np.int32) for s in rows["slots"]]
     label = np.array(rows["toxic"], np.float32)
@@ -228,12 +233,14 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Classifier
     index = np.zeros(SPACE, np.int32)
     index[known[known > 0]] = np.arange(1, 1 + (known > 0).sum())
     texts, size = [index[s] for s in each], int((known > 0).sum()) + 1
-    thresholds: dict[str | None, float] = {}
-    aside = np.array([zlib.crc32(f"c{i}".encode()) % 5 == 0 for i in rows["doc_id"]], bool)
-    if label[~aside].any() and label[aside].any():
-        trial = fit([t for t, a in zip(texts, aside) if not a], label[~aside], size)
-        thresholds = _calibrated(trial.forward([t for t, a in zip(texts, aside) if a]), label[aside], lang[aside])
-    return Classifier(fit(texts, label, size), index, thresholds)
+    fold = np.array([zlib.crc32(f"c{i}".encode()) % FOLDS for i in rows["doc_id"]], np.int64)
+    if not all(label[fold != k].any() and (fold == k).any() for k in range(FOLDS)):
+        return Classifier([fit(texts, label, size)], index, {})
+    nets, score = [], np.zeros(len(texts))
+    for k in range(FOLDS):
+        nets.append(fit([t for t, f in zip(texts, fold) if f != k], label[fold != k], size))
+        score[fold == k] = nets[-1].forward([t for t, f in zip(texts, fold) if f == k])
+    return Classifier(nets, index, _calibrated(score, label, lang))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, model: Classifier | None = None) -> DataFrame:

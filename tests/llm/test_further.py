@@ -251,3 +251,54 @@ def test_long_words_take_linear_time(unit):
         took.append(time.process_time() - began)
         assert [(s["label"], s["errors"]) for s in found["spans"]] == [("mit", 1)]
     assert took[1] < 40 * took[0] + 0.5
+
+
+# ---- toxicity: what scores is what was calibrated ----
+LABELLED = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(LABELLED), reason="the labelled tables are not here")
+def test_toxicity_on_held_out_labels(spark):
+    from lorespark.llm import toxicity
+
+    docs, labels = common.read(spark, LABELLED, "documents"), common.read(spark, LABELLED, "labels")
+    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    scored = toxicity.score_toxicity(docs.join(known, "doc_id", "left_semi"), labels).join(known, "doc_id").where("held_out")
+    rows = scored.select("score", "predicted", F.col("toxic").cast("int").alias("toxic"), "label").collect()
+    bad, good = [r for r in rows if r.label], [r for r in rows if not r.label]
+    caught, false = sum(r.predicted for r in bad), sum(r.predicted for r in good)
+    assert len(bad) > 100 and caught >= 0.7 * len(bad) and false <= 0.02 * len(good)
+    # the calibrated cuts too
+    assert sum(r.toxic for r in bad) >= 0.7 * len(bad) and sum(r.toxic for r in good) <= 0.04 * len(good)
+    # a toxic row scores above a clean one in 19 of 20 pairs
+    ranked = sorted(rows, key=lambda r: r.score)
+    below = wins = 0
+    for r in ranked:
+        below, wins = below + (not r.label), wins + below * r.label
+    assert wins >= 0.94 * len(bad) * len(good)
+
+
+def test_folds_score_what_they_did_not_see(monkeypatch):
+    """Each row is scored for calibration by the one network that was not fitted on it, and the mean of the networks scores texts."""
+    from lorespark.llm import toxicity
+
+    ids = list(range(60))
+    rows = {"doc_id": ids, "toxic": [int(i % 4 == 0) for i in ids], "lang": ["en"] * 60, "slots": [[i + 1, 500, 501] for i in ids]}
+    fitted = []
+
+    class Told:
+        def __init__(self, labels):
+            self.n = len(labels)
+
+        def forward(self, texts):
+            return np.full(len(texts), self.n / 100)
+
+    monkeypatch.setattr(toxicity, "sample", lambda *_: rows)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, size: fitted.append(len(labels)) or Told(labels))
+    seen = {}
+    monkeypatch.setattr(toxicity, "_calibrated", lambda score, label, lang: seen.update(score=score) or {})
+    model = toxicity.train(None, None)
+    fold = np.array([zlib.crc32(f"c{i}".encode()) % toxicity.FOLDS for i in ids])
+    assert fitted == [int((fold != k).sum()) for k in range(toxicity.FOLDS)]
+    assert seen["score"].tolist() == [fitted[k] / 100 for k in fold]
+    assert np.allclose(model.score([b"a", b""]), np.mean(fitted) / 100)

@@ -590,9 +590,9 @@ def test_thresholds_go_both_ways():
     f1 = lambda cut, here: 2 * label[here][score[here] >= cut].sum() / ((score[here] >= cut).sum() + label[here].sum())
     assert all(f1(got[n], at) > f1(toxicity.THRESHOLD, at) for n, at in (("low", slice(0, 90)), ("high", slice(90, 180))))
     assert toxicity._calibrated(score[:60], label[:60], np.repeat(["few"], 60)) == {}
-    model = toxicity.Classifier(toxicity.Network(2, np.random.default_rng(0)), np.zeros(toxicity.SPACE, np.int32), got)
+    model = toxicity.Classifier([toxicity.Network(2, np.random.default_rng(0))], np.zeros(toxicity.SPACE, np.int32), got)
     assert model.threshold("low") < toxicity.THRESHOLD and model.threshold("few") == model.threshold(None) == got[None]
-    assert toxicity.Classifier(model.net, model.rows, {}).threshold("low") == toxicity.THRESHOLD
+    assert toxicity.Classifier(model.nets, model.rows, {}).threshold("low") == toxicity.THRESHOLD
 
 
 def test_convolution_gradient():
