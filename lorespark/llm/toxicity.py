@@ -16,7 +16,7 @@ from lorespark.llm.common import session_of, ship_code, text_of
 #: Hash space of words; embedding size; filter widths; filters of each width.
 SPACE, DIM, WIDTHS, FILTERS = 1 << 20, 8, (1, 2, 3), 8
 #: Bound of the training sample: at most so many labelled rows of each class, chosen by a hash of doc_id.
-SAMPLE = 2000
+SAMPLE = 4000
 #: A word has an embedding if it stands in so many texts of the sample; others count as padding.
 MIN_TEXTS = 3
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.02, 7
