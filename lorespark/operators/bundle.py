@@ -62,6 +62,25 @@ def pack(ranked: DataFrame, heads: DataFrame) -> DataFrame:
     return done.select("bundle_id", F.when(cut, first).otherwise(picked).alias("selected"), cut.alias("truncated"), F.col("s.used").alias("tokens"), room.alias("room"))
 
 
+def near_duplicates(sections: DataFrame, key: str, text: str, least: float = ALIKE) -> DataFrame:
+    """a, b (a < b), jaccard of sections whose term sets are alike by at least `least`; those without terms are left out.
+
+    Two such sets share one of the first n - ceil(least n) + 1 terms of each, in the order of rarity, so only these meet, and the ratio is
+    computed on the pairs that have met. A term that many sections hold comes last and seldom counts among the first.
+    """
+    sets = sections.select(F.col(key).alias("id"), T.term_set(F.col(text)).alias("terms")).where(F.size("terms") > 0)
+    each = sets.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    rarity = each.groupBy("term").agg(F.count("*").alias("df"))
+    heads = each.join(rarity, "term").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("l"))
+    first = F.slice("l", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int"))
+    heads = heads.select("id", "n", F.explode(first).alias("f")).select("id", "n", F.col("f.term").alias("term"))
+    x, y = heads.alias("x"), heads.alias("y")
+    sizes = F.expr(f"least(x.n, y.n) >= {least} * greatest(x.n, y.n) - 1e-9")
+    met = x.join(y, F.expr("x.term = y.term and x.id < y.id")).where(sizes).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    left, right = (sets.select(F.col("id").alias(c), F.col("terms").alias(f"terms_{c}")) for c in "ab")
+    return met.join(left, "a").join(right, "b").select("a", "b", T.jaccard(F.col("terms_a"), F.col("terms_b")).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
 def order(sections: DataFrame) -> DataFrame:
     """place in the bundle: domain, conventions, then the rest, by rank inside."""
     from pyspark.sql import Window

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +65,11 @@ def delete_documents(store: Snapshots, gone: DataFrame) -> int:
     return store.commit(rest, on=was)
 
 
-def sync(store: Snapshots, scan: DataFrame, source: str = "", commit: str = "", at: str = "", force: bool = False) -> dict[str, int | str]:
+def sync(store: Snapshots, scan: DataFrame, source: str = "", commit: str = "", at: str = "", force: bool = False, digest: Callable[[DataFrame], DataFrame] = ingest.fingerprint) -> dict[str, int | str]:
     """Brings the index to a scan (path, title, body, content_hash) in one version; how many documents were scanned, indexed, skipped, deleted, the chunks indexed and the fingerprint.
 
     Documents that changed, or whose links are of older rules, are parsed; those that are gone go with all that is theirs; bundles of an
-    older fingerprint and vectors of no chunk go. Source, commit and time are kept as the sync state. When nothing changes no
+    older fingerprint (see digest: fingerprint() or, for very many documents, tree_fingerprint()) and vectors of no chunk go. Source, commit and time are kept as the sync state. When nothing changes no
     table is written.
     """
     was = store.latest()
@@ -90,7 +92,7 @@ def sync(store: Snapshots, scan: DataFrame, source: str = "", commit: str = "",
     chunks = _replaced(have("chunks"), "doc_path", touched, parsed)
     links = _resolved(_replaced(have("links"), "from_path", touched, ingest.extract_links(docs)), documents)
     tables = {"documents": documents, "chunks": chunks, "links": links}
-    stats["fingerprint"] = ingest.fingerprint(documents).first()[0]
+    stats["fingerprint"] = digest(documents).first()[0]
     if (vectors := have("vectors")) is not None:
         tables["vectors"] = ingest.prune_vectors(vectors, chunks)
     for name in ("bundles", "recent"):

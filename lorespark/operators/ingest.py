@@ -204,6 +204,24 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("l")))), lambda x: x["l"]), ""), 256), 1, 16).alias("fingerprint"))
 
 
+#: Parts of a tree fingerprint.
+PARTS = 4096
+
+
+def tree_fingerprint(docs: DataFrame, parts: int = PARTS) -> DataFrame:
+    """One row: 16 hex digits over the digests of `parts` parts, each over path NUL hash LF of its documents in path order.
+
+    A document's part is told by a hash of its path, so the digest does not depend on how rows are spread, and a task holds the lines
+    of a part: for corpora that fingerprint() would hold in one task. The two digests of a corpus differ.
+    """
+    line = F.concat("path", F.lit("\x00"), "content_hash", F.lit("\n"))
+    part = F.conv(F.substring(F.sha2("path", 256), 1, 8), 16, 10).cast("long") % parts
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("l")))), lambda x: x["l"]), "")
+    each = docs.groupBy(part.alias("part")).agg(F.sha2(joined, 256).alias("digest"))
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: F.concat(x["part"].cast("string"), F.lit("\x00"), x["digest"], F.lit("\n"))), "")
+    return each.agg(F.substring(F.sha2(top, 256), 1, 16).alias("fingerprint"))
+
+
 def reassemble(chunks: DataFrame) -> DataFrame:
     """doc_path, text: chunks in order with blank lines between."""
     return chunks.groupBy("doc_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "content"))), lambda x: x["content"]), "\n\n").alias("text"))

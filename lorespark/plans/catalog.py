@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators import bundle, evaluation, graph, ingest, logs, retrieval, staleness
+from lorespark.operators import bench, bundle, compile, evaluation, graph, index, ingest, logs, retrieval, staleness
 from lorespark.plans import tables as D
+from lorespark.sources.snapshots import Snapshots
+from lorespark.sources.written import shared_folder
+from lorespark.streaming import state
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -219,6 +223,34 @@ def bundle_pack(s, d):
     return packed.select("bundle_id", F.array_join(F.transform("selected", lambda x: x["chunk_id"]), ",").alias("selected"), "truncated", "tokens")
 
 
+def _sections(s, d):
+    """Lines of documents as sections of a knowledge base."""
+    path = F.concat(F.lit("domain/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return D.chunks(s, d).select("chunk_id", path.alias("doc_id"), path.alias("doc_path"), F.concat(F.lit("line "), F.col("position").cast("string")).alias("heading"), "scope", "position", "content", "tokens")
+
+
+def _store(s):
+    return Snapshots(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}")
+
+
+@query()
+def bundles_of_tasks(s, d):
+    """From task texts to bundles: look-up, retrieval, packing, store. Every third task is asked twice."""
+    asked = D.queries(s, d).select(F.col("query_id").alias("task_id"), F.col("query").alias("task"), "scopes")
+    asked = asked.union(asked.where("task_id % 3 = 0").withColumn("task_id", F.col("task_id") + 1_000_000))
+    made = compile.compile_tasks(_store(s), asked, compile.finder(_sections(s, d)), "0123456789abcdef")
+    return made.select("task_id", "source", "cached", "cache_key", "bundle_id", "content", "tokens", F.size("sections").alias("sections"), "truncated")
+
+
+@query()
+def bundle_bench(s, d):
+    """Benchmark texts as golden queries; a document is expected whose number ends as theirs does."""
+    paths = D.table(s, d, "documents").select(F.concat(F.lit("domain/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), (F.col("doc_id") % 100).alias("k"))
+    expected = paths.groupBy("k").agg(F.collect_list(F.struct("path", F.lit(None).cast("string").alias("heading"))).alias("expected"))
+    golden = D.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (F.col("item_id") % 100).alias("k")).join(expected, "k").drop("k")
+    return bench.bench(_store(s), _sections(s, d), golden, compile.finder(_sections(s, d)), "0123456789abcdef", (2000, 500), ["domain/7.md", "domain/12.md"])
+
+
 @query()
 def bundle_compile(s, d):
     return bundle.compile_bundle(_bundles(s, d), _tasks(s, d), "0123456789abcdef", 1000)
@@ -234,12 +266,8 @@ def bundle_order(s, d):
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))), 6) AS jaccard
 FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))) >= 0.05""")
 def near_duplicates(s, d):
-    sets = D.table(s, d, "benchmark").select("item_id", T.term_set(F.col("text")).alias("terms"))
-    each = sets.select("item_id", F.explode("terms").alias("term"), F.size("terms").alias("n"))
-    met = each.alias("x").join(each.alias("y"), F.expr("x.term = y.term and x.item_id < y.item_id"))
-    counted = met.groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count("*").alias("c"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"))
-    j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return counted.where(j >= 0.05).select("a", "b", F.round(j, 6).alias("jaccard"))
+    found = bundle.near_duplicates(D.table(s, d, "benchmark"), "item_id", "text", 0.05)
+    return found.withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("""SELECT item_id, sha256('v2' || chr(0) || text || chr(0) || 'conventions,domain' || chr(0) || '2000' || chr(0) || 'f00d' || chr(0) || 'hash-64' || chr(0) || 'a/b.go' || chr(1) || 'c.go') AS cache_key FROM benchmark""")
@@ -705,6 +733,35 @@ def static_baselines(s, d):
     return evaluation.static_baselines(D.chunks(s, d).select(path.alias("doc_path"), "tokens"), ["projects/de", " projects/fr/ ", "", "projects/en/7.md"])
 
 
+@query("""WITH c AS (SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS instance, ts, event_type AS name, event_id, unnest(['d' || user_id % 37, 'd' || event_id % 11]) AS path FROM events
+), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 24 HOURS THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY instance, path ORDER BY ts, name, event_id)
+), r AS (SELECT *, sum(new) OVER (PARTITION BY instance, path ORDER BY ts, name, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g
+), l AS (SELECT instance, path, run, count(*) AS times, max(ts) AS last_at, max({'a': ts, 'n': name}).n AS via FROM r GROUP BY ALL
+), n AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY instance, path ORDER BY run DESC) = 1)
+SELECT instance, path, times, last_at, via FROM n JOIN (SELECT instance, max(ts) AS stop FROM c GROUP BY instance) USING (instance) WHERE last_at >= stop - INTERVAL 24 HOURS
+QUALIFY row_number() OVER (PARTITION BY instance ORDER BY last_at DESC, path) <= 2000""")
+def served_runs(s, d):
+    path = lambda c, n: F.concat(F.lit("d"), (F.col(c) % n).cast("string"))
+    e = D.table(s, d, "events")
+    return state.served_runs(e.select(F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("instance"), F.col("ts").alias("at"), F.col("event_type").alias("name"), F.array(path("user_id", 37), path("event_id", 11)).alias("paths")))
+
+
+@query("""WITH d AS (SELECT doc_id, text, 'domain/' || doc_id || '.md' AS path FROM documents), kept AS (SELECT * FROM d WHERE doc_id % 5 <> 0),
+l AS (SELECT path AS from_path, unnest(['[[' || (doc_id + 1) || ']]', '[[' || (doc_id + 5) || ']]']) AS link, unnest([doc_id + 1, doc_id + 5]) AS t FROM kept WHERE doc_id % 7 <> 0
+UNION ALL SELECT path, '[[3]]', 3 FROM kept WHERE doc_id % 7 = 0)
+SELECT from_path, CAST(t AS VARCHAR) AS target, coalesce(kept.path, '') AS to_path FROM l LEFT JOIN kept ON kept.doc_id = l.t""")
+def index_links(s, d):
+    """An index that is filled, then changed (every seventh document) and thinned (every fifth): the links that are left, resolved anew each time."""
+    docs = D.table(s, d, "documents").select("doc_id", F.concat(F.lit("domain/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(None).cast("string").alias("title"))
+    named = lambda *ids: F.concat(*[F.concat(F.lit("see [["), i.cast("string"), F.lit("]]\n")) for i in ids])
+    bodied = lambda df, *ids: df.withColumn("body", named(*ids)).withColumn("content_hash", F.sha2("body", 256)).drop("doc_id")
+    store = _store(s)
+    index.upsert_documents(store, bodied(docs, F.col("doc_id") + 1, F.col("doc_id") + 5))
+    index.upsert_documents(store, bodied(docs.where("doc_id % 7 = 0"), F.lit(3)))
+    index.delete_documents(store, docs.where("doc_id % 5 = 0").select("path"))
+    return store.table("links").select("from_path", "target", "to_path")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval over documents and vectors, then the budget fill."""
     found = retrieval.search_context(D.whole(spark, sf_dir), D.queries(spark, sf_dir), D.vectors(spark, sf_dir), D.query_vectors(spark, sf_dir), top_k=10)

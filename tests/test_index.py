@@ -165,3 +165,43 @@ def test_recent_bundles_against_a_loop(spark, store):
         assert {x.task_id: x.source for x in got.collect()} == expected
         assert [x.task for x in store.table("recent").orderBy(F.desc("call"), "place").collect()] == [f"term{k}" for k in reversed(held)]
         assert {x.task: x.hits for x in store.table("bundles").collect()} == {f"term{k}": n for k, n in table.items()}
+
+
+def test_tree_fingerprint_does_not_depend_on_rows_places(spark):
+    from lorespark.operators import ingest
+
+    rows = [(f"domain/{i}.md", f"h{i}") for i in range(300)]
+    make = lambda r, n: ingest.tree_fingerprint(spark.createDataFrame(r, "path string, content_hash string").repartition(n), 16).first()[0]
+    parts = {}
+    for p, h in sorted(rows):
+        parts.setdefault(int(hashlib.sha256(p.encode()).hexdigest()[:8], 16) % 16, []).append(f"{p}\0{h}\n")
+    top = "".join(f"{k}\0{hashlib.sha256(''.join(v).encode()).hexdigest()}\n" for k, v in sorted(parts.items()))
+    assert make(rows, 1) == make(rows[::-1], 7) == hashlib.sha256(top.encode()).hexdigest()[:16]
+    assert make(rows[1:], 3) != make(rows, 3)
+    store = Snapshots(spark, f"file://{__import__('tempfile').mkdtemp()}/s")
+    assert index.sync(store, docs(spark, TEXTS), digest=ingest.tree_fingerprint)["fingerprint"] == ingest.tree_fingerprint(store.table("documents")).first()[0]
+
+
+def test_token_bench_of_bundles(spark, store):
+    from lorespark.operators.bench import bench
+
+    chunks = sections(spark)
+    golden = [(i, f"term{i} term{i + 3}", [(f"domain/d{i % 7}.md", [None, f"H{i}", "no such"][i % 3])]) for i in range(9)]
+    table = spark.createDataFrame(golden, "query_id int, query string, expected array<struct<path:string,heading:string>>")
+    got = {r.scenario: r for r in bench(store, chunks, table, C.finder(chunks), "f", (400, 150), ["domain/d1.md", " domain/d2.md "]).collect()}
+    rows = chunks.collect()
+    total = {p: sum(r.tokens for r in rows if r.doc_path == p) for p in {r.doc_path for r in rows}}
+    fits = lambda e, have: any(p == e[0] and (e[1] is None or h.endswith(e[1])) for p, h in have)
+    assert (got["all"].mean, got["all"].coverage, got["all"].documents) == (sum(total.values()), 1.0, 5)
+    part = [(r.doc_path, r.heading) for r in rows if r.doc_path in ("domain/d1.md", "domain/d2.md")]
+    assert got["curated"].max == total["domain/d1.md"] + total["domain/d2.md"]
+    assert got["curated"].coverage == pytest.approx(sum(any(fits(e, part) for e in g[2]) for g in golden) / 9, abs=1e-6)
+    scopes = sorted({r.scope for r in rows})
+    for most in (400, 150):
+        made = [C.compile_tasks(store, tasks(spark, [(1, q, None, scopes, None, most)]), None, "f").first() for _, q, _ in golden[:3]]
+        assert all(m.cached and m.tokens <= most * 0.95 for m in made)  # the bench's own bundles
+        bundles = {r.task: r for r in store.table("bundles").where(F.col("max_tokens") == most).collect()}
+        sizes = sorted(bundles[q].tokens for _, q, _ in golden)
+        covered = [any(fits(e, [(s.doc_path, s.heading) for s in bundles[q].sections]) for e in x) for _, q, x in golden]
+        b = got[f"bundle-{most}"]
+        assert (b.mean, b.median, b.max) == (pytest.approx(sum(sizes) / 9, abs=1e-6), sizes[4], sizes[-1]) and b.coverage == pytest.approx(sum(covered) / 9, abs=1e-6)

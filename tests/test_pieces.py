@@ -117,3 +117,38 @@ def test_encode(spark):
     scored = spark.createDataFrame([(i, p, -1.0) for i, p in enumerate(["<unk>", "<s>", "</s>", "▁", "a", "▁ab"])], "id int, piece string, score double")
     got = {r.id: r.ids for r in pieces.encode(spark.createDataFrame([(1, "ab  ａzz​")], "id long, text string"), "id", "text", pieces.unigram(scored)).collect()}
     assert got == {1: [1, 5, 3, 4, 0, 2]}
+
+
+@pytest.mark.parametrize("least", [0.3, 0.85])
+def test_near_duplicates_against_all_pairs(spark, least):
+    from lorespark.operators import bundle
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(r.sample(words, r.randint(0, 8)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)] + [(200, None), (201, "the of")]
+    sets = {i: set((t or "").split()) for i, t in rows}
+    got = {(x.a, x.b): x.jaccard for x in bundle.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", least).collect()}
+    expected = {}
+    for a, b in product(sets, sets):
+        if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
+            expected[a, b] = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert got == pytest.approx(expected) and len(got) > 5
+
+
+@pytest.mark.parametrize("scoped,block", [(False, 4096), (True, 4096), (True, 3)])
+def test_vector_search_against_a_loop(spark, monkeypatch, scoped, block):
+    from lorespark.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERIES", block)
+    r = random.Random(6)
+    some = lambda n=4: [r.choice([-1.0, -0.5, 0.25, 0.5]) for _ in range(n)]
+    rows = [(f"c{i}", some(), i % 3) for i in range(120)] + [("n", None, 1), ("short", [1.0], 1), ("nan", [1.0, float("nan"), 0.0, 0.0], 1), ("empty", [], 0), ("unscoped", some(), None)]
+    asked = [(q, some(), [[0], [1, 2], [], None, [7]][q % 5]) for q in range(10)] + [(50, [2.0], [1]), (51, None, [1])]
+    got = retrieval.vector_topk(spark.createDataFrame(rows, "chunk_id string, embedding array<float>, scope int").repartition(3), spark.createDataFrame(asked, "query_id long, qe array<double>, scopes array<int>"), 7, scoped)
+    expected = set()
+    for q, e, scopes in asked:
+        found = [(round(sum(a * b for a, b in zip(e, v)), 6), c) for c, v, s in rows if e and v and len(v) == len(e) and not any(x != x for x in v) and (not scoped or (s is not None and s in (scopes or [])))]
+        for rank, (score, c) in enumerate(sorted(found, key=lambda x: (-x[0], x[1]))[:7], 1):
+            expected.add((q, c, score, rank))
+    assert {(x.query_id, x.chunk_id, x.score, x["rank"]) for x in got.collect()} == expected
