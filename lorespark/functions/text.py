@@ -163,6 +163,12 @@ def section_header(path: Column, heading: Column, updated: Column, changes: Colu
     return F.concat(F.lit("## "), path, F.lit(" — "), heading, F.coalesce(dated, F.lit("")))
 
 
+def parse_time(text: Column) -> Column:
+    """A timestamp written as RFC 3339, or with a zone without colon as issue trackers do; null for anything else."""
+    zoned = F.regexp_replace(F.trim(text), r"([+-]\d\d)(\d\d)$", r"$1:$2")
+    return F.when(zoned.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(zoned))
+
+
 def valid_doc_path(path: Column) -> Column:
     p = F.regexp_replace(F.trim(path), "^/", "")
     return p.rlike(r"^(domain|conventions|projects/[A-Za-z0-9._-]+)/[A-Za-z0-9._/-]+\.md$") & ~p.contains("..") & ~p.contains("//") & ~p.rlike(r"(^|/)\.(/|$)")
@@ -260,15 +266,6 @@ def fit(text: Column, most: Column) -> Column:
     return F.struct(cut.alias("text"), (~whole).alias("truncated"), (whole | ok).alias("ok"))
 
 
-def first_tokens_py(text: str, most: int) -> str:
-    """The longest prefix within a token budget, by bisection over characters; for texts of one overlong line."""
-    low, high = 0, len(text)
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if count_tokens(text[:mid]) <= most else (low, mid - 1)
-    return text[:low]
-
-
 _RUN = re.compile(r"\n[\n\r]*|[^\W\d_](?:[^\W\d_]|')*|\d+|(?:[^\w\s]|_)+")
 
 

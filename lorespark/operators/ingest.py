@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,15 +134,17 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     Python finds sections; ids, hashes and token counts are JVM expressions. A document is one row, so no chunk crosses rows.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    kinds = [("doc_path", pa.string()), ("title", pa.string()), ("heading", pa.string()), ("content", pa.string()), ("position", pa.int32()), ("part", pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for path, title, body in zip(frame["path"], frame["title"], frame["body"]):
-                name, parts = sections(path, title if isinstance(title, str) else None, body or "")
+            for path, title, body in zip(*(c.to_pylist() for c in batch.columns)):
+                name, parts = sections(path, title, body or "")
                 out += [(path, name, heading, content, i, part) for i, (heading, content, part) in enumerate(parts)]
-            yield pd.DataFrame(out, columns=["doc_path", "title", "heading", "content", "position", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(list(zip(*out)) or [()] * len(kinds), kinds)], [n for n, _ in kinds])
 
-    found = docs.select("path", "title", "body").mapInPandas(run, "doc_path string, title string, heading string, content string, position int, part int")
+    found = docs.select("path", "title", "body").mapInArrow(run, "doc_path string, title string, heading string, content string, position int, part int")
     return found.select(
         "*", T.scope_of(F.col("doc_path")).alias("scope"), T.chunk_id(F.col("doc_path"), F.col("heading"), F.col("part")).alias("chunk_id"), T.token_count(F.col("content")).alias("tokens"), F.sha2("content", 256).alias("content_hash")
     )

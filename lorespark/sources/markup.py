@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,11 +152,11 @@ def to_markdown(html: str) -> str:
 def html_to_markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, markdown. A null page gives an empty text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "markdown": [to_markdown(h or "") for h in f["html"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_markdown(h or "") for h in batch.column(1).to_pylist()], pa.string())], [key, "markdown"])
 
-    return pages.select(key, "html").mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, markdown string")
+    return pages.select(key, "html").mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, markdown string")
 
 
 def adf_text(node) -> str:
@@ -207,11 +207,12 @@ def issue_text(raw: str) -> str:
 def issues(rows: DataFrame) -> DataFrame:
     """key, text of raw JSON issues (raw)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"key": [json.loads(r).get("key") for r in f["raw"]], "text": [issue_text(r) for r in f["raw"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([json.loads(r).get("key") for r in raw], pa.string()), pa.array([issue_text(r) for r in raw], pa.string())], ["key", "text"])
 
-    return rows.select("raw").mapInPandas(run, "key string, text string")
+    return rows.select("raw").mapInArrow(run, "key string, text string")
 
 
 def excerpt(text: str | None) -> str | None:

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cutting import first_tokens
 from lorespark.functions import stemming
 from lorespark.functions import text as T
 
@@ -77,7 +78,7 @@ def test_section_header(spark):
 def test_fit(spark):
     got = one(spark, T.fit_lines(F.col("t"), F.lit(4)), t="a b\nc\nd e f\ng")
     assert (got.text, got.tokens) == ("a b\nc", 4)
-    assert T.count_tokens(T.first_tokens_py("word " * 50, 7)) <= 7
+    assert T.count_tokens(first_tokens("word " * 50, 7)) <= 7
 
 
 @pytest.mark.parametrize("word,stem", [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("hopeful", "hope"), ("goodness", "good"), ("adjustment", "adjust"), ("adoption", "adopt"), ("probate", "probat"), ("controll", "control"), ("café", "cafe")])

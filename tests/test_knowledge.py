@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cutting import first_tokens
 from lorespark.functions import text as T
 from lorespark.operators import bundle, evaluation, graph, ingest, logs, retrieval, staleness
 from lorespark.sources import markdown, markup
@@ -353,7 +354,7 @@ def test_texts_are_cut_to_a_budget(spark):
         fitting = max((k for k in range(len(leading) + 1) if all(T.count_tokens("\n".join(leading[:i])) <= g.m for i in range(1, k + 1))), default=0)
         assert g.lines.n == fitting
         if not whole and fitting == 0:
-            assert g.cut == T.first_tokens_py(g.t, g.m).strip()
+            assert g.cut == first_tokens(g.t, g.m).strip()
         assert g.fit.ok == (whole or g.m - T.count_tokens(T.CUT_MARK) >= T.LEAST_ROOM) and T.count_tokens(g.fit.text) <= g.m
 
 
