@@ -268,3 +268,21 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), terms AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(l) AS term FROM w) GROUP BY ALL
+), stats AS (
+  SELECT count(*) AS n, avg(len(l)) AS mean FROM w
+), rarity AS (
+  SELECT term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM (SELECT term, count(*) AS df FROM terms GROUP BY term), stats
+), scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(idf * d.tf * 2.2::DOUBLE / (d.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w.l) / mean))), 6) AS score
+  FROM terms AS q JOIN terms AS d USING (term) JOIN rarity USING (term) JOIN w ON w.doc_id = d.doc_id, stats WHERE q.doc_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10
+"""

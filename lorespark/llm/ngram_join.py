@@ -463,3 +463,29 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     gone = materialize(ngram_join(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct())
     perhaps, kept = split_by_keys(docs, "doc_id", gone, "gone_id")
     return kept.unionByName(perhaps.join(gone, perhaps["doc_id"] == gone["gone_id"], "left_anti"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(l[i:i + 4], ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i FROM w WHERE len(l) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS same FROM shingles GROUP BY doc_id
+), reps AS (
+  SELECT same, min(doc_id) AS rep, any_value(n) AS n FROM sizes GROUP BY same
+), few AS (
+  SELECT rep, n, s FROM reps JOIN shingles ON shingles.doc_id = rep
+), links AS (
+  SELECT a.rep AS a, b.rep AS b FROM few AS a JOIN few AS b ON a.s = b.s AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT rep, rep AS node FROM reps UNION SELECT reach.rep, ways.b FROM reach JOIN ways ON ways.a = reach.node
+), components AS (
+  SELECT rep, min(node) AS component_id FROM reach GROUP BY rep
+)
+SELECT w.doc_id, coalesce(sizes.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(reps.rep, w.doc_id) AS set_id
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN reps USING (same) LEFT JOIN components USING (rep)
+"""

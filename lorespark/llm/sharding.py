@@ -38,3 +38,28 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     return cut.join(F.broadcast(firsts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_index") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+OP9_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS i, i AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL
+  SELECT i, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), codes AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), sized AS (
+  SELECT doc_id, size, xor(coalesce(list_reduce(list_transform(range(1, CAST(len(h) // 2 AS BIGINT) + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)),
+                                                lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1]), 4294967295), 4294967295), 4294967295) AS text_crc32
+  FROM codes, crc
+), placed AS (
+  SELECT *, CAST(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS before, CAST(sum(size) OVER () AS BIGINT) AS total FROM sized
+  WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)
+), cut AS (
+  SELECT *, CAST(least((2 * before + size) * 40 // (2 * total), 39) AS INTEGER) AS shard FROM placed
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""
