@@ -82,6 +82,7 @@ def queries():
 
 def oracle_sql():
     return {
-        "op3_mix_sources": mixing.OP3_SQL, "op4_bm25_topk": bm25_search.OP4_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op9_sharding": sharding.OP9_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op11_importance_resampling": resampling.OP11_SQL,
+        "op3_mix_sources": mixing.OP3_SQL, "op4_bm25_topk": bm25_search.OP4_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op7_repeats": repeats.OP7_SQL,
+        "op9_sharding": sharding.OP9_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op11_importance_resampling": resampling.OP11_SQL,
         "op12_decontamination": decontamination.OP12_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL,
     }

@@ -447,3 +447,26 @@ def dedup_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def digests(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(n - 199)) AS i, h FROM b WHERE n >= 200
+), wins AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM places
+), starts AS (
+  SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY k) > 1
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 200 THEN 0 ELSE 1 END AS new FROM starts WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), spans AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 200 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM marked) GROUP BY doc_id, run
+), parts AS (
+  SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM spans
+), left_over AS (
+  SELECT b.doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(h), 2 * max(e) + 1) AS kept, sum(e - a) AS removed, count(*) AS n_spans FROM parts JOIN b USING (doc_id) GROUP BY b.doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM b LEFT JOIN left_over USING (doc_id)
+"""
