@@ -147,7 +147,7 @@ def test_recent_bundles_against_a_loop(spark, store):
     chunks = sections(spark).limit(3)
     r = random.Random(6)
     held, table = [], {}
-    for call in range(9):
+    for call in range(6):
         batch = [r.randint(1, 5) for _ in range(r.choice([1, 1, 1, 3]))]
         got = C.compile_tasks(store, tasks(spark, [(i, f"term{k}") for i, k in enumerate(batch)]), C.finder(chunks), "f", recent=2)
         expected, before = {}, list(held)
