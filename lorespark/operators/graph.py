@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.operators.mentions import document_names, mentions, plain_text
+from lorespark.sources.written import written
 
 # Fixed value: a document with more links out is over-linked.
 OVER_LINKED = 12
@@ -78,17 +79,35 @@ def clear_ignored(ignored: DataFrame, paths: DataFrame | None = None) -> DataFra
     return ignored.where("false") if paths is None else ignored.join(paths.select(F.col("path").alias("from_path")), "from_path", "left_anti").select("from_path", "to_path")
 
 
+def leading(counted: DataFrame, names: DataFrame, known: DataFrame, limit: int) -> DataFrame:
+    """Of counted (from_path, name, mentions) the rows that the first `limit` suggestions can come from. Pairs of documents are not made for it.
+
+    A row suggests something for sure if more documents have its name than its own document, and than pairs of it are known. The first `limit` documents
+    with such a row, by mentions and path, give as many suggestions, so rows that come later than all of these are not needed.
+    """
+    holders = names.select("name", "to_path").distinct().groupBy("name").agg(F.count("*").alias("h"), F.min("to_path").alias("one"))
+    held = counted.join(holders, "name").where("h > 1 or one <> from_path")
+    taken = known.groupBy("from_path").agg(F.count("*").alias("taken"))
+    sure = held.join(taken, "from_path", "left").where(F.greatest(F.col("h") - 1, F.lit(1)) > F.coalesce("taken", F.lit(0)))
+    first = sure.groupBy("from_path").agg(F.max("mentions").alias("m")).orderBy(F.desc("m"), "from_path").limit(limit)
+    n, last = first.agg(F.count("*"), F.max(F.struct((-F.col("m")).alias("m"), "from_path"))).first()
+    held = held.select(*counted.columns)
+    return held.where((F.col("mentions") > -last.m) | ((F.col("mentions") == -last.m) & (F.col("from_path") <= last.from_path))) if n and n == limit else held
+
+
 def suggest_links(docs: DataFrame, links: DataFrame, ignored: DataFrame, limit: int) -> DataFrame:
     """from_path, to_path, name, mentions: documents that name another without a link either way.
 
     docs: path, title, body. All names are looked for in one scan of each text (see mentions()); heading lines do not count. Only
-    counts are joined with the documents that have a name. The best name of a pair is the most frequent, then the first.
+    counts that the first `limit` suggestions can come from (see leading()) are joined with the documents that have a name, as many
+    documents may share one and all name each other. The best name of a pair is the most frequent, then the first.
     """
     names = document_names(docs)
     texts = docs.select("path", plain_text(F.col("body")).alias("text"))
-    counted = mentions(texts, names).withColumnRenamed("path", "from_path").join(names, "name").where("from_path <> to_path")
-    best = counted.groupBy("from_path", "to_path").agg(F.min(F.struct((-F.col("mentions")).alias("m"), "which", "name")).alias("b"))
+    counted = written(mentions(texts, names).withColumnRenamed("path", "from_path"))
     e = edges(links)
     known = e.union(e.select("to_path", "from_path")).union(ignored.select("from_path", "to_path")).distinct()
+    pairs = leading(counted, names, known, limit).join(names, "name").where("from_path <> to_path")
+    best = pairs.groupBy("from_path", "to_path").agg(F.min(F.struct((-F.col("mentions")).alias("m"), "which", "name")).alias("b"))
     open_ = best.join(known, ["from_path", "to_path"], "left_anti").select("from_path", "to_path", F.col("b.name").alias("name"), (-F.col("b.m")).alias("mentions"))
     return open_.orderBy(F.desc("mentions"), "from_path", "to_path").limit(limit)

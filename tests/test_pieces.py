@@ -30,6 +30,37 @@ def test_mentions_in_several_passes(spark, most):
     assert mentions.mentions(texts, names.where("false")).count() == 0
 
 
+def test_names_by_hashes_against_regular_expressions(spark, monkeypatch):
+    monkeypatch.setattr(mentions, "BLOCK", 200)
+    r = random.Random(2)
+    parts = ["late fee", "late", "fee late", "(fee", "c++", "größe", "x_y", "a.b", "late late", "fees)"]
+    texts = [(str(i), "".join(r.choice([*parts, " ", " ", "-", "s", "_", "\n", "é", "9", "late late late"]) for _ in range(r.randint(0, 30)))) for i in range(150)]
+    got = mentions.mentions(spark.createDataFrame(texts, "path string, text string"), spark.createDataFrame([(p,) for p in parts], "name string"), 0).collect()
+    expected = {(i, n): k for i, text in texts for n in parts if (k := len(re.findall(r"\b" + re.escape(n) + r"\b", text, re.ASCII)))}
+    assert {(x.path, x.name): x.mentions for x in got} == expected and len(got) == len(expected)
+    # the names' map lets through little else, and the automaton finds the same
+    runs, bits = mentions._name_map(spark.createDataFrame([(p,) for p in parts], "name string"))
+    assert set().union(*mentions.likely_names([t.encode() for _, t in texts], runs, bits)) <= {p.encode() for p in parts}
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 5000])
+def test_suggestions_among_many_of_one_title(spark, limit):
+    r = random.Random(limit)
+    titles = ["Same title", "Other title", "Rare title"]
+    docs = [(f"d/{i:02d}.md", t := titles[0] if i % 3 else r.choice(titles), f"{t}. " + " ".join(r.choice([*titles, "none"]) for _ in range(r.randint(0, 5)))) for i in range(60)]
+    known = [(docs[i][0], docs[j][0]) for i in range(0, 60, 7) for j in range(60) if i != j and (i + j) % 4]
+    frame = spark.createDataFrame(docs, "path string, title string, body string")
+    pairs = spark.createDataFrame(known, "from_path string, to_path string")
+    both = {*known, *((b, a) for a, b in known)}
+    found = [(-k, a, b) for a, _, body in docs for b, t, _ in docs if a != b and (a, b) not in both and (k := body.lower().count(t.lower()))]
+    got = [(-x.mentions, x.from_path, x.to_path) for x in graph.suggest_links(frame, pairs, pairs.where("false"), limit).collect()]
+    assert got == sorted(found)[:limit]
+    # of rows that name a document, few are left to be joined with all documents of that name
+    counted = mentions.mentions(frame.select("path", mentions.plain_text(frame["body"]).alias("text")), mentions.document_names(frame)).withColumnRenamed("path", "from_path")
+    left = graph.leading(counted, mentions.document_names(frame), pairs, limit).count()
+    assert left <= counted.count() and (limit > 7 or left < 40)
+
+
 def test_ignored_pairs_are_cleared(spark):
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("d", "b")], "from_path string, to_path string")
     assert graph.clear_ignored(pairs).count() == 0
