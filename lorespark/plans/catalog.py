@@ -12,7 +12,7 @@ from lorespark.functions import text as T
 from lorespark.operators import bench, bundle, compile, evaluation, graph, index, ingest, logs, retrieval, staleness
 from lorespark.plans import tables as D
 from lorespark.sources.snapshots import Snapshots
-from lorespark.sources.written import shared_folder
+from lorespark.sources.written import shared_folder, written
 from lorespark.streaming import state
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,7 +529,7 @@ def eval_metrics(s, d):
 @query(f"""WITH {_RANKS}, t AS (SELECT m.*, CASE WHEN query_id % 3 = 0 THEN 'keyword' ELSE 'paraphrase' END AS type FROM m)
 SELECT coalesce(type, 'all') AS type, count(*) AS queries, round(avg(r5), 6) AS r5, round(avg(r10), 6) AS r10, round(avg(mrr), 6) AS mrr, round(avg(ndcg10), 6) AS ndcg10 FROM t GROUP BY ROLLUP (type)""")
 def eval_by_type(s, d):
-    per = evaluation.per_query(_ranks(s, d))
+    per = written(evaluation.per_query(_ranks(s, d)))
     return evaluation.evaluate(per, per.select("query_id", F.when(F.col("query_id") % 3 == 0, "keyword").otherwise("paraphrase").alias("type")))
 
 

@@ -183,3 +183,57 @@ def test_vector_search_against_a_loop(spark, monkeypatch, scoped, block):
         for rank, (score, c) in enumerate(sorted(found, key=lambda x: (-x[0], x[1]))[:7], 1):
             expected.add((q, c, score, rank))
     assert {(x.query_id, x.chunk_id, x.score, x["rank"]) for x in got.collect()} == expected
+
+
+@pytest.mark.parametrize("scoped,block,cells", [(False, 4096, 1 << 19), (True, 4096, 5), (True, 3, 40)])
+def test_lexical_search_against_a_loop(spark, monkeypatch, scoped, block, cells):
+    from math import log
+
+    from lorespark.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERIES", block)
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    monkeypatch.setattr(retrieval, "ROWS", 7)
+    r = random.Random(8)
+    words = ["refund", "order", "fee", "late", "straße", "x9", "rule"]
+    chunks = [(f"c{i:02d}", r.choice(["en", "fr", None]), r.choice([None, "Order", "late fee"]), " ".join(r.choice(words) for _ in range(r.randint(0, 6)))) for i in range(70)] + [("n", "en", None, None)]
+    chunks[:0] = [(f"a{i}", "en", None, "nothing") for i in range(30)]  # stretches without any term that is asked for
+    asked = [(q, " ".join(r.choice([*words, "absent"]) for _ in range(r.randint(1, 4))), [["en"], ["en", "fr"], [], None][q % 4]) for q in range(9)] + [(50, "?!", ["en"]), (51, None, ["en"])]
+    frames = spark.createDataFrame(chunks, "chunk_id string, scope string, heading string, content string").repartition(3), spark.createDataFrame(asked, "query_id long, query string, scopes array<string>")
+    hits = retrieval.bm25(*frames, 5, scoped)
+    expected, split = set(), {c: [*((w.lower(), 3.0) for w in (h or "").split()), *((w, 1.0) for w in (t or "").split())] for c, _, h, t in chunks}
+    average = sum(map(len, split.values())) / len(split)
+    for q, text, scopes in asked:
+        terms, found = [w for w in (text or "").split() if w != "?!"], []
+        for c, scope, _, _ in chunks:
+            f = {w: sum(x for v, x in split[c] if v == w) for w in {*terms}}
+            score = 0.0
+            for w in terms:
+                n = sum(any(v == w for v, _ in each) for each in split.values())
+                idf = log((len(split) - n + 0.5) / (n + 0.5))
+                score += (idf if idf > 0 else 1e-6) * f[w] * 2.2 / (f[w] + 1.2 * (0.25 + 0.75 * len(split[c]) / average)) if f[w] else 0
+            if any(f.values()) and (not scoped or scope in (scopes or [])):
+                found.append((not all(f.values()), -round(score, 6) + 0.0, c))
+        expected |= {(q, c, -score, not some, rank) for rank, (some, score, c) in enumerate(sorted(found)[:5], 1)}
+    assert {(x.query_id, x.chunk_id, x.score, x.all_terms, x["rank"]) for x in hits.collect()} == expected and len(expected) > 15
+    # what a query scores is not shuffled or joined: only each task's best rows are
+    assert "Join" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_best_rows_in_bounded_memory(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lorespark.operators import best
+
+    monkeypatch.setattr(best, "WAITING", 50)
+    r = np.random.default_rng(3)
+    score, whole, inside = r.integers(0, 9, (500, 6)) / 4, r.random((500, 6)) < 0.2, r.random((500, 6)) < 0.7
+    held, most = best.Best(6, 4), 0
+    for a, z in best.stretches(np.arange(0, 5001, 10), 7, 55):
+        assert 0 < z - a <= 5
+        held.offer(pa.array(range(a, z)), score[a:z], whole[a:z], inside[a:z])
+        most = max(most, held.size + (held.held.num_rows if held.held is not None else 0))
+    got = [x for part in held.rows() for x in zip(*(c.to_pylist() for c in part))]
+    expected = [(q, i, score[i, q], bool(whole[i, q])) for q in range(6) for i in sorted(np.flatnonzero(inside[:, q]).tolist(), key=lambda i: (not whole[i, q], -score[i, q], i))[:4]]
+    assert got == expected and most < 120
