@@ -36,7 +36,10 @@ def resolve_links(links: DataFrame, paths: DataFrame) -> DataFrame:
     exact = tries.join(paths.select("path"), "path").groupBy(*key).agg(F.min_by("path", "way").alias("exact"))
     base = lambda p: F.lower(F.regexp_replace(F.regexp_extract(p, r"([^/]*)$", 1), r"\.md$", ""))
     named = paths.groupBy(base(F.col("path")).alias("_base")).agg(F.min(F.struct(F.octet_length("path").alias("n"), "path")).alias("p")).select("_base", F.col("p.path").alias("named"))
-    found = links.withColumn("_base", F.when(F.col("kind") != "markdown", base(t))).join(exact, key, "left").join(named, "_base", "left")
+    # only wiki links without an exact path ask for a name; the others have keys of their own, which no name is, so that they do not meet in one task
+    asks = F.col("exact").isNull() & (F.col("kind") != "markdown")
+    alone = F.concat(F.lit("/"), F.xxhash64(*key).cast("string"))
+    found = links.join(exact, key, "left").withColumn("_base", F.coalesce(F.when(asks, base(t)), alone)).join(named, "_base", "left")
     return found.select(*links.columns, F.coalesce("exact", "named", F.lit("")).alias("to_path"))
 
 

@@ -571,7 +571,7 @@ def links_of_document(s, d):
 
 @query(f"""WITH {D.LINKS} SELECT DISTINCT from_path, to_path FROM links WHERE to_path <> ''""")
 def ignored_links(s, d):
-    found = graph.resolve_links(D.part_links(s, d), D.part_paths(s, d)).where("to_path <> ''")
+    found = written(graph.resolve_links(D.part_links(s, d), D.part_paths(s, d)).where("to_path <> ''"))
     return graph.ignore_links(found.where("kind = 'markdown'"), found)
 
 

@@ -76,6 +76,25 @@ def test_resolution_and_suggestions(spark):
     assert [r.from_path for r in graph.suggest_links(docs, known, none, 5).collect()] == ["domain/c.md"]
 
 
+def test_links_that_ask_for_no_name_are_spread(spark):
+    rows = [(f"domain/{i}.md", f"x{i}.md", "markdown") for i in range(400)] + [("a.md", "N", "wikilink"), ("b.md", None, "wikilink"), ("c.md", "late/n", "wikilink"), ("d.md", "x", None)]
+    paths = spark.createDataFrame([("q/n.md",), ("late/n.md",), ("domain/x7.md",)], "path string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = graph.resolve_links(spark.createDataFrame(rows, "from_path string, target string, kind string"), paths)
+        # the last join deals links out by name: 4 partitions here
+        parts = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        got = {(r.from_path, r.target): r.to_path for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(parts) < 200 and sum(parts) == len(rows) == len(got)
+    assert {k: v for k, v in got.items() if v} == {("domain/7.md", "x7.md"): "domain/x7.md", ("a.md", "N"): "q/n.md", ("c.md", "late/n"): "late/n.md"}
+
+
 def test_drift_and_coverage(spark):
     docs = spark.createDataFrame([("d1", ["src/**"], AT), ("d2", ["api/x.go"], AT), ("d3", ["src/**"], None), ("d4", [], AT)], "path string, refs array<string>, updated_at timestamp")
     day = lambda n: AT + dt.timedelta(days=n)
