@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as T
 from lorespark.operators import bundle, retrieval, staleness
 from lorespark.sources.snapshots import Snapshots
+from lorespark.sources.written import written
 
 # Bundles held as used last; scopes and tokens of a task that names none.
 RECENT, SCOPES, TOKENS = 256, ("domain", "conventions"), retrieval.DEFAULT_TOKENS
@@ -80,7 +81,8 @@ def finder(
             governing = staleness.governing(docs, asked).withColumnRenamed("path", "doc")
         way = mode or ("bm25" if vectors is None else "hybrid")
         hits, near = retrieval.sections(chunks, requests.select("query_id", "query", "scopes"), vectors, None, bundle.CANDIDATES * retrieval.HITS_PER_TOP, True, way, governing, embed)
-        best = hits.where(F.col("rank") <= bundle.CANDIDATES).select("query_id", "rank", "chunk_id").join(chunks, "chunk_id")
+        # at most CANDIDATES rows of a query are sent to the sections, so that these are not shuffled
+        best = chunks.join(F.broadcast(hits.where(F.col("rank") <= bundle.CANDIDATES).select("query_id", "rank", "chunk_id")), "chunk_id")
         if "updated_at" not in best.columns:
             best = best.withColumn("updated_at", F.lit(None).cast("timestamp"))
         if drift is not None:
@@ -91,7 +93,8 @@ def finder(
             best = best.join(retrieval.margin(near).withColumnRenamed("top", "top_score"), "query_id", "left")
         else:
             best = best.withColumn("top_score", F.lit(0.0)).withColumn("margin", F.lit(0.0))
-        return best.select("query_id", "rank", "chunk_id", "content", "tokens", "doc_path", "heading", "scope", "updated_at", "changes", "changed_at", "top_score", "margin")
+        # written, as bundles read them several times
+        return written(best.select("query_id", "rank", "chunk_id", "content", "tokens", "doc_path", "heading", "scope", "updated_at", "changes", "changed_at", "top_score", "margin"))
 
     return find
 

@@ -237,3 +237,22 @@ def test_the_best_rows_in_bounded_memory(monkeypatch):
     got = [x for part in held.rows() for x in zip(*(c.to_pylist() for c in part))]
     expected = [(q, i, score[i, q], bool(whole[i, q])) for q in range(6) for i in sorted(np.flatnonzero(inside[:, q]).tolist(), key=lambda i: (not whole[i, q], -score[i, q], i))[:4]]
     assert got == expected and most < 120
+
+
+def test_sections_of_bundles_are_not_shuffled(spark, monkeypatch):
+    from lorespark.operators import compile
+
+    seen, kept = [], compile.written
+    monkeypatch.setattr(compile, "written", lambda df: seen.append(df) or kept(df))
+    chunks = spark.createDataFrame([(i, "d", "d.md", "H", "en", i, f"late fees {i}", 3) for i in range(60)], "chunk_id long, doc_id string, doc_path string, heading string, scope string, position int, content string, tokens long")
+    asked = spark.createDataFrame([("a", "late fees", ["en"]), ("b", "fees 7", ["en"]), ("c", "fees", ["fr"])], "query_id string, query string, scopes array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = compile.finder(chunks)(asked.withColumn("paths", asked["scopes"])).collect()
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in "ab" for k in range(1, 41)]
+    assert all(r.content == f"late fees {r.chunk_id}" for r in got)
