@@ -125,14 +125,25 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame, of: str) -> tuple[Da
 
 
 def only(own: str) -> None:
-    """Lets go the memos and models that other operators' code holds in this Python worker. For the start of a task: workers are used again."""
+    """Lets go the memos and models that other operators' code holds in this Python worker. For the start of a task: workers are used again.
+
+    What was held goes back to the system, where its C library can give it back; else it stays with the worker beside the next model.
+    """
+    import ctypes
     import sys
 
+    import pyarrow as pa
+
     held = {"ngram_join": lambda m: m._hashes.clear(), "toxicity": lambda m: m._slots.clear(), "bpe": lambda m: m.model.cache_clear(), "licenses": lambda m: m.scanner.cache_clear(), "decontamination": lambda m: m._built.clear()}
     for name, clear in held.items():
         module = sys.modules.get(f"lorespark.llm.{name}")
         if module is not None and name != own:
             clear(module)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_of(column: str = "text") -> Column:
