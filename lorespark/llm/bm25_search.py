@@ -11,7 +11,8 @@ A query's threshold is the k-th best score so far, also of the shards that the s
 largest sums of maxima are scored first where there is none. Of a query's terms, in the order of their maxima in the shard, those whose maxima
 add up to less than the threshold can't carry a document: their cursors propose no pivot. The other terms' postings are read, and each document
 in them is a pivot, bounded by what they give it and by the block maxima of the terms that were left out. A pivot below the threshold is skipped; the
-others are scored in full, by jumps of the cursors to them, the most promising first, so the threshold rises. A document at
+others are scored in full, by jumps of the cursors to them, the most promising first, so the threshold rises; frequent terms, to which most jumps
+go, have a table by document, where a jump is a look-up and no search. A document at
 the threshold itself is still scored, so ties keep the smallest ids. This is block-max WAND with the pivots of a whole shard found
 at once, which suits numpy; most queries here have hundreds of terms, of which few carry a document.
 """
@@ -32,7 +33,9 @@ TOP = 10
 #: Postings and documents of a shard, and query terms that pass through the shards together: they bound a task's memory, and the broadcast.
 POSTINGS, TERMS = 1 << 20, 1 << 20
 #: Documents of a block; blocks scored to have a threshold; pivots scored before the first look at it, twice as many before each later one.
-BLOCK, FIRST, STEP = 8, 32, 32
+BLOCK, FIRST, STEP = 8, 4, 32
+#: Numbers of a shard's table of frequent terms, which holds terms that stand in one of so many documents or more, the most frequent first.
+TABLE, FREQUENT = 1 << 21, 64
 #: Stands for a null doc_id: it comes first among ties.
 NO_ID = -(1 << 63)
 
@@ -49,22 +52,36 @@ class Shard:
     """ids: of the documents in the shard's order; terms, docs, counts: its postings by term and document; lengths: words of each document."""
 
     def __init__(self, ids: np.ndarray, terms: np.ndarray, docs: np.ndarray, counts: np.ndarray, lengths: np.ndarray, mean: float):
-        self.ids, self.doc = ids, docs.astype(np.int64)
-        counts = counts.astype(np.float64)
+        self.ids, self.doc = ids, docs
         # a posting's share of the score, without the term's rarity
-        self.impact = counts * (K1 + 1) / (counts + (K1 * (1 - B + B * lengths / mean))[self.doc])
+        self.impact = counts * (K1 + 1)
+        self.impact /= counts + (K1 * (1 - B + B * lengths / mean))[docs]
         self.vocabulary, starts = np.unique(terms, return_index=True)
         self.starts = np.append(starts, len(terms))
         self.blocks = -(-len(ids) // BLOCK)
-        cell = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.starts)) * (self.blocks + 1) + self.doc // BLOCK
+        number = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.starts))
+        cell = number * (self.blocks + 1) + docs // BLOCK
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+        del cell
         self.cell_block = self.doc[first] // BLOCK
         self.cell_best = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.cell_starts = np.append(first, len(cell))
+        self.cell_starts = np.append(first, len(terms))
         self.term_cells = np.searchsorted(first, self.starts)
         # the largest score that each term gives in the shard, and one ascending key for each posting
         self.term_best = np.maximum.reduceat(self.impact, starts) if len(starts) else np.empty(0)
-        self.key = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.starts)) * len(ids) + self.doc
+        self.key = number * len(ids) + docs
+        # the postings and block maxima of frequent terms by address
+        spread = np.diff(self.starts)
+        often = np.argsort(-spread, kind="stable")[: TABLE // max(len(ids), 1)]
+        often = often[spread[often] * FREQUENT >= len(ids)]
+        self.column = np.full(len(spread), -1)
+        self.column[often] = np.arange(len(often))
+        self.table, self.table_best = np.zeros((len(ids), len(often))), np.zeros((len(often), self.blocks))
+        posts = _ranges(self.starts[often], self.starts[often + 1])
+        self.table[docs[posts], np.repeat(np.arange(len(often)), spread[often])] = self.impact[posts]
+        a, b = self.term_cells[often], self.term_cells[often + 1]
+        cells = _ranges(a, b)
+        self.table_best[np.repeat(np.arange(len(often)), b - a), self.cell_block[cells]] = self.cell_best[cells]
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores, postings read) of the k best documents with a positive score, those of earlier shards (best) among them; terms are distinct."""
@@ -121,20 +138,31 @@ class Shard:
 
     def _bounds(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
         """For each block, the sum of these terms' maxima."""
-        a, b = self.term_cells[at], self.term_cells[at + 1]
+        column = self.column[at]
+        often = column >= 0
+        rare, weight = at[~often], idf[~often]
+        a, b = self.term_cells[rare], self.term_cells[rare + 1]
         cells = _ranges(a, b)
-        return np.bincount(self.cell_block[cells], np.repeat(idf, b - a) * self.cell_best[cells], self.blocks)
+        found = np.bincount(self.cell_block[cells], np.repeat(weight, b - a) * self.cell_best[cells], self.blocks)
+        return found + idf[often] @ self.table_best[column[often]]
 
     def _full(self, at: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, int]:
         """What these terms give these documents, and how many postings they have there: a jump of each cursor to each document."""
         if not len(at) or not len(docs):
             return np.zeros(len(docs)), 0
-        wanted = (at[:, None] * len(self.ids) + docs[None, :]).ravel()
-        place = np.searchsorted(self.key, wanted)
-        place[place == len(self.key)] = 0
-        hit = self.key[place] == wanted
-        parts = np.where(hit, self.impact[place], 0).reshape(len(at), len(docs))
-        return idf @ parts, int(hit.sum())
+        column = self.column[at]
+        often = column >= 0
+        parts = self.table[docs[:, None], column[often]]
+        found, read = parts @ idf[often], int(np.count_nonzero(parts))
+        rare, weight = at[~often], idf[~often]
+        if len(rare):
+            wanted = (rare[:, None] * len(self.ids) + docs).ravel()
+            place = np.searchsorted(self.key, wanted)
+            place[place == len(self.key)] = 0
+            hit = np.flatnonzero(self.key[place] == wanted)
+            found += np.bincount(hit % len(docs), np.repeat(weight, len(docs))[hit] * self.impact[place[hit]], len(docs))
+            read += len(hit)
+        return found, read
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -169,6 +197,7 @@ def _index(bags: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import bm25_search as S
 
+        S.only("bm25_search")
         names = ["ids", "lengths", "terms", "docs", "counts"]
         held: list[tuple] = []
         size = 0
@@ -212,11 +241,12 @@ def _found(index: DataFrame, asked: pa.Table, mean: float, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import bm25_search as S
 
+        S.only("bm25_search")
         offsets, terms, idf, queries = shared.value
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, lengths, words, docs, counts = (np.frombuffer(batch.column(j)[i].as_py(), t) for j, t in enumerate((np.int64, np.int64, np.int64, np.int32, np.int32)))
+                ids, lengths, words, docs, counts = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in enumerate((np.int64, np.int64, np.int64, np.int32, np.int32)))
                 shard = S.Shard(ids, words, docs, counts, lengths, mean)
                 for q in range(len(queries)):
                     a, b = offsets[q], offsets[q + 1]

@@ -302,3 +302,25 @@ def test_folds_score_what_they_did_not_see(monkeypatch):
     assert fitted == [int((fold != k).sum()) for k in range(toxicity.FOLDS)]
     assert seen["score"].tolist() == [fitted[k] / 100 for k in fold]
     assert np.allclose(model.score([b"a", b""]), np.mean(fitted) / 100)
+
+
+# ---- BM25: jumps to frequent terms are look-ups ----
+def test_frequent_terms_need_no_search(monkeypatch):
+    """The same rows with a table of frequent terms and without one; where all terms are frequent, no cursor searches its postings."""
+    from lorespark.llm import bm25_search
+
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.choice(40, 12, replace=False)) for _ in range(300)]
+    terms, docs = np.concatenate(sets), np.repeat(np.arange(300, dtype=np.int32), 12)
+    by = np.lexsort((docs, terms))
+    counts = rng.integers(1, 5, len(by)).astype(np.int32)
+    idf = np.round(rng.random(40), 2)
+    make = lambda: bm25_search.Shard(np.arange(300), terms[by], docs[by], counts, np.full(300, 30.0), 30.0)
+    with_table = make()
+    with_table.key = None
+    got = with_table.search(np.arange(40), idf, 5)
+    monkeypatch.setattr(bm25_search, "TABLE", 0)
+    plain = make().search(np.arange(40), idf, 5)
+    assert [x.tolist() for x in got[:2]] == [x.tolist() for x in plain[:2]] and got[2] == plain[2]
+    given = np.bincount(docs[by], idf[terms[by]] * make().impact, 300)
+    assert got[0].tolist() == np.lexsort((np.arange(300), -np.round(given, 6)))[:5].tolist()
