@@ -324,3 +324,30 @@ def test_frequent_terms_need_no_search(monkeypatch):
     assert [x.tolist() for x in got[:2]] == [x.tolist() for x in plain[:2]] and got[2] == plain[2]
     given = np.bincount(docs[by], idf[terms[by]] * make().impact, 300)
     assert got[0].tolist() == np.lexsort((np.arange(300), -np.round(given, 6)))[:5].tolist()
+
+
+# ---- toxicity: all labelled rows are learned ----
+def test_toxicity_learns_from_all_rows_in_parts(spark, monkeypatch):
+    """More rows than the driver takes: words of few rows are learned too, from several parts, and reruns agree."""
+    from lorespark.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "PART_ROWS", 700)
+    rng = np.random.default_rng(6)
+    rows, marks = [], []
+    for i in range(2400):
+        words = [f"w{n}" for n in rng.integers(0, 60, 12)]
+        if i % 3 == 0:
+            words[int(rng.integers(12))] = f"insult{i // 3 % 20}"
+        rows.append((i, " ".join(words), "en" if i % 2 else None))
+        marks.append((i, int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    assert toxicity.sample(docs, labels, 20) is None
+    model = toxicity.train(docs, labels, 20)
+    got = toxicity.score_toxicity(docs, labels, model=model).where("held_out").collect()
+    bad, good = [g for g in got if g.doc_id % 3 == 0], [g for g in got if g.doc_id % 3]
+    assert sum(g.predicted for g in bad) >= 0.9 * len(bad) and sum(g.predicted for g in good) <= 0.1 * len(good)
+    assert sum(g.toxic for g in bad) >= 0.9 * len(bad) and sum(g.toxic for g in good) <= 0.1 * len(good)
+    again = toxicity.train(docs, labels, 20)
+    assert model.thresholds == again.thresholds and set(model.thresholds) == {"en", None}
+    assert all(np.array_equal(a, b) for m, n in zip(model.nets, again.nets) for a, b in zip(m.parameters(), n.parameters()))
