@@ -134,7 +134,7 @@ def only(own: str) -> None:
 
     import pyarrow as pa
 
-    held = {"ngram_join": lambda m: m._hashes.clear(), "toxicity": lambda m: m._slots.clear(), "bpe": lambda m: m.model.cache_clear(), "licenses": lambda m: m.scanner.cache_clear(), "decontamination": lambda m: m._built.clear()}
+    held = {"ngram_join": lambda m: m._hashes.clear(), "bpe": lambda m: m.model.cache_clear(), "licenses": lambda m: m.scanner.cache_clear(), "decontamination": lambda m: m._built.clear()}
     for name, clear in held.items():
         module = sys.modules.get(f"lorespark.llm.{name}")
         if module is not None and name != own:

@@ -7,9 +7,9 @@ on their parts of the rows, the networks' changes are averaged by a shuffle, and
 from __future__ import annotations
 
 import gc
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,29 +40,16 @@ THRESHOLD = 0.3
 MIN_POSITIVE = 20
 #: The key of the shared threshold: no language's name.
 OTHERS = None
-#: Characters of text that are scored at once.
-AT_ONCE = 400_000
-MEMO = 100_000
-_EDGE = re.compile(rb"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$")
-
-
-class _Slots(dict):
-    """Word to slot: without ASCII punctuation at its ends, A-Z lower-cased."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        bare = _EDGE.sub(b"", word)
-        self[word] = slot = zlib.crc32(bare) % SPACE if bare else 0
-        return slot
-
-
-_slots = _Slots()
+#: Bytes of text that are scored at once: the windows of so many stay in a core's cache.
+AT_ONCE = 200_000
+#: ASCII punctuation, which words lose at their ends.
+_EDGE = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 def slots(text: bytes) -> np.ndarray:
+    """The slot of each word between ASCII white space, without ASCII punctuation at its ends, A-Z lower-cased; 0 where nothing is left of it."""
     words = text.lower().split()
-    return np.fromiter(map(_slots.__getitem__, words), np.int32, len(words))
+    return (np.fromiter(map(zlib.crc32, map(bytes.strip, words, repeat(_EDGE))), np.uint32, len(words)) & np.uint32(SPACE - 1)).view(np.int32)
 
 
 class Network:
@@ -94,24 +81,26 @@ class Network:
     def forward(self, texts: list[np.ndarray], keep: bool = False):
         """Scores; with keep also what the gradient needs: rows, positions of the maxima, pooled values."""
         flat, starts = self._laid_out(texts)
-        x = self.embed[flat]
-        pooled, places = [], []
-        stops = np.append(starts[1:], len(flat)) - (max(WIDTHS) - 1)
-        gap = np.concatenate([stops + j for j in range(max(WIDTHS) - 1)])
-        for w, k, b in zip(WIDTHS, self.filters, self.bias):
-            n = len(flat) - w + 1
-            y = x[:n] @ k[:DIM]
-            for j in range(1, w):
-                y += x[j : j + n] @ k[j * DIM : (j + 1) * DIM]
-            if keep:
-                at = np.stack([s + y[s:e].argmax(0) for s, e in zip(starts, stops)])
-                places.append(at)
-                pooled.append(np.maximum(np.take_along_axis(y, at, 0) + b, 0))
-            else:
-                # the last starts before the next text would reach into it
-                y[gap[gap < n]] = -np.inf
-                pooled.append(np.maximum(np.maximum.reduceat(y, starts, 0) + b, 0))
-        z = np.concatenate(pooled, 1)
+        most = max(WIDTHS)
+        stops = np.append(starts[1:], len(flat)) - (most - 1)
+        # a row for each filter and place in the window, so that what follows runs along rows; the places at one distance stand together
+        weights = np.concatenate([k[j * DIM : (j + 1) * DIM].T for j in range(most) for w, k in zip(WIDTHS, self.filters) if w > j])
+        each = weights @ np.take(self.embed, flat, 0).T
+        n, at = len(flat), len(WIDTHS) * FILTERS
+        y = each[:at]
+        for j in range(1, most):
+            more = FILTERS * sum(w > j for w in WIDTHS)
+            y[-more:, : n - j] += each[at : at + more, j:]
+            at += more
+        if keep:
+            places = np.stack([s + y[:, s:e].argmax(1) for s, e in zip(starts.tolist(), stops.tolist())])
+            top = np.take_along_axis(y, places.T, 1).T
+        else:
+            # the last starts before the next text would reach into it
+            for j in range(most - 1):
+                y[:, stops + j] = -np.inf
+            places, top = None, np.maximum.reduceat(y, starts, 1).T
+        z = np.maximum(top + np.concatenate(self.bias), 0)
         score = 1 / (1 + np.exp(-np.clip(z @ self.out + self.base[0], -30, 30)))
         return (score, flat, places, z) if keep else score
 
@@ -120,7 +109,8 @@ class Network:
         error = ((score - labels) / len(texts)).astype(np.float32)
         d_z = error[:, None] * self.out * (z > 0)
         d_embed, d_filters, d_bias = np.zeros_like(self.embed), [], []
-        for i, (w, k, at) in enumerate(zip(WIDTHS, self.filters, places)):
+        for i, (w, k) in enumerate(zip(WIDTHS, self.filters)):
+            at = places[:, i * FILTERS : (i + 1) * FILTERS]
             d = d_z[:, i * FILTERS : (i + 1) * FILTERS]
             d_k = np.zeros_like(k)
             for j in range(w):
@@ -157,14 +147,34 @@ def _learn(net: Network, texts: list[np.ndarray], labels: np.ndarray, epochs: in
                 met[np.concatenate(batch)] = met[0] = True
                 rows = np.flatnonzero(met)
                 place[rows] = np.arange(len(rows))
-                batch, net.embed = [place[t] for t in batch], whole[rows]
+                batch, net.embed = [place[t] for t in batch], np.take(whole, rows, 0)
             slopes = net.gradients(batch, labels[some])
-            net.embed = whole
             for k, (p, g, m, v) in enumerate(zip(net.parameters(), slopes, first, second)):
-                here = rows if k == 0 else slice(None)
-                m[here] += 0.1 * (g - m[here])
-                v[here] += 0.001 * (g * g - v[here])
-                p[here] -= RATE * (m[here] / (1 - 0.9**step)) / (np.sqrt(v[here] / (1 - 0.999**step)) + 1e-8)
+                if lazy and k == 0:
+                    some_m, some_v = np.take(m, rows, 0), np.take(v, rows, 0)
+                    _step(p, g, some_m, some_v, step)
+                    whole[rows], m[rows], v[rows] = p, some_m, some_v
+                else:
+                    _step(p, g, m, v, step)
+            net.embed = whole
+
+
+def _step(p: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, step: int) -> None:
+    """One step of Adam on p, in place, m and v too; g is used up."""
+    change = g - m
+    change *= 0.1
+    m += change
+    g *= g
+    g -= v
+    g *= 0.001
+    v += g
+    np.divide(v, 1 - 0.999**step, out=g)
+    np.sqrt(g, out=g)
+    g += 1e-8
+    np.divide(m, 1 - 0.9**step, out=change)
+    change *= RATE
+    change /= g
+    p -= change
 
 
 def _best_threshold(score: np.ndarray, label: np.ndarray) -> float:
@@ -293,10 +303,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], index: np.ndarray) -> Iterator[tu
 
 def _learn_chunk(net: Network, texts: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Goes through these rows LOCAL_EPOCHS times, with the embeddings of their own words only, which it returns the rows of."""
-    own = np.unique(np.concatenate([np.zeros(1, np.int32), *texts]))
+    met = np.zeros(len(net.embed), bool)
+    met[np.concatenate(texts)] = met[0] = True
+    own = np.flatnonzero(met)
+    place = np.zeros(len(met), np.int32)
+    place[own] = np.arange(len(own))
     small = Network(len(own), rng)
     small.embed, small.filters, small.bias, small.out, small.base = net.embed[own], net.filters, net.bias, net.out, net.base
-    _learn(small, [np.searchsorted(own, t) for t in texts], labels, LOCAL_EPOCHS, rng, lazy=True)
+    _learn(small, [place[t] for t in texts], labels, LOCAL_EPOCHS, rng, lazy=True)
     net.embed[own] = small.embed
     return own
 

@@ -613,6 +613,42 @@ def test_convolution_gradient():
         assert grads[which][at] == pytest.approx((up - down) / (2 * step), abs=2e-3)
 
 
+def test_slots_need_no_memo():
+    """Words of their own cost neither a miss nor memory that stays; slots are those of the words without punctuation at their ends."""
+    import tracemalloc
+
+    texts = [" ".join(f"({i}w{j}!)" for j in range(400)).encode() for i in range(60)]
+    toxicity.slots(texts[0])
+    tracemalloc.start()
+    for t in texts:
+        toxicity.slots(t)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100_000
+    bare = [re.sub(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", b"", w.lower()) for w in (b"A.B.", b"\"...\"", b"--\xc3\x89--", b"don't", b"_x_")]
+    assert toxicity.slots(b'A.B.\x0b"..." --\xc3\x89--\tdon\'t _x_ ').tolist() == [zlib.crc32(w) % toxicity.SPACE if w else 0 for w in bare]
+    assert toxicity.slots(b" \n").tolist() == []
+
+
+def test_convolution_against_loops():
+    """Scores by plain loops over texts, widths, filters and places; those kept for the gradient are the same."""
+    rng = np.random.default_rng(3)
+    net = toxicity.Network(40, rng)
+    net.bias = [rng.normal(0, 0.1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    texts = [rng.integers(0, 40, n).astype(np.int32) for n in (0, 1, 2, 3, 9, 0, 25)]
+    expected = []
+    for t in texts:
+        x = net.embed[np.append(t, np.zeros(2, np.int32))]
+        pooled = []
+        for w, k, b in zip(toxicity.WIDTHS, net.filters, net.bias):
+            # as many starts as the text has words, and one more: that of padding alone
+            padded = np.concatenate([x, np.zeros((3, toxicity.DIM))])
+            pooled += [max(0.0, max(float(padded[s : s + w].ravel() @ k[:, f]) for s in range(len(t) + 1)) + b[f]) for f in range(toxicity.FILTERS)]
+        expected.append(1 / (1 + np.exp(-(np.array(pooled) @ net.out + net.base[0]))))
+    assert net.forward(texts) == pytest.approx(expected, abs=1e-5)
+    assert net.forward(texts, keep=True)[0] == pytest.approx(expected, abs=1e-5)
+
+
 def test_bm25_search(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(bm25_search, "BLOCK", 4)
     monkeypatch.setattr(bm25_search, "STEP", 2)
