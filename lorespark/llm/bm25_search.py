@@ -36,6 +36,10 @@ POSTINGS, TERMS = 1 << 20, 1 << 20
 BLOCK, FIRST, STEP = 8, 4, 32
 #: Numbers of a shard's table of frequent terms, which holds terms that stand in one of so many documents or more, the most frequent first.
 TABLE, FREQUENT = 1 << 21, 64
+#: Rows of the index for each shard, which share its postings: what the JVM holds at once is a row's. A file has one shard's rows, so one task reads them.
+PIECES = 16
+#: Terms times documents that are looked up at once: they bound what a search holds, however many terms a query has.
+CELLS = 1 << 18
 #: Stands for a null doc_id: it comes first among ties.
 NO_ID = -(1 << 63)
 
@@ -56,7 +60,9 @@ class Shard:
         # a posting's share of the score, without the term's rarity
         self.impact = counts * (K1 + 1)
         self.impact /= counts + (K1 * (1 - B + B * lengths / mean))[docs]
-        self.vocabulary, starts = np.unique(terms, return_index=True)
+        # postings come by term: no sort
+        starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.empty(0, np.int64)
+        self.vocabulary = terms[starts]
         self.starts = np.append(starts, len(terms))
         self.blocks = -(-len(ids) // BLOCK)
         number = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.starts))
@@ -150,6 +156,10 @@ class Shard:
         """What these terms give these documents, and how many postings they have there: a jump of each cursor to each document."""
         if not len(at) or not len(docs):
             return np.zeros(len(docs)), 0
+        some = max(1, CELLS // len(at))
+        if len(docs) > some:
+            each = [self._full(at, idf, docs[i : i + some]) for i in range(0, len(docs), some)]
+            return np.concatenate([found for found, _ in each]), sum(n for _, n in each)
         column = self.column[at]
         often = column >= 0
         parts = self.table[docs[:, None], column[often]]
@@ -192,7 +202,7 @@ def _bags(docs: DataFrame) -> DataFrame:
 
 
 def _index(bags: DataFrame) -> DataFrame:
-    """One row per shard: its documents' ids and lengths, and its postings by term and document, as numbers in a row."""
+    """PIECES rows per shard: its documents' ids and lengths in the first, and its postings by term and document, as numbers in a row, in turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import bm25_search as S
@@ -213,7 +223,10 @@ def _index(bags: DataFrame) -> DataFrame:
             terms, counts = np.concatenate(terms), np.concatenate(counts).astype(np.int32)
             by = np.lexsort((docs, terms))
             rows = np.array(ids, np.int64)[order], np.array(lengths, np.int64)[order], terms[by], docs[by], counts[by]
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in rows], names)
+            edges = np.linspace(0, len(by), S.PIECES + 1).astype(np.int64).tolist()
+            whole = [[x.tobytes(), *[b""] * (S.PIECES - 1)] for x in rows[:2]]
+            cut = [[x[a:b].tobytes() for a, b in zip(edges, edges[1:])] for x in rows[2:]]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in whole + cut], names)
 
         for batch in batches:
             ids, lengths = batch.column(0).fill_null(S.NO_ID).to_pylist(), batch.column(3).to_pylist()
@@ -244,13 +257,21 @@ def _found(index: DataFrame, asked: pa.Table, mean: float, k: int) -> DataFrame:
         S.only("bm25_search")
         offsets, terms, idf, queries = shared.value
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        pieces: list[list[bytes]] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, lengths, words, docs, counts = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in enumerate((np.int64, np.int64, np.int64, np.int32, np.int32)))
+                pieces.append([c[i].as_py() for c in batch.columns])
+                if len(pieces) < S.PIECES:
+                    continue
+                ids, lengths, words, docs, counts = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*pieces), (np.int64, np.int64, np.int64, np.int32, np.int32)))
+                # the last shard goes before the next one is made
+                pieces, shard = [], None
                 shard = S.Shard(ids, words, docs, counts, lengths, mean)
                 for q in range(len(queries)):
                     a, b = offsets[q], offsets[q + 1]
                     best[q] = shard.search(terms[a:b], idf[a:b], k, best[q])[:2]
+        if pieces:
+            raise ValueError("the index was cut inside a shard")
         sizes = [len(ids) for ids, _ in best]
         if sum(sizes):
             columns = np.repeat(queries, sizes), np.concatenate([ids for ids, _ in best]), np.concatenate([s for _, s in best])
@@ -287,7 +308,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     words = weighed.agg(F.sum(F.size("term"))).first()[0]
     if not words:
         return nothing
-    index = materialize(_index(bags))
+    index = materialize(_index(bags), PIECES)
     blocks = max(1, -(-words // TERMS))
     found = None
     for block in range(blocks):

@@ -42,15 +42,15 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, file_rows: int = 0) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there, lost executors cost no rework.
 
     Shuffle files of finished plans are let go, as they would fill the disks of a long chain of steps. The table goes with
-    discard() or when the driver's process ends.
+    discard() or when the driver's process ends. file_rows: the most rows of a file, 0 for any number.
     """
     spark = session_of(df)
     path = f"{shared_folder(spark)}/lorespark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     atexit.register(_remove, spark, path)
     gc.collect()
     spark._jvm.System.gc()
@@ -82,8 +82,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 _shipped: set[str] = set()
-#: Rows and bytes of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held by Python and, outside its heap, by the JVM, whose pools keep what a batch once took.
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
 
 def ship_code(spark: SparkSession) -> None:

@@ -41,6 +41,8 @@ BUCKET = 1 << 20
 HELD, CAP = 1 << 22, 1 << 16
 #: Token entries of one packed flush.
 FLUSH = 1 << 18
+#: Bytes of a batch that a task gives back.
+SLICE = 1 << 20
 #: Documents that meet one copy of a hub's set in verification.
 MEMBERS = 1024
 #: Cost of verifying a candidate, in list entries read.
@@ -108,6 +110,11 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about SLICE bytes: the JVM holds each whole, outside its heap."""
+    yield from _parts(iter([batch]), max(1, batch.num_rows * SLICE // max(batch.nbytes, 1)))
+
+
 def _bytes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().cast("binary").alias("text"))
 
@@ -176,10 +183,10 @@ def _entries(texts: DataFrame, placed: DataFrame, words: int, share: float) -> D
                 waiting.append((s, i, comp))
                 held += len(s)
                 if held > J.FLUSH:
-                    yield flush()
+                    yield from J._small(flush())
                     waiting, held = [], 0
         if waiting:
-            yield flush()
+            yield from J._small(flush())
 
     return texts.mapInArrow(run, "bucket int, tokens binary, reps binary, comps binary")
 
@@ -251,12 +258,12 @@ def _shared(entries: DataFrame, tokens: bool) -> DataFrame:
         for batch in batches:
             for bucket, *packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != last and last is not None:
-                    yield table(*counter.end())
+                    yield from J._small(table(*counter.end()))
                     counter = J.Counter()
                 last = bucket
                 for found in counter.add(*packed):
-                    yield table(*found)
-        yield table(*counter.end())
+                    yield from J._small(table(*found))
+        yield from J._small(table(*counter.end()))
 
     dealt = entries.repartition(partitions(session_of(entries)), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "rep long, token long, c int" if tokens else "rep long, c int")

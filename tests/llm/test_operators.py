@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -613,6 +614,20 @@ def test_convolution_gradient():
         assert grads[which][at] == pytest.approx((up - down) / (2 * step), abs=2e-3)
 
 
+def test_batches_are_small(spark):
+    """What tasks and the JVM hand each other is bounded, whatever a bucket of tokens holds; no row is lost or moved."""
+    common.ship_code(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 2 << 20
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(3 * i, 3 * i + 20_000))) for i in range(10)], "doc_id long, text string").coalesce(1)
+    placed = spark.createDataFrame([(r.doc_id, r.n, r.set, r.doc_id) for r in ngram_join._signatures(docs, 5, 1.0).collect()], "rep long, n long, set binary, comp long")
+    rows = ngram_join._shared(ngram_join._entries(docs, placed, 5, 1.0), tokens=True)
+    assert rows.count() == 10 * 19_996 - 2 * 3  # the first and the last text have 3 shingles that no other has
+    batch = pa.RecordBatch.from_pydict({"x": [bytes(300_000)] * 20 + [b""] * 3, "n": list(range(23))})
+    parts = list(ngram_join._small(batch))
+    assert len(parts) > 4 and [n for p in parts for n in p.column(1).to_pylist()] == list(range(23))
+    assert list(ngram_join._small(batch.slice(0, 0))) == []
+
+
 def test_slots_need_no_memo():
     """Words of their own cost neither a miss nor memory that stays; slots are those of the words without punctuation at their ends."""
     import tracemalloc
@@ -649,6 +664,31 @@ def test_convolution_against_loops():
     assert net.forward(texts, keep=True)[0] == pytest.approx(expected, abs=1e-5)
 
 
+def test_bm25_memory(spark, monkeypatch):
+    """An index row holds a part of a shard; a query of very many terms looks up a bounded number of cells at once, with the same result."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    bags = bm25_search._bags(spark.createDataFrame([(i, " ".join(f"w{j}" for j in rng.integers(0, 900, 120))) for i in range(200)], "doc_id long, text string"))
+    rows = bm25_search._index(bags).collect()
+    assert len(rows) % bm25_search.PIECES == 0
+    sizes = [len(r.terms) for r in rows]
+    assert max(sizes) <= 8 * (sum(sizes) // 8 // bm25_search.PIECES + 1)
+
+    n, vocabulary = 4000, 3000
+    docs = np.tile(np.arange(0, n, 100, dtype=np.int32), vocabulary)  # too rare for the table
+    terms = np.repeat(np.arange(vocabulary), n // 100)
+    shard = bm25_search.Shard(np.arange(n), terms, docs, rng.integers(1, 9, len(docs)).astype(np.int32), rng.integers(50, 90, n), 70.0)
+    at, idf, wanted = np.arange(vocabulary), rng.random(vocabulary), np.arange(0, n, 2)
+    tracemalloc.start()
+    found, read = shard._full(at, idf, wanted)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(bm25_search, "CELLS", 1 << 60)
+    whole, n_whole = shard._full(at, idf, wanted)
+    assert read == n_whole and found == pytest.approx(whole, abs=1e-9) and most < 30 << 20
+
+
 def test_bm25_search(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(bm25_search, "BLOCK", 4)
     monkeypatch.setattr(bm25_search, "STEP", 2)
