@@ -15,6 +15,9 @@ others are scored in full, by jumps of the cursors to them, the most promising f
 go, have a table by document, where a jump is a look-up and no search. A document at
 the threshold itself is still scored, so ties keep the smallest ids. This is block-max WAND with the pivots of a whole shard found
 at once, which suits numpy; most queries here have hundreds of terms, of which few carry a document.
+
+Many queries go through a shard together: all postings of their rarer terms are read, block maxima bound what the frequent terms add, and
+stretches of blocks that can't reach a query's threshold are skipped; what frequent terms add elsewhere comes from products of the queries' weights with their table.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import materialize, only, session_of, ship_code, text_of
+from lorespark.operators.best import stretches
 
 K1, B = 1.2, 0.75
 TOP = 10
 #: Postings and documents of a shard, and query terms that pass through the shards together: they bound a task's memory, and the broadcast.
-POSTINGS, TERMS = 1 << 20, 1 << 20
+POSTINGS, TERMS = 1 << 20, 1 << 21
 #: Documents of a block; blocks scored to have a threshold; pivots scored before the first look at it, twice as many before each later one.
 BLOCK, FIRST, STEP = 8, 4, 32
 #: Numbers of a shard's table of frequent terms, which holds terms that stand in one of so many documents or more, the most frequent first.
@@ -40,6 +44,12 @@ TABLE, FREQUENT = 1 << 21, 64
 PIECES = 16
 #: Terms times documents that are looked up at once: they bound what a search holds, however many terms a query has.
 CELLS = 1 << 18
+#: Queries times documents (or terms in the table) that are scored at once, and postings read for them, where many queries are searched together.
+MANY = 1 << 19
+#: Blocks whose documents are scored together, for the queries that can use one of them. With fewer than FEW queries they are searched one by one.
+STRETCH, FEW = 16, 8
+#: Slices of the index, of which each task searches one, where the cluster has no more cores: they don't grow with the index.
+SLICES = 12
 #: Stands for a null doc_id: it comes first among ties.
 NO_ID = -(1 << 63)
 
@@ -142,6 +152,46 @@ class Shard:
             pivots = pivots[bounds[pivots] >= least()]
         return ids, scores, read
 
+    def search_many(self, asked: Asked, held: Held) -> None:
+        """Offers to held what of this shard is among the k best of each query: search() for many queries at once, with the same result.
+
+        Of a batch of queries, the postings of terms that have no column in the table are read. Per block, the best sum of these and the maxima of the
+        other terms bound its documents; a query skips the stretches in which no block reaches its threshold, and in the rest one matrix product
+        for all queries that are left gives what the other terms add.
+        """
+        if len(asked) < FEW:
+            for q in range(len(asked)):
+                held.put(q, *self.search(*asked.words(q), held.k, held.of(q))[:2])
+            return
+        number = asked.numbers(self.vocabulary)
+        width, columns = self.blocks * BLOCK, self.table.shape[1]
+        rows = max(1, MANY // max(width, columns))
+        for lo in range(0, len(asked), rows):
+            hi = min(lo + rows, len(asked))
+            query, at, weight = asked.part(lo, hi, number)
+            column = self.column[at]
+            often = column >= 0
+            weights = np.zeros((hi - lo, columns))
+            weights[query[often], column[often]] = weight[often]
+            rare, query, weight = at[~often], query[~often], weight[~often]
+            spread = self.starts[rare + 1] - self.starts[rare]
+            scores = np.zeros((hi - lo) * width)
+            for a, b in stretches(np.append(0, np.cumsum(spread)), max(1, len(rare)), MANY):
+                posts, n = _ranges(self.starts[rare[a:b]], self.starts[rare[a:b] + 1]), spread[a:b]
+                scores += np.bincount(np.repeat(query[a:b] * width, n) + self.doc[posts], np.repeat(weight[a:b], n) * self.impact[posts], len(scores))
+            scores = scores.reshape(hi - lo, width)
+            least = held.least[lo:hi]
+            # a hair more, as sums are taken in several orders
+            bounds = (np.maximum.reduce(scores.reshape(hi - lo, self.blocks, BLOCK), axis=2) + weights @ self.table_best) * (1 + 1e-9)
+            opened = bounds >= least[:, None]
+            found = np.zeros((hi - lo, len(self.ids)))
+            for block in (np.unique(np.flatnonzero(opened.any(axis=0)) // STRETCH) * STRETCH).tolist():
+                some = np.flatnonzero(opened[:, block : block + STRETCH].any(axis=1))
+                docs = slice(block * BLOCK, min((block + STRETCH) * BLOCK, len(self.ids)))
+                if len(some):
+                    found[some, docs] = scores[some, docs] + weights[some] @ self.table[docs].T
+            held.offer(lo, self.ids, found)
+
     def _bounds(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
         """For each block, the sum of these terms' maxima."""
         column = self.column[at]
@@ -175,6 +225,87 @@ class Shard:
         return found, read
 
 
+class Asked:
+    """Queries of a block. terms: the places of their terms in vocabulary, one query after the other; vocabulary: the distinct terms, ascending, with their idf."""
+
+    def __init__(self, queries: np.ndarray, offsets: np.ndarray, terms: np.ndarray, idf: np.ndarray):
+        # queries that share their most frequent term stand together
+        at = np.repeat(np.arange(len(queries)), np.diff(offsets))
+        first = np.lexsort((terms, idf, at))[offsets[:-1]]
+        order = np.lexsort((terms[first], idf[first]))
+        sizes = np.diff(offsets)[order]
+        places = _ranges(offsets[:-1][order], offsets[1:][order])
+        self.queries, self.offsets = queries[order], np.append(0, np.cumsum(sizes))
+        self.vocabulary, one, place = np.unique(terms[places], return_index=True, return_inverse=True)
+        self.terms, self.idf = place.astype(np.int32), idf[places][one]
+
+    def __len__(self) -> int:
+        return len(self.queries)
+
+    def words(self, query: int) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a query, and their idf."""
+        terms = self.terms[self.offsets[query] : self.offsets[query + 1]]
+        return self.vocabulary[terms], self.idf[terms]
+
+    def numbers(self, vocabulary: np.ndarray) -> np.ndarray:
+        """The place of each asked term in a shard's vocabulary, -1 where it isn't there."""
+        at = np.searchsorted(self.vocabulary, vocabulary)
+        at[at == len(self.vocabulary)] = 0
+        hit = np.flatnonzero(self.vocabulary[at] == vocabulary)
+        number = np.full(len(self.vocabulary), -1, np.int32)
+        number[at[hit]] = hit
+        return number
+
+    def part(self, lo: int, hi: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query (from 0), number in the shard and idf of each term that queries lo to hi ask for and the shard has."""
+        terms = self.terms[self.offsets[lo] : self.offsets[hi]]
+        query, at = np.repeat(np.arange(hi - lo), np.diff(self.offsets[lo : hi + 1])), number[terms]
+        have = at >= 0
+        return query[have], at[have], self.idf[terms[have]]
+
+
+class Held:
+    """The k best documents of each of n queries so far, by score (rounded), then id. least: what a document must reach to be among them."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.ids, self.scores, self.size = k, np.zeros((n, k), np.int64), np.zeros((n, k)), np.zeros(n, np.int64)
+        self.least = np.zeros(n)
+
+    def of(self, query: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.ids[query, : self.size[query]], self.scores[query, : self.size[query]]
+
+    def put(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.ids[query, : len(ids)], self.scores[query, : len(ids)], self.size[query] = ids, scores, len(ids)
+
+    def offer(self, lo: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of documents (ids) for queries from number lo on, a row for each query."""
+        n, k, least = len(scores), self.k, self.least[lo : lo + len(scores)].copy()
+        new = np.flatnonzero(self.size[lo : lo + n] < k)
+        if len(new) and len(ids) > k:
+            least[new] = np.maximum(np.partition(scores[new], len(ids) - k, axis=1)[:, len(ids) - k] - 1e-6, 0)
+        query, doc = np.nonzero(scores >= np.maximum(least, 1e-9)[:, None])
+        found = np.round(scores[query, doc], 6)
+        some = found > 0
+        query, doc, found = query[some], doc[some], found[some]
+        if not len(query):
+            return
+        changed = np.unique(query)
+        old = np.flatnonzero((np.arange(k) < self.size[lo + changed][:, None]).ravel())
+        query = np.append(query, np.repeat(changed, k)[old])
+        ids = np.append(ids[doc], self.ids[lo + changed].ravel()[old])
+        found = np.append(found, self.scores[lo + changed].ravel()[old])
+        order = np.lexsort((ids, -found, query))
+        query, ids, found = query[order], ids[order], found[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < k
+        query, place, ids, found = lo + query[kept], place[kept], ids[kept], found[kept]
+        self.ids[query, place], self.scores[query, place] = ids, found
+        np.maximum.at(self.size, query, place + 1)
+        full = lo + changed
+        full = full[self.size[full] == k]
+        self.least[full] = self.scores[full, k - 1] - 1e-6
+
+
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The numbers from lo to hi of each pair, one after the other."""
     n = hi - lo
@@ -246,17 +377,18 @@ def _index(bags: DataFrame) -> DataFrame:
 
 
 def _found(index: DataFrame, asked: pa.Table, mean: float, k: int) -> DataFrame:
-    """query_id, doc_id, score: the k best of the shards that each task reads, for queries (query_id, term, idf) of bounded size."""
+    """query_id, doc_id, score: the k best of each slice of the shards, for queries (query_id, term, idf) of bounded size."""
     edges = asked.column("term").combine_chunks()
-    plain = edges.offsets.to_numpy(), edges.values.to_numpy(), asked.column("idf").combine_chunks().values.to_numpy(), asked.column("query_id").to_numpy()
-    shared = session_of(index).sparkContext.broadcast(plain)
+    plain = Asked(asked.column("query_id").to_numpy(), edges.offsets.to_numpy(), edges.values.to_numpy(), asked.column("idf").combine_chunks().values.to_numpy())
+    context = session_of(index).sparkContext
+    shared = context.broadcast(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import bm25_search as S
 
         S.only("bm25_search")
-        offsets, terms, idf, queries = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        asked = shared.value
+        held = S.Held(len(asked), k)
         pieces: list[list[bytes]] = []
         for batch in batches:
             for i in range(batch.num_rows):
@@ -267,17 +399,15 @@ def _found(index: DataFrame, asked: pa.Table, mean: float, k: int) -> DataFrame:
                 # the last shard goes before the next one is made
                 pieces, shard = [], None
                 shard = S.Shard(ids, words, docs, counts, lengths, mean)
-                for q in range(len(queries)):
-                    a, b = offsets[q], offsets[q + 1]
-                    best[q] = shard.search(terms[a:b], idf[a:b], k, best[q])[:2]
+                shard.search_many(asked, held)
         if pieces:
             raise ValueError("the index was cut inside a shard")
-        sizes = [len(ids) for ids, _ in best]
-        if sum(sizes):
-            columns = np.repeat(queries, sizes), np.concatenate([ids for ids, _ in best]), np.concatenate([s for _, s in best])
+        there = np.arange(k) < held.size[:, None]
+        columns = np.repeat(asked.queries, held.size), held.ids[there], held.scores[there]
+        if there.any():
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["query_id", "doc_id", "score"])
 
-    return index.mapInArrow(run, "query_id long, doc_id long, score double")
+    return index.coalesce(max(SLICES, context.defaultParallelism)).mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -290,7 +420,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     doc_id comes first among ties. An empty table gives no rows. Other columns are ignored.
 
     Queries go through the index in blocks of about TERMS words: one block at a time is broadcast, and each task searches the
-    shards that it reads. Nothing of the index is shuffled.
+    shards of a slice of the index. Nothing of the index is shuffled. There are as many slices however many shards the index has, so the rows
+    that slices find, k for each query at most, grow with the queries only. Every query still meets every shard.
     """
     spark = session_of(docs)
     ship_code(spark)
@@ -305,7 +436,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(rarity.select("term", idf.alias("idf")), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
     weighed = materialize(weighed.select("query_id", F.col("terms.term").alias("term"), F.col("terms.idf").alias("idf")))
-    words = weighed.agg(F.sum(F.size("term"))).first()[0]
+    # the k best of a query take room too
+    words = weighed.agg(F.sum(F.size("term") + 2 * k)).first()[0]
     if not words:
         return nothing
     index = materialize(_index(bags), PIECES)

@@ -351,3 +351,79 @@ def test_toxicity_learns_from_all_rows_in_parts(spark, monkeypatch):
     again = toxicity.train(docs, labels, 20)
     assert model.thresholds == again.thresholds and set(model.thresholds) == {"en", None}
     assert all(np.array_equal(a, b) for m, n in zip(model.nets, again.nets) for a, b in zip(m.parameters(), n.parameters()))
+
+
+# ---- BM25: many queries at once, and rows that grow with the queries only ----
+def _shards(rng, n_shards=4, n=150):
+    """Shards of two languages with a few frequent words each, ties among copies, and documents without words; and all bags by id."""
+    from lorespark.llm import bm25_search
+
+    shards, bags = [], {}
+    for number in range(n_shards):
+        sets = [np.unique(np.append(rng.integers(0, 25, 8), rng.integers(100, 900, 10)) + i % 2 * 1000) for i in range(n)]
+        sets[3], sets[7], sets[9] = sets[5], sets[5], np.empty(0, np.int64)
+        sets = [sets[i] for i in np.argsort(np.arange(n) % 2, kind="stable")]
+        ids = rng.permutation(n) + number * n
+        counts = [np.ones(len(t), np.int32) if i % 3 else rng.integers(1, 4, len(t)).astype(np.int32) for i, t in enumerate(sets)]
+        terms, docs = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in sets])
+        by = np.lexsort((docs, terms))
+        shards.append(bm25_search.Shard(ids, terms[by], docs[by], np.concatenate(counts)[by], np.full(n, 20.0), 20.0))
+        bags |= {int(i): dict(zip(t.tolist(), c.tolist())) for i, t, c in zip(ids, sets, counts)}
+    return shards, bags
+
+
+@pytest.mark.parametrize("table", [1 << 21, 0, 900])
+def test_many_queries_are_searched_at_once(monkeypatch, table):
+    """The k best by brute force, ties by id, also of queries that few or no documents match, without a search of single queries; and with one by one."""
+    from lorespark.llm import bm25_search
+
+    monkeypatch.setattr(bm25_search, "TABLE", table)
+    monkeypatch.setattr(bm25_search, "STRETCH", 2)
+    monkeypatch.setattr(bm25_search, "MANY", 2000)
+    rng = np.random.default_rng(8)
+    shards, bags = _shards(rng)
+    asked = [np.array(sorted(bags[i]), np.int64) for i in range(0, 600, 9) if bags[i]] + [np.array([5000]), np.array([int(next(iter(bags[0])))]), np.arange(1000)]
+    rarity = np.round(rng.random(6000) * 3 + 0.1, 2)
+    offsets, terms = np.cumsum([0, *map(len, asked)]), np.concatenate(asked)
+    expected = {}
+    for q, words in enumerate(asked):
+        scored = [(-round(sum(rarity[w] * bags[i][w] * 2.2 / (bags[i][w] + 1.2) for w in words.tolist() if w in bags[i]), 6), i) for i in bags]
+        expected[100 + q] = [(i, -s) for s, i in sorted(x for x in scored if x[0] < 0)[:5]]
+
+    def found(few):
+        monkeypatch.setattr(bm25_search, "FEW", few)
+        queries = bm25_search.Asked(100 + np.arange(len(asked)), offsets, terms, rarity[terms])
+        held = bm25_search.Held(len(queries), 5)
+        for shard in shards:
+            shard.search_many(queries, held)
+        return {int(q): list(zip(*[x.tolist() for x in held.of(i)])) for i, q in enumerate(queries.queries)}
+
+    assert found(1 << 30) == expected
+    monkeypatch.setattr(bm25_search.Shard, "search", None)
+    assert found(8) == expected
+
+
+def test_rows_of_slices_grow_with_queries_only(spark):
+    """An index of 40 files gives at most SLICES times k rows for each query, and all of its shards are searched."""
+    import pyarrow as pa
+
+    from lorespark.llm import bm25_search
+    from lorespark.llm.common import materialize, ship_code
+
+    ship_code(spark)
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('same w', id % 7, ' u', id) as text").repartition(40)
+    index = materialize(bm25_search._index(bm25_search._bags(docs)), bm25_search.PIECES)
+    words = [bm25_search.term_ids(f"same w{q} u{q * 50}".encode()).tolist() for q in range(9)]
+    asked = pa.table({"query_id": list(range(9)), "term": pa.array(words, pa.list_(pa.int64())), "idf": pa.array([[0.1, 1.0, 5.0]] * 9, pa.list_(pa.float64()))})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert index.rdd.getNumPartitions() >= 40
+        rows = bm25_search._found(index, asked, 3.0, 5).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) <= max(bm25_search.SLICES, spark.sparkContext.defaultParallelism) * 9 * 5
+    for q in range(9):
+        best = sorted((-r.score, r.doc_id) for r in rows if r.query_id == q)[:5]
+        given = lambda i: 0.1 + (i % 7 == q) + 5 * (i == q * 50)
+        assert [i for _, i in best] == sorted(range(400), key=lambda i: (-given(i), i))[:5]
