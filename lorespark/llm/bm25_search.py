@@ -46,8 +46,9 @@ PIECES = 16
 CELLS = 1 << 18
 #: Queries times documents (or terms in the table) that are scored at once, and postings read for them, where many queries are searched together.
 MANY = 1 << 19
-#: Blocks whose documents are scored together, for the queries that can use one of them. With fewer than FEW queries they are searched one by one.
-STRETCH, FEW = 16, 8
+#: Blocks whose documents are scored together, for the queries that can use one of them, and stretches of a shard at most. Where fewer than FEW queries are
+#: asked or fit in MANY, as in shards of very many tiny documents, they are searched one by one.
+STRETCH, STRETCHES, FEW = 16, 64, 8
 #: Slices of the index, of which each task searches one, where the cluster has no more cores: they don't grow with the index.
 SLICES = 12
 #: Stands for a null doc_id: it comes first among ties.
@@ -159,13 +160,14 @@ class Shard:
         other terms bound its documents; a query skips the stretches in which no block reaches its threshold, and in the rest one matrix product
         for all queries that are left gives what the other terms add.
         """
-        if len(asked) < FEW:
+        width, columns = self.blocks * BLOCK, self.table.shape[1]
+        rows = MANY // max(width, columns, 1)
+        if min(len(asked), rows) < FEW:
             for q in range(len(asked)):
                 held.put(q, *self.search(*asked.words(q), held.k, held.of(q))[:2])
             return
         number = asked.numbers(self.vocabulary)
-        width, columns = self.blocks * BLOCK, self.table.shape[1]
-        rows = max(1, MANY // max(width, columns))
+        stretch = max(STRETCH, -(-self.blocks // STRETCHES))
         for lo in range(0, len(asked), rows):
             hi = min(lo + rows, len(asked))
             query, at, weight = asked.part(lo, hi, number)
@@ -185,9 +187,9 @@ class Shard:
             bounds = (np.maximum.reduce(scores.reshape(hi - lo, self.blocks, BLOCK), axis=2) + weights @ self.table_best) * (1 + 1e-9)
             opened = bounds >= least[:, None]
             found = np.zeros((hi - lo, len(self.ids)))
-            for block in (np.unique(np.flatnonzero(opened.any(axis=0)) // STRETCH) * STRETCH).tolist():
-                some = np.flatnonzero(opened[:, block : block + STRETCH].any(axis=1))
-                docs = slice(block * BLOCK, min((block + STRETCH) * BLOCK, len(self.ids)))
+            for block in (np.unique(np.flatnonzero(opened.any(axis=0)) // stretch) * stretch).tolist():
+                some = np.flatnonzero(opened[:, block : block + stretch].any(axis=1))
+                docs = slice(block * BLOCK, min((block + stretch) * BLOCK, len(self.ids)))
                 if len(some):
                     found[some, docs] = scores[some, docs] + weights[some] @ self.table[docs].T
             held.offer(lo, self.ids, found)

@@ -379,7 +379,8 @@ def test_many_queries_are_searched_at_once(monkeypatch, table):
 
     monkeypatch.setattr(bm25_search, "TABLE", table)
     monkeypatch.setattr(bm25_search, "STRETCH", 2)
-    monkeypatch.setattr(bm25_search, "MANY", 2000)
+    monkeypatch.setattr(bm25_search, "STRETCHES", 8)
+    monkeypatch.setattr(bm25_search, "MANY", 9000)
     rng = np.random.default_rng(8)
     shards, bags = _shards(rng)
     asked = [np.array(sorted(bags[i]), np.int64) for i in range(0, 600, 9) if bags[i]] + [np.array([5000]), np.array([int(next(iter(bags[0])))]), np.arange(1000)]
@@ -398,9 +399,15 @@ def test_many_queries_are_searched_at_once(monkeypatch, table):
             shard.search_many(queries, held)
         return {int(q): list(zip(*[x.tolist() for x in held.of(i)])) for i, q in enumerate(queries.queries)}
 
+    alone = bm25_search.Shard.search
     assert found(1 << 30) == expected
     monkeypatch.setattr(bm25_search.Shard, "search", None)
     assert found(8) == expected
+    # where few queries fit, as beside very many tiny documents, no matrix of all documents is made
+    monkeypatch.setattr(bm25_search.Shard, "search", alone)
+    monkeypatch.setattr(bm25_search, "MANY", 1000)
+    monkeypatch.setattr(bm25_search.Held, "offer", None)
+    assert found(8) == expected
 
 
 def test_rows_of_slices_grow_with_queries_only(spark):
