@@ -16,13 +16,15 @@ go, have a table by document, where a jump is a look-up and no search. A documen
 the threshold itself is still scored, so ties keep the smallest ids. This is block-max WAND with the pivots of a whole shard found
 at once, which suits numpy; most queries here have hundreds of terms, of which few carry a document.
 
-Many queries go through a shard together: all postings of their rarer terms are read, block maxima bound what the frequent terms add, and
-stretches of blocks that can't reach a query's threshold are skipped; what frequent terms add elsewhere comes from products of the queries' weights with their table.
+Many queries go through a shard together. What a term gives a document is the same for all of them, so it is worked out once, in a table for frequent terms. A query's
+postings of rarer terms are read whole; block maxima (and what all frequent terms give the best document of a block) bound what the others add, and stretches of blocks that
+can't reach a query's threshold are skipped. In the rest products of single precision give what frequent terms add, and only documents that may be among the k best are scored in full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from lorespark.operators.best import stretches
 K1, B = 1.2, 0.75
 TOP = 10
 #: Postings and documents of a shard, and query terms that pass through the shards together: they bound a task's memory, and the broadcast.
-POSTINGS, TERMS = 1 << 20, 1 << 21
+POSTINGS, TERMS = 1 << 20, 1 << 22
 #: Documents of a block; blocks scored to have a threshold; pivots scored before the first look at it, twice as many before each later one.
 BLOCK, FIRST, STEP = 8, 4, 32
 #: Numbers of a shard's table of frequent terms, which holds terms that stand in one of so many documents or more, the most frequent first.
@@ -46,9 +48,9 @@ PIECES = 16
 CELLS = 1 << 18
 #: Queries times documents (or terms in the table) that are scored at once, and postings read for them, where many queries are searched together.
 MANY = 1 << 19
-#: Blocks whose documents are scored together, for the queries that can use one of them, and stretches of a shard at most. Where fewer than FEW queries are
-#: asked or fit in MANY, as in shards of very many tiny documents, they are searched one by one.
-STRETCH, STRETCHES, FEW = 16, 64, 8
+#: Documents of a block where many queries are searched together, blocks whose documents are scored together, for the queries that can use one of them, and
+#: stretches of a shard at most. Where fewer than FEW queries are asked or fit in MANY, as in shards of very many tiny documents, they are searched one by one.
+WIDE, STRETCH, STRETCHES, FEW = 32, 2, 128, 8
 #: Slices of the index, of which each task searches one, where the cluster has no more cores: they don't grow with the index.
 SLICES = 12
 #: Stands for a null doc_id: it comes first among ties.
@@ -57,10 +59,10 @@ NO_ID = -(1 << 63)
 
 def term_ids(text: bytes) -> np.ndarray:
     """64-bit ids of a text's words in order: between ASCII white space, A-Z lower-cased."""
-    from lorespark.llm.ngram_join import _hashes
+    import xxhash
 
     words = text.lower().split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).view(np.int64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 class Shard:
@@ -76,29 +78,51 @@ class Shard:
         self.vocabulary = terms[starts]
         self.starts = np.append(starts, len(terms))
         self.blocks = -(-len(ids) // BLOCK)
-        number = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.starts))
-        cell = number * (self.blocks + 1) + docs // BLOCK
-        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
-        del cell
-        self.cell_block = self.doc[first] // BLOCK
-        self.cell_best = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.cell_starts = np.append(first, len(terms))
-        self.term_cells = np.searchsorted(first, self.starts)
-        # the largest score that each term gives in the shard, and one ascending key for each posting
-        self.term_best = np.maximum.reduceat(self.impact, starts) if len(starts) else np.empty(0)
-        self.key = number * len(ids) + docs
-        # the postings and block maxima of frequent terms by address
+
+    def often(self, cells: int, share: int) -> np.ndarray:
+        """The most frequent terms: those in one of share documents or more, as many as have room in a table of so many cells."""
         spread = np.diff(self.starts)
-        often = np.argsort(-spread, kind="stable")[: TABLE // max(len(ids), 1)]
-        often = often[spread[often] * FREQUENT >= len(ids)]
-        self.column = np.full(len(spread), -1)
-        self.column[often] = np.arange(len(often))
-        self.table, self.table_best = np.zeros((len(ids), len(often))), np.zeros((len(often), self.blocks))
+        often = np.argsort(-spread, kind="stable")[: cells // max(len(self.ids), 1)]
+        return often[spread[often] * share >= len(self.ids)]
+
+    @cached_property
+    def term_best(self) -> np.ndarray:
+        """The largest score that each term gives in the shard."""
+        return np.maximum.reduceat(self.impact, self.starts[:-1]) if len(self.vocabulary) else np.empty(0)
+
+    @cached_property
+    def number(self) -> np.ndarray:
+        """The term of each posting."""
+        return np.repeat(np.arange(len(self.vocabulary)), np.diff(self.starts))
+
+    @cached_property
+    def key(self) -> np.ndarray:
+        """One ascending key for each posting."""
+        return self.number * len(self.ids) + self.doc
+
+    @cached_property
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The block and best of each cell, a term's postings in a block, and where each term's cells start."""
+        cell = self.number * (self.blocks + 1) + self.doc // BLOCK
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+        best = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
+        return self.doc[first] // BLOCK, best, np.searchsorted(first, self.starts)
+
+    @cached_property
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The column of each term, -1 for rarer ones, and the postings and block maxima of frequent terms by address."""
+        often = self.often(TABLE, FREQUENT)
+        spread = np.diff(self.starts)[often]
+        column = np.full(len(self.vocabulary), -1)
+        column[often] = np.arange(len(often))
+        table, table_best = np.zeros((len(self.ids), len(often))), np.zeros((len(often), self.blocks))
         posts = _ranges(self.starts[often], self.starts[often + 1])
-        self.table[docs[posts], np.repeat(np.arange(len(often)), spread[often])] = self.impact[posts]
-        a, b = self.term_cells[often], self.term_cells[often + 1]
+        table[self.doc[posts], np.repeat(np.arange(len(often)), spread)] = self.impact[posts]
+        block, best, at = self.cells
+        a, b = at[often], at[often + 1]
         cells = _ranges(a, b)
-        self.table_best[np.repeat(np.arange(len(often)), b - a), self.cell_block[cells]] = self.cell_best[cells]
+        table_best[np.repeat(np.arange(len(often)), b - a), block[cells]] = best[cells]
+        return column, table, table_best
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores, postings read) of the k best documents with a positive score, those of earlier shards (best) among them; terms are distinct."""
@@ -158,51 +182,35 @@ class Shard:
 
         Of a batch of queries, the postings of terms that have no column in the table are read. Per block, the best sum of these and the maxima of the
         other terms bound its documents; a query skips the stretches in which no block reaches its threshold, and in the rest one matrix product
-        for all queries that are left gives what the other terms add.
+        for all queries that are left gives nearly what the other terms add. Documents that may be among the k best are scored in double precision.
         """
-        width, columns = self.blocks * BLOCK, self.table.shape[1]
-        rows = MANY // max(width, columns, 1)
-        if min(len(asked), rows) < FEW:
+        rows = min(len(asked), MANY // max(len(self.ids), 1))
+        if rows >= FEW:
+            number = asked.numbers(self.vocabulary)
+            there = np.flatnonzero(number >= 0)
+            if not len(there):
+                return
+            given = Given(self, number[there], asked.idf[there])
+            rows = min(rows, MANY // max(given.table.shape[1], 1))
+        if rows < FEW:
             for q in range(len(asked)):
                 held.put(q, *self.search(*asked.words(q), held.k, held.of(q))[:2])
             return
-        number = asked.numbers(self.vocabulary)
-        stretch = max(STRETCH, -(-self.blocks // STRETCHES))
         for lo in range(0, len(asked), rows):
             hi = min(lo + rows, len(asked))
-            query, at, weight = asked.part(lo, hi, number)
-            column = self.column[at]
-            often = column >= 0
-            weights = np.zeros((hi - lo, columns))
-            weights[query[often], column[often]] = weight[often]
-            rare, query, weight = at[~often], query[~often], weight[~often]
-            spread = self.starts[rare + 1] - self.starts[rare]
-            scores = np.zeros((hi - lo) * width)
-            for a, b in stretches(np.append(0, np.cumsum(spread)), max(1, len(rare)), MANY):
-                posts, n = _ranges(self.starts[rare[a:b]], self.starts[rare[a:b] + 1]), spread[a:b]
-                scores += np.bincount(np.repeat(query[a:b] * width, n) + self.doc[posts], np.repeat(weight[a:b], n) * self.impact[posts], len(scores))
-            scores = scores.reshape(hi - lo, width)
-            least = held.least[lo:hi]
-            # a hair more, as sums are taken in several orders
-            bounds = (np.maximum.reduce(scores.reshape(hi - lo, self.blocks, BLOCK), axis=2) + weights @ self.table_best) * (1 + 1e-9)
-            opened = bounds >= least[:, None]
-            found = np.zeros((hi - lo, len(self.ids)))
-            for block in (np.unique(np.flatnonzero(opened.any(axis=0)) // stretch) * stretch).tolist():
-                some = np.flatnonzero(opened[:, block : block + stretch].any(axis=1))
-                docs = slice(block * BLOCK, min((block + stretch) * BLOCK, len(self.ids)))
-                if len(some):
-                    found[some, docs] = scores[some, docs] + weights[some] @ self.table[docs].T
-            held.offer(lo, self.ids, found)
+            given.search(lo, hi - lo, *asked.part(lo, hi, number), held)
 
     def _bounds(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
         """For each block, the sum of these terms' maxima."""
-        column = self.column[at]
+        column, _, table_best = self.frequent
+        block, best, starts = self.cells
+        column = column[at]
         often = column >= 0
         rare, weight = at[~often], idf[~often]
-        a, b = self.term_cells[rare], self.term_cells[rare + 1]
+        a, b = starts[rare], starts[rare + 1]
         cells = _ranges(a, b)
-        found = np.bincount(self.cell_block[cells], np.repeat(weight, b - a) * self.cell_best[cells], self.blocks)
-        return found + idf[often] @ self.table_best[column[often]]
+        found = np.bincount(block[cells], np.repeat(weight, b - a) * best[cells], self.blocks)
+        return found + idf[often] @ table_best[column[often]]
 
     def _full(self, at: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, int]:
         """What these terms give these documents, and how many postings they have there: a jump of each cursor to each document."""
@@ -212,9 +220,10 @@ class Shard:
         if len(docs) > some:
             each = [self._full(at, idf, docs[i : i + some]) for i in range(0, len(docs), some)]
             return np.concatenate([found for found, _ in each]), sum(n for _, n in each)
-        column = self.column[at]
+        column, table, _ = self.frequent
+        column = column[at]
         often = column >= 0
-        parts = self.table[docs[:, None], column[often]]
+        parts = table[docs[:, None], column[often]]
         found, read = parts @ idf[often], int(np.count_nonzero(parts))
         rare, weight = at[~often], idf[~often]
         if len(rare):
@@ -227,6 +236,67 @@ class Shard:
         return found, read
 
 
+class Given:
+    """What a shard's terms that are asked for (numbers, with their idf) give its documents, whichever query asks: in a table for frequent terms, in postings for the others."""
+
+    def __init__(self, shard: Shard, numbers: np.ndarray, idf: np.ndarray):
+        spread = np.diff(shard.starts)
+        weight = np.zeros(len(spread))
+        weight[numbers] = idf
+        self.ids, self.starts, self.doc = shard.ids, shard.starts, shard.doc.astype(np.int64)
+        self.gain = shard.impact * np.repeat(weight, spread)
+        often = shard.often(TABLE, FREQUENT)
+        often = often[weight[often] > 0]
+        self.column = np.full(len(spread), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        posts = _ranges(shard.starts[often], shard.starts[often + 1])
+        place = self.doc[posts], np.repeat(np.arange(len(often)), spread[often])
+        blocks = -(-len(shard.ids) // WIDE)
+        # in single precision, and what that leaves out
+        self.table, self.rest = np.zeros((2, blocks * WIDE, len(often)), np.float32)
+        self.table[place] = self.gain[posts]
+        self.rest[place] = self.gain[posts] - self.table[place]
+        self.best = np.maximum.reduce(self.table.reshape(blocks, WIDE, len(often)), axis=1).T
+        self.most = np.maximum.reduce(self.table.sum(axis=1).reshape(blocks, WIDE), axis=1)
+        # a sum of single precision is as near to the exact one, as a share of it, whatever its order
+        self.error = 1e-6 + len(often) * 2.0**-23
+
+    def search(self, lo: int, n: int, query: np.ndarray, at: np.ndarray, held: Held) -> None:
+        """Offers what is among the k best of n queries from number lo on; query, at: their terms."""
+        width, k = len(self.table), held.k
+        column = self.column[at]
+        often = column >= 0
+        asks = np.zeros((n, self.table.shape[1]), np.float32)
+        asks[query[often], column[often]] = 1
+        some = np.flatnonzero(~often)
+        lows, highs = self.starts[at[some]], self.starts[at[some] + 1]
+        ends = np.searchsorted(query[some], np.arange(n + 1)).tolist()
+        scores = np.empty((n, width))
+        for q, (a, b) in enumerate(zip(ends, ends[1:])):
+            # one query at a time, as its postings and sums stay in the CPU's caches
+            posts = _ranges(lows[a:b], highs[a:b])
+            scores[q] = np.bincount(self.doc[posts], self.gain[posts], width)
+        least = np.maximum(held.least[lo : lo + n, None] * (1 - 2 * self.error), 1e-7)
+        opened = np.maximum.reduce(scores.reshape(n, -1, WIDE), axis=2) + np.minimum(asks @ self.best, self.most) >= least
+        near = np.zeros((n, width), np.float32)
+        stretch = max(STRETCH, -(-opened.shape[1] // STRETCHES))
+        for block in (np.unique(np.flatnonzero(opened.any(axis=0)) // stretch) * stretch).tolist():
+            some = np.flatnonzero(opened[:, block : block + stretch].any(axis=1))
+            docs = slice(block * WIDE, (block + stretch) * WIDE)
+            near[some, docs] = scores[some, docs] + asks[some] @ self.table[docs].T
+        reached = near >= least.astype(np.float32)
+        # of many documents only those that can be among this shard's k best are scored in full
+        many = np.flatnonzero(np.count_nonzero(reached, axis=1) > 2 * k)
+        if len(many):
+            reached[many] &= near[many] >= np.partition(near[many], width - k, axis=1)[:, [width - k]] * (1 - 2 * self.error) - 1e-6
+        some, docs = np.divmod(np.flatnonzero(reached), width)
+        step = max(1, MANY // 8 // max(asks.shape[1], 1))
+        for a in range(0, len(some), step):
+            queries, its = some[a : a + step], docs[a : a + step]
+            exact = self.table[its].astype(np.float64) + self.rest[its]
+            held.offer(lo + queries, self.ids[its], scores[queries, its] + np.einsum("ij,ij->i", exact, asks[queries]))
+
+
 class Asked:
     """Queries of a block. terms: the places of their terms in vocabulary, one query after the other; vocabulary: the distinct terms, ascending, with their idf."""
 
@@ -258,12 +328,11 @@ class Asked:
         number[at[hit]] = hit
         return number
 
-    def part(self, lo: int, hi: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """query (from 0), number in the shard and idf of each term that queries lo to hi ask for and the shard has."""
-        terms = self.terms[self.offsets[lo] : self.offsets[hi]]
-        query, at = np.repeat(np.arange(hi - lo), np.diff(self.offsets[lo : hi + 1])), number[terms]
-        have = at >= 0
-        return query[have], at[have], self.idf[terms[have]]
+    def part(self, lo: int, hi: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """query (from 0) and number in the shard of each term that queries lo to hi ask for and the shard has."""
+        at = number[self.terms[self.offsets[lo] : self.offsets[hi]]]
+        have = np.flatnonzero(at >= 0)
+        return np.repeat(np.arange(hi - lo), np.diff(self.offsets[lo : hi + 1]))[have], at[have]
 
 
 class Held:
@@ -279,32 +348,26 @@ class Held:
     def put(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
         self.ids[query, : len(ids)], self.scores[query, : len(ids)], self.size[query] = ids, scores, len(ids)
 
-    def offer(self, lo: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        """Scores of documents (ids) for queries from number lo on, a row for each query."""
-        n, k, least = len(scores), self.k, self.least[lo : lo + len(scores)].copy()
-        new = np.flatnonzero(self.size[lo : lo + n] < k)
-        if len(new) and len(ids) > k:
-            least[new] = np.maximum(np.partition(scores[new], len(ids) - k, axis=1)[:, len(ids) - k] - 1e-6, 0)
-        query, doc = np.nonzero(scores >= np.maximum(least, 1e-9)[:, None])
-        found = np.round(scores[query, doc], 6)
-        some = found > 0
-        query, doc, found = query[some], doc[some], found[some]
+    def offer(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of documents (ids) for queries, a pair each."""
+        k, found = self.k, np.round(scores, 6)
+        some = np.flatnonzero((found > 0) & (found >= self.least[query]))
+        query, ids, found = query[some], ids[some], found[some]
         if not len(query):
             return
         changed = np.unique(query)
-        old = np.flatnonzero((np.arange(k) < self.size[lo + changed][:, None]).ravel())
+        old = np.flatnonzero((np.arange(k) < self.size[changed][:, None]).ravel())
         query = np.append(query, np.repeat(changed, k)[old])
-        ids = np.append(ids[doc], self.ids[lo + changed].ravel()[old])
-        found = np.append(found, self.scores[lo + changed].ravel()[old])
+        ids = np.append(ids, self.ids[changed].ravel()[old])
+        found = np.append(found, self.scores[changed].ravel()[old])
         order = np.lexsort((ids, -found, query))
         query, ids, found = query[order], ids[order], found[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
         kept = place < k
-        query, place, ids, found = lo + query[kept], place[kept], ids[kept], found[kept]
+        query, place, ids, found = query[kept], place[kept], ids[kept], found[kept]
         self.ids[query, place], self.scores[query, place] = ids, found
         np.maximum.at(self.size, query, place + 1)
-        full = lo + changed
-        full = full[self.size[full] == k]
+        full = changed[self.size[changed] == k]
         self.least[full] = self.scores[full, k - 1] - 1e-6
 
 
@@ -320,7 +383,7 @@ def _bags(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lorespark.llm import bm25_search as S
 
-        S.only("ngram_join")
+        S.only("bm25_search")
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -347,14 +410,13 @@ def _index(bags: DataFrame) -> DataFrame:
 
         def shard() -> pa.RecordBatch:
             ids, terms, counts, lengths = zip(*held)
-            # documents whose most frequent word is the same stand together
+            # documents whose most frequent word is the same stand together, the shorter first
             usual = np.array([t[np.argmax(c)] if len(t) else 0 for t, c in zip(terms, counts)], np.int64)
-            order = np.argsort(usual, kind="stable")
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order))
-            docs = np.repeat(place, [len(t) for t in terms])
-            terms, counts = np.concatenate(terms), np.concatenate(counts).astype(np.int32)
-            by = np.lexsort((docs, terms))
+            order = np.lexsort((lengths, usual)).tolist()
+            docs = np.repeat(np.arange(len(order), dtype=np.int32), [len(terms[i]) for i in order])
+            terms, counts = np.concatenate([terms[i] for i in order]), np.concatenate([counts[i] for i in order]).astype(np.int32)
+            held.clear()
+            by = np.argsort(terms, kind="stable")
             rows = np.array(ids, np.int64)[order], np.array(lengths, np.int64)[order], terms[by], docs[by], counts[by]
             edges = np.linspace(0, len(by), S.PIECES + 1).astype(np.int64).tolist()
             whole = [[x.tobytes(), *[b""] * (S.PIECES - 1)] for x in rows[:2]]
@@ -401,6 +463,7 @@ def _found(index: DataFrame, asked: pa.Table, mean: float, k: int) -> DataFrame:
                 # the last shard goes before the next one is made
                 pieces, shard = [], None
                 shard = S.Shard(ids, words, docs, counts, lengths, mean)
+                del words, counts
                 shard.search_many(asked, held)
         if pieces:
             raise ValueError("the index was cut inside a shard")

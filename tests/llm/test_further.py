@@ -434,3 +434,44 @@ def test_rows_of_slices_grow_with_queries_only(spark):
         best = sorted((-r.score, r.doc_id) for r in rows if r.query_id == q)[:5]
         given = lambda i: 0.1 + (i % 7 == q) + 5 * (i == q * 50)
         assert [i for _, i in best] == sorted(range(400), key=lambda i: (-given(i), i))[:5]
+
+
+def test_many_queries_sum_one_query_at_a_time_and_score_few_documents_in_full(monkeypatch):
+    """No sums of rarer terms over all queries and documents at once; what is scored in full is about the k best of a shard, also before there is a threshold."""
+    from lorespark.llm import bm25_search
+
+    monkeypatch.setattr(bm25_search, "TABLE", 3000)
+    shards, bags = _shards(np.random.default_rng(9))
+    asked = [np.array(sorted(bags[i]), np.int64) for i in range(0, 600, 9) if bags[i]]
+    offsets, terms = np.cumsum([0, *map(len, asked)]), np.concatenate(asked)
+    queries = bm25_search.Asked(np.arange(len(asked)), offsets, terms, np.random.default_rng(10).random(6000)[terms] + 0.1)
+    sums, full, plain, offer = [], [], np.bincount, bm25_search.Held.offer
+    monkeypatch.setattr(bm25_search.np, "bincount", lambda x, weights=None, minlength=0: sums.append(minlength) or plain(x, weights, minlength))
+    monkeypatch.setattr(bm25_search.Held, "offer", lambda self, query, ids, scores: full.append(np.size(scores)) or offer(self, query, ids, scores))
+    held = bm25_search.Held(len(queries), 5)
+    for shard in shards:
+        shard.search_many(queries, held)
+    assert max(sums) <= 150 + bm25_search.WIDE
+    assert sum(full) <= 12 * len(queries) * len(shards)
+
+
+def test_sums_of_single_precision_only_select(monkeypatch):
+    """Scores that differ by less than single precision holds are in the order of their exact values, which are given; ties by id."""
+    from lorespark.llm import bm25_search
+
+    n, common = 96, 40
+    terms, docs = np.repeat(np.arange(common + 1), n), np.tile(np.arange(n, dtype=np.int32), common + 1)
+    lengths = np.full(n, 500) + np.arange(n) % 3
+    shard = bm25_search.Shard(np.arange(n)[::-1].copy(), terms, docs, np.ones(len(terms), np.int32), lengths, 5e7)
+    idf = np.append(np.full(common, 80.0), 1e-3)
+    offsets = np.arange(0, 17 * (common + 1), common + 1)
+    held = bm25_search.Held(16, 40)
+    queries = bm25_search.Asked(np.arange(16), offsets, np.tile(np.arange(common + 1), 16), np.tile(idf, 16))
+    monkeypatch.setattr(bm25_search.Shard, "search", None)
+    shard.search_many(queries, held)
+    exact = idf.sum() * 2.2 / (1 + 1.2 * (0.25 + 0.75 * lengths / 5e7))
+    assert len(set(np.round(exact, 6))) == 3 and len(set(exact.astype(np.float32))) < 3
+    best = np.lexsort((n - 1 - np.arange(n), -np.round(exact, 6)))[:40]
+    for q in range(16):
+        assert held.of(q)[0].tolist() == (n - 1 - best).tolist()
+        assert held.of(q)[1].tolist() == np.round(exact[best], 6).tolist()
